@@ -106,33 +106,35 @@ def mix(docs: DataFrame, text: str = "text", id_column: str = "doc_id", source:
     sizes = own.groupBy("_mix_source").agg(F.sum(_SIZE).alias("size"), F.count(F.lit(1)).alias("_docs"))
     plan = budgets(sizes, "_mix_source", limit, cycle).select(
         F.col("_mix_source").alias("_s"),
-        F.col("size").alias("source_size"),
-        "target",
-        F.ceil(F.col("_docs") / BUCKET).alias("buckets"),
-        F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).alias("epochs"),
+        F.col("size").alias("_p_size"),
+        F.col("target").alias("_p_target"),
+        F.ceil(F.col("_docs") / BUCKET).alias("_p_buckets"),
+        F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).alias("_p_epochs"),
     )
-    plan = cut(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
+    plan = cut(plan.withColumn("_p_rest", F.col("_p_target") - F.col("_p_epochs") * F.col("_p_size")), "plan")
 
     def bucket(key: Column) -> Column:
-        return F.least(F.floor((1 - F.exp(-key)) * F.col("buckets")), F.col("buckets") - 1)
+        return F.least(F.floor((1 - F.exp(-key)) * F.col("_p_buckets")), F.col("_p_buckets") - 1)
 
     placed = keys.join(plan, F.col("_mix_source").eqNullSafe(F.col("_s"))).withColumn("bucket", bucket(F.col("key")))
-    sums = placed.groupBy("_s", "bucket", "rest").agg(F.sum("size").alias("words"))
+    sums = placed.groupBy("_s", "bucket", "_p_rest").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("_s").orderBy("bucket"))
-    ends = sums.withColumn("upto", upto).where("upto > rest").groupBy("_s").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("end"))
-    ends = cut(ends.select(F.col("_s").alias("_e"), F.col("end.bucket").alias("last"), F.col("end.left").alias("left")), "ends")
-    last = placed.join(ends, F.col("_s").eqNullSafe(F.col("_e"))).where("bucket = last")
-    units = last.groupBy("_s", "draw").agg(F.sum("size").alias("size"), F.first("key").alias("key"), F.first("left").alias("left"))
+    left = F.col("_p_rest") - F.col("upto") + F.col("words")
+    ends = sums.withColumn("upto", upto).where("upto > _p_rest").groupBy("_s").agg(F.min(F.struct("bucket", left.alias("left"))).alias("end"))
+    ends = cut(ends.select(F.col("_s").alias("_e"), F.col("end.bucket").alias("_p_last"), F.col("end.left").alias("_p_left")), "ends")
+    last = placed.join(ends, F.col("_s").eqNullSafe(F.col("_e"))).where("bucket = _p_last")
+    units = last.groupBy("_s", "draw").agg(F.sum("size").alias("size"), F.first("key").alias("key"), F.first("_p_left").alias("left"))
     filled = units.where("size > 0").groupBy("_s").applyInPandas(_fill, "draw long, taken boolean").groupBy("draw").agg(F.first("taken").alias("_taken"))
     filled = cut(filled.withColumnRenamed("draw", "_filled"), "filled")
 
     base = own if narrow else full
     here = F.col("_mix_source") if narrow else F.col(source)
-    key = -F.log(u) / F.col(_QUALITY)
     out = base.join(plan, here.eqNullSafe(F.col("_s"))).join(ends, F.col("_s").eqNullSafe(F.col("_e")), "left")
-    out = out.withColumn("_bucket", bucket(key)).join(filled, F.when(F.col("_bucket") == F.col("last"), F.col(_DRAW)) == F.col("_filled"), "left")
-    more = F.when(F.col("rest") <= 0, False).when(F.col("last").isNull() | (F.col("_bucket") < F.col("last")), True).otherwise(F.coalesce("_taken", F.lit(False)))
-    words = {"size": F.col(_SIZE), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col(_SIZE) * (F.col("epochs") + more.cast("long"))}
+    out = out.withColumn("_p_bucket", bucket(-F.log(u) / F.col(_QUALITY)))
+    out = out.join(filled, F.when(F.col("_p_bucket") == F.col("_p_last"), F.col(_DRAW)) == F.col("_filled"), "left")
+    wholly = F.col("_p_last").isNull() | (F.col("_p_bucket") < F.col("_p_last"))
+    more = F.when(F.col("_p_rest") <= 0, False).when(wholly, True).otherwise(F.coalesce("_taken", F.lit(False)))
+    words = {"size": F.col(_SIZE), "source_size": F.col("_p_size"), "target": F.col("_p_target"), "taken": F.col(_SIZE) * (F.col("_p_epochs") + more.cast("long"))}
     kept = [F.col(id_column)] if narrow else [F.col(c) for c in docs.columns if c not in words]
     return out.select(*kept, *[c.alias(name) for name, c in words.items()])
 
