@@ -8,7 +8,7 @@ interval share; the members' text to the left of the anchor, again in order, tel
 it is left-diverse. That gives the maximal repeats with all their occurrences, and so each window that occurs elsewhere.
 
 Windows never span documents. A text that stands in several documents is handled once, with its number of copies. A k-gram with more than
-``CROWD`` different surroundings is not gathered: its windows are counted one by one, by hash, which is exact as well.
+``CROWD`` different surroundings is not gathered: its windows are counted by hash, block by block, which is exact as well.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidepool.llm.bytestext import flat, mix, prefix_sums, span_hashes, spans_of, utf8
 from tidepool.llm.scratch import cut, cut_bucketed
@@ -27,6 +28,8 @@ from tidepool.llm.scratch import cut, cut_bucketed
 LENGTH, GRAM = 400, 64
 #: Different surroundings of one k-gram that one task puts in order.
 CROWD = 128
+#: Windows that are counted together where a k-gram has more.
+BLOCK = 16
 #: Windows of one text that are anchored at once; longer texts are taken piece by piece.
 PIECE = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
@@ -320,26 +323,67 @@ def _surroundings(length: int):
 
 
 def _crowded_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """As the suffix arrays tell, for k-grams with many surroundings: each window is counted under its hash."""
+    """As the suffix arrays tell, for k-grams with many surroundings, by counting hashes.
+
+    Windows are taken in blocks of ``BLOCK`` by their distance from the anchor. If all bytes of a block's windows occur at
+    another place too, so do all its windows; if the bytes that its windows have in common do not, none of them does. Only windows of
+    the blocks in between are counted one by one, together with those of one example of each block that is repeated as a whole.
+    """
+    rows = contexts.select("gram", "context", "copies", "off", "bytes").mapInArrow(_blocks(length), "gram long, context long, copies long, from long, to long, kind int, hash long")
+    known = rows.groupBy("gram", "kind", "hash").agg(F.sum("copies").alias("n"), F.min("context").alias("example")).where("n > 1").select("gram", "kind", "hash", "example")
+    hit = rows.join(known, ["gram", "kind", "hash"]).groupBy("gram", "context", "from", "to", "copies")
+    hit = cut(hit.agg(F.min("kind").alias("kind"), F.max(F.when(F.col("kind") == 0, F.col("example") == F.col("context"))).alias("shown")), "blocks")
+    wholly = hit.where("kind = 0").select("gram", "context", "from", "to")
+    partly = hit.where("kind = 1 or shown").select("gram", "context", "from", "to", F.when(F.col("kind") == 0, 2).otherwise(F.col("copies")).cast("long").alias("copies"))
+    spots = partly.groupBy("gram", "context").agg(F.collect_list(F.struct("from", "to", "copies")).alias("spots"))
+    single = contexts.select("gram", "context", "off", "bytes").join(spots, ["gram", "context"])
+    single = single.select("gram", "context", "off", "bytes", "spots").mapInArrow(_windows(length), "gram long, context long, copies long, at long, hash long")
+    again = single.groupBy("gram", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "hash")
+    found = single.join(again, ["gram", "hash"])
+    place = Window.partitionBy("gram", "context").orderBy("at")
+    islands = found.withColumn("island", F.col("at") - F.row_number().over(place)).groupBy("gram", "context", "island")
+    return wholly.unionByName(islands.agg(F.min("at").alias("from"), F.max("at").alias("to")).drop("island"))
+
+
+def _blocks(length: int):
+    """Of each block of windows the hash of all its bytes (kind 0) and of what its windows have in common (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, context, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            buffer, offsets = flat(batch.column(3))
-            for i, j in spans_of(offsets):
-                part = buffer[offsets[i] : offsets[j]]
-                first = offsets[i:j] - offsets[i]
-                count = np.diff(offsets[i : j + 1]) - length + 1
-                owner = np.repeat(np.arange(i, j), count)
-                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(first, count) + place
-                window = span_hashes(prefix_sums(part), start, start + length)
-                arrays = (gram[owner], context[owner], copies[owner], place, window.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["gram", "context", "copies", "from", "window"])
-
-    rows = contexts.select("gram", "context", "copies", "bytes").mapInArrow(run, "gram long, context long, copies long, from long, window long")
-    again = rows.groupBy("gram", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "window")
-    return rows.join(again, ["gram", "window"]).select("gram", "context", "from", F.col("from").alias("to"))
+            gram, context, copies, off = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            buffer, offsets = flat(batch.column(4))
+            for i in range(len(batch)):
+                sums = prefix_sums(buffer[offsets[i] : offsets[i + 1]])
+                last = int(offsets[i + 1] - offsets[i]) - length
+                number = np.arange((off[i] - last) // BLOCK, off[i] // BLOCK + 1)  # by the distance from the anchor
+                low, high = np.maximum(off[i] - number * BLOCK - BLOCK + 1, 0), np.minimum(off[i] - number * BLOCK, last)
+                shape = mix((off[i] - low).astype(np.uint64) * np.uint64(1 << 32) + (off[i] - high).astype(np.uint64))
+                # the common bytes are those of the whole block even where a context begins or ends within it
+                first = off[i] - number * BLOCK
+                shared = span_hashes(sums, first, first - BLOCK + 1 + length)
+                hashes = np.concatenate([mix(span_hashes(sums, low, high + length) ^ shape), mix(shared ^ mix(number.astype(np.uint64)))])
+                n = len(number)
+                arrays = (np.full(2 * n, gram[i]), np.full(2 * n, context[i]), np.full(2 * n, copies[i]), np.tile(low, 2), np.tile(high, 2))
+                columns = [*(pa.array(x.astype(np.int64)) for x in arrays), pa.array(np.repeat(np.arange(2, dtype=np.int32), n)), pa.array(hashes.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "copies", "from", "to", "kind", "hash"])
+
+    return run
+
+
+def _windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gram, context, off, raw, spots in zip(*batch.columns, strict=True):
+                sums = prefix_sums(np.frombuffer(raw.as_buffer(), np.uint8))
+                parts = spots.as_py()
+                at = np.concatenate([np.arange(s["from"], s["to"] + 1) for s in parts])
+                copies = np.repeat([s["copies"] for s in parts], [s["to"] - s["from"] + 1 for s in parts])
+                hashes = mix(span_hashes(sums, at, at + length) ^ mix((off.as_py() - at).astype(np.uint64)))
+                n = len(at)
+                columns = [pa.array(np.full(n, gram.as_py())), pa.array(np.full(n, context.as_py())), pa.array(copies.astype(np.int64)), pa.array(at), pa.array(hashes.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "copies", "at", "hash"])
+
+    return run
 
 
 def _without(length: int, with_text: bool):
