@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidepool.llm.bytestext import utf8
+from tidepool.llm.scratch import cut
 
 #: A subtree is a template part if this many pages of its host have it, and this share of them.
 PAGES, SHARE = 5, 0.3
@@ -240,7 +241,7 @@ def signed(x: int) -> int:
 
 def template_marks(counts: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
     """(host, marks array<long>): the template of each host that has one."""
-    recurring = counts.where(F.col("pages") >= least)
+    recurring = cut(counts.where(F.col("pages") >= least), "recurring")
     sites = recurring.where("mark = 0").select(F.col("host").alias("_host"), F.col("pages").alias("_all"))
     parts = recurring.where("mark <> 0").join(sites, F.col("host") == F.col("_host")).where(F.col("pages") >= share * F.col("_all"))
     # at most 1 / share times the subtrees of one page on average, so the arrays are as long as pages, not as sites
@@ -252,7 +253,8 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
 
     Null html counts as empty; pages without a host in their url are one site. Repeated rows stay; other columns are not returned.
     """
-    template = template_marks(subtree_counts(pages, url, html), least, share)
+    # written first, so that its size is known: small ones are sent to all tasks, and a large one is joined with hot hosts split up
+    template = cut(template_marks(subtree_counts(pages, url, html), least, share), "template")
     own = pages.select(F.col(id_column), F.col(url), utf8(html).alias("_html"), host_key(url).alias("_host"))
     joined = own.join(template, F.col("_host") == F.col("host"), "left").drop("_host", "host")
 
