@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that one vectorised step takes together; longer texts come alone.
 CHUNK = 1 << 18
+#: Bytes of texts whose results are held in Python together.
+SLICE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -43,6 +45,20 @@ def spans_of(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def filled(array: pa.Array) -> pa.Array:
+    """A text or binary column with null as empty; anything else as text."""
+    if not (pa.types.is_string(array.type) or pa.types.is_large_string(array.type) or pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type)):
+        array = array.cast(pa.string())
+    return array if not array.null_count else array.fill_null("" if "string" in str(array.type) else b"")
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``limit`` bytes of a binary column, or one row: what a step makes of a part is given on at once."""
+    for batch in batches:
+        for i, j in spans_of(flat(filled(batch.columns[column]))[1], limit):
+            yield batch.slice(i, j - i)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base modulo 2^64, and of its inverse."""
     if len(_powers.get("up", ())) < n:

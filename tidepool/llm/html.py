@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidepool.llm.bytestext import utf8
+from tidepool.llm.bytestext import slices, utf8
 from tidepool.llm.scratch import cut
 
 #: A subtree is a template part if this many pages of its host have it, and this share of them.
@@ -219,7 +219,7 @@ def subtree_counts(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             hosts, marks, contents = [], [], []
             for host, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 root = parse(raw.as_py().decode("utf-8", "replace"))
@@ -259,7 +259,7 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
     joined = own.join(template, F.col("_host") == F.col("host"), "left").drop("_host", "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = []
             for raw, marks in zip(batch.column(2), batch.column(3), strict=True):
                 root = parse(raw.as_py().decode("utf-8", "replace"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tidepool.llm.bytestext import LOWER, SPACE, flat, runs, spans_of, utf8
+from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, runs, slices, spans_of
 from tidepool.llm.scratch import cut
 
 #: Documents of a source that one bucket of keys holds, about.
@@ -37,10 +37,14 @@ def measured(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     The quality weight grows with the share of letters among the bytes other than white space; an empty text has 0.1.
     """
 
+    draw = F.xxhash64(F.col(id_column).cast("string"), F.col(text)).alias(_DRAW)
+    chosen = docs.select("*", draw)
+    place = docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buffer, offsets = flat(batch.column(batch.num_columns - 1))
-            size, quality = np.zeros(len(batch), np.int64), np.full(len(batch), 0.1)
+        for batch in slices(batches, place):
+            buffer, offsets = flat(filled(batch.column(place)))
+            size, quality = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, 0.1)
             for i, j in spans_of(offsets):
                 part, own = buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 dark = ~SPACE[part]
@@ -48,13 +52,10 @@ def measured(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
                 shown = np.diff(np.concatenate([[0], np.cumsum(dark)])[own])
                 letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[LOWER[part]])])[own])
                 quality[i:j] = 0.1 + 0.9 * letters / np.maximum(shown, 1)
-            columns = [*batch.columns[:-1], pa.array(size), pa.array(quality)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], _SIZE, _QUALITY])
+            columns = [*batch.columns, pa.array(size), pa.array(quality)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, _SIZE, _QUALITY])
 
-    draw = F.xxhash64(F.col(id_column).cast("string"), F.col(text)).alias(_DRAW)
-    chosen = docs.select("*", draw, utf8(text).alias("_mix_text"))
-    schema = StructType([*chosen.schema.fields[:-1], StructField(_SIZE, LongType()), StructField(_QUALITY, DoubleType())])
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(run, StructType([*chosen.schema.fields, StructField(_SIZE, LongType()), StructField(_QUALITY, DoubleType())]))
 
 
 def budgets(sizes: DataFrame, source: str = "source", limit: float = 3.0, cycle: int = 3) -> DataFrame:
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, text: str = "text", id_column: str = "doc_id", source:
     columns of ``docs``. Null texts and texts without words have size 0 and take nothing. Null sources are one source, the last.
     Equal rows (same id and text) are taken or left together. Columns of ``docs`` with the names above are replaced.
     """
-    full = measured(docs, text, id_column)
+    full = measured(docs.select(*dict.fromkeys([id_column, source, text])) if narrow else docs, text, id_column)
     own = cut(full.select(F.col(id_column), F.col(source).alias("_mix_source"), F.col(_SIZE), F.col(_QUALITY), F.col(_DRAW)), "mix")
     u = (F.shiftrightunsigned(_DRAW, 11) + 1) / F.lit(float(1 << 53))
     keys = own.select("_mix_source", F.col(_SIZE).alias("size"), F.col(_DRAW).alias("draw"), (-F.log(u) / F.col(_QUALITY)).alias("key"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import utf8
+from tidepool.llm.bytestext import slices, utf8
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (version 1?, layer) and sample rates by version.
 BIT_RATES = {
@@ -315,7 +315,7 @@ def media_column(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
         return len(raw), len(back), digest, zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(audio), media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [row(x.as_py()) for x in batch.column(1)]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, *names])

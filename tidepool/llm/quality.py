@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidepool.llm.bytestext import LOWER, SPACE, flat, mix, prefix_sums, runs, span_hashes, spans_of, utf8
+from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, mix, prefix_sums, runs, slices, span_hashes, spans_of, utf8
 from tidepool.llm.linear import Rows, calibrate, dual_coordinate_descent, log_count_ratio, rows_of, sigmoid
 
 WIDTH = 1 << 16
@@ -127,7 +127,7 @@ def collected(frame: DataFrame, features) -> tuple[Rows, np.ndarray]:
     """Features and labels of a bounded table (label, _order, text), in an order that does not depend on its partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             lists = [x.astype(np.int32).tobytes() for part in features(batch.column(2)) for x in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], names=["label", "place", "features"])
 
@@ -135,22 +135,24 @@ def collected(frame: DataFrame, features) -> tuple[Rows, np.ndarray]:
     return rows_of([np.frombuffer(x, np.int32) for _, x, _ in found]), np.array([y == 1 for _, _, y in found], bool)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on). Null texts count as empty and are scored too."""
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on). Null texts count as empty and are scored too.
+
+    Columns of ``docs`` with those names are replaced.
+    """
     weights = model.weights.astype(np.float32)
     small = Model(weights, model.bias, model.slope, model.offset)
+    own = docs.select(*[F.col(c) for c in docs.columns if c not in names])
+    place = own.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            scores = [small.probability(rows_of(lists)) for lists in features_of(column)]
+        for batch in slices(batches, place):
+            scores = [small.probability(rows_of(lists)) for lists in features_of(filled(batch.column(place)))]
             values = np.concatenate(scores) if scores else np.zeros(0)
-            columns = [*batch.columns[:-1], pa.array(values), pa.array((values >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "predicted"])
+            columns = [*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    own = docs.select(*[F.col(c) for c in docs.columns if c not in ("score", "predicted")])
-    schema = StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return own.withColumn("_scored_text", utf8(text)).mapInArrow(run, schema)
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def training_rows(labels: DataFrame, id_column: str = "doc_id", parts: int = 4, held: int = 2) -> DataFrame:
@@ -166,5 +168,5 @@ def is_held_out(id_column: str = "doc_id", parts: int = 4, held: int = 2):
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
     model = fit(docs, training_rows(labels, id_column), text, id_column)
-    marked = score(docs.select(F.struct(*docs.columns).alias("_row")), model, f"_row.{text}", threshold)
-    return marked.where("predicted = 1").select("_row.*")
+    marked = score(docs, model, text, threshold, ("_quality_score", "_quality_kept"))
+    return marked.where("_quality_kept = 1").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidepool.llm.bytestext import flat, mix, prefix_sums, span_hashes, spans_of, utf8
+from tidepool.llm.bytestext import flat, mix, prefix_sums, slices, span_hashes, spans_of, utf8
 from tidepool.llm.scratch import cut, cut_bucketed
 
 LENGTH, GRAM = 400, 64
@@ -295,7 +295,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     kinds = mixed.groupBy("gram", "context").agg(
         F.sum("copies").alias("copies"), F.min("off").alias("off"), F.min(F.struct("k1", "k2", "low", "high")).alias("place")
     )
-    sizes = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = cut(kinds, "kinds")
+    sizes = cut(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "sizes")
     wanted = kinds.join(sizes, "gram").select("gram", "context", "copies", "off", "place.*", "kinds")
     spots = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "context", "copies", "off", "low", "high", "kinds")).alias("spots"))
     contexts = cut(texts.join(spots, ["k1", "k2"]).select("text", "spots").mapInArrow(_surroundings(length), "gram long, context long, copies long, off long, bytes binary, kinds long"), "contexts")
@@ -386,11 +387,11 @@ def _windows(length: int):
     return run
 
 
-def _without(length: int, with_text: bool):
-    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+def _without(length: int, kept_as: str):
+    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * bool(kept_as)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             rows = []
             for copies, raw, lows, highs in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
                 raw, lows, highs = raw.as_py(), lows.values, highs.values
@@ -406,25 +407,28 @@ def _without(length: int, with_text: bool):
                     places = np.concatenate([[0], np.column_stack([starts, ends]).ravel(), [len(raw)]]).tolist()
                     kept = b"".join(raw[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
                 rows.append((len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types[: 4 + with_text])]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string()])]
+            if kept_as == "string":
+                columns.append(pa.array([r[4].decode("utf-8", "ignore") for r in rows], pa.string()))
+            elif kept_as:
+                columns.append(pa.array([r[4] for r in rows], pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     return run
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, kept_as: str = "") -> DataFrame:
     """(k1, k2, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each different text of ``docs``; ``text_keys`` give the keys.
 
     Removed is each byte that a string of ``length`` bytes covers which also starts anywhere else in ``docs``, in the same or another
-    document; copies of a text are other places. Null texts count as empty; texts shorter than ``length`` lose nothing.
+    document; copies of a text are other places. ``kept_as`` is ``binary`` for the bytes that are left, ``string`` for its whole characters. Null texts count as empty; texts shorter than ``length`` lose nothing.
     """
     texts = distinct_texts(docs, text)
     spans = repeated_spans(texts, length, gram).distinct()
     ranges = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("r")).select("k1", "k2", F.col("r.low").alias("lows"), F.col("r.high").alias("highs"))
     joined = texts.join(ranges, ["k1", "k2"], "left").select("k1", "k2", "copies", "text", "lows", "highs")
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return joined.mapInArrow(_without(length, with_text), schema)
+    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept {kept_as}" if kept_as else "")
+    return joined.mapInArrow(_without(length, kept_as), schema)
 
 
 def removals(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH) -> DataFrame:
@@ -439,14 +443,8 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
 
     Where a removed run begins or ends within a character, what is left of that character goes too. A null text becomes empty.
     """
-    found = without_repeats(docs, text, length, with_text=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [x.as_py().decode("utf-8", "ignore") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["_k1", "_k2", "_kept"])
-
-    texts = found.select("k1", "k2", "kept").mapInArrow(run, "_k1 long, _k2 long, _kept string")
+    found = without_repeats(docs, text, length, kept_as="string")
+    texts = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept"))
     keyed = docs.select("*", *[k.alias(f"_own{i}") for i, k in enumerate(text_keys(text))])
     joined = keyed.join(texts, (F.col("_own0") == F.col("_k1")) & (F.col("_own1") == F.col("_k2")))
     columns = {text: F.col("_kept")}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import utf8
+from tidepool.llm.bytestext import slices, utf8
 from tidepool.llm.components import connected_components
 from tidepool.llm.scratch import cut
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             bits = np.array([fingerprint(shingle_hashes(x.as_py(), words, seed)) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=[id_column, "bits"])
 

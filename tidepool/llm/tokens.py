@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import utf8
+from tidepool.llm.bytestext import slices, utf8
 
 #: Characters of a text beyond which it is parted.
 PART = 1 << 16
@@ -70,7 +70,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     out = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for raw in batch.column(1):
                 ids = encode(raw.as_py().decode("utf-8", "replace"), rank_file, pattern)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidepool.llm.bytestext import LOWER, flat, prefix_sums, runs, span_hashes, spans_of, utf8
+from tidepool.llm.bytestext import LOWER, flat, prefix_sums, runs, slices, span_hashes, spans_of, utf8
 from tidepool.llm.linear import Rows, logistic, rows_of, sigmoid
 from tidepool.llm.quality import collected
 
@@ -163,7 +163,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", id_column: str = "d
     wanted = chain.wanted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [chain.probabilities(rows_of(lists)) for lists in features_of(batch.column(1), wanted)]
             p = np.concatenate(found) if found else np.zeros((0, len(CHAIN)))
             columns = [pa.array(p[:, -1]), pa.array((p[:, -1] >= threshold).astype(np.int32)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(CHAIN)))]

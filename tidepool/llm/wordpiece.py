@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import utf8
+from tidepool.llm.bytestext import slices, utf8
 
 #: The symbol after a word's last byte.
 END = 256
@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", id_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Counter(automaton(vocabulary))
-        for batch in batches:
+        for batch in slices(batches, 1):
             words, tokens = [], []
             for raw in batch.column(1):
                 found = [known[c] for c in raw.as_py().decode("utf-8", "replace").lower().split()]
