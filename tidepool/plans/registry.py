@@ -1,4 +1,4 @@
-"""Every query of the library under its name, with its SQL."""
+"""Every query of the library under its name, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -9,3 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "kw_tiered"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query (spark, sf_dir) under its function's name."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+from tidepool.plans import graphs, searches, streams, texts, times  # noqa: E402, F401  they register their queries
