@@ -27,7 +27,7 @@ from tidepool.llm.scratch import cut, cut_bucketed
 
 LENGTH, GRAM = 400, 64
 #: Different surroundings of one k-gram that one task puts in order.
-CROWD = 128
+CROWD = 512
 #: Windows that are counted together where a k-gram has more.
 BLOCK = 16
 #: Windows of one text that are anchored at once; longer texts are taken piece by piece.
@@ -330,12 +330,15 @@ def _crowded_windows(contexts: DataFrame, length: int) -> DataFrame:
     another place too, so do all its windows; if the bytes that its windows have in common do not, none of them does. Only windows of
     the blocks in between are counted one by one, together with those of one example of each block that is repeated as a whole.
     """
-    rows = contexts.select("gram", "context", "copies", "off", "bytes").mapInArrow(_blocks(length), "gram long, context long, copies long, from long, to long, kind int, hash long")
-    known = rows.groupBy("gram", "kind", "hash").agg(F.sum("copies").alias("n"), F.min("context").alias("example")).where("n > 1").select("gram", "kind", "hash", "example")
-    hit = rows.join(known, ["gram", "kind", "hash"]).groupBy("gram", "context", "from", "to", "copies")
-    hit = cut(hit.agg(F.min("kind").alias("kind"), F.max(F.when(F.col("kind") == 0, F.col("example") == F.col("context"))).alias("shown")), "blocks")
-    wholly = hit.where("kind = 0").select("gram", "context", "from", "to")
-    partly = hit.where("kind = 1 or shown").select("gram", "context", "from", "to", F.when(F.col("kind") == 0, 2).otherwise(F.col("copies")).cast("long").alias("copies"))
+    rows = contexts.select("gram", "context", "copies", "off", "bytes").mapInArrow(
+        _blocks(length), "gram long, context long, copies long, from long, to long, whole long, shared long"
+    )
+    rows = cut(rows, "windows")  # read three times
+    shared = rows.groupBy("gram", "shared").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "shared")
+    whole = rows.groupBy("gram", "whole").agg(F.sum("copies").alias("n"), F.min("context").alias("example")).where("n > 1").select("gram", "whole", "example")
+    hit = cut(rows.join(shared, ["gram", "shared"]).join(whole, ["gram", "whole"], "left").select("gram", "context", "from", "to", "copies", "example"), "blocks")
+    wholly = hit.where("example is not null").select("gram", "context", "from", "to")
+    partly = hit.where("example is null or example = context").withColumn("copies", F.when(F.col("example").isNull(), F.col("copies")).otherwise(2))
     spots = partly.groupBy("gram", "context").agg(F.collect_list(F.struct("from", "to", "copies")).alias("spots"))
     single = contexts.select("gram", "context", "off", "bytes").join(spots, ["gram", "context"])
     single = single.select("gram", "context", "off", "bytes", "spots").mapInArrow(_windows(length), "gram long, context long, copies long, at long, hash long")
@@ -347,7 +350,7 @@ def _crowded_windows(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _blocks(length: int):
-    """Of each block of windows the hash of all its bytes (kind 0) and of what its windows have in common (kind 1)."""
+    """Of each block of windows the hash of all its bytes, and of what its windows have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,11 +365,10 @@ def _blocks(length: int):
                 # the common bytes are those of the whole block even where a context begins or ends within it
                 first = off[i] - number * BLOCK
                 shared = span_hashes(sums, first, first - BLOCK + 1 + length)
-                hashes = np.concatenate([mix(span_hashes(sums, low, high + length) ^ shape), mix(shared ^ mix(number.astype(np.uint64)))])
+                hashes = mix(span_hashes(sums, low, high + length) ^ shape), mix(shared ^ mix(number.astype(np.uint64)))
                 n = len(number)
-                arrays = (np.full(2 * n, gram[i]), np.full(2 * n, context[i]), np.full(2 * n, copies[i]), np.tile(low, 2), np.tile(high, 2))
-                columns = [*(pa.array(x.astype(np.int64)) for x in arrays), pa.array(np.repeat(np.arange(2, dtype=np.int32), n)), pa.array(hashes.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "copies", "from", "to", "kind", "hash"])
+                arrays = np.full(n, gram[i]), np.full(n, context[i]), np.full(n, copies[i]), low, high, *(h.view(np.int64) for h in hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["gram", "context", "copies", "from", "to", "whole", "shared"])
 
     return run
 
