@@ -149,6 +149,15 @@ def test_article_without_the_rest():
     assert text_of(page) == ["Head & line", "One two three four five", "Six", "seven", "eight", "<nine> é"]
 
 
+def test_names_of_the_layout_and_of_comments():
+    page = """<body class="no-sidebar"><div class="wrap has-sidebar"><div class="page header">Top</div><article class="post"><h1>T</h1><p>x</p>
+    <p class="notice">n</p><h2 class="header">H</h2><ol class="commentlist"><li>c</li></ol><article class="comment"><p>me</p></article></article>
+    <article id="comment-7"><p>too</p></article><div class="sidebarLeft"><article><p>also</p></article></div></div></body>"""
+    assert text_of(page) == ["T", "x", "H", "also"]
+    assert text_of('<div class="content has-sidebar"><h1>T</h1><p>x</p></div><div class="sidebar"><p>y</p></div>') == ["T", "x"]
+    assert text_of("<aside><article><p>teaser</p></article></aside><p>x</p>") == ["x"]
+
+
 def test_odd_pages():
     assert text_of("") == []
     assert text_of("just text") == ["just text"]

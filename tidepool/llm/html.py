@@ -45,8 +45,11 @@ SAME_LEVEL = {
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar status".split())
 #: Words of class and id values that name what is no part of an article.
 NAMED = frozenset(
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar side rail ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations widget comment comments disqus respond reply replies pagination pager toolbar masthead skip paywall".split()
+    "nav menu submenu header topbar footer side rail ad ads promo promotion banner consent gdpr notice notices alert popup modal overlay signup login social share sharing related widget respond reply replies pager toolbar masthead skip paywall".split()
 )
+#: Beginnings of such words.
+NAMED_BEGINNINGS = tuple("navbar navigation breadcrumb sidebar advert adsense sponsor cookie newsletter subscri recommend comment disqus pagination".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -65,12 +68,25 @@ class Node:
         marks = self.marks
         if self.name in NEVER or "hidden" in marks or marks.get("aria-hidden") == "true" or marks.get("role", "").lower() in ROLES:
             return True
-        if not marks or self.name in ("html", "body", "main", "article"):
+        if not marks or self.name in ("html", "body", "main"):
             return False
         if "display:none" in marks.get("style", "").replace(" ", "").lower():
             return True
         words = {w.lower() for key in ("class", "id") for w in _SPLIT.split(marks.get(key, "")) if w}
-        return not NAMED.isdisjoint(words)
+        if self.name == "article":  # a reader's comment may be an article of its own
+            return any(w.startswith("comment") for w in words) and not self.holds_article()
+        named = not NAMED.isdisjoint(words) and self.name not in HEADINGS or any(w.startswith(NAMED_BEGINNINGS) for w in words)
+        return named and not self.holds_article()
+
+    def holds_article(self) -> bool:
+        """Whether an article, main part or first heading is in it: then its names tell of the layout, not of what it is."""
+        todo = [self]
+        while todo:
+            inner = [p for p in todo.pop().parts if isinstance(p, Node)]
+            if any(p.name in ("main", "h1") or p.name == "article" and not any(w.lower().startswith("comment") for w in _SPLIT.split(p.marks.get("class", ""))) for p in inner):
+                return True
+            todo += inner
+        return False
 
 
 def parse(page: str) -> Node:
