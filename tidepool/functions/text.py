@@ -38,9 +38,9 @@ def phrase_count(tokens: Column, phrase: list[str]) -> Column:
     """How often the terms of a phrase stand in a row."""
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    first = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))
-    whole = F.array(*[F.lit(t) for t in phrase])
-    return F.size(F.filter(first, lambda i: F.slice(tokens, i, len(phrase)) == whole))
+    # terms hold no spaces and no pattern characters; looking ahead finds occurrences that overlap too
+    row = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return F.regexp_count(row, F.lit(f"(?= {' '.join(phrase)} )"))
 
 
 def preview(c: str | Column, length: int = 200) -> Column:

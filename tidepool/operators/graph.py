@@ -95,15 +95,17 @@ def mentions(entities: DataFrame, memories: DataFrame) -> DataFrame:
     """
     word = lambda c: F.regexp_extract_all(F.col(c), F.lit("[a-z0-9]+"), F.lit(0))
     named = entities.where(F.octet_length("name") >= 3).select(F.col("id").alias("source_id"), F.lower("name").alias("n"))
-    keyed = named.withColumn("term", F.element_at(F.array_union(F.slice(word("n"), 1, 1), F.array(F.lit(""))), 1))
+    blank = F.array(F.lit(""))
+    names = named.select(F.element_at(F.array_union(F.slice(word("n"), 1, 1), blank), 1).alias("term"), "n").distinct()
     lowered = memories.select(F.col("id").alias("target_id"), F.lower("content").alias("c"))
-    words = lowered.select("target_id", "c", F.explode(F.array_union(word("c"), F.array(F.lit("")))).alias("term"))
-    names = keyed.groupBy("term").agg(F.collect_set("n").alias("names"))
-    candidates = words.join(names, "term").select("target_id", "c", F.explode("names").alias("n"))
-    edge = "(^|[^A-Za-z0-9])"
-    quoted = F.regexp_replace("n", r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
-    said = candidates.where(F.expr("contains(c, n)")).where(F.regexp_like("c", F.concat(F.lit(edge), quoted, F.lit("($|[^A-Za-z0-9])"))))
-    return said.select("target_id", "n").join(named, "n").select("source_id", "target_id").distinct()
+    words = lowered.select("target_id", F.explode(F.array_union(word("c"), blank)).alias("term"))
+    # ids and terms only; a text is read again once, with all names that may be in it
+    candidates = words.join(names, "term").groupBy("target_id").agg(F.collect_set("n").alias("names"))
+    edge, end = F.lit("(^|[^A-Za-z0-9])"), F.lit("($|[^A-Za-z0-9])")
+    quoted = lambda n: F.regexp_replace(n, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
+    holds = lambda n: F.contains(F.col("c"), n) & F.regexp_like(F.col("c"), F.concat(edge, quoted(n), end))
+    said = lowered.join(candidates, "target_id").select("target_id", F.explode(F.filter("names", holds)).alias("n"))
+    return said.join(named, "n").select("source_id", "target_id").distinct()
 
 
 def link_mentions(entities: DataFrame, memories: DataFrame, edges: DataFrame, edge_type: str = "mentioned_in") -> DataFrame:
