@@ -112,7 +112,7 @@ def fit_rows(rows: Rows, labels: np.ndarray, folds: int = 3, cost: float = 0.1)
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from labelled documents (``labels``: id and 0/1), of which at most ``sample`` are read.
 
-    Only the text is an input of the model. Rows with a null label or id are left out; repeated labels count as often as they stand there.
+    Only the text is an input of the model. Rows with a null label or id are left out; repeated equal labels count once.
     """
     order = F.xxhash64(F.col(id_column).cast("string"), F.lit(11))
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("label"), order.alias("_order"))
@@ -120,11 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
 
     # bounded by ``sample``: ids and labels only
     joined = docs.select(F.col(id_column), utf8(text).alias("text")).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))
-    return fit_rows(*collected(joined.select("label", "_order", "text"), features_of))
+    return fit_rows(*collected(joined.select("_id", "label", "_order", "text"), features_of))
 
 
 def collected(frame: DataFrame, features) -> tuple[Rows, np.ndarray]:
-    """Features and labels of a bounded table (label, _order, text), in an order that does not depend on its partitions."""
+    """Features and labels of a table (_id, label, _order, text), in an order that does not depend on its partitions.
+
+    Of rows with one id the least text is taken, so what is gathered is bounded by the labelled ids.
+    """
+    frame = frame.groupBy("_id", "label", "_order").agg(F.min("text").alias("text")).select("label", "_order", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):

@@ -32,6 +32,8 @@ BEGINNINGS = (5, 6, 7, 9)
 SAMPLE = 6000
 #: Features of each model, at most.
 FEATURES = 2000
+#: How much a feature must tell to be used, and to mark a row as abusive.
+TELLS, MARKS = 4.0, 5.0
 CHAIN = ("abusive", "severe", "toxic")
 THRESHOLD = 0.25
 _LETTER = np.zeros(256, bool)
@@ -72,12 +74,19 @@ def features_of(array: pa.Array, wanted: np.ndarray | None = None) -> Iterator[l
 
 
 def telling_words(rows: Rows, labels: np.ndarray, least: int = 3) -> np.ndarray:
-    """How many standard errors the log-count ratio of each word is from zero; zero for words in fewer than ``least`` rows."""
-    inside, outside = rows.counts(labels, WIDTH), rows.counts(~labels, WIDTH)
-    # rates of rows, not of words, so that long rows do not shift what a word tells
-    p, q = (inside + 0.5) / (labels.sum() + 1), (outside + 0.5) / ((~labels).sum() + 1)
-    z = (np.log(p) - np.log(q)) / np.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
-    return np.where(inside + outside >= least, z, 0.0)
+    """How much each feature tells of the label: the signed root of its log-likelihood ratio, about a normal deviate if it tells nothing.
+
+    Rows are counted, not places in them. Features in fewer than ``least`` rows have zero.
+    """
+    inside, outside = rows.counts(labels, WIDTH).astype(float), rows.counts(~labels, WIDTH).astype(float)
+    n1, n0 = float(labels.sum()), float((~labels).sum())
+    seen, missing = inside + outside, n1 + n0 - inside - outside
+    ratio = np.zeros(WIDTH)
+    for found, share in ((inside, seen * n1), (outside, seen * n0), (n1 - inside, missing * n1), (n0 - outside, missing * n0)):
+        some = found > 0
+        ratio[some] += 2 * found[some] * np.log(found[some] * (n1 + n0) / share[some])
+    sign = np.where(inside * n0 >= outside * n1, 1.0, -1.0)
+    return np.where(seen >= least, sign * np.sqrt(np.maximum(ratio, 0)), 0.0)
 
 
 @dataclass
@@ -117,13 +126,13 @@ def _fit_link(rows: Rows, before: np.ndarray, labels: np.ndarray, ridge: float)
         return Link(np.zeros(0, np.int64), np.concatenate([np.zeros(before.shape[1]), [np.log(p / (1 - p))]]))
     z = np.abs(telling_words(rows, labels))
     best = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    best = best[z[best] >= 4.0]
+    best = best[z[best] >= TELLS]
     return Link(best, logistic(rows.keep(best), before, labels, len(best), ridge))
 
 
 def fit_rows(rows: Rows, toxic: np.ndarray, folds: int = 3, ridge: float = 0.3) -> Chain:
     """The chain of these rows, each link trained on out-of-fold probabilities of the ones before."""
-    marks = np.flatnonzero(telling_words(rows, toxic) >= 6.0)
+    marks = np.flatnonzero(telling_words(rows, toxic) >= MARKS)
     marked = np.zeros(WIDTH)
     marked[marks] = 1
     hits = rows.dot(marked)
@@ -150,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
     chosen = chosen.orderBy("_order", "_id").limit(sample)
     # bounded by ``sample``: ids and labels only
     joined = docs.select(F.col(id_column), utf8(text).alias("text")).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))
-    return fit_rows(*collected(joined.select("label", "_order", "text"), features_of))
+    return fit_rows(*collected(joined.select("_id", "label", "_order", "text"), features_of))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", id_column: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
