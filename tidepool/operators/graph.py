@@ -23,12 +23,18 @@ def edges_to(edges: DataFrame, target) -> DataFrame:
     return edges.where(F.col("target_id") == target)
 
 
+def _marked(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with ``_s`` and ``_t``: 1 where the source, the target is in ``ids``, else null. Edges are read once."""
+    known = ids.select("id").distinct().withColumn("_in", F.lit(1))
+    left = known.select(F.col("id").alias("_sid"), F.col("_in").alias("_s"))
+    right = known.select(F.col("id").alias("_tid"), F.col("_in").alias("_t"))
+    both = edges.join(left, F.col("source_id") == F.col("_sid"), "left").join(right, F.col("target_id") == F.col("_tid"), "left")
+    return both.drop("_sid", "_tid")
+
+
 def edges_touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with a source or a target in ``ids`` (id): two semi joins instead of one with OR."""
-    own = ids.select("id").distinct()
-    by_source = edges.join(own, edges.source_id == own.id, "left_semi")
-    rest = edges.join(own, edges.source_id == own.id, "left_anti")
-    return by_source.unionByName(rest.join(own, rest.target_id == own.id, "left_semi"))
+    """Edges with a source or a target in ``ids`` (id): two equi-joins instead of one with OR."""
+    return _marked(edges, ids).where("_s = 1 or _t = 1").drop("_s", "_t")
 
 
 def edges_as_of(edges: DataFrame, domain_ms: int, known_ms: int) -> DataFrame:
@@ -68,10 +74,7 @@ def neighbourhood(entities: DataFrame, edges: DataFrame, start, depth: int, most
 
 def orphans(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with an end that is in no table; ``ids`` (id) are all that exist."""
-    known = ids.select("id").distinct()
-    lost = edges.join(known, edges.source_id == known.id, "left_anti")
-    found = edges.join(known, edges.source_id == known.id, "left_semi")
-    return lost.unionByName(found.join(known, found.target_id == known.id, "left_anti"))
+    return _marked(edges, ids).where("_s is null or _t is null").drop("_s", "_t")
 
 
 def without_orphans(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions.constants import BM25_B, BM25_K1, LEAST_IDF, MOST_K, TOP_K
-from tidepool.functions.text import phrase_count, query_phrases, terms
+from tidepool.functions.text import phrase_count, query_phrases, query_words, terms
 
 
 def clamp_k(k: int) -> int:
@@ -34,47 +34,52 @@ def term_weight(tf: Column, length: Column, average: Column) -> Column:
 
 
 def scored(docs: DataFrame, phrases: list[list[str]], every: bool = False) -> DataFrame:
-    """(all columns but tokens, ``score``) of the documents with at least one of the phrases, or with all of them.
+    """(all columns but tokens, ``score``) of the documents with at least one of the phrases, or with all of them. ``docs`` has ``tokens``."""
+    return _found(docs, phrases, [True] * len(phrases), "and" if every else "or")
 
-    ``docs`` has ``tokens``. The count and average length of all documents, and the documents of each phrase, come from one aggregate of one row.
+
+def search(docs: DataFrame, query: str, tier: str = "tiered") -> DataFrame:
+    """The matching documents with ``score``, unsorted.
+
+    ``and``: all words but stopwords. ``or``: any word. ``tiered``: the first, unless nothing matches; then the second.
+    """
+    words = [(w, query_phrases(w, False)) for w in query_words(query, False)]
+    kept = {w.lower() for w in query_words(query, True)}
+    phrases = [(p[0], w.lower() in kept) for w, p in words if p]
+    return _found(docs, [p for p, _ in phrases], [strict for _, strict in phrases], tier)
+
+
+def _found(docs: DataFrame, phrases: list[list[str]], strict: list[bool], tier: str) -> DataFrame:
+    """Two passes: one aggregate of one row has the number and average length of all documents, the documents of each phrase, and
+    whether any document has all strict phrases; then documents are scored and chosen by it. Both tiers are one plan.
     """
     if not phrases:
         return docs.drop("tokens").withColumn("score", F.lit(0.0)).where(F.lit(False))
-    counts = [phrase_count(F.col("tokens"), p).alias(f"_f{k}") for k, p in enumerate(phrases)]
-    counted = docs.select("*", F.size("tokens").alias("_len"), *counts).drop("tokens")
     names = [f"_f{k}" for k in range(len(phrases))]
+    counts = [phrase_count(F.col("tokens"), p).alias(f) for p, f in zip(phrases, names, strict=True)]
+    counted = docs.select("*", F.size("tokens").alias("_len"), *counts).drop("tokens")
+    has = [F.col(f) > 0 for f in names]
+    all_strict, any_word = F.lit(True), F.lit(False)
+    for found, needed in zip(has, strict, strict=True):
+        all_strict = all_strict & found if needed else all_strict
+        any_word = any_word | found
+    number = lambda hit: F.count(F.when(hit, 1))
     totals = counted.agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count(F.when(F.col(f) > 0, 1)).alias(f"_n{f}") for f in names]
+        F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), number(all_strict).alias("_both"), *[number(hit).alias(f"_n{f}") for hit, f in zip(has, names, strict=True)]
     )
-    # the totals are one row
+    parts = [
+        F.when(hit, idf(F.col("_n"), F.col(f"_n{f}")) * term_weight(F.col(f), F.col("_len"), F.col("_avg"))).otherwise(0.0)
+        for hit, f in zip(has, names, strict=True)
+    ]
+    loose = sum(parts[1:], parts[0])
+    own = [p for p, needed in zip(parts, strict, strict=True) if needed]
+    firm = sum(own[1:], own[0])
+    by_strict = {"and": F.lit(True), "or": F.lit(False), "tiered": F.col("_both") > 0}[tier]
+    # the totals are one row; the choice looks at them, so that it isn't made, and terms aren't found, a second time below the join
     both = counted.crossJoin(F.broadcast(totals))
-    found = [F.col(f) > 0 for f in names]
-    wanted = found[0]
-    for f in found[1:]:
-        wanted = wanted & f if every else wanted | f
-    parts = [F.when(F.col(f) > 0, idf(F.col("_n"), F.col(f"_n{f}")) * term_weight(F.col(f), F.col("_len"), F.col("_avg"))).otherwise(0.0) for f in names]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    hidden = ["_len", "_n", "_avg", *names, *[f"_n{f}" for f in names]]
-    return both.where(wanted).withColumn("score", total).drop(*hidden)
-
-
-def search(docs: DataFrame, query: str, tier: str = "tiered") -> DataFrame:
-    """The matching documents with ``score``, unsorted.
-
-    ``and``: all words but stopwords. ``or``: any word. ``tiered``: the first, unless nothing matches; then the second.
-    """
-    if tier == "and":
-        return scored(docs, query_phrases(query, True), every=True)
-    loose = scored(docs, query_phrases(query, False))
-    if tier == "or":
-        return loose
-    strict = search(docs, query, "and").withColumn("_tier", F.lit(0))
-    # whether anything matched strictly is one row, so both tiers are one plan
-    any_strict = strict.agg((F.count(F.lit(1)) > 0).alias("_any"))
-    fallback = loose.withColumn("_tier", F.lit(1)).crossJoin(F.broadcast(any_strict)).where(~F.col("_any")).drop("_any")
-    return strict.unionByName(fallback).drop("_tier")
+    chosen = both.where(F.when(F.col("_n") > 0, F.when(by_strict, all_strict).otherwise(any_word)).otherwise(False))
+    hidden = ["_len", "_n", "_avg", "_both", *names, *[f"_n{f}" for f in names]]
+    return chosen.withColumn("score", F.when(by_strict, firm).otherwise(loose)).drop(*hidden)
 
 
 def top(found: DataFrame, k: int, score: str = "score", id_column: str = "id") -> DataFrame:
