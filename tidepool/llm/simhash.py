@@ -149,6 +149,14 @@ def key_masks(blocks: int, radius: int) -> list[int]:
     return [sum(chosen) for chosen in itertools.combinations(masks, blocks - radius)]
 
 
+def blocks_for(n: int, radius: int, crowd: int = 64) -> int:
+    """The fewest blocks with which n scattered fingerprints would fall into key groups of at most ``crowd``."""
+    blocks = radius + 2
+    while blocks < radius + 4 and n >> 64 * (blocks - radius) // blocks > crowd:
+        blocks += 1
+    return blocks
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -215,12 +223,14 @@ def _linking(radius: int):
     return run
 
 
-def near_links(prints: DataFrame, radius: int = 4, blocks: int = 6, tile: int = TILE) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(a, b): links that span every class of the distinct fingerprints in column ``bits``.
 
     Each task returns a spanning forest of what it compares, so copies and dense classes never become all their pairs.
-    More ``blocks`` make narrower candidate groups and more keys: 15 of 21 bits for 6, 35 of 27 for 7.
+    More ``blocks`` make narrower candidate groups and more keys, and the same links: for a radius of 4, 15 keys of 21 bits with 6 blocks, 35 of 27 with 7,
+    70 of 32 with 8. None chooses by the number of fingerprints.
     """
+    blocks = blocks or blocks_for(prints.count(), radius)
     keys = [F.struct(F.lit(k).alias("mask"), F.col("bits").bitwiseAND(F.lit(_signed(m))).alias("part")) for k, m in enumerate(key_masks(blocks, radius))]
     keyed = prints.select("bits", F.explode(F.array(*keys)).alias("k")).select("bits", F.xxhash64("k.mask", "k.part").alias("key"))
     crowded = keyed.groupBy("key").count().where(F.col("count") > 1).select("key", F.ceil(F.col("count") / tile).cast("long").alias("tiles"))
@@ -237,7 +247,7 @@ def near_links(prints: DataFrame, radius: int = 4, blocks: int = 6, tile: int =
     return spread.mapInArrow(_linking(radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(id, fingerprint string, component_id): each document with its fingerprint and the smallest id it is linked with.
 
     Links hold through other documents. Equal fingerprints are one class, so a class of copies costs one row. Documents
@@ -245,11 +255,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     Repeated rows stay; columns other than the two named are neither read nor returned.
     """
     own = cut(fingerprints(docs, text, id_column, words), "simhash")
-    distinct = own.groupBy("bits").agg(F.min(id_column).alias("least"))
+    distinct = cut(own.groupBy("bits").agg(F.min(id_column).alias("least")), "prints")
     roots = connected_components(near_links(distinct.select("bits"), radius, blocks))
-    classes = distinct.join(roots, distinct.bits == roots.node, "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "root").select("bits", "component_id")
+    # written, so that large classes and large groups of copies can be split in the joins
+    classes = cut(distinct.join(roots, distinct.bits == roots.node, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "classes")
+    smallest = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    named = cut(classes.join(smallest, "root").select("bits", "component_id"), "named")
     shown = F.lower(F.lpad(F.hex("bits"), 16, "0"))
     return own.join(named, "bits").select(id_column, shown.alias("fingerprint"), "component_id")
 
