@@ -6,13 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that one vectorised step takes together; longer texts come alone.
 CHUNK = 1 << 18
 #: Bytes of texts whose results are held in Python together.
 SLICE = 1 << 21
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -52,6 +53,14 @@ def filled(array: pa.Array) -> pa.Array:
     return array if not array.null_count else array.fill_null("" if "string" in str(array.type) else b"")
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """``frame``, its session handing rows to Python a few thousand at a time (unless it says how many): texts are long rows."""
+    conf = frame.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return frame
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``limit`` bytes of a binary column, or one row: what a step makes of a part is given on at once."""
     for batch in batches:

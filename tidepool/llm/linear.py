@@ -41,7 +41,7 @@ class Rows:
 
 def rows_of(lists: list[np.ndarray]) -> Rows:
     start = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return Rows(np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64), start)
+    return Rows(np.concatenate(lists).astype(np.int32, copy=False) if lists else np.zeros(0, np.int32), start)
 
 
 def log_count_ratio(rows: Rows, labels: np.ndarray, width: int, smooth: float = 1.0) -> np.ndarray:

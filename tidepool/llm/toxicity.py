@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidepool.llm.bytestext import LOWER, flat, prefix_sums, runs, slices, span_hashes, spans_of, utf8
+from tidepool.llm.bytestext import LOWER, flat, prefix_sums, runs, slices, small_batches, span_hashes, spans_of, utf8
 from tidepool.llm.linear import Rows, logistic, rows_of, sigmoid
 from tidepool.llm.quality import collected
 
@@ -73,20 +73,22 @@ def features_of(array: pa.Array, wanted: np.ndarray | None = None) -> Iterator[l
         yield word_features(buffer, offsets[i : j + 1], wanted)
 
 
-def telling_words(rows: Rows, labels: np.ndarray, least: int = 3) -> np.ndarray:
-    """How much each feature tells of the label: the signed root of its log-likelihood ratio, about a normal deviate if it tells nothing.
+def telling_words(rows: Rows, labels: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(features, how much each tells of the label) of features in at least ``least`` rows: the signed root of its log-likelihood ratio, about a normal deviate if it tells nothing.
 
-    Rows are counted, not places in them. Features in fewer than ``least`` rows have zero.
+    Rows are counted, not places in them.
     """
-    inside, outside = rows.counts(labels, WIDTH).astype(float), rows.counts(~labels, WIDTH).astype(float)
+    inside, outside = (rows.counts(own, WIDTH).astype(np.int32) for own in (labels, ~labels))
+    used = np.flatnonzero(inside + outside >= least)
+    inside, outside = inside[used].astype(float), outside[used].astype(float)
     n1, n0 = float(labels.sum()), float((~labels).sum())
     seen, missing = inside + outside, n1 + n0 - inside - outside
-    ratio = np.zeros(WIDTH)
+    ratio = np.zeros(len(used))
     for found, share in ((inside, seen * n1), (outside, seen * n0), (n1 - inside, missing * n1), (n0 - outside, missing * n0)):
         some = found > 0
         ratio[some] += 2 * found[some] * np.log(found[some] * (n1 + n0) / share[some])
     sign = np.where(inside * n0 >= outside * n1, 1.0, -1.0)
-    return np.where(seen >= least, sign * np.sqrt(np.maximum(ratio, 0)), 0.0)
+    return used, sign * np.sqrt(np.maximum(ratio, 0))
 
 
 @dataclass
@@ -124,18 +126,17 @@ def _fit_link(rows: Rows, before: np.ndarray, labels: np.ndarray, ridge: float)
     if not len(rows) or labels.all() or not labels.any():
         p = (labels.sum() + 1) / (len(labels) + 2)
         return Link(np.zeros(0, np.int64), np.concatenate([np.zeros(before.shape[1]), [np.log(p / (1 - p))]]))
-    z = np.abs(telling_words(rows, labels))
-    best = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    best = best[z[best] >= TELLS]
+    used, z = telling_words(rows, labels)
+    first = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
+    best = np.sort(used[first[np.abs(z[first]) >= TELLS]])
     return Link(best, logistic(rows.keep(best), before, labels, len(best), ridge))
 
 
 def fit_rows(rows: Rows, toxic: np.ndarray, folds: int = 3, ridge: float = 0.3) -> Chain:
     """The chain of these rows, each link trained on out-of-fold probabilities of the ones before."""
-    marks = np.flatnonzero(telling_words(rows, toxic) >= MARKS)
-    marked = np.zeros(WIDTH)
-    marked[marks] = 1
-    hits = rows.dot(marked)
+    used, z = telling_words(rows, toxic)
+    marked = rows.keep(used[z >= MARKS])
+    hits = np.diff(marked.start)
     columns = {"abusive": toxic & (hits >= 1), "severe": toxic & (hits >= 3), "toxic": toxic}
     fold, before, links = np.arange(len(rows)) % folds, np.zeros((len(rows), 0)), []
     for name in CHAIN:
@@ -179,4 +180,4 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", id_column: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, "score", "predicted", *names])
 
     schema = StructType([docs.schema[id_column], StructField("score", DoubleType()), StructField("predicted", IntegerType()), *(StructField(n, DoubleType()) for n in names)])
-    return docs.select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)
