@@ -13,13 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidepool-")
-        spark.conf.set(SETTING, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = "file://" + tempfile.mkdtemp(prefix="tidepool-")
+        folder = _own[application]
     return folder.rstrip("/")
 
 
