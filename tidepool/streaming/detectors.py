@@ -63,7 +63,7 @@ def failure_runs(attempts: DataFrame, key: str = "ip") -> DataFrame:
     ``attempts`` is (key, seq, ms, ok).
     """
 
-    def run(_, part: pd.DataFrame) -> pd.DataFrame:
+    def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ms", "seq"])
         start, n, out = None, 0, []
         for t, ok in zip(part["ms"], part["ok"]):
