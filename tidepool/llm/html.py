@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidepool.llm.bytestext import slices, utf8
+from tidepool.llm.bytestext import slices, small_batches, utf8
 from tidepool.llm.scratch import cut
 
 #: A subtree is a template part if this many pages of its host have it, and this share of them.
@@ -247,7 +247,7 @@ def subtree_counts(pages: DataFrame, url: str = "url", html: str = "html") -> Da
                 contents += [content] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, marks, contents)], names=["host", "mark", "content"])
 
-    seen = pages.select(host_key(url).alias("host"), utf8(html).alias("html")).mapInArrow(run, "host long, mark long, content long")
+    seen = small_batches(pages).select(host_key(url).alias("host"), utf8(html).alias("html")).mapInArrow(run, "host long, mark long, content long")
     return seen.distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -271,7 +271,7 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
     """
     # written first, so that its size is known: small ones are sent to all tasks, and a large one is joined with hot hosts split up
     template = cut(template_marks(subtree_counts(pages, url, html), least, share), "template")
-    own = pages.select(F.col(id_column), F.col(url), utf8(html).alias("_html"), host_key(url).alias("_host"))
+    own = small_batches(pages).select(F.col(id_column), F.col(url), utf8(html).alias("_html"), host_key(url).alias("_host"))
     joined = own.join(template, F.col("_host") == F.col("host"), "left").drop("_host", "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, runs, slices, spans_of
+from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, runs, slices, small_batches, spans_of
 from tidepool.llm.scratch import cut
 
 #: Documents of a source that one bucket of keys holds, about.
@@ -38,7 +38,7 @@ def measured(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     """
 
     draw = F.xxhash64(F.col(id_column).cast("string"), F.col(text)).alias(_DRAW)
-    chosen = docs.select("*", draw)
+    chosen = small_batches(docs).select("*", draw)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import slices, utf8
+from tidepool.llm.bytestext import slices, small_batches, utf8
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (version 1?, layer) and sample rates by version.
 BIT_RATES = {
@@ -321,4 +321,4 @@ def media_column(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, *names])
 
     schema = f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return docs.select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)

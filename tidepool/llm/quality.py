@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, mix, prefix_sums, runs, slices, span_hashes, spans_of, utf8
+from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, mix, prefix_sums, runs, slices, small_batches, span_hashes, spans_of, utf8
 from tidepool.llm.linear import Rows, calibrate, dual_coordinate_descent, log_count_ratio, rows_of, sigmoid
 
 WIDTH = 1 << 16
@@ -128,7 +128,7 @@ def collected(frame: DataFrame, features) -> tuple[Rows, np.ndarray]:
 
     Of rows with one id the least text is taken, so what is gathered is bounded by the labelled ids.
     """
-    frame = frame.groupBy("_id", "label", "_order").agg(F.min("text").alias("text")).select("label", "_order", "text")
+    frame = small_batches(frame).groupBy("_id", "label", "_order").agg(F.min("text").alias("text")).select("label", "_order", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """
     weights = model.weights.astype(np.float32)
     small = Model(weights, model.bias, model.slope, model.offset)
-    own = docs.select(*[F.col(c) for c in docs.columns if c not in names])
+    own = small_batches(docs).select(*[F.col(c) for c in docs.columns if c not in names])
     place = own.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

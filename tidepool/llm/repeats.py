@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidepool.llm.bytestext import flat, mix, prefix_sums, slices, span_hashes, spans_of, utf8
+from tidepool.llm.bytestext import flat, mix, prefix_sums, slices, small_batches, span_hashes, spans_of, utf8
 from tidepool.llm.scratch import cut, cut_bucketed
 
 LENGTH, GRAM = 400, 64
@@ -274,7 +274,7 @@ def text_keys(text: str | Column) -> list[Column]:
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(k1, k2, copies, text): each different text once, bucketed by its keys."""
-    keyed = docs.select(*text_keys(text), utf8(text).alias("text"))
+    keyed = small_batches(docs).select(*text_keys(text), utf8(text).alias("text"))
     return cut_bucketed(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts", ["k1", "k2"])
 
 

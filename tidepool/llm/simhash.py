@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import slices, utf8
+from tidepool.llm.bytestext import slices, small_batches, utf8
 from tidepool.llm.components import connected_components
 from tidepool.llm.scratch import cut
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
             bits = np.array([fingerprint(shingle_hashes(x.as_py(), words, seed)) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=[id_column, "bits"])
 
-    return docs.select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, bits long")
+    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, bits long")
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import slices, utf8
+from tidepool.llm.bytestext import slices, small_batches, utf8
 
 #: Characters of a text beyond which it is parted.
 PART = 1 << 16
@@ -83,4 +83,4 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     schema = f"`{id_column}` {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import slices, utf8
+from tidepool.llm.bytestext import slices, small_batches, utf8
 
 #: The symbol after a word's last byte.
 END = 256
@@ -139,4 +139,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", id_column
                 tokens.append(sum(t for _, t in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[id_column, "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, n_words long, n_tokens long")
+    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, n_words long, n_tokens long")
