@@ -27,7 +27,7 @@ from tidepool.llm.scratch import cut, cut_bucketed
 
 LENGTH, GRAM = 400, 64
 #: Different surroundings of one k-gram that one task puts in order.
-CROWD = 512
+CROWD = 256
 #: Windows that are counted together where a k-gram has more.
 BLOCK = 16
 #: Windows of one text that are anchored at once; longer texts are taken piece by piece.
@@ -220,10 +220,14 @@ def _right_diverse(rights: list[bytes], members: list[int], right: int) -> bool:
 def repeated_windows(contexts: list[bytes], offsets: list[int], copies: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For each context the ranges of its windows (by first byte, both ends included) that occur at another place too."""
     out: list[list[tuple[int, int]]] = [[(0, len(c) - length)] if n > 1 else [] for c, n in zip(contexts, copies, strict=True)]
+    # a member meets its repeats from the longest right part to the shortest, so one that reaches no further left than before adds nothing
+    furthest = [len(c) if n > 1 else -1 for c, n in zip(contexts, copies, strict=True)]
     for left, right, members in maximal_repeats(contexts, offsets, length):
         for m in members:
-            low, high = offsets[m] - left, min(offsets[m] + right, len(contexts[m])) - length
-            low, high = max(low, 0), min(high, len(contexts[m]) - length)
+            if left <= furthest[m]:
+                continue
+            furthest[m] = left
+            low, high = max(offsets[m] - left, 0), min(offsets[m] + right, len(contexts[m])) - length
             if low <= high:
                 out[m].append((low, high))
     return out
