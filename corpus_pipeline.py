@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import mixing, quality, repeats, simhash, tokens
+from tidepool.llm import closecopies, mixing, quality, repeats, tokens
 from tidepool.llm.scratch import cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,7 +20,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return closecopies.first_of_each(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
