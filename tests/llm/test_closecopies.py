@@ -54,3 +54,11 @@ def test_stage_equals_brute_force(spark, monkeypatch, tile):
     else:
         kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, c in enumerate(classes) if i == c]
+
+
+def test_repeated_and_null_ids(spark):
+    """One row of each class, whatever its ids: rows of one id that are no copies both stay, null ids are deduplicated too."""
+    rows = [(3, "one two", "a"), (3, "quite another text", "b"), (None, "x y z", "c"), (None, "X y z", "d"), (None, "one two", "e"), (3, "one two", "a"), (2, None, "f"), (None, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == [(0, "x y z"), (2, ""), (3, "one two"), (3, "quite another text")]
