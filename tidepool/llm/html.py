@@ -23,8 +23,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tidepool.llm.bytestext import slices, small_batches, utf8
 from tidepool.llm.scratch import cut
 
-#: A subtree is a template part if this many pages of its host have it, and this share of them.
-PAGES, SHARE = 5, 0.3
+#: A subtree is a template part if this many pages of its host with different content have it, however many pages the host has.
+PAGES = 5
 
 # Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +32,7 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 NEVER = frozenset("head script style title noscript template iframe object embed applet canvas svg math audio video map nav header footer aside form button input select textarea option fieldset menu dialog".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside form fieldset dir menu search caption".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption b i em strong a span code br".split())
+INLINE = frozenset("b i em strong a span code u small mark sub sup abbr cite q".split())
 CLOSES_P = BLOCK - frozenset("html body".split())
 SAME_LEVEL = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
@@ -145,7 +146,7 @@ def _close(stack: list[Node], names: frozenset[str], limit: frozenset[str]) -> N
 def mark_subtrees(node: Node, inside: bool = False, out: dict[int, bool] | None = None) -> dict[int, bool]:
     """Hash of each subtree by its element name, class, id, role and whole content, bottom up.
 
-    The result says of each hash whether a recurrence may delete it: prose inside an article may not be deleted.
+    The result says of each hash whether a recurrence may delete it: prose inside an article may not be deleted, nor a word marked up amid text.
     """
     out = {} if out is None else out
     todo: list[tuple[Node, bool, bool]] = [(node, inside, False)]
@@ -154,13 +155,14 @@ def mark_subtrees(node: Node, inside: bool = False, out: dict[int, bool] | None
         if not ready:
             todo.append((at, within, True))
             below = within or at.name in ("article", "main") or at.marks.get("role") == "main"
-            todo += [(p, below, False) for p in at.parts if isinstance(p, Node)]
+            amid = any(isinstance(p, str) and not p.isspace() for p in at.parts)
+            todo += [(p, below or amid and p.name in INLINE, False) for p in at.parts if isinstance(p, Node)]
             continue
         digest = xxhash.xxh64(f"{at.name} {at.marks.get('class', '')} {at.marks.get('id', '')} {at.marks.get('role', '')}")
         for part in at.parts:
             digest.update(part.mark.to_bytes(8, "big") if isinstance(part, Node) else " ".join(part.split()))
         at.mark = digest.intdigest()
-        free = at.name not in ("", "html", "body", "article", "main", "br") and not (within and at.name in PROSE)
+        free = at.name not in ("", "html", "body", "article", "main", "br") and not (within and at.name in PROSE | INLINE)
         out[at.mark] = out.get(at.mark, True) and free
     return out
 
@@ -227,27 +229,34 @@ def host_key(url: str) -> Column:
     return F.xxhash64(F.lower(host))
 
 
-def subtree_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, mark, pages): on how many pages with different main content of a host each deletable subtree occurs; mark 0 counts the pages.
-
-    A page gives each of its subtrees once, so the rows are in proportion to the markup; they are summed before they move. Every
-    content of a host is counted by its hash, once, whatever the number of its copies.
-    """
+def page_marks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, page, content, marks array<long>): the deletable subtrees of each page and a hash of its main content; equal pages of a host have one ``page``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            hosts, marks, contents = [], [], []
-            for host, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for batch in slices(batches, 2):
+            contents, marks = [], []
+            for raw in batch.column(2):
                 root = parse(raw.as_py().decode("utf-8", "replace"))
                 found = mark_subtrees(root)
-                content = signed(xxhash.xxh64_intdigest("\n".join(blocks(root))))
-                own = [0, *(signed(m) for m, free in found.items() if free)]
-                hosts += [host] * len(own)
-                marks += own
-                contents += [content] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, marks, contents)], names=["host", "mark", "content"])
-
-    seen = small_batches(pages).select(host_key(url).alias("host"), utf8(html).alias("html")).mapInArrow(run, "host long, mark long, content long")
+                contents.append(signed(xxhash.xxh64_intdigest("\n".join(blocks(root)))))
+                marks.append([signed(m) for m, free in found.items() if free])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["host", "page", "content", "marks"])
+
+    own = small_batches(pages).select(host_key(url).alias("host"), page_key(url, html).alias("page"), utf8(html).alias("html"))
+    return own.mapInArrow(run, "host long, page long, content long, marks array<long>")
+
+
+def page_key(url: str, html: str) -> Column:
+    return F.xxhash64(host_key(url), utf8(html))
+
+
+def subtree_counts(marked: DataFrame) -> DataFrame:
+    """(host, mark, pages): on how many pages with different main content of a host each deletable subtree occurs.
+
+    A page gives each of its subtrees once, so the rows are in proportion to the markup; they are summed before they move. Every
+    content of a host is counted by its hash, once, whatever the number of its copies.
+    """
+    seen = marked.select("host", F.explode("marks").alias("mark"), "content")
     return seen.distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -255,24 +264,22 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def template_marks(counts: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(host, marks array<long>): the template of each host that has one."""
-    recurring = cut(counts.where(F.col("pages") >= least), "recurring")
-    sites = recurring.where("mark = 0").select(F.col("host").alias("_host"), F.col("pages").alias("_all"))
-    parts = recurring.where("mark <> 0").join(sites, F.col("host") == F.col("_host")).where(F.col("pages") >= share * F.col("_all"))
-    # at most 1 / share times the subtrees of one page on average, so the arrays are as long as pages, not as sites
-    return parts.groupBy("host").agg(F.collect_list("mark").alias("marks"))
+def template_marks(marked: DataFrame, least: int = PAGES) -> DataFrame:
+    """(page, marks array<long>): what each page has of its host's template; no array is longer than its page."""
+    # written first, so that its size is known: a small one is sent to all tasks, and a large one is joined with hot hosts split up
+    recurring = cut(subtree_counts(marked).where(F.col("pages") >= least).select("host", "mark"), "recurring")
+    each = marked.select("host", "page", F.explode("marks").alias("mark")).join(recurring, ["host", "mark"])
+    return each.groupBy("page").agg(F.collect_set("mark").alias("marks"))
 
 
-def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", least: int = PAGES, share: float = SHARE) -> DataFrame:
+def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", least: int = PAGES) -> DataFrame:
     """One row per page: its id, url, text (blocks joined by two line ends; empty if none) and n_chars.
 
     Null html counts as empty; pages without a host in their url are one site. Repeated rows stay; other columns are not returned.
     """
-    # written first, so that its size is known: small ones are sent to all tasks, and a large one is joined with hot hosts split up
-    template = cut(template_marks(subtree_counts(pages, url, html), least, share), "template")
-    own = small_batches(pages).select(F.col(id_column), F.col(url), utf8(html).alias("_html"), host_key(url).alias("_host"))
-    joined = own.join(template, F.col("_host") == F.col("host"), "left").drop("_host", "host")
+    template = cut(template_marks(cut(page_marks(pages, url, html), "marks"), least), "template")
+    own = small_batches(pages).select(F.col(id_column), F.col(url), utf8(html).alias("_html"), page_key(url, html).alias("_page"))
+    joined = own.join(template, F.col("_page") == F.col("page"), "left").drop("_page", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
