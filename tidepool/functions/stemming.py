@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -94,3 +95,29 @@ def stemmed(tokens: str | Column) -> Column:
         return lists.map(lambda words: [stem(w) for w in words])
 
     return run(column(tokens))
+
+
+@functools.lru_cache(maxsize=10_000)
+def _plain(letter: str) -> str:
+    parts = unicodedata.normalize("NFD", letter)
+    return parts[0] if len(parts) == 2 and parts[0].isascii() and unicodedata.combining(parts[1]) else letter
+
+
+def folded(word: str) -> str:
+    """A lower-case word with Latin letters without their diacritic; letters with several stay, as in SQLite's unicode61."""
+    return word if word.isascii() else "".join(map(_plain, word))
+
+
+def normal(word: str) -> str:
+    """A term as the tokenizer 'porter unicode61' files it."""
+    return stem(folded(word))
+
+
+def normal_terms(tokens: str | Column) -> Column:
+    """``normal`` of each of an array of terms."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda words: [normal(w) for w in words])
+
+    return run(column(tokens))

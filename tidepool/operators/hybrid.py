@@ -23,9 +23,9 @@ def vector_ranker(table: DataFrame, chunks: DataFrame, query: list[float], limit
     return vector.best_per_parent(parents.select(F.coalesce("parent_id", "id").alias("parent"), "rank", (1 - F.col("distance")).alias("score")))
 
 
-def keyword_ranker(docs: DataFrame, query: str, limit: int = RANKER_LIMIT) -> DataFrame:
+def keyword_ranker(docs: DataFrame, query: str, limit: int = RANKER_LIMIT, stemmed: bool = False) -> DataFrame:
     """(id, rank, score) of records; entities in ``docs`` (kind 1) take ranks too and are then left out, so ranks may have gaps."""
-    return keyword.top(keyword.search(docs, query), limit).where("kind = 0").select("id", "rank", "score")
+    return keyword.top(keyword.search(docs, query, stemmed=stemmed), limit).where("kind = 0").select("id", "rank", "score")
 
 
 def graph_ranker(entities: DataFrame, edges: DataFrame, query: list[float], seeds: int = ENTITY_SEEDS, limit: int = RANKER_LIMIT) -> DataFrame:

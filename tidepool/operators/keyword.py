@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions.constants import BM25_B, BM25_K1, LEAST_IDF, MOST_K, TOP_K
+from tidepool.functions.stemming import normal, normal_terms
 from tidepool.functions.text import phrase_count, query_phrases, query_words, terms
 
 
@@ -19,10 +20,11 @@ def clamp_k(k: int) -> int:
     return min(k if k > 0 else TOP_K, MOST_K)
 
 
-def tokenised(docs: DataFrame, text: str | list[str] = "content") -> DataFrame:
-    """``docs`` with ``tokens``: the terms of one column, or of several one after the other (null ones empty)."""
+def tokenised(docs: DataFrame, text: str | list[str] = "content", stemmed: bool = False) -> DataFrame:
+    """``docs`` with ``tokens``: the terms of one column, or of several one after the other (null ones empty). ``stemmed``: without diacritics and suffixes."""
     columns = [text] if isinstance(text, str) else text
-    return docs.withColumn("tokens", terms(F.concat_ws(" ", *columns)))
+    own = terms(F.concat_ws(" ", *columns))
+    return docs.withColumn("tokens", normal_terms(own) if stemmed else own)
 
 
 def idf(n_docs: Column, n_with: Column) -> Column:
@@ -38,14 +40,16 @@ def scored(docs: DataFrame, phrases: list[list[str]], every: bool = False) -> Da
     return _found(docs, phrases, [True] * len(phrases), "and" if every else "or")
 
 
-def search(docs: DataFrame, query: str, tier: str = "tiered") -> DataFrame:
-    """The matching documents with ``score``, unsorted.
+def search(docs: DataFrame, query: str, tier: str = "tiered", stemmed: bool = False) -> DataFrame:
+    """The matching documents with ``score``, unsorted. ``stemmed`` is as for ``tokenised``, and has to be the same.
 
     ``and``: all words but stopwords. ``or``: any word. ``tiered``: the first, unless nothing matches; then the second.
     """
     words = [(w, query_phrases(w, False)) for w in query_words(query, False)]
     kept = {w.lower() for w in query_words(query, True)}
     phrases = [(p[0], w.lower() in kept) for w, p in words if p]
+    if stemmed:
+        phrases = [([normal(t) for t in p], strict) for p, strict in phrases]
     return _found(docs, [p for p, _ in phrases], [strict for _, strict in phrases], tier)
 
 

@@ -162,13 +162,13 @@ class Store:
     def _texts(self) -> DataFrame:
         """Records (kind 0) and entities (kind 1) with all their searched columns as terms."""
         joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ", "")
-        records = keyword.tokenised(self.table("memories").withColumn("_t", joined("tags")), ["content", "source_type", "source_author", "_t"]).select("id", F.lit(0).alias("kind"), "tokens")
-        things = keyword.tokenised(self.table("entities").withColumn("_o", joined("observations")), ["name", "entity_type", "_o"]).select("id", F.lit(1).alias("kind"), "tokens")
+        records = keyword.tokenised(self.table("memories").withColumn("_t", joined("tags")), ["content", "source_type", "source_author", "_t"], stemmed=True).select("id", F.lit(0).alias("kind"), "tokens")
+        things = keyword.tokenised(self.table("entities").withColumn("_o", joined("observations")), ["name", "entity_type", "_o"], stemmed=True).select("id", F.lit(1).alias("kind"), "tokens")
         return records.unionByName(things)
 
     def search_keyword(self, query: str, k: int = C.TOP_K) -> DataFrame:
         """(id, content, tier, score); entities take places and are then shown without content."""
-        best = keyword.top(keyword.search(self._texts(), query), keyword.clamp_k(k)).where("kind = 0")
+        best = keyword.top(keyword.search(self._texts(), query, stemmed=True), keyword.clamp_k(k)).where("kind = 0")
         found = best.join(self.table("memories").select("id", "content", "tier"), "id", "left")
         return found.select("id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tier", F.lit("unknown")).alias("tier"), "score")
 
@@ -179,7 +179,7 @@ class Store:
 
     def search_hybrid(self, query: str, k: int = C.TOP_K, tier: str | None = None, since: int = 0, until: int = 0) -> DataFrame:
         """Keyword, vector and graph ranks fused; optional filters are laid on the records."""
-        parts = {"keyword": hybrid.keyword_ranker(self._texts(), query)}
+        parts = {"keyword": hybrid.keyword_ranker(self._texts(), query, stemmed=True)}
         if self.embedder:
             asked = self.embedder.vector(query)
             parts["vector"] = hybrid.vector_ranker(self._vectors(), self.table("chunks"), asked)
@@ -196,7 +196,7 @@ class Store:
         k = keyword.clamp_k(k)
         docs = self._texts()
         # scores count records too, places only entities
-        hits = keyword.search(docs, query).where("kind = 1").orderBy(F.desc("score"), "id").limit(2 * k)
+        hits = keyword.search(docs, query, stemmed=True).where("kind = 1").orderBy(F.desc("score"), "id").limit(2 * k)
         found = hits.join(self.table("entities"), "id").select("id", "name", "entity_type", "score", F.size("observations").alias("observation_count"))
         return (found.where(F.col("entity_type") == entity_type) if entity_type else found).orderBy(F.desc("score"), "id").limit(k)
 
