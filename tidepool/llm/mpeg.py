@@ -225,18 +225,21 @@ def read(data: bytes) -> Audio:
         size = _unsynchsafe(data[at + 6 : at + 10])
         out.tags |= _tag_texts(data[at + 10 : at + 10 + size], data[at + 3], data[at + 5])
         at += 10 + size + (10 if data[at + 5] & 0x10 else 0)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if value := data[end + low : end + high].split(b"\0")[0].decode("latin-1").strip():
-                out.tags.setdefault(name, value)
+    # an ID3v1 tag only where no frame goes on: the same bytes inside a whole frame are the frame's
+    tail = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     synced = False
     while at < end:
+        if at == tail:
+            for name, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+                if value := data[at + low : at + high].split(b"\0")[0].decode("latin-1").strip():
+                    out.tags.setdefault(name, value)
+            break
         header = read_header(data[at : at + 4])
         after = at + header.size if header else 0
-        if not header or after > end or not (synced or after == end or _follows(header, data[after : after + 4])):
+        if not header or after > end or not (synced and not at < tail < after or after in (tail, end) or _follows(header, data[after : after + 4])):
             found = data.find(b"\xff", at + 1, end)
             found = end if found < 0 else found
+            found = tail if at < tail < found else found
             out.skipped += found - at
             at, synced = found, False
             continue
