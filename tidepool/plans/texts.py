@@ -171,6 +171,13 @@ def redact_secrets(spark, sf_dir):
     return _rows(spark, _SECRET).select("id", tables.redacted("content").alias("content"))
 
 
+@query(f"WITH {_values(_SECRET)}, a AS (SELECT id, content FROM lit UNION ALL SELECT doc_id + 100, text FROM documents) SELECT id, {_REDACT_SQL} AS content FROM a")
+def redact_documents(spark, sf_dir):
+    """As ``redact_secrets``, over every whole text of documents too."""
+    own = _rows(spark, _SECRET).union(_documents(spark, sf_dir).select(F.col("id") + 100, "content"))
+    return own.select("id", tables.redacted("content").alias("content"))
+
+
 _ASKED = ["find the api key for prod", "What is the PASSWORD", "contents of .env file", "how to use LMDB", "project deadline", "akia1234", "tokenise this"]
 _ASKS_SQL = " OR ".join(f"contains(lower(content), {_literal(w.lower())})" for w in C.CREDENTIAL_WORDS)
 
