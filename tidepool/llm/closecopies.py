@@ -1,8 +1,9 @@
-"""Near copies by the share of word shingles that two texts have in common (Jaccard), verified exactly.
+"""Near copies by SimHash, verified: texts that have at least four fifths of their word shingles in common (Jaccard).
 
-Candidates come from min-wise hashes: ``BANDS`` keys of ``ROWS`` minima each. Two texts with similarity s share no key with probability
-(1 - s^ROWS)^BANDS, which is 1.3e-7 at 0.8. Texts that keys lead to from one another are one pool; within a pool the shingle sets
-of all texts are compared, so what a pool holds is found whatever its size, and nothing below the similarity is linked. A pool
+Fingerprints are those of ``simhash``, 128 bits wide, of the different five-word shingles. Two texts of similarity 0.8 differ in a
+bit with probability acos(2 * 0.8 / 1.8) / pi, 0.152, so some 19 of 128; fingerprints are linked up to ``RADIUS`` bits, compared bit-sliced where they
+share one of a number of sampled keys that lets fewer than one pair in a thousand at 0.8 share none. Texts that links lead to from one another are one pool;
+within a pool the shingle sets of all texts are compared, so nothing below the similarity is linked. A pool
 with many texts is dealt over several tasks; each task gives on a spanning forest of its links.
 """
 
@@ -15,17 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.bytestext import mix, slices, small_batches, utf8
+from tidepool.llm.bytestext import slices, small_batches, utf8
+from tidepool.llm.columns import at, kept, numbered, taken
 from tidepool.llm.components import connected_components
 from tidepool.llm.scratch import cut
-from tidepool.llm.simhash import Forest, shingle_hashes
+from tidepool.llm.simhash import Forest, shingle_hashes, wide_fingerprint, wide_links
 
 #: Words of a shingle, and the similarity from which on two texts are copies: 4 / 5.
 WORDS, SHARED, OF = 5, 4, 5
-BANDS, ROWS = 40, 5
+#: Of 128 bits: 4 deviations above what two texts at the similarity differ in.
+RADIUS = 36
+#: How likely two texts at the similarity have an equal bit; less than by the formula above, for texts of few shingles.
+AGREE = 0.845
 #: Texts of one pool whose shingles one task holds on each side.
 TILE = 512
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def shingle_set(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -33,26 +37,15 @@ def shingle_set(raw: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(raw, words))
 
 
-def band_keys(own: np.ndarray, step: int = 1 << 10) -> np.ndarray:
-    """A key for each band, from the least of the shingles under each of its orders."""
-    least = np.full(len(_FACTORS), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(0, len(own), step):
-        np.minimum(least, (_FACTORS[:, None] * own[None, i : i + step]).min(axis=1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = mix(keys ^ column) + np.uint64(1)
-    return keys.view(np.int64)
-
-
-def text_key(text: str) -> Column:
+def text_key(text: str | Column) -> Column:
     """A hash that stands for a text; null counts as empty."""
     return F.xxhash64(utf8(text))
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
-        keys = [band_keys(shingle_set(x.as_py())) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+        words = np.array([wide_fingerprint(shingle_set(x.as_py())) for x in batch.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in (0, 1))], names=["node", "w0", "w1"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +101,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copy_links(docs: DataFrame, text: str = "text", tile: int = TILE) -> DataFrame:
     """(a, b): links that span every class of different texts, by their keys."""
-    own = small_batches(docs).select(text_key(text).alias("node"), utf8(text).alias("text"))
-    banded = cut(own.mapInArrow(_banded, "node long, keys array<long>"), "bands")
-    once = cut(banded.groupBy("node").agg(F.first("keys").alias("keys")), "bands")
-    keyed = once.select("node", F.explode("keys").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a")
-    pools = cut(connected_components(keyed.join(cut(crowded, "crowded"), "key").select("a", F.col("node").alias("b")).where("a <> b").distinct()), "pools")
+    own = small_batches(taken(docs, text=text)).select(text_key("text").alias("node"), utf8("text").alias("text"))
+    printed = cut(own.mapInArrow(_printed, "node long, w0 long, w1 long"), "prints")
+    once = cut(printed.distinct(), "prints")
+    roots = connected_components(wide_links(once.select("w0", "w1").distinct(), RADIUS, AGREE))
+    # texts of one fingerprint are one pool with or without links
+    pools = once.select(F.col("node"), "w0").join(roots.withColumnRenamed("node", "w"), F.col("w0") == F.col("w"), "left").select("node", F.coalesce("root", "w0").alias("root"))
+    pools = cut(pools, "pools")
+    tiles = pools.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / tile).cast("long").alias("tiles"))
+    pools = cut(pools.join(tiles, "root"), "pools")
     sets = own.join(pools.select("node"), "node", "left_semi").mapInArrow(_shingled, "node long, shingles binary")
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    tiles = pools.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("tiles"))
-    dealt = pools.join(tiles, "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")))
+    dealt = pools.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("with")
     tasks = dealt.select("root", "node", "own", each).select(
         "root",
@@ -132,15 +127,17 @@ def copy_links(docs: DataFrame, text: str = "text", tile: int = TILE) -> DataFra
 
 
 def first_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", tile: int = TILE) -> DataFrame:
-    """The documents with one row left of each class of near copies; all columns of ``docs`` stay.
+    """The documents with one row left of each class of near copies; all columns of ``docs`` stay, whatever their names.
 
     That is the row with the smallest id, ids before null; of rows with equal ids the one whose text and then whose row has the smallest hash.
-    Rows with equal ids whose texts are no near copies stay. Texts without words are one class.
+    Rows with equal ids whose texts are no near copies stay. Null texts count as empty; texts without words are one class. Texts of any length are read
+    whole, an empty table gives an empty table.
     """
+    own = numbered(docs)
+    marked = own.withColumns({"node": text_key(at(docs, text)), "row": F.xxhash64(*kept(docs)), "id": at(docs, id_column)})
     roots = cut(connected_components(copy_links(docs, text, tile)), "roots")
-    marked = docs.withColumns({"_node": text_key(text), "_row": F.xxhash64(*docs.columns)})
-    named = marked.select(id_column, "_node", "_row").join(roots, F.col("_node") == F.col("node"), "left")
-    place = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("_node").alias("n"), F.col("_row").alias("r"))
-    best = named.groupBy(F.coalesce("root", "_node").alias("class")).agg(F.min(place).alias("m")).select(F.col("m.n").alias("_n"), F.col("m.r").alias("_r"))
-    kept = marked.join(cut(best, "kept"), (F.col("_node") == F.col("_n")) & (F.col("_row") == F.col("_r")), "left_semi")
-    return kept.dropDuplicates(["_node", "_row"]).select(*docs.columns)
+    named = marked.select("id", "node", "row").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row")).alias("m")
+    left = named.groupBy(F.coalesce("root", "node").alias("class")).agg(best).select("m.node", "m.row")
+    chosen = marked.join(cut(left, "kept"), ["node", "row"], "left_semi")
+    return chosen.dropDuplicates(["node", "row"]).select(*kept(docs)).toDF(*docs.columns)

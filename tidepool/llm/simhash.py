@@ -10,6 +10,7 @@ exceed the radius. Nothing is missed, whatever the size of a key; a key with man
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.bytestext import mix as remixed
 from tidepool.llm.bytestext import slices, small_batches, utf8
+from tidepool.llm.columns import at, kept, numbered, taken
 from tidepool.llm.components import connected_components
 from tidepool.llm.scratch import cut
 
@@ -55,22 +58,27 @@ def fingerprint(hashes: np.ndarray, step: int = 1 << 14) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 4, seed: int = 42) -> DataFrame:
     """(id, bits long): the fingerprint of each document as a signed 64-bit number. Null texts count as empty."""
-    kind = docs.schema[id_column].dataType.simpleString()
+    own = taken(docs, id=id_column, text=text)
+    kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             bits = np.array([fingerprint(shingle_hashes(x.as_py(), words, seed)) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=[id_column, "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["id", "bits"])
 
-    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, bits long")
+    return small_batches(own).select("id", utf8("text").alias("text")).mapInArrow(run, f"id {kind}, bits long")
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
-    """64 rows, the highest bit first, of one bit per fingerprint, packed into 64-bit words."""
-    lanes = -(-len(prints) // 64) * 64
-    padded = np.zeros(lanes, ">u8")
-    padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1)
+    """A row for each bit, the highest of the first word first, of one bit per fingerprint, packed into 64-bit words.
+
+    Fingerprints are 64-bit words, or rows of several.
+    """
+    words = prints.reshape(len(prints), -1)
+    lanes = -(-len(words) // 64) * 64
+    padded = np.zeros((lanes, words.shape[1]), ">u8")
+    padded[: len(words)] = words
+    bits = np.unpackbits(padded.view(np.uint8).reshape(lanes, -1), axis=1)
     return np.packbits(np.ascontiguousarray(bits.T), axis=1).view(np.uint64)
 
 
@@ -99,10 +107,11 @@ def _unpacked(words: np.ndarray, n: int) -> np.ndarray:
 def links_across(left: np.ndarray, right: np.ndarray, radius: int, queries: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into left, into right) of all fingerprints within the radius."""
     planes = bit_planes(right)
+    places = np.arange(63, -1, -1, dtype=np.uint64)
     for start in range(0, len(left), queries):
-        part = left[start : start + queries]
-        flips = np.where((part[:, None] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1), _ALL, np.uint64(0))
-        found = lanes_within((planes[b][None, :] ^ flips[:, b, None] for b in range(64)), (len(part), planes.shape[1]), radius)
+        part = left[start : start + queries].reshape(len(left[start : start + queries]), -1, 1)
+        flips = np.where((part >> places) & np.uint64(1), _ALL, np.uint64(0)).reshape(len(part), -1)
+        found = lanes_within((planes[b][None, :] ^ flips[:, b, None] for b in range(len(planes))), (len(part), planes.shape[1]), radius)
         i, j = np.nonzero(_unpacked(found, len(right)))
         yield i + start, j
 
@@ -161,8 +170,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linking(radius: int):
-    """For rows (key, tile, other, bits) sorted by key and tile: the links that span what each tile task joins."""
+def _linking(radius: int, words: int = 1):
+    """For rows (key, tile, other, side, word, ...) sorted by the first three: the links that span what each tile task joins.
+
+    A fingerprint is ``words`` 64-bit words; links name it by its first.
+    """
 
     def tile_links(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
         both = a if b is None else np.concatenate([a, b])
@@ -171,7 +183,7 @@ def _linking(radius: int):
             for x, y in zip(i.tolist(), (j + shift).tolist(), strict=True):
                 if x != y and forest.joins(x, y):
                     out.append((x, y))
-        return [(int(both[x]), int(both[y])) for x, y in out]
+        return [(int(both[x, 0]), int(both[y, 0])) for x, y in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -180,7 +192,7 @@ def _linking(radius: int):
             new = np.any(rows[1:, :3] != rows[:-1, :3], axis=1)
             group = np.concatenate([[0], np.cumsum(new)])
             sizes = np.bincount(group)
-            prints = rows[:, 4].view(np.uint64)
+            prints = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             apart = rows[:, 1] != rows[:, 2]
             small = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= 48) & ~apart)
@@ -191,7 +203,7 @@ def _linking(radius: int):
                 j = np.concatenate([x[1] for x in found]) if found else np.zeros(0, int)
                 forest = Forest(len(rows))
                 order = np.argsort(group[i], kind="stable")
-                pairs += [(int(prints[x]), int(prints[y])) for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True) if forest.joins(x, y)]
+                pairs += [(int(prints[x, 0]), int(prints[y, 0])) for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True) if forest.joins(x, y)]
             first = np.concatenate([[0], np.cumsum(sizes)])
             large = np.unique(group[(sizes[group] > 48) | apart]) if len(group) else []
             for g in large:
@@ -207,11 +219,11 @@ def _linking(radius: int):
             return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         for batch in batches:
-            rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
+            rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4 + words)])
             held.append(rows)
-            rows = np.concatenate(held)
-            if len(rows) < 1 << 16:
+            if sum(map(len, held)) < 1 << 16:
                 continue
+            rows = np.concatenate(held)
             last = np.flatnonzero(np.any(rows[:, :3] != rows[-1, :3], axis=1))  # the last group may go on
             end = last[-1] + 1 if len(last) else 0
             if end:
@@ -223,28 +235,36 @@ def _linking(radius: int):
     return run
 
 
-def near_links(prints: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = TILE) -> DataFrame:
-    """(a, b): links that span every class of the distinct fingerprints in column ``bits``.
+def compared(keyed: DataFrame, radius: int, words: list[str], tile: int = TILE) -> DataFrame:
+    """(a, b): for a table (key, *words), links that span the fingerprints within ``radius`` of one another under each key.
 
-    Each task returns a spanning forest of what it compares, so copies and dense classes never become all their pairs.
-    More ``blocks`` make narrower candidate groups and more keys, and the same links: for a radius of 4, 15 keys of 21 bits with 6 blocks, 35 of 27 with 7,
-    70 of 32 with 8. None chooses by the number of fingerprints.
+    A key with many fingerprints is dealt over a task for each pair of its tiles.
     """
-    blocks = blocks or blocks_for(prints.count(), radius)
-    keys = [F.struct(F.lit(k).alias("mask"), F.col("bits").bitwiseAND(F.lit(_signed(m))).alias("part")) for k, m in enumerate(key_masks(blocks, radius))]
-    keyed = prints.select("bits", F.explode(F.array(*keys)).alias("k")).select("bits", F.xxhash64("k.mask", "k.part").alias("key"))
     crowded = keyed.groupBy("key").count().where(F.col("count") > 1).select("key", F.ceil(F.col("count") / tile).cast("long").alias("tiles"))
-    dealt = keyed.join(crowded, "key").withColumn("own", F.pmod(F.xxhash64("bits", F.lit(7)), F.col("tiles")))
+    dealt = keyed.join(crowded, "key").withColumn("own", F.pmod(F.xxhash64(*words, F.lit(7)), F.col("tiles")))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("with")
-    tasks = dealt.select("key", "bits", "own", each).select(
+    tasks = dealt.select("key", *words, "own", each).select(
         "key",
         F.least("own", "with").alias("tile"),
         F.greatest("own", "with").alias("other"),
         (F.col("own") > F.col("with")).cast("long").alias("side"),
-        "bits",
+        *words,
     )
     spread = tasks.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other")
-    return spread.mapInArrow(_linking(radius), "a long, b long").distinct()
+    return spread.mapInArrow(_linking(radius, len(words)), "a long, b long").distinct()
+
+
+def near_links(prints: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = TILE) -> DataFrame:
+    """(a, b): links that span every class of the distinct fingerprints in column ``bits``.
+
+    Each task returns a spanning forest of what it compares, so copies and dense classes never become all their pairs.
+    More ``blocks`` make narrower candidate groups and more keys, and the same links: for a radius of 4, 15 keys of 21 bits with 6 blocks, 35 of 27 with 7,
+    70 of 32 with 8. None chooses by the number of fingerprints.
+    """
+    blocks = blocks or blocks_for(prints.count(), radius)
+    keys = [F.struct(F.lit(k).alias("mask"), F.col("bits").bitwiseAND(F.lit(_signed(m))).alias("part")) for k, m in enumerate(key_masks(blocks, radius))]
+    keyed = prints.select("bits", F.explode(F.array(*keys)).alias("k")).select("bits", F.xxhash64("k.mask", "k.part").alias("key"))
+    return compared(keyed, radius, ["bits"], tile)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
@@ -252,25 +272,71 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 
     Links hold through other documents. Equal fingerprints are one class, so a class of copies costs one row. Documents
     without words have fingerprint zero and are linked like others. Null ids are kept, but never name a class unless it has no other.
-    Repeated rows stay; columns other than the two named are neither read nor returned.
+    Repeated rows stay, texts of any length are read whole, an empty table gives an empty table; columns other than the two named are
+    neither read nor returned, whatever their names.
     """
     own = cut(fingerprints(docs, text, id_column, words), "simhash")
-    distinct = cut(own.groupBy("bits").agg(F.min(id_column).alias("least")), "prints")
+    distinct = cut(own.groupBy("bits").agg(F.min("id").alias("least")), "prints")
     roots = connected_components(near_links(distinct.select("bits"), radius, blocks))
     # written, so that large classes and large groups of copies can be split in the joins
     classes = cut(distinct.join(roots, distinct.bits == roots.node, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "classes")
     smallest = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     named = cut(classes.join(smallest, "root").select("bits", "component_id"), "named")
     shown = F.lower(F.lpad(F.hex("bits"), 16, "0"))
-    return own.join(named, "bits").select(id_column, shown.alias("fingerprint"), "component_id")
+    return own.join(named, "bits").select(F.col("id").alias(id_column), shown.alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **options) -> DataFrame:
     """The documents with one row left of each class: the one with the smallest id (of rows with equal ids, one).
 
-    All columns of ``docs`` stay. Rows without an id are kept, since nothing tells them apart.
+    All columns of ``docs`` stay, whatever their names. Rows without an id are kept, since nothing tells them apart.
     """
-    classes = near_duplicates(docs, text, id_column, **options)
-    kept = classes.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_kept")).distinct()
-    chosen = docs.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).join(kept, F.col(id_column) == F.col("_kept"), "left_semi")
-    return chosen.unionByName(docs.where(F.col(id_column).isNull()))
+    own, named = numbered(docs), at(docs, id_column)
+    classes = near_duplicates(taken(docs, id=id_column, text=text), "text", "id", **options)
+    left = classes.where(F.col("id") == F.col("component_id")).select("id").distinct()
+    chosen = own.where(named.isNotNull()).withColumn("id", named).dropDuplicates(["id"]).join(left, "id", "left_semi")
+    return chosen.select(*kept(docs)).unionByName(own.where(named.isNull())).toDF(*docs.columns)
+
+
+# ---------------------------------------------------------------- wide fingerprints, for similarities that 64 bits can't tell
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits from the same hashes: the fingerprint itself, and that of the hashes mixed anew."""
+    return fingerprint(hashes), fingerprint(remixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)))
+
+
+def keys_for(n: int, agree: float, miss: float, crowd: int = 16) -> tuple[int, int]:
+    """(bits of a key, number of keys) for n fingerprints.
+
+    A key is as wide as leaves about ``crowd`` scattered fingerprints in each of its groups; there are as many keys as let a
+    pair whose bits agree with probability ``agree`` share none with probability ``miss``. So no pair becomes less likely to be found as the input grows.
+    """
+    width = max(4, math.ceil(math.log2(max(n, 1) / crowd)) if n > crowd else 4)
+    return width, math.ceil(math.log(miss) / math.log1p(-(agree**width)))
+
+
+def sampled_keys(prints: np.ndarray, width: int, count: int) -> np.ndarray:
+    """For rows of two words: ``count`` keys each, every key a number and ``width`` of the 128 bits, chosen by the number."""
+    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
+    places = np.int64(1) << np.arange(width, dtype=np.int64)
+    out = np.empty((len(prints), count), np.int64)
+    for k in range(count):
+        chosen = np.random.default_rng(k).permutation(bits.shape[1])[:width]
+        out[:, k] = bits[:, chosen].astype(np.int64) @ places + (k << width)
+    return out
+
+
+def wide_links(prints: DataFrame, radius: int, agree: float, miss: float = 1e-3, tile: int = TILE) -> DataFrame:
+    """(a, b): links, by the first word, of the distinct fingerprints (w0, w1) that share a sampled key and differ in at most ``radius`` of 128 bits."""
+    width, count = keys_for(prints.count(), agree, miss)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+            keys = sampled_keys(np.column_stack(words).view(np.uint64), width, count)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, count, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["w0", "w1", "keys"])
+
+    keyed = small_batches(prints).select("w0", "w1").mapInArrow(run, "w0 long, w1 long, keys array<long>")
+    return compared(keyed.select(F.explode("keys").alias("key"), "w0", "w1"), radius, ["w0", "w1"], tile)
