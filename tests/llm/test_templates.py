@@ -12,3 +12,22 @@ def test_block_on_a_small_share_of_a_large_host(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.main_texts(pages).collect()}
     assert got == {k: f"Page {k} tells of Paris and number {k * k}." for k in range(80)}
+
+
+def test_recurring_shapes_without_names(spark):
+    """Menus, adverts and footers whose words change from page to page go by their shape alone: no word list, no choice of the article element."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url LIKE '%//blog.%' OR url LIKE '%//thther.%'")
+    plain = {r.page_id: r.text for r in html.main_texts(pages, least=10**9, names=False).collect()}
+    got = {r.page_id: r.text for r in html.main_texts(pages, names=False).collect()}
+    want = {r.page_id: r.text for r in html.main_texts(pages, least=10**9).collect()}
+    changed = [k for k in got if got[k] != plain[k]]
+    assert len(changed) > 100
+    assert all(got[k] == want[k] for k in changed)
+
+
+def test_shapes_of_content_stay(spark):
+    """A part of one shape that holds the text of its pages is no template, on pages without an article element either."""
+    rows = [(k, f"https://a.example/{k}", f"<div class=top>menu {k}</div><div class=body>Text number {k} of the site, with some more words about {k * k}.</div><div class=end>end {k}</div>") for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_texts(pages, names=False).collect()}
+    assert got == {k: f"Text number {k} of the site, with some more words about {k * k}." for k in range(9)}

@@ -1,9 +1,13 @@
 """Main text of web pages: site template removal.
 
-Every element subtree of a page is hashed. Spark counts, for each host, the different pages that a subtree occurs on; pages with
+Every element subtree of a page is hashed twice: with its whole content, and by its shape, which is the names, classes, ids and roles in it without
+any text, equal neighbours taken once. Spark counts, for each host, the different pages that a hash occurs on; pages with
 the same main content count once, so that copies of an article do not make a template of it. Subtrees that recur across
-many pages of their host are deleted, and so is what markup itself names as no part of the article: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Plain paragraphs, headings, lists and the like
+many pages of their host are deleted: by content wherever they stand, by shape (a menu, an advert or a footer whose words change from
+page to page) only beside the part that holds the article, and only if the shape has the lesser part of the text of the pages that show it.
+
+What no count can tell, on hosts with few pages, is left to the markup: an article or main element is taken alone, and elements
+that their names call menus, headers, footers, sidebars, notices, adverts, forms or reader comments go. Plain paragraphs, headings, lists and the like
 inside an article element are the text itself: a sentence that many articles of a site share is still theirs, so these
 stay even where they recur.
 """
@@ -21,15 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidepool.llm.bytestext import slices, small_batches, utf8
+from tidepool.llm.columns import taken
 from tidepool.llm.scratch import cut
 
 #: A subtree is a template part if this many pages of its host with different content have it, however many pages the host has.
 PAGES = 5
+#: A shape is a template part only if it has less than one part in so many of the text of the pages that show it.
+LESSER = 4
 
 # Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-NEVER = frozenset("head script style title noscript template iframe object embed applet canvas svg math audio video map nav header footer aside form button input select textarea option fieldset menu dialog".split())
+UNSEEN = frozenset("head script style title noscript template iframe object embed applet canvas svg math audio video map".split())
+NEVER = UNSEEN | frozenset("nav header footer aside form button input select textarea option fieldset menu dialog".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside form fieldset dir menu search caption".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption b i em strong a span code br".split())
 INLINE = frozenset("b i em strong a span code u small mark sub sup abbr cite q".split())
@@ -59,10 +67,16 @@ _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element; ``parts`` are texts and elements in page order."""
 
-    __slots__ = ("name", "marks", "parts", "mark")
+    __slots__ = ("name", "marks", "parts", "mark", "shape", "chars", "holds")
 
     def __init__(self, name: str, marks: dict[str, str]):
-        self.name, self.marks, self.parts, self.mark = name, marks, [], 0
+        self.name, self.marks, self.parts, self.mark, self.shape, self.chars, self.holds = name, marks, [], 0, 0, 0, False
+
+    def elements(self) -> list[Node]:
+        return [p for p in self.parts if isinstance(p, Node)]
+
+    def is_main(self) -> bool:
+        return self.name in ("article", "main") or self.marks.get("role") == "main"
 
     def named_away(self) -> bool:
         """Whether its markup says that it is no part of the article."""
@@ -143,33 +157,71 @@ def _close(stack: list[Node], names: frozenset[str], limit: frozenset[str]) -> N
             return
 
 
-def mark_subtrees(node: Node, inside: bool = False, out: dict[int, bool] | None = None) -> dict[int, bool]:
-    """Hash of each subtree by its element name, class, id, role and whole content, bottom up.
+def mark_subtrees(node: Node) -> tuple[dict[int, bool], dict[int, int]]:
+    """Hashes each subtree, bottom up: ``mark`` by element name, class, id, role and whole content, ``shape`` by the same without text.
 
-    The result says of each hash whether a recurrence may delete it: prose inside an article may not be deleted, nor a word marked up amid text.
+    The first result says of each mark whether a recurrence may delete it: prose inside an article may not be deleted, nor a word marked up amid text.
+    The second has the characters of each shape that a recurrence may delete; a node that its shape may not delete has shape 0.
     """
-    out = {} if out is None else out
-    todo: list[tuple[Node, bool, bool]] = [(node, inside, False)]
+    out: dict[int, bool] = {}
+    todo: list[tuple[Node, bool, bool]] = [(node, False, False)]
     while todo:
         at, within, ready = todo.pop()
         if not ready:
             todo.append((at, within, True))
-            below = within or at.name in ("article", "main") or at.marks.get("role") == "main"
+            below = within or at.is_main()
             amid = any(isinstance(p, str) and not p.isspace() for p in at.parts)
-            todo += [(p, below or amid and p.name in INLINE, False) for p in at.parts if isinstance(p, Node)]
+            todo += [(p, below or amid and p.name in INLINE, False) for p in at.elements()]
             continue
-        digest = xxhash.xxh64(f"{at.name} {at.marks.get('class', '')} {at.marks.get('id', '')} {at.marks.get('role', '')}")
+        head = f"{at.name} {at.marks.get('class', '')} {at.marks.get('id', '')} {at.marks.get('role', '')}"
+        whole, shape, last = xxhash.xxh64(head), xxhash.xxh64(head, 1), 0
         for part in at.parts:
-            digest.update(part.mark.to_bytes(8, "big") if isinstance(part, Node) else " ".join(part.split()))
-        at.mark = digest.intdigest()
+            if isinstance(part, Node):
+                whole.update(part.mark.to_bytes(8, "big"))
+                at.chars += part.chars
+                at.holds |= part.holds or part.is_main() or part.name == "h1"
+                if part.shape != last and part.name not in UNSEEN:
+                    shape.update(part.shape.to_bytes(8, "big"))
+                    last = part.shape
+            else:
+                words = " ".join(part.split())
+                whole.update(words)
+                at.chars += len(words)
+        if at.name in UNSEEN:
+            at.chars = 0
+        at.mark, at.shape = whole.intdigest(), shape.intdigest()
         free = at.name not in ("", "html", "body", "article", "main", "br") and not (within and at.name in PROSE | INLINE)
         out[at.mark] = out.get(at.mark, True) and free
+    return out, _free_shapes(node)
+
+
+def _free_shapes(root: Node) -> dict[int, int]:
+    """Characters of each shape that stands beside what holds the article; all other nodes get shape 0.
+
+    That is an article or main element, or a first heading. On a page without one it is each part with a ``LESSER`` share of the text, among the outermost that stand side by side.
+    """
+    spared: set[int] = set()
+    if not root.holds:
+        outer = root
+        while len(shown := [p for p in outer.elements() if p.chars]) == 1:
+            outer = shown[0]
+        spared = {id(p) for p in shown if LESSER * p.chars >= root.chars} or {id(outer)}
+    out: dict[int, int] = {}
+    todo = [(root, False)]
+    while todo:
+        at, within = todo.pop()
+        within = within or at.is_main() or id(at) in spared
+        if within or at.holds or at.name in PROSE | INLINE | UNSEEN or at.name in ("", "html", "body") or not at.chars:
+            at.shape = 0
+        else:
+            out[at.shape] = out.get(at.shape, 0) + at.chars
+        todo += [(p, within) for p in at.elements()]
     return out
 
 
-def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
-    """The texts of the page's blocks in page order, without what markup or the site's template rules out."""
-    top = _main(root, template)
+def blocks(root: Node, template: frozenset[int] = frozenset(), names: bool = True) -> list[str]:
+    """The texts of the page's blocks in page order, without what the site's template or, with ``names``, its markup rules out."""
+    top = _main(root, template) if names else root
     out: list[str] = []
     held: list[str] = []
 
@@ -188,7 +240,7 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
         if at is None:
             end()
             continue
-        if at is not top and (at.mark in template or at.named_away()):
+        if at is not top and (at.mark in template or at.shape in template or (at.named_away() if names else at.name in UNSEEN)):
             if at.name in BLOCK:
                 end()
             continue
@@ -208,7 +260,7 @@ def _main(root: Node, template: frozenset[int]) -> Node:
     articles, mains, todo = [], [], [root]
     while todo:
         at = todo.pop()
-        if at.mark in template and at is not root or at.named_away():
+        if (at.mark in template or at.shape in template) and at is not root or at.named_away():
             continue
         if at.name == "article":
             articles.append(at)
@@ -229,35 +281,44 @@ def host_key(url: str) -> Column:
     return F.xxhash64(F.lower(host))
 
 
-def page_marks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, page, content, marks array<long>): the deletable subtrees of each page and a hash of its main content; equal pages of a host have one ``page``."""
+def page_marks(pages: DataFrame) -> DataFrame:
+    """(host, page, content, total, marks, shapes, chars) of a table (url, html): the deletable subtrees of each page, by content and by shape with its characters.
+
+    ``content`` is a hash of the main content, ``total`` the page's characters; equal pages of a host have one ``page``.
+    """
+    names = ["host", "page", "content", "total", "marks", "shapes", "chars"]
+    lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            contents, marks = [], []
+            rows = []
             for raw in batch.column(2):
                 root = parse(raw.as_py().decode("utf-8", "replace"))
-                found = mark_subtrees(root)
-                contents.append(signed(xxhash.xxh64_intdigest("\n".join(blocks(root)))))
-                marks.append([signed(m) for m, free in found.items() if free])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["host", "page", "content", "marks"])
+                found, shapes = mark_subtrees(root)
+                content = signed(xxhash.xxh64_intdigest("\n".join(blocks(root))))
+                rows.append((content, root.chars, [signed(m) for m, free in found.items() if free], [signed(m) for m in shapes], list(shapes.values())))
+            made = [pa.array([r[k] for r in rows], pa.int64() if k < 2 else lists) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
-    own = small_batches(pages).select(host_key(url).alias("host"), page_key(url, html).alias("page"), utf8(html).alias("html"))
-    return own.mapInArrow(run, "host long, page long, content long, marks array<long>")
+    own = small_batches(pages).select(host_key("url").alias("host"), page_key().alias("page"), utf8("html").alias("html"))
+    return own.mapInArrow(run, "host long, page long, content long, total long, marks array<long>, shapes array<long>, chars array<long>")
 
 
-def page_key(url: str, html: str) -> Column:
-    return F.xxhash64(host_key(url), utf8(html))
+def page_key() -> Column:
+    return F.xxhash64(host_key("url"), utf8("html"))
 
 
 def subtree_counts(marked: DataFrame) -> DataFrame:
-    """(host, mark, pages): on how many pages with different main content of a host each deletable subtree occurs.
+    """(host, mark, pages, chars, total): on how many pages with different main content of a host each deletable subtree or shape occurs, and what part of their text it has.
 
     A page gives each of its subtrees once, so the rows are in proportion to the markup; they are summed before they move. Every
-    content of a host is counted by its hash, once, whatever the number of its copies.
+    content of a host is counted by its hash, once, whatever the number of its copies. For subtrees counted by content ``chars`` is 0.
     """
-    seen = marked.select("host", F.explode("marks").alias("mark"), "content")
-    return seen.distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
+    by_content = F.transform("marks", lambda m: F.struct(m.alias("mark"), F.lit(0).cast("long").alias("chars")))
+    by_shape = F.transform(F.arrays_zip("shapes", "chars"), lambda x: F.struct(x["shapes"].alias("mark"), x["chars"].alias("chars")))
+    seen = marked.select("host", "content", "total", F.explode(F.concat(by_content, by_shape)).alias("m"))
+    once = seen.groupBy("host", "m.mark", "content").agg(F.max("m.chars").alias("chars"), F.max("total").alias("total"))
+    return once.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
 
 
 def signed(x: int) -> int:
@@ -267,19 +328,22 @@ def signed(x: int) -> int:
 def template_marks(marked: DataFrame, least: int = PAGES) -> DataFrame:
     """(page, marks array<long>): what each page has of its host's template; no array is longer than its page."""
     # written first, so that its size is known: a small one is sent to all tasks, and a large one is joined with hot hosts split up
-    recurring = cut(subtree_counts(marked).where(F.col("pages") >= least).select("host", "mark"), "recurring")
-    each = marked.select("host", "page", F.explode("marks").alias("mark")).join(recurring, ["host", "mark"])
+    recurring = cut(subtree_counts(marked).where((F.col("pages") >= least) & (LESSER * F.col("chars") < F.col("total") + 1)).select("host", "mark"), "recurring")
+    each = marked.select("host", "page", F.explode(F.concat("marks", "shapes")).alias("mark")).join(recurring, ["host", "mark"])
     return each.groupBy("page").agg(F.collect_set("mark").alias("marks"))
 
 
-def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", least: int = PAGES) -> DataFrame:
+def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", least: int = PAGES, names: bool = True) -> DataFrame:
     """One row per page: its id, url, text (blocks joined by two line ends; empty if none) and n_chars.
 
-    Null html counts as empty; pages without a host in their url are one site. Repeated rows stay; other columns are not returned.
+    Null html counts as empty; pages without a host in their url are one site. Pages of any length are parsed whole, an empty table gives an empty
+    table. Repeated rows stay; other columns are neither read nor returned, whatever their names. Without ``names`` only recurring subtrees are deleted:
+    what markup calls no article stays, and no article element is chosen.
     """
-    template = cut(template_marks(cut(page_marks(pages, url, html), "marks"), least), "template")
-    own = small_batches(pages).select(F.col(id_column), F.col(url), utf8(html).alias("_html"), page_key(url, html).alias("_page"))
-    joined = own.join(template, F.col("_page") == F.col("page"), "left").drop("_page", "page")
+    asked = taken(pages, id=id_column, url=url, html=html)
+    template = cut(template_marks(cut(page_marks(asked), "marks"), least), "template")
+    own = small_batches(asked).select("id", "url", utf8("html").alias("raw"), page_key().alias("own"))
+    joined = own.join(template, F.col("own") == F.col("page"), "left").drop("own", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -289,8 +353,8 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
                 known = frozenset(m & 0xFFFFFFFFFFFFFFFF for m in marks.as_py() or ())
                 if known:
                     mark_subtrees(root)
-                texts.append("\n\n".join(blocks(root, known)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_column, url, "text", "n_chars"])
+                texts.append("\n\n".join(blocks(root, known, names)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    schema = StructType([pages.schema[id_column], pages.schema[url], StructField("text", StringType()), StructField("n_chars", LongType())])
-    return joined.mapInArrow(run, schema)
+    schema = StructType([asked.schema["id"], asked.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())])
+    return joined.mapInArrow(run, schema).toDF(id_column, url, "text", "n_chars")

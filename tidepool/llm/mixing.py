@@ -4,8 +4,9 @@ Each source gets a budget of words. A source is first taken whole as often as it
 of the budget is filled with documents in the order of exponential keys ``-ln(u) / weight``, where ``u`` is a hash of the
 document and ``weight`` its quality: a weighted sample without replacement that every run repeats.
 
-The order is never sorted as one: keys are dealt into buckets of about ``BUCKET`` documents per source, bucket sums give the one
-bucket in which the budget ends, and only that bucket is put in order.
+The order is never sorted as one. The range of keys in which a source's budget ends is parted into ``PARTS`` equal ranges, the words
+of each are summed, and the one range in which the budget ends is parted again, until it holds few documents; only these are put in order. Any
+distribution of keys gives small ranges that way, whatever the quality weights.
 """
 
 from __future__ import annotations
@@ -15,35 +16,32 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, runs, slices, small_batches, spans_of
+from tidepool.llm.columns import at, kept, numbered, place, taken
 from tidepool.llm.scratch import cut
 
-#: Documents of a source that one bucket of keys holds, about.
-BUCKET = 256
+#: Documents that are put in order together, at most; and parts of a range of keys.
+BUCKET, PARTS = 1024, 1024
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
-_SIZE, _QUALITY, _DRAW = "_mix_size", "_mix_quality", "_mix_draw"
 
-
-def measured(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """``docs`` with its words, a quality weight in 0.1 to 1, and the hash that ``u`` comes from.
+def measured(docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    """``docs`` with its words (``size``), a ``quality`` weight in 0.1 to 1, and the hash that ``u`` comes from (``draw``).
 
     The quality weight grows with the share of letters among the bytes other than white space; an empty text has 0.1.
     """
-
-    draw = F.xxhash64(F.col(id_column).cast("string"), F.col(text)).alias(_DRAW)
-    chosen = small_batches(docs).select("*", draw)
-    place = docs.columns.index(text)
+    chosen = small_batches(docs).select("*", F.xxhash64(F.col(id_column).cast("string"), F.col(text)).alias("draw"))
+    where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, place):
-            buffer, offsets = flat(filled(batch.column(place)))
+        for batch in slices(batches, where):
+            buffer, offsets = flat(filled(batch.column(where)))
             size, quality = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, 0.1)
             for i, j in spans_of(offsets):
                 part, own = buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -52,10 +50,9 @@ def measured(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
                 shown = np.diff(np.concatenate([[0], np.cumsum(dark)])[own])
                 letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[LOWER[part]])])[own])
                 quality[i:j] = 0.1 + 0.9 * letters / np.maximum(shown, 1)
-            columns = [*batch.columns, pa.array(size), pa.array(quality)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, _SIZE, _QUALITY])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(quality)], names=[*batch.schema.names, "size", "quality"])
 
-    return chosen.mapInArrow(run, StructType([*chosen.schema.fields, StructField(_SIZE, LongType()), StructField(_QUALITY, DoubleType())]))
+    return chosen.mapInArrow(run, StructType([*chosen.schema.fields, StructField("size", LongType()), StructField("quality", DoubleType())]))
 
 
 def budgets(sizes: DataFrame, source: str = "source", limit: float = 3.0, cycle: int = 3) -> DataFrame:
@@ -78,8 +75,36 @@ def budgets(sizes: DataFrame, source: str = "source", limit: float = 3.0, cycle:
     return passed.withColumn("target", F.coalesce(target, F.col("_most"))).drop("_most", "_level", "_rate", "_place")
 
 
+def ending_ranges(own: DataFrame, plan: DataFrame, most: int = BUCKET, parts: int = PARTS) -> DataFrame:
+    """(s, low, high, left): for each source of ``plan`` (s, size, rest, docs) the range of keys in which its ``rest`` ends, both ends included.
+
+    ``left`` is what the documents below the range leave of it. A range holds at most ``most`` documents, or documents of one key.
+    """
+    held = plan.where("rest > 0").select("s", F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"), F.col("rest").alias("left"), F.col("docs").alias("n"))
+    closed, wide = [], F.col("n") > most
+    while True:
+        closed.append(held.where(~wide | (F.col("low") >= F.col("high"))).drop("n"))
+        held = cut(held.where(wide & (F.col("low") < F.col("high"))), "ranges")
+        if held.isEmpty():
+            break
+        inside = own.join(held, F.col("source").eqNullSafe(F.col("s")) & F.col("key").between(F.col("low"), F.col("high")))
+        # keys are below 400: -ln(2^-53) / 0.1 is 367
+        share = (F.col("key") - F.col("low")) / (F.least("high", F.lit(400.0)) - F.col("low"))
+        sums = inside.groupBy("s", "left", F.least(F.floor(share * parts), F.lit(parts - 1)).alias("part")).agg(
+            F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")
+        )
+        upto = F.sum("words").over(Window.partitionBy("s").orderBy("part"))
+        ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("left")).groupBy("s")
+        best = ends.agg(F.min(F.struct("part", "low", "high", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "n")).alias("end"))
+        held = cut(best.select("s", "end.low", "end.high", "end.left", "end.n"), "ranges")
+    out = closed[0]
+    for more in closed[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """In the bucket where the budget ends: documents in key order while they fit, and one more if that comes nearer."""
+    """In the range where the budget ends: documents in key order while they fit, and one more if that comes nearer."""
     rows = rows.sort_values(["key", "draw"], kind="stable")
     left, taken = float(rows["left"].iloc[0]), []
     for size in rows["size"]:
@@ -97,50 +122,42 @@ def mix(docs: DataFrame, text: str = "text", id_column: str = "doc_id", source:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words of the document that the mix takes, repeats counted).
 
     ``taken`` is ``size`` times the number of times the document is in the mix. With ``narrow`` only the id is kept of the
-    columns of ``docs``. Null texts and texts without words have size 0 and take nothing. Null sources are one source, the last.
-    Equal rows (same id and text) are taken or left together. Columns of ``docs`` with the names above are replaced.
+    columns of ``docs``. Null texts and texts without words have size 0 and take nothing; texts of any length are measured whole. Null sources are
+    one source, the last. Equal rows (same id and text) are taken or left together. An empty table gives an empty table. Columns of ``docs`` with
+    exactly the names above are replaced; all others stay, whatever their names.
     """
-    full = measured(docs.select(*dict.fromkeys([id_column, source, text])) if narrow else docs, text, id_column)
-    own = cut(full.select(F.col(id_column), F.col(source).alias("_mix_source"), F.col(_SIZE), F.col(_QUALITY), F.col(_DRAW)), "mix")
-    u = (F.shiftrightunsigned(_DRAW, 11) + 1) / F.lit(float(1 << 53))
-    keys = own.select("_mix_source", F.col(_SIZE).alias("size"), F.col(_DRAW).alias("draw"), (-F.log(u) / F.col(_QUALITY)).alias("key"))
-    sizes = own.groupBy("_mix_source").agg(F.sum(_SIZE).alias("size"), F.count(F.lit(1)).alias("_docs"))
-    plan = budgets(sizes, "_mix_source", limit, cycle).select(
-        F.col("_mix_source").alias("_s"),
-        F.col("size").alias("_p_size"),
-        F.col("target").alias("_p_target"),
-        F.ceil(F.col("_docs") / BUCKET).alias("_p_buckets"),
-        F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).alias("_p_epochs"),
-    )
-    plan = cut(plan.withColumn("_p_rest", F.col("_p_target") - F.col("_p_epochs") * F.col("_p_size")), "plan")
-
-    def bucket(key: Column) -> Column:
-        return F.least(F.floor((1 - F.exp(-key)) * F.col("_p_buckets")), F.col("_p_buckets") - 1)
-
-    placed = keys.join(plan, F.col("_mix_source").eqNullSafe(F.col("_s"))).withColumn("bucket", bucket(F.col("key")))
-    sums = placed.groupBy("_s", "bucket", "_p_rest").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("_s").orderBy("bucket"))
-    left = F.col("_p_rest") - F.col("upto") + F.col("words")
-    ends = sums.withColumn("upto", upto).where("upto > _p_rest").groupBy("_s").agg(F.min(F.struct("bucket", left.alias("left"))).alias("end"))
-    ends = cut(ends.select(F.col("_s").alias("_e"), F.col("end.bucket").alias("_p_last"), F.col("end.left").alias("_p_left")), "ends")
-    last = placed.join(ends, F.col("_s").eqNullSafe(F.col("_e"))).where("bucket = _p_last")
-    units = last.groupBy("_s", "draw").agg(F.sum("size").alias("size"), F.first("key").alias("key"), F.first("_p_left").alias("left"))
-    filled = units.where("size > 0").groupBy("_s").applyInPandas(_fill, "draw long, taken boolean").groupBy("draw").agg(F.first("taken").alias("_taken"))
-    filled = cut(filled.withColumnRenamed("draw", "_filled"), "filled")
-
-    base = own if narrow else full
-    here = F.col("_mix_source") if narrow else F.col(source)
-    out = base.join(plan, here.eqNullSafe(F.col("_s"))).join(ends, F.col("_s").eqNullSafe(F.col("_e")), "left")
-    out = out.withColumn("_p_bucket", bucket(-F.log(u) / F.col(_QUALITY)))
-    out = out.join(filled, F.when(F.col("_p_bucket") == F.col("_p_last"), F.col(_DRAW)) == F.col("_filled"), "left")
-    wholly = F.col("_p_last").isNull() | (F.col("_p_bucket") < F.col("_p_last"))
-    more = F.when(F.col("_p_rest") <= 0, False).when(wholly, True).otherwise(F.coalesce("_taken", F.lit(False)))
-    words = {"size": F.col(_SIZE), "source_size": F.col("_p_size"), "target": F.col("_p_target"), "taken": F.col(_SIZE) * (F.col("_p_epochs") + more.cast("long"))}
-    kept = [F.col(id_column)] if narrow else [F.col(c) for c in docs.columns if c not in words]
-    return out.select(*kept, *[c.alias(name) for name, c in words.items()])
+    names = ("size", "source_size", "target", "taken")
+    old = [id_column] if narrow else [c for c in docs.columns if c not in names]
+    if narrow:
+        docs = taken(docs, id=id_column, source=source, text=text)
+        id_column, source, text = "id", "source", "text"
+    columns = kept(docs)[:1] if narrow else [c for c, name in zip(kept(docs), docs.columns, strict=True) if name not in names]
+    text, id_column, source = (f"c{place(docs, c)}" for c in (text, id_column, source))
+    u = (F.shiftrightunsigned("draw", 11) + 1) / F.lit(float(1 << 53))
+    full = measured(numbered(docs), text, id_column).withColumn("key", -F.log(u) / F.col("quality")).withColumn("source", F.col(source))
+    own = cut(full.select(id_column, "source", "size", "draw", "key"), "mix")
+    sizes = own.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs"))
+    epochs = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
+    plan = budgets(sizes, "source", limit, cycle).select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", "docs", epochs.alias("epochs"))
+    plan = cut(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
+    ends = cut(ending_ranges(own, plan).withColumnRenamed("s", "e"), "ends")
+    here = F.col("source").eqNullSafe(F.col("e"))
+    last = own.join(ends, here & F.col("key").between(F.col("low"), F.col("high")) & (F.col("size") > 0))
+    units = last.groupBy("e", "draw").agg(F.sum("size").alias("size"), F.first("key").alias("key"), F.first("left").alias("left"))
+    filled = units.groupBy("e").applyInPandas(_fill, "draw long, taken boolean").groupBy("draw").agg(F.first("taken").alias("chosen"))
+    filled = cut(filled.withColumnRenamed("draw", "filled"), "filled")
+
+    out = (own if narrow else full).join(plan, F.col("source").eqNullSafe(F.col("s"))).join(ends, here, "left")
+    within = F.col("key").between(F.col("low"), F.col("high"))
+    out = out.join(filled, F.when(within, F.col("draw")) == F.col("filled"), "left")
+    more = F.when(F.col("rest") <= 0, False).when(F.col("low").isNull() | (F.col("key") < F.col("low")), True).otherwise(F.coalesce("chosen", F.lit(False)))
+    words = out.withColumn("taken", F.col("size") * (F.col("epochs") + more.cast("long")))
+    return words.select(*columns, *names).toDF(*old, *names)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as often as it was taken, with these columns."""
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select(*columns)
+    own = numbered(mixed)
+    size, words = at(mixed, "size"), at(mixed, "taken")
+    times = F.when(size > 0, (words / size).cast("int")).otherwise(0)
+    return own.select(*[at(mixed, c) for c in columns], F.explode(F.array_repeat(F.lit(0), times))).drop("col").toDF(*columns)

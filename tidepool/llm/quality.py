@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidepool.llm.bytestext import LOWER, SPACE, filled, flat, mix, prefix_sums, runs, slices, small_batches, span_hashes, spans_of, utf8
+from tidepool.llm.columns import kept, numbered, place, taken
 from tidepool.llm.linear import Rows, calibrate, dual_coordinate_descent, log_count_ratio, rows_of, sigmoid
 
 WIDTH = 1 << 16
@@ -114,13 +115,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
 
     Only the text is an input of the model. Rows with a null label or id are left out; repeated equal labels count once.
     """
-    order = F.xxhash64(F.col(id_column).cast("string"), F.lit(11))
-    chosen = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("label"), order.alias("_order"))
-    chosen = chosen.orderBy("_order", "_id").limit(sample)
+    return fit_rows(*collected(sampled(docs, labels, text, id_column, label, sample, 11), features_of))
 
+
+def sampled(docs: DataFrame, labels: DataFrame, text: str, id_column: str, label: str, sample: int, seed: int) -> DataFrame:
+    """(_id, label, _order, text): at most ``sample`` labelled rows, those first by a hash of their id, with their texts."""
+    order = F.xxhash64(F.col("_id").cast("string"), F.lit(seed))
+    known = taken(labels, _id=id_column, label=label).where("label is not null and _id is not null")
+    chosen = known.select("_id", F.col("label").cast("int").alias("label"), order.alias("_order")).orderBy("_order", "_id").limit(sample)
     # bounded by ``sample``: ids and labels only
-    joined = docs.select(F.col(id_column), utf8(text).alias("text")).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))
-    return fit_rows(*collected(joined.select("_id", "label", "_order", "text"), features_of))
+    own = taken(docs, id=id_column, text=text).select("id", utf8("text").alias("text"))
+    return own.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("_id", "label", "_order", "text")
 
 
 def collected(frame: DataFrame, features) -> tuple[Rows, np.ndarray]:
@@ -140,28 +145,31 @@ def collected(frame: DataFrame, features) -> tuple[Rows, np.ndarray]:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on). Null texts count as empty and are scored too.
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on). Null texts count as empty and are scored too, as are texts of any length.
 
-    Columns of ``docs`` with those names are replaced.
+    Repeated rows stay, an empty table gives an empty table. Columns of ``docs`` with exactly those names are replaced; all others stay, whatever their names.
     """
     weights = model.weights.astype(np.float32)
     small = Model(weights, model.bias, model.slope, model.offset)
-    own = small_batches(docs).select(*[F.col(c) for c in docs.columns if c not in names])
-    place = own.columns.index(text)
+    old = [c for c in docs.columns if c not in names]
+    own = small_batches(numbered(docs).select(*[c for c, name in zip(kept(docs), docs.columns, strict=True) if name not in names]))
+    where = old.index(docs.columns[place(docs, text)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, place):
-            scores = [small.probability(rows_of(lists)) for lists in features_of(filled(batch.column(place)))]
+        for batch in slices(batches, where):
+            scores = [small.probability(rows_of(lists)) for lists in features_of(filled(batch.column(where)))]
             values = np.concatenate(scores) if scores else np.zeros(0)
             columns = [*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "predicted"])
 
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
+    made = own.mapInArrow(run, StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return made.toDF(*old, *names)
 
 
 def training_rows(labels: DataFrame, id_column: str = "doc_id", parts: int = 4, held: int = 2) -> DataFrame:
     """Labels of the rows that may be learned from: those whose id's CRC-32 does not leave the held-out remainder."""
-    return labels.where(~is_held_out(id_column, parts, held))
+    own = numbered(labels)
+    return own.where(~is_held_out(f"c{place(labels, id_column)}", parts, held)).toDF(*labels.columns)
 
 
 def is_held_out(id_column: str = "doc_id", parts: int = 4, held: int = 2):
@@ -170,7 +178,8 @@ def is_held_out(id_column: str = "doc_id", parts: int = 4, held: int = 2):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that are not rejected, with their own columns, whatever their names. Null and empty texts are scored like others."""
     model = fit(docs, training_rows(labels, id_column), text, id_column)
-    marked = score(docs, model, text, threshold, ("_quality_score", "_quality_kept"))
-    return marked.where("_quality_kept = 1").select(*docs.columns)
+    own = numbered(docs)
+    marked = score(own, model, f"c{place(docs, text)}", threshold)
+    return marked.where("predicted = 1").select(*kept(docs)).toDF(*docs.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import html, mixing, mpeg, quality, repeats, simhash, tokens, topk, toxicity, wordpiece
+from tidepool.llm.columns import taken
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
@@ -50,7 +51,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, quality.training_rows(labels))
-    scored = quality.score(docs.select("doc_id", "text"), model)
+    scored = quality.score(taken(docs, doc_id="doc_id", text="text"), model)
     return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", "predicted")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.llm.bytestext import flat, mix, prefix_sums, slices, small_batches, span_hashes, spans_of, utf8
+from tidepool.llm.columns import at, kept, numbered, place, taken
 from tidepool.llm.scratch import cut, cut_bucketed
 
 LENGTH, GRAM = 400, 64
@@ -278,7 +279,7 @@ def text_keys(text: str | Column) -> list[Column]:
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(k1, k2, copies, text): each different text once, bucketed by its keys."""
-    keyed = small_batches(docs).select(*text_keys(text), utf8(text).alias("text"))
+    keyed = small_batches(taken(docs, text=text)).select(*text_keys("text"), utf8("text").alias("text"))
     return cut_bucketed(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts", ["k1", "k2"])
 
 
@@ -438,22 +439,28 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
 
 
 def removals(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """One row per document: its id, n_bytes, n_removed, n_spans and kept_sha256. Repeated rows stay."""
-    found = without_repeats(docs, text, length)
-    own = docs.select(F.col(id_column), *text_keys(text))
-    return own.join(found, ["k1", "k2"]).drop("k1", "k2")
+    """One row per document: its id, n_bytes, n_removed, n_spans and kept_sha256.
+
+    Repeated rows stay and count as places of their own. Null texts count as empty; texts shorter than ``length`` lose nothing, longer ones of any
+    size are taken whole. An empty table gives an empty table. Other columns are neither read nor returned, whatever their names.
+    """
+    own = taken(docs, id=id_column, text=text)
+    found = without_repeats(own, "text", length)
+    keyed = own.select("id", *text_keys("text"))
+    return keyed.join(found, ["k1", "k2"]).drop("k1", "k2").withColumnRenamed("id", id_column)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeats gone from its text, all columns and rows kept; a column ``n_chars`` follows the new text.
+    """``docs`` with the repeats gone from its text, all columns and rows kept, whatever their names; a column ``n_chars`` follows the new text.
 
-    Where a removed run begins or ends within a character, what is left of that character goes too. A null text becomes empty.
+    Where a removed run begins or ends within a character, what is left of that character goes too. A null text becomes empty; repeated rows,
+    each a place of its own, lose all of a text that is at least ``length`` long. An empty table gives an empty table.
     """
-    found = without_repeats(docs, text, length, kept_as="string")
-    texts = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept"))
-    keyed = docs.select("*", *[k.alias(f"_own{i}") for i, k in enumerate(text_keys(text))])
-    joined = keyed.join(texts, (F.col("_own0") == F.col("_k1")) & (F.col("_own1") == F.col("_k2")))
-    columns = {text: F.col("_kept")}
+    found = without_repeats(docs, text, length, kept_as="string").select("k1", "k2", "kept")
+    own = numbered(docs)
+    joined = own.select("*", *text_keys(at(docs, text))).join(found, ["k1", "k2"])
+    columns = kept(docs)
+    columns[place(docs, text)] = F.col("kept")
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.length("_kept").cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+        columns[place(docs, "n_chars")] = F.length("kept").cast(docs.schema[place(docs, "n_chars")].dataType)
+    return joined.select(*columns).toDF(*docs.columns)

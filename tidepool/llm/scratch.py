@@ -1,24 +1,30 @@
 """Tables written to the shared folder to cut lineage.
 
-The folder is ``spark.checkpoint.dir``, which every executor of a cluster can read. Only where that setting is absent
-(tests, a laptop) a temporary folder of the driver serves instead.
+The folder is ``spark.checkpoint.dir``, which every executor of a cluster can read. Only where that setting is absent and driver
+and executors are one process (tests, a laptop) a temporary folder of the driver serves instead.
 """
 
 from __future__ import annotations
 
 import atexit
+import math
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Bytes of one bucket, about; Spark's own limit of buckets; sizes from here on mean that Spark knows none.
+BUCKET_BYTES, MOST_BUCKETS, UNKNOWN = 128 << 20, 100_000, 1 << 60
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = "file://" + tempfile.mkdtemp(prefix="tidepool-")
@@ -50,11 +56,25 @@ def cut(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bucket_count(frame: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """As many as shuffles have partitions, and enough that none is far above ``each`` bytes by what Spark knows of the input's size."""
+    least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(math.ceil(size / each), MOST_BUCKETS)) if size < UNKNOWN else least
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session may have ended, and its catalog with it
+        pass
+
+
 def cut_bucketed(frame: DataFrame, label: str, keys: list[str]) -> DataFrame:
-    """As ``cut``, hash-bucketed by ``keys`` so that joins on them need no shuffle of this side."""
+    """As ``cut``, hash-bucketed by ``keys`` so that joins on them need no shuffle of this side. The table goes when the driver's Python ends."""
     spark = frame.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = frame.write.bucketBy(buckets, *keys).option("path", scratch_path(spark, label))
+    writer = frame.write.bucketBy(bucket_count(frame), *keys).option("path", scratch_path(spark, label))
     writer.format("parquet").saveAsTable(name)
+    atexit.register(_drop, spark, name)
     return spark.table(name)

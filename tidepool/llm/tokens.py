@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidepool.llm.bytestext import slices, small_batches, utf8
+from tidepool.llm.columns import taken
 
 #: Characters of a text beyond which it is parted.
 PART = 1 << 16
@@ -63,10 +63,11 @@ def decode(ids: list[int], rank_file: str, pattern: str) -> bytes:
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id_column: str = "doc_id", keep_ids: bool = True) -> DataFrame:
     """One row per document: its id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, the ids.
 
-    Null and empty texts have no tokens; bytes that are not UTF-8 are read as U+FFFD. Repeated rows stay; columns other
-    than the two named are neither read nor returned.
+    Null and empty texts have no tokens; bytes that are not UTF-8 are read as U+FFFD. Texts of any length are encoded whole, an empty table gives
+    an empty table. Repeated rows stay; columns other than the two named are neither read nor returned, whatever their names.
     """
-    id_type = docs.schema[id_column].dataType
+    own = taken(docs, id=id_column, text=text)
+    id_type = own.schema["id"].dataType
     out = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,4 +84,4 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     schema = f"`{id_column}` {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(own).select("id", utf8("text").alias("text")).mapInArrow(run, schema)

@@ -18,12 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidepool.llm.bytestext import LOWER, flat, prefix_sums, runs, slices, small_batches, span_hashes, spans_of, utf8
+from tidepool.llm.columns import taken
 from tidepool.llm.linear import Rows, logistic, rows_of, sigmoid
-from tidepool.llm.quality import collected
+from tidepool.llm.quality import collected, sampled
 
 WIDTH = 1 << 22
 #: Bytes of the beginnings of words that are features beside whole words, for families of inflected words.
@@ -132,20 +132,27 @@ def _fit_link(rows: Rows, before: np.ndarray, labels: np.ndarray, ridge: float)
     return Link(best, logistic(rows.keep(best), before, labels, len(best), ridge))
 
 
-def fit_rows(rows: Rows, toxic: np.ndarray, folds: int = 3, ridge: float = 0.3) -> Chain:
-    """The chain of these rows, each link trained on out-of-fold probabilities of the ones before."""
+def derived(rows: Rows, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """The categories of these rows: which of them hold words that mark toxic ones among them."""
     used, z = telling_words(rows, toxic)
-    marked = rows.keep(used[z >= MARKS])
-    hits = np.diff(marked.start)
-    columns = {"abusive": toxic & (hits >= 1), "severe": toxic & (hits >= 3), "toxic": toxic}
-    fold, before, links = np.arange(len(rows)) % folds, np.zeros((len(rows), 0)), []
+    hits = np.diff(rows.keep(used[z >= MARKS]).start)
+    return {"abusive": toxic & (hits >= 1), "severe": toxic & (hits >= 3), "toxic": toxic}
+
+
+def fit_rows(rows: Rows, toxic: np.ndarray, folds: int = 3, ridge: float = 0.3) -> Chain:
+    """The chain of these rows, each link trained on out-of-fold probabilities of the ones before.
+
+    The words that define the finer categories are found inside each training fold anew, so nothing of the rows outside takes part in their predictions.
+    """
+    whole, fold = derived(rows, toxic), np.arange(len(rows)) % folds
+    parts = [(inside, outside, derived(rows.pick(inside), toxic[inside])) for inside, outside in ((np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(folds))]
+    before, links = np.zeros((len(rows), 0)), []
     for name in CHAIN:
-        labels, out = columns[name], np.zeros(len(rows))
-        for k in range(folds) if name != CHAIN[-1] else ():
-            inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            part = _fit_link(rows.pick(inside), before[inside], labels[inside], ridge)
+        out = np.zeros(len(rows))
+        for inside, outside, own in parts if name != CHAIN[-1] else ():
+            part = _fit_link(rows.pick(inside), before[inside], own[name], ridge)
             out[outside] = part.probability(rows.pick(outside), before[outside])
-        links.append(_fit_link(rows, before, labels, ridge))
+        links.append(_fit_link(rows, before, whole[name], ridge))
         before = np.column_stack([before, out])
     return Chain(links)
 
@@ -155,18 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
 
     Rows with a null label or id are left out. Only the text is an input of the models.
     """
-    order = F.xxhash64(F.col(id_column).cast("string"), F.lit(13))
-    chosen = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("label"), order.alias("_order"))
-    chosen = chosen.orderBy("_order", "_id").limit(sample)
-    # bounded by ``sample``: ids and labels only
-    joined = docs.select(F.col(id_column), utf8(text).alias("text")).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))
-    return fit_rows(*collected(joined.select("_id", "label", "_order", "text"), features_of))
+    return fit_rows(*collected(sampled(docs, labels, text, id_column, label, sample, 13), features_of))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", id_column: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: its id, ``score`` (probability of ``toxic``), ``predicted`` (1 from the threshold on) and one column ``p_...`` per category.
 
-    Null and empty texts get what the models say of a text without words. Repeated rows stay; other columns are not returned.
+    Null and empty texts get what the models say of a text without words. Texts of any length are read whole, an empty table gives an empty table. Repeated
+    rows stay; other columns are neither read nor returned, whatever their names.
     """
     names = [f"p_{c}" for c in CHAIN]
 
@@ -179,5 +182,6 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", id_column: str = "d
             columns = [pa.array(p[:, -1]), pa.array((p[:, -1] >= threshold).astype(np.int32)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(CHAIN)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, "score", "predicted", *names])
 
-    schema = StructType([docs.schema[id_column], StructField("score", DoubleType()), StructField("predicted", IntegerType()), *(StructField(n, DoubleType()) for n in names)])
-    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)
+    own = taken(docs, id=id_column, text=text)
+    schema = StructType([StructField(id_column, own.schema["id"].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType()), *(StructField(n, DoubleType()) for n in names)])
+    return small_batches(own).select("id", utf8("text").alias("text")).mapInArrow(run, schema)

@@ -16,9 +16,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidepool.llm.bytestext import slices, small_batches, utf8
+from tidepool.llm.columns import taken
 
 #: The symbol after a word's last byte.
 END = 256
@@ -125,9 +125,11 @@ class Counter(dict):
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row per document: its id, n_words and n_tokens (greedy pieces of its lower-cased words, by the vocabulary file).
 
-    Null and empty texts have none. Repeated rows stay; other columns are neither read nor returned.
+    Null and empty texts have none. Texts of any length are counted whole, an empty table gives an empty table. Repeated rows stay; other columns are
+    neither read nor returned, whatever their names.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    own = taken(docs, id=id_column, text=text)
+    kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Counter(automaton(vocabulary))
@@ -139,4 +141,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", id_column
                 tokens.append(sum(t for _, t in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[id_column, "n_words", "n_tokens"])
 
-    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, f"`{id_column}` {kind}, n_words long, n_tokens long")
+    return small_batches(own).select("id", utf8("text").alias("text")).mapInArrow(run, f"`{id_column}` {kind}, n_words long, n_tokens long")
