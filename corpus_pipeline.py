@@ -1,4 +1,4 @@
-"""A corpus pipeline: from raw documents to token counts of a deduplicated, mixed corpus.
+"""A corpus pipeline: from raw documents to the tokens of a deduplicated, mixed corpus.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
 All stages but the last return the columns of ``documents``.
@@ -15,23 +15,45 @@ from tidepool.llm.scratch import cut
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Bytes of a string that counts as a repeat: below the length of any passage of over 50 words in the languages at hand (some 6 bytes a word).
+REPEAT = 240
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels``, gives a score below its threshold go.
+
+    Null and empty texts are scored as a text without words; repeated rows share their fate; without labels the score is 0.5 and all documents go.
+    An empty table stays empty.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row stays of each class of texts with at least 0.8 of their five-word shingles in common: that with the smallest id, ids before null.
+
+    Texts without words (null and empty ones too) are one class, as are repeated rows. An empty table stays empty.
+    """
     return closecopies.first_of_each(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.deduplicated(docs)
+    """Every byte goes that a string of ``REPEAT`` bytes covers which also starts elsewhere; documents stay, their text shortened.
+
+    Null texts become empty; ``n_chars`` follows the text. Repeated rows lose all of a text that is long enough. An empty table stays empty.
+    """
+    return repeats.deduplicated(docs, length=REPEAT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, or up to three times as rows.
+
+    Texts without words are never taken. Null sources are one source. Equal rows are taken or left together. An empty table stays empty.
+    """
     return mixing.repeated(mixing.mix(docs), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row: its id, the number of tokens, the ids and the digests of ids and decoded bytes. Null and empty texts have no tokens."""
     return tokens.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
