@@ -36,7 +36,7 @@ def test_without_the_subpackage(copy):
     assert left.returncode == 0, left.stdout[-2000:]
 
 
-@pytest.mark.parametrize("name", ["public_tokenizers", "xxhash", "tiktoken"])
+@pytest.mark.parametrize("name", ["public_tokenizers", "xxhash"])
 def test_without_a_library(name):
     import __spark_entry__ as entry
 

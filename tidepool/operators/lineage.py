@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the folder that ``spark.checkpoint.dir`` names, which all executors share; one of our own only where it is unset."""
+    """``frame`` written to the folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    One of our own serves only where it is unset and driver and executors are one process.
+    """
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get(SETTING, None) or tempfile.mkdtemp(prefix="tidepool-"))
+        folder = frame.sparkSession.conf.get(SETTING, None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidepool-"))
     return frame.checkpoint()
