@@ -114,7 +114,7 @@ def test_top_k_with_ties_and_odd_vectors(spark, block):
     odd = [(600, None), (700, [1.0, None] * 3), (800, [float("nan")] * 6), (900, [float("inf")] * 6), (None, [1.0] * 6)]
     frame = spark.createDataFrame([(i, v, "x") for i, v in vectors + odd], "vec_id long, embedding array<float>, rank string")
     whole = topk.quantised(frame)
-    got = sorted(tuple(r) for r in topk.top_k(whole, whole.where("vec_id % 100 = 0"), 10, block, 2).collect())
+    got = sorted(tuple(r) for r in topk.top_k(whole, whole.where("vec_id % 100 = 0"), 10, block).collect())
     exact = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors]
     assert got == sorted(slow_top(exact, 10))
     assert topk.top_k(whole.limit(0), whole.limit(0)).count() == 0

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import public_tokenizers as P
 import pytest
@@ -100,7 +101,8 @@ def test_media_round_trip(spark):
         assert audio.skipped == audio.failed == 0
         assert audio.table["frames"] == len(audio.offsets)
         assert audio.table["bytes"] == sum(audio.sizes) + audio.offsets[0] - r.media.index(b"\xff\xfa")
-        assert audio.seconds == (1152 * len(audio.offsets), 48000)
+        assert audio.duration == Fraction(1152 * len(audio.offsets), 48000)
+        assert (r.duration_ticks, r.frame_offsets) == (audio.duration * mpeg.TICKS, audio.offsets)
         assert r.feature == mpeg.feature(audio)
 
 
@@ -119,8 +121,8 @@ def test_media_resynchronises_and_checks():
     assert mpeg.read(media + b"TAG" + b"A title".ljust(125, b"\0")).tags["title"] == "A title"
     assert mpeg.read(b"").offsets == []
     assert mpeg.feature(mpeg.read(b"nothing here")) == "none"
-    assert [whole.seek(k * 1152) for k in range(len(whole.offsets))] == whole.offsets
-    assert whole.seek(whole.samples) is None
+    assert [whole.seek(Fraction(k * 1152, 48000)) for k in range(len(whole.offsets))] == whole.offsets
+    assert whole.seek(whole.duration) is None
 
 
 def test_media_headers_of_all_kinds():

@@ -5,21 +5,25 @@ information declares no main data, so the frames decode to silence and everythin
 tag names the payload's length, and a first frame holds a Xing table for the variable bit rate. The unit of the format is the frame.
 
 The reader makes no use of how the writer works: it skips tags, looks for headers that are followed by another header (or the end),
-passes over damaged bytes, verifies the CRC-16 of protected frames, and derives duration and seek offsets from the frames themselves.
+passes over damaged bytes, verifies the CRC-16 of protected frames of all three layers, and derives durations and seek offsets from the frames
+themselves, exactly, also where sample rates change within a file.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidepool.llm.bytestext import slices, small_batches, utf8
+from tidepool.llm.columns import taken
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (version 1?, layer) and sample rates by version.
 BIT_RATES = {
@@ -33,6 +37,12 @@ BIT_RATES = {
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 SEEK_POINTS = 100
+#: Of layer II: bits of the allocation of each subband, as (bits, up to which subband).
+ALLOCATIONS = {"a": ((4, 11), (3, 23), (2, 27)), "b": ((4, 11), (3, 23), (2, 30)), "c": ((4, 2), (3, 8)), "d": ((4, 2), (3, 12)), "low": ((4, 4), (3, 11), (2, 30))}
+SUBBANDS = 32
+
+#: Parts of a second in which the length of every frame is a whole number: the least common multiple of all sample rates.
+TICKS = math.lcm(*(rate for rates in SAMPLE_RATES.values() for rate in rates))
 
 
 def _crc_steps() -> tuple[int, ...]:
@@ -48,17 +58,24 @@ def _crc_steps() -> tuple[int, ...]:
 _STEPS = _crc_steps()
 
 
-def crc16(data: bytes) -> int:
-    """The checksum of MPEG audio: polynomial 0x8005, all ones at first."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of MPEG audio over all bits of ``data``, or the first ``bits``: polynomial 0x8005, all ones at first."""
+    whole, rest = divmod(8 * len(data) if bits is None else bits, 8)
     x = 0xFFFF
-    for byte in data:
+    for byte in data[:whole]:
         x = (x << 8 & 0xFF00) ^ _STEPS[x >> 8 ^ byte]
+    for k in range(rest):
+        odd = (x >> 15) ^ (data[whole] >> (7 - k) & 1)
+        x = (x << 1 & 0xFFFF) ^ (0x8005 if odd else 0)
     return x
 
 
 @dataclass(frozen=True)
 class Header:
-    """What four header bytes say; ``size`` is the frame's bytes, ``checked`` the bytes of side information under the checksum."""
+    """What four header bytes say; ``size`` is the frame's bytes, ``checked`` the bytes of layer III side information under the checksum.
+
+    From subband ``bound`` on, both channels share their allocation (layers I and II).
+    """
 
     version: int
     layer: int
@@ -69,6 +86,11 @@ class Header:
     size: int
     samples: int
     checked: int
+    bound: int
+
+    @property
+    def ticks(self) -> int:
+        return self.samples * TICKS // self.sample_rate
 
 
 _headers: dict[bytes, Header | None] = {}
@@ -99,7 +121,50 @@ def _read_header(four: bytes) -> Header | None:
         samples = 576 if layer == 3 and not first else 1152
         size = samples // 8 * bit_rate // sample_rate + padding
         checked = {(True, 1): 17, (True, 2): 32, (False, 1): 9, (False, 2): 17}[first, channels] if layer == 3 else 0
-    return Header(version, layer, not b & 1, bit_rate, sample_rate, channels, size, samples, checked)
+    bound = 4 * (d >> 4 & 3) + 4 if d >> 6 == 1 else SUBBANDS
+    return Header(version, layer, not b & 1, bit_rate, sample_rate, channels, size, samples, checked, bound)
+
+
+def allocation_bits(header: Header) -> list[int]:
+    """Of a layer II frame: how many bits the allocation of each subband has."""
+    each, rate = header.bit_rate // header.channels // 1000, header.sample_rate
+    if header.version != 3:
+        kind = "low"
+    elif rate == 48000 and each >= 56 or 56 <= each <= 80:
+        kind = "a"
+    elif each >= 96:
+        kind = "b"
+    else:
+        kind = "d" if rate == 32000 else "c"
+    out: list[int] = []
+    for bits, upto in ALLOCATIONS[kind]:
+        out += [bits] * (upto - len(out))
+    return out
+
+
+def checked_bits(header: Header, body: bytes) -> int:
+    """How many bits after the checksum it covers: side information (III), allocation (I), or allocation and scale factor selection (II)."""
+    if header.layer == 3:
+        return 8 * header.checked
+    channels = header.channels
+    if header.layer == 1:
+        both = min(header.bound, SUBBANDS)
+        return 4 * (channels * both + SUBBANDS - both)
+    number, length, at, selections = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for band, bits in enumerate(allocation_bits(header)):
+        for _ in range(channels if band < header.bound else 1):
+            at += bits
+            if at > length:
+                return length
+            if number >> (length - at) & ((1 << bits) - 1):
+                selections += 1 if band < header.bound else channels
+    return min(at + 2 * selections, length)
+
+
+def checksum_holds(header: Header, frame: bytes) -> bool:
+    body = frame[6:] if header.layer == 3 else frame[6:86]  # 80 bytes hold the most that layers I and II have under the checksum
+    bits = checked_bits(header, body)
+    return crc16(frame[2:4] + body[: -(-bits // 8)], 16 + bits) == int.from_bytes(frame[4:6], "big")
 
 
 # ---------------------------------------------------------------- writing
@@ -151,29 +216,35 @@ def write(payload: bytes) -> bytes:
 
 @dataclass
 class Audio:
-    """What a file holds. ``offsets`` and ``sizes`` are of each audio frame; ``table`` is the Xing, Info or VBRI frame's content."""
+    """What a file holds.
+
+    ``offsets``, ``sizes`` and ``begins`` (in ticks) are of each audio frame, ``samples`` are by sample rate; ``table`` is the Xing, Info or VBRI frame's content.
+    """
 
     tags: dict[str, str] = field(default_factory=dict)
     table: dict[str, object] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
+    begins: list[int] = field(default_factory=list)
     bit_rates: dict[int, int] = field(default_factory=dict)
+    samples: dict[int, int] = field(default_factory=dict)
     first: Header | None = None
-    samples: int = 0
+    ticks: int = 0
     checked: int = 0
     failed: int = 0
     skipped: int = 0
 
     @property
-    def seconds(self) -> tuple[int, int]:
-        """The exact duration as samples and samples a second."""
-        return self.samples, self.first.sample_rate if self.first else 0
-
-    def seek(self, sample: int) -> int | None:
-        """The file offset of the frame that holds a sample."""
-        if not self.first or not 0 <= sample < self.samples:
+    def duration(self) -> Fraction:
+        """The exact duration in seconds, whatever the sample rates of the frames."""
+        return Fraction(self.ticks, TICKS)
+
+    def seek(self, seconds: Fraction | int) -> int | None:
+        """The file offset of the frame that holds a moment."""
+        tick = seconds * TICKS
+        if not 0 <= tick < self.ticks:
             return None
-        return self.offsets[sample // self.first.samples]
+        return self.offsets[bisect.bisect_right(self.begins, tick) - 1]
 
 
 def _tag_texts(body: bytes, major: int, flags: int) -> dict[str, str]:
@@ -245,16 +316,18 @@ def read(data: bytes) -> Audio:
             continue
         synced = after < end and _follows(header, data[after : after + 4])
         frame = data[at:after]
-        if header.protected and header.layer == 3:
+        if header.protected:
             out.checked += 1
-            out.failed += crc16(frame[2:4] + frame[6 : 6 + header.checked]) != int.from_bytes(frame[4:6], "big")
+            out.failed += not checksum_holds(header, frame)
         if not out.offsets and not out.table and (table := _vbr_table(frame, header)):
             out.table = table
         else:
             out.first = out.first or header
             out.offsets.append(at)
             out.sizes.append(header.size)
-            out.samples += header.samples
+            out.begins.append(out.ticks)
+            out.ticks += header.ticks
+            out.samples[header.sample_rate] = out.samples.get(header.sample_rate, 0) + header.samples
             out.bit_rates[header.bit_rate] = out.bit_rates.get(header.bit_rate, 0) + 1
         at = after
     return out
@@ -279,14 +352,13 @@ def feature(audio: Audio) -> str:
     """Format, exact duration, bit rates, checksums, table and tenths of the seek offsets, in one line."""
     if not audio.first:
         return "none"
-    samples, rate = audio.seconds
-    points = [audio.seek(samples * k // 10) for k in range(10)]
+    points = [audio.seek(audio.duration * k / 10) for k in range(10)]
     return ";".join(
         (
             f"mpeg{VERSIONS[audio.first.version]}-layer{audio.first.layer}",
-            f"{rate}Hz x{audio.first.channels}",
+            f"{audio.first.sample_rate}Hz x{audio.first.channels}",
             f"frames={len(audio.offsets)}",
-            f"duration={samples}/{rate}",
+            "duration=" + "+".join(f"{n}/{rate}" for rate, n in sorted(audio.samples.items())),
             "rates=" + ",".join(f"{k // 1000}:{n}" for k, n in sorted(audio.bit_rates.items())),
             f"crc={audio.checked - audio.failed}/{audio.checked}",
             f"table={audio.table.get('kind', 'none')}:{audio.table.get('frames', '')}",
@@ -304,24 +376,29 @@ def padded(raw: bytes) -> bytes:
 def media_column(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep_media: bool = True) -> DataFrame:
     """One row per document: its text stored as MPEG audio, and what reading that file back gives.
 
-    Null texts count as empty: 64 zero bytes. Repeated rows stay; other columns of ``docs`` are neither read nor returned.
+    ``duration_seconds`` is ``duration_ticks`` (exact) over ``TICKS``; ``frame_offsets`` says where in the file each audio frame begins. Null texts count as empty: 64
+    zero bytes. Texts of any length are stored whole, an empty table gives an empty table. Repeated rows stay; other columns of
+    ``docs`` are neither read nor returned, whatever their names.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_media]
+    asked = taken(docs, id=id_column, text=text)
+    kinds = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    kinds |= {"duration_ticks": "long", "duration_seconds": "double", "frame_offsets": "array<long>"} | ({"media": "binary"} if keep_media else {})
+    types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}[k] for k in kinds.values()]
 
     def row(raw: bytes) -> tuple:
         media = write(padded(raw))
         audio = read(media)
         back = payload_of(media, audio)
         digest = hashlib.sha256(back).hexdigest()
-        return len(raw), len(back), digest, zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(audio), media
+        told = len(raw), len(back), digest, zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(audio)
+        return *told, audio.ticks, audio.ticks / TICKS, audio.offsets, media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             rows = [row(x.as_py()) for x in batch.column(1)]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *kinds])
 
-    schema = f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return small_batches(docs).select(F.col(id_column), utf8(text).alias("text")).mapInArrow(run, schema)
+    kind = asked.schema["id"].dataType.simpleString()
+    made = small_batches(asked).select("id", utf8("text").alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    return made.withColumnRenamed("id", id_column)
