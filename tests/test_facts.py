@@ -253,3 +253,35 @@ def test_imports(spark, tmp_path):
     assert files.path_allowed(str(tmp_path / "a.txt"), [str(tmp_path)])
     assert not files.path_allowed(str(tmp_path) + "x/a.txt", [str(tmp_path)])
     assert not files.path_allowed(str(tmp_path / "../a"), [str(tmp_path)])
+
+
+def test_files_that_are_not_read(spark, tmp_path):
+    """Large files are told as errors; hidden folders and what lies more than 16 folders down are left out."""
+    (tmp_path / "big.txt").write_text("x" * 50)
+    (tmp_path / "small.txt").write_text("small")
+    deep = tmp_path
+    for k in range(17):
+        deep = deep / f"d{k}"
+        deep.mkdir()
+        (deep / "n.txt").write_text(f"level {k + 1}")
+    (tmp_path / "d0/.git").mkdir()
+    (tmp_path / "d0/.git/x.txt").write_text("no")
+    read = files.read_files(spark, str(tmp_path), recursive=True, most_bytes=20)
+    assert sorted(r.text or "" for r in read.collect()) == sorted(["", "small", *(f"level {k}" for k in range(1, 17))])
+    assert tuple(files.counters(files.text_records(read)).first()) == (17, 0, 1)
+    assert tuple(files.counters(files.csv_records(read)).first())[2] == 18
+    assert tuple(files.counters(files.mbox_records(read)).first()) == (0, 0, 1)
+
+
+def test_too_many_canaries_are_refused(spark):
+    rows = spark.createDataFrame([("a 7",)], "result string")
+    canaries = lambda n: spark.createDataFrame([(f"{k}",) for k in range(n)], "canary_id string")
+    assert tables.canary_hits(rows, canaries(64)).count() == 1
+    with pytest.raises(ValueError):
+        tables.canary_hits(rows, canaries(65))
+
+
+def test_all_of_a_text_is_cut_into_turns():
+    text = "y" * 200_000
+    assert sum(n for _, n in turn_chunks(text)) == len(text)
+    assert len(turn_chunks(text, 128)) == 128

@@ -32,5 +32,5 @@ def test_names_of_all_documents_are_linked(spark, folder):
         for i, t in texts.items():
             if len(name.encode()) >= 3 and i % 5 and re.search("(^|[^A-Za-z0-9])" + re.escape(name.lower()) + "($|[^A-Za-z0-9])", (t or "").lower()):
                 want.add((source, i))
-    got = {(r.source_id, r.target_id) for r in entry.queries()["link_all_entities"](spark, path).collect()}
+    got = {(r.source_id, r.target_id) for r in entry.queries()["link_entities"](spark, path).collect()}
     assert want and got == want

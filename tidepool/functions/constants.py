@@ -69,4 +69,4 @@ END_OF_DAY_MS = DAY_MS - 1
 MOST_BYTES = 65536
 HALF_LIFE_DAYS, PRUNE_AGE_DAYS, PRUNE_BELOW, PRUNE_ROWS = 90.0, 90, 0.1, 200
 CLUSTER_DISTANCE = 0.3
-CHUNK_BYTES, PIECE_BYTES, TURN_REACH, TURN_CHUNKS = 800, 4096, 200, 128
+CHUNK_BYTES, PIECE_BYTES, TURN_REACH = 800, 4096, 200

@@ -108,6 +108,7 @@ def folded(word: str) -> str:
     return word if word.isascii() else "".join(map(_plain, word))
 
 
+@functools.lru_cache(maxsize=200_000)
 def normal(word: str) -> str:
     """A term as the tokenizer 'porter unicode61' files it."""
     return stem(folded(word))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidepool.functions.constants import BOILERPLATE, CHUNK_BYTES, PIECE_BYTES, STOPWORDS, TURN_CHUNKS, TURN_REACH
+from tidepool.functions.constants import BOILERPLATE, CHUNK_BYTES, PIECE_BYTES, STOPWORDS, TURN_REACH
 
 TERM = r"[\p{L}\p{N}]+"
 
@@ -73,12 +73,15 @@ def chunks(c: str | Column, strategy: str = "paragraph", size: int = PIECE_BYTES
     return F.flatten(F.transform(F.split(column(c), mark, -1), lambda part: pieces(part, size if size > 0 else PIECE_BYTES)))
 
 
-def turn_chunks(text: str | None) -> list[tuple[int, int]]:
-    """(offset, length) of passages of about 800 characters, cut before a speaker's turn where one is near; none if one passage is enough."""
+def turn_chunks(text: str | None, most: int | None = None) -> list[tuple[int, int]]:
+    """(offset, length) of passages of about 800 characters, cut before a speaker's turn where one is near; none if one passage is enough.
+
+    All of the text is covered, unless ``most`` ends it after so many passages.
+    """
     out, at, n = [], 0, len(text or "")
     if n < CHUNK_BYTES:
         return []
-    while at < n and len(out) < TURN_CHUNKS:
+    while at < n and (most is None or len(out) < most):
         end = min(at + CHUNK_BYTES, n)
         if at + CHUNK_BYTES < n:
             window = range(max(end - TURN_REACH, 0), min(end + TURN_REACH, n))

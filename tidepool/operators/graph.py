@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,22 +93,33 @@ def delete_entities(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tu
 def mentions(entities: DataFrame, memories: DataFrame) -> DataFrame:
     """(source_id, target_id): entities whose name a record mentions, as whole words and whatever the case.
 
-    Names of at least 3 bytes count; any character but ASCII letters and digits bounds a word. Records are joined by the first such run of a name, then the whole name is looked for: the join
-    grows with the mentions of first runs, not with entities times records.
+    Names of at least 3 bytes count; any character but ASCII letters and digits bounds a word. A name that is one run of these is found by an equi-join with the
+    runs of each record and needs no second look. Any other is a candidate where its longest run (or, without one, its first two characters) stands, and is then looked
+    for as a whole. Joins grow with what records say, not with entities times records.
     """
-    word = lambda c: F.regexp_extract_all(F.col(c), F.lit("[a-z0-9]+"), F.lit(0))
+    run, odd = F.lit("[a-z0-9]+"), F.lit("(?=([^a-z0-9]{1,2}))")
     named = entities.where(F.octet_length("name") >= 3).select(F.col("id").alias("source_id"), F.lower("name").alias("n"))
-    blank = F.array(F.lit(""))
-    names = named.select(F.element_at(F.array_union(F.slice(word("n"), 1, 1), blank), 1).alias("term"), "n").distinct()
+    runs = F.regexp_extract_all("n", run, F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("l"), r.alias("r")))), 1)["r"]
+    simple = F.col("n").rlike("^[a-z0-9]+$")
+    wanted = named.select("n").distinct().withColumn("term", F.when(simple, F.col("n")).when(F.size(runs) > 0, longest).otherwise(F.substring("n", 1, 2)))
     lowered = memories.select(F.col("id").alias("target_id"), F.lower("content").alias("c"))
-    words = lowered.select("target_id", F.explode(F.array_union(word("c"), blank)).alias("term"))
+    words = lowered.select("target_id", F.explode(F.array_distinct(F.regexp_extract_all("c", run, F.lit(0)))).alias("term"))
+    said = words.join(wanted.where(simple).select("n", "term"), "term").select("n", "target_id")
+    others = wanted.where(~simple)
     # ids and terms only; a text is read again once, with all names that may be in it
-    candidates = words.join(names, "term").groupBy("target_id").agg(F.collect_set("n").alias("names"))
+    candidates = words.unionByName(_odd_characters(lowered, odd)).join(others, "term").groupBy("target_id").agg(F.collect_set("n").alias("names"))
     edge, end = F.lit("(^|[^A-Za-z0-9])"), F.lit("($|[^A-Za-z0-9])")
-    quoted = lambda n: F.regexp_replace(n, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
+    quoted = lambda n: F.concat(F.lit("\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     holds = lambda n: F.contains(F.col("c"), n) & F.regexp_like(F.col("c"), F.concat(edge, quoted(n), end))
-    said = lowered.join(candidates, "target_id").select("target_id", F.explode(F.filter("names", holds)).alias("n"))
-    return said.join(named, "n").select("source_id", "target_id").distinct()
+    checked = lowered.join(candidates, "target_id").select(F.explode(F.filter("names", holds)).alias("n"), "target_id")
+    return said.unionByName(checked).join(named, "n").select("source_id", "target_id").distinct()
+
+
+def _odd_characters(lowered: DataFrame, odd: Column) -> DataFrame:
+    """(target_id, term): the pairs of neighbours, and single characters, that are no ASCII letters or digits."""
+    pairs = F.array_distinct(F.regexp_extract_all("c", odd, F.lit(1)))
+    return lowered.select("target_id", F.explode(F.array_union(pairs, F.transform(pairs, lambda p: F.substring(p, 1, 1)))).alias("term"))
 
 
 def link_mentions(entities: DataFrame, memories: DataFrame, edges: DataFrame, edge_type: str = "mentioned_in") -> DataFrame:

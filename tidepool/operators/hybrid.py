@@ -25,7 +25,12 @@ def vector_ranker(table: DataFrame, chunks: DataFrame, query: list[float], limit
 
 def keyword_ranker(docs: DataFrame, query: str, limit: int = RANKER_LIMIT, stemmed: bool = False) -> DataFrame:
     """(id, rank, score) of records; entities in ``docs`` (kind 1) take ranks too and are then left out, so ranks may have gaps."""
-    return keyword.top(keyword.search(docs, query, stemmed=stemmed), limit).where("kind = 0").select("id", "rank", "score")
+    return keyword_ranks(keyword.search(docs, query, stemmed=stemmed), limit)
+
+
+def keyword_ranks(found: DataFrame, limit: int = RANKER_LIMIT) -> DataFrame:
+    """The same of what a keyword search found, by an index or without."""
+    return keyword.top(found, limit).where("kind = 0").select("id", "rank", "score")
 
 
 def graph_ranker(entities: DataFrame, edges: DataFrame, query: list[float], seeds: int = ENTITY_SEEDS, limit: int = RANKER_LIMIT) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyword search: BM25 with tiered matching.
 
 A single query needs no postings: term counts of its few terms are computed where the documents are read, and only two
-numbers for the corpus and one for each term are gathered. ``postings`` serve batches of queries.
+numbers for the corpus and one for each term are gathered. ``postings`` serve batches of queries; ``index`` keeps them.
 """
 
 from __future__ import annotations
@@ -40,17 +40,22 @@ def scored(docs: DataFrame, phrases: list[list[str]], every: bool = False) -> Da
     return _found(docs, phrases, [True] * len(phrases), "and" if every else "or")
 
 
-def search(docs: DataFrame, query: str, tier: str = "tiered", stemmed: bool = False) -> DataFrame:
-    """The matching documents with ``score``, unsorted. ``stemmed`` is as for ``tokenised``, and has to be the same.
-
-    ``and``: all words but stopwords. ``or``: any word. ``tiered``: the first, unless nothing matches; then the second.
-    """
+def asked(query: str, stemmed: bool = False) -> tuple[list[list[str]], list[bool]]:
+    """The phrases of a query, and which of them a strict search needs."""
     words = [(w, query_phrases(w, False)) for w in query_words(query, False)]
     kept = {w.lower() for w in query_words(query, True)}
     phrases = [(p[0], w.lower() in kept) for w, p in words if p]
     if stemmed:
         phrases = [([normal(t) for t in p], strict) for p, strict in phrases]
-    return _found(docs, [p for p, _ in phrases], [strict for _, strict in phrases], tier)
+    return [p for p, _ in phrases], [strict for _, strict in phrases]
+
+
+def search(docs: DataFrame, query: str, tier: str = "tiered", stemmed: bool = False) -> DataFrame:
+    """The matching documents with ``score``, unsorted. ``stemmed`` is as for ``tokenised``, and has to be the same.
+
+    ``and``: all words but stopwords. ``or``: any word. ``tiered``: the first, unless nothing matches; then the second.
+    """
+    return _found(docs, *asked(query, stemmed), tier)
 
 
 def _found(docs: DataFrame, phrases: list[list[str]], strict: list[bool], tier: str) -> DataFrame:
@@ -59,18 +64,26 @@ def _found(docs: DataFrame, phrases: list[list[str]], strict: list[bool], tier:
     """
     if not phrases:
         return docs.drop("tokens").withColumn("score", F.lit(0.0)).where(F.lit(False))
-    names = [f"_f{k}" for k in range(len(phrases))]
-    counts = [phrase_count(F.col("tokens"), p).alias(f) for p, f in zip(phrases, names, strict=True)]
-    counted = docs.select("*", F.size("tokens").alias("_len"), *counts).drop("tokens")
+    counts = [phrase_count(F.col("tokens"), p).alias(f"_f{k}") for k, p in enumerate(phrases)]
+    return chosen(docs.select("*", F.size("tokens").alias("_len"), *counts).drop("tokens"), None, strict, tier)
+
+
+def chosen(counted: DataFrame, corpus: DataFrame | None, strict: list[bool], tier: str) -> DataFrame:
+    """Documents with their length ``_len`` and phrase counts ``_f0`` and so on, chosen and scored.
+
+    ``corpus`` is one row (_n, _avg); without it ``counted`` has every document. Where nothing is found, nothing is scored.
+    """
+    names = [f"_f{k}" for k in range(len(strict))]
     has = [F.col(f) > 0 for f in names]
     all_strict, any_word = F.lit(True), F.lit(False)
     for found, needed in zip(has, strict, strict=True):
         all_strict = all_strict & found if needed else all_strict
         any_word = any_word | found
     number = lambda hit: F.count(F.when(hit, 1))
-    totals = counted.agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), number(all_strict).alias("_both"), *[number(hit).alias(f"_n{f}") for hit, f in zip(has, names, strict=True)]
-    )
+    sizes = [] if corpus is not None else [F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg")]
+    totals = counted.agg(*sizes, number(all_strict).alias("_both"), *[number(hit).alias(f"_n{f}") for hit, f in zip(has, names, strict=True)])
+    if corpus is not None:
+        totals = totals.crossJoin(F.broadcast(corpus))  # one row each
     parts = [
         F.when(hit, idf(F.col("_n"), F.col(f"_n{f}")) * term_weight(F.col(f), F.col("_len"), F.col("_avg"))).otherwise(0.0)
         for hit, f in zip(has, names, strict=True)
@@ -81,9 +94,9 @@ def _found(docs: DataFrame, phrases: list[list[str]], strict: list[bool], tier:
     by_strict = {"and": F.lit(True), "or": F.lit(False), "tiered": F.col("_both") > 0}[tier]
     # the totals are one row; the choice looks at them, so that it isn't made, and terms aren't found, a second time below the join
     both = counted.crossJoin(F.broadcast(totals))
-    chosen = both.where(F.when(F.col("_n") > 0, F.when(by_strict, all_strict).otherwise(any_word)).otherwise(False))
+    found = both.where(F.when(F.col("_n") > 0, F.when(by_strict, all_strict).otherwise(any_word)).otherwise(False))
     hidden = ["_len", "_n", "_avg", "_both", *names, *[f"_n{f}" for f in names]]
-    return chosen.withColumn("score", F.when(by_strict, firm).otherwise(loose)).drop(*hidden)
+    return found.withColumn("score", F.when(by_strict, firm).otherwise(loose)).drop(*hidden)
 
 
 def top(found: DataFrame, k: int, score: str = "score", id_column: str = "id") -> DataFrame:
@@ -106,9 +119,10 @@ def doc_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("average"))
 
 
-def search_batch(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def search_batch(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int = TOP_K, digits: int = 9) -> DataFrame:
     """(query_id, rank, id, score): the k best of each query of a table (query_id, term), by any of its terms.
 
+    Scores that are equal to ``digits`` places tie, so that the order of sums decides nothing; ties go to the smaller id.
     ``index`` is ``postings``. Frequent terms are joined without gathering their postings; ranks are cut on each side of the last shuffle.
     """
     wanted = queries.dropDuplicates(["query_id", "term"])
@@ -117,5 +131,5 @@ def search_batch(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int
     asked = wanted.join(frequency, "term").crossJoin(F.broadcast(stats))
     weights = asked.select("query_id", "term", "average", idf(F.col("n"), F.col("n_with")).alias("idf"))
     hits = used.join(weights, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * term_weight(F.col("tf"), F.col("len"), F.col("average"))).alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id")
     return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from tidepool.functions import constants as C
 from tidepool.functions.text import column
 
+#: Canaries that one search looks for.
+MOST_CANARIES = 64
+
 
 def listed(memories: DataFrame, source_type: str | None = None, tier: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page in id order with ``total_count`` and ``truncated``; records without a source type pass every one."""
@@ -80,8 +83,10 @@ def asks_for_credentials(c: str | Column) -> Column:
 
 
 def canary_hits(results: DataFrame, canaries: DataFrame, json: str = "result") -> DataFrame:
-    """Results that hold the id of a canary; the canaries are at most 64."""
-    return results.join(F.broadcast(canaries.limit(64)), F.contains(F.col(json), F.col("canary_id")), "left_semi")
+    """Results that hold the id of a canary; more than ``MOST_CANARIES`` canaries are refused, since every result is compared with each."""
+    if canaries.limit(MOST_CANARIES + 1).count() > MOST_CANARIES:
+        raise ValueError(f"more than {MOST_CANARIES} canaries")
+    return results.join(F.broadcast(canaries), F.contains(F.col(json), F.col("canary_id")), "left_semi")
 
 
 def ip_number(c: str | Column) -> Column:

@@ -146,37 +146,26 @@ def repoint_edges(spark, sf_dir):
     return graph.repointed(_edges(spark, sf_dir), graph.resolution(V.entities(spark, sf_dir)))
 
 
-# names are the second words of documents; records whose id is divisible by 5 are linked already
-_NAMES_SQL = f"{V.MEMORIES}, named AS (SELECT min(id) + 1000000 AS id, name FROM (SELECT id, regexp_extract_all(content, '[\\p{{L}}\\p{{N}}]+')[2] AS name FROM memories WHERE id % 20 = 0) WHERE name IS NOT NULL GROUP BY name)"
+# names are the second words of documents; records whose id is divisible by 5 are linked already.
+# Names of ASCII letters and digits alone are whole runs of them, so SQL needs the expression only for the others
+_NAMES_SQL = f"{V.MEMORIES}, named AS (SELECT min(id) + 1000000 AS id, name FROM (SELECT id, regexp_extract_all(content, '[\\p{{L}}\\p{{N}}]+')[2] AS name FROM memories) WHERE name IS NOT NULL GROUP BY name)"
 
 
-def _named(spark, sf_dir, of="id % 20 = 0"):
+def _named(spark, sf_dir):
     word = F.get(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lit(1))
-    own = V.memories(spark, sf_dir).where(of).select("id", word.alias("name"))
+    own = V.memories(spark, sf_dir).select("id", word.alias("name"))
     return own.where(F.col("name").isNotNull()).groupBy("name").agg((F.min("id") + 1_000_000).alias("id"))
 
 
 @query(
-    rf"""WITH {_NAMES_SQL}, pairs AS (SELECT n.id AS source_id, m.id AS target_id FROM named n JOIN memories m
-        ON octet_length(encode(n.name)) >= 3 AND regexp_matches(lower(m.content), '(^|[^A-Za-z0-9])' || lower(n.name) || '($|[^A-Za-z0-9])'))
-    SELECT source_id, 'mentioned_in' AS edge_type, target_id FROM pairs WHERE target_id % 5 <> 0"""
-)
-def link_entities(spark, sf_dir):
-    named, memories = _named(spark, sf_dir), V.memories(spark, sf_dir)
-    known = graph.mentions(named, memories.where("id % 5 = 0")).withColumn("edge_type", F.lit("mentioned_in"))
-    return graph.link_mentions(named, memories, known)
-
-
-# names of all documents; those of ASCII letters and digits alone are whole runs of them, so SQL needs the expression only for the others
-@query(
-    rf"""WITH {_NAMES_SQL.replace(" WHERE id % 20 = 0", "")}, words AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS w FROM memories),
+    rf"""WITH {_NAMES_SQL}, words AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS w FROM memories),
     pairs AS (SELECT n.id AS source_id, w.id AS target_id FROM named n JOIN words w ON w.w = lower(n.name) WHERE octet_length(encode(n.name)) >= 3
         UNION SELECT n.id, m.id FROM (SELECT * FROM named WHERE octet_length(encode(name)) >= 3 AND NOT regexp_full_match(lower(name), '[a-z0-9]+')) n JOIN memories m
         ON regexp_matches(lower(m.content), '(^|[^A-Za-z0-9])' || lower(n.name) || '($|[^A-Za-z0-9])'))
     SELECT source_id, 'mentioned_in' AS edge_type, target_id FROM pairs WHERE target_id % 5 <> 0"""
 )
-def link_all_entities(spark, sf_dir):
-    named, memories = _named(spark, sf_dir, "true"), V.memories(spark, sf_dir)
+def link_entities(spark, sf_dir):
+    named, memories = _named(spark, sf_dir), V.memories(spark, sf_dir)
     known = graph.mentions(named, memories.where("id % 5 = 0")).withColumn("edge_type", F.lit("mentioned_in"))
     return graph.link_mentions(named, memories, known)
 

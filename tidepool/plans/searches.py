@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions import constants as C
+from tidepool.functions.stemming import normal
 from tidepool.functions.text import query_phrases
 from tidepool.functions.vectors import norm, normalised
-from tidepool.operators import hybrid, keyword, metrics, vector
+from tidepool.operators import hybrid, index, keyword, metrics, vector
+from tidepool.operators.lineage import scratch
 from tidepool.plans import views as V
+from tidepool.plans.porter import stems_sql
 from tidepool.plans.registry import query
 
 WORDS, RARE, PHRASE, NAME = "the onth thre anor", "the onth zzqx anor", "of-the the-that", "small bolt ring"
@@ -84,6 +87,20 @@ def kw_phrase(spark, sf_dir):
     return _keyword(spark, sf_dir, PHRASE, "or")
 
 
+# inflected and accented words: each different term is stemmed once, then documents are lists of stems
+STEMMED = "tions thred hèr anoring"
+_STEMMED_DOCS = f"""words AS (SELECT DISTINCT unnest({TERMS.format("content")}) AS w FROM memories), {stems_sql("words")},
+    u AS (SELECT id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT id, {TERMS.format("content")} AS x FROM memories)),
+    d AS (SELECT m.id, coalesce(l.t, []) AS t FROM memories m LEFT JOIN (SELECT id, list(st ORDER BY i) AS t FROM u JOIN stems USING (w) GROUP BY id) l USING (id)),
+    s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d)"""
+
+
+@query(_top_sql(f"{V.MEMORIES}, {_STEMMED_DOCS}, {_scored_sql([[normal(w)] for w in STEMMED.split()], False, 'o')}, found AS (SELECT id, score FROM o)", 50))
+def kw_stemmed(spark, sf_dir):
+    docs = keyword.tokenised(V.memories(spark, sf_dir).select("id", "content"), stemmed=True).drop("content")
+    return keyword.top(keyword.search(docs, STEMMED, "or", stemmed=True), 50).select("id", "rank", F.round("score", 6).alias("score"))
+
+
 # entities: name, type and observations are searched together; the type filter comes after the cut to 2k
 @query(
     f"WITH {V.ENTITIES}, "
@@ -127,14 +144,34 @@ _BATCH_SQL = f"""WITH {V.MEMORIES}, {_docs_sql("memories", "content")},
     SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10"""
 
 
+def _indexed(spark, sf_dir):
+    """An index of all documents, written and read again."""
+    path = scratch(spark, "index")
+    docs = keyword.tokenised(V.memories(spark, sf_dir).select("id", "content")).select("id", F.lit(0).alias("kind"), "tokens")
+    index.write(docs, path)
+    return index.KeywordIndex(spark, [path])
+
+
 @query(_BATCH_SQL)
 def kw_batch(spark, sf_dir):
-    docs = keyword.tokenised(V.memories(spark, sf_dir).select("id", "content")).drop("content")
-    asked = docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.explode(F.slice("tokens", 1, 3)).alias("term"))
-    found = keyword.search_batch(keyword.postings(docs), keyword.doc_stats(docs), asked, 1000)
-    place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    ranked = found.withColumn("rank", F.row_number().over(place)).where("rank <= 10")
-    return ranked.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    few = keyword.tokenised(V.memories(spark, sf_dir).where("id % 50 = 0").select("id", "content"))
+    asked = few.select(F.col("id").alias("query_id"), F.explode(F.slice("tokens", 1, 3)).alias("term"))
+    found = _indexed(spark, sf_dir).search_batch(asked)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def _from_index(spark, sf_dir, text, tier):
+    return keyword.top(_indexed(spark, sf_dir).search(text, tier), 10).select("id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_top_sql(V.MEMORIES + ", " + _keyword_sql(WORDS, "tiered")))
+def kw_index_tiered(spark, sf_dir):
+    return _from_index(spark, sf_dir, WORDS, "tiered")
+
+
+@query(_top_sql(V.MEMORIES + ", " + _keyword_sql(PHRASE, "or")))
+def kw_index_phrase(spark, sf_dir):
+    return _from_index(spark, sf_dir, PHRASE, "or")
 
 
 # ---------------------------------------------------------------- vectors

@@ -309,16 +309,16 @@ def detect_format(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS place FROM documents) WHERE place <= 1000),
-    s AS (SELECT CASE WHEN octet_length(encode(text)) > 65536 OR text IS NULL OR doc_id % 10 = 0 THEN 'skipped' ELSE 'imported' END AS status FROM t)
+    """WITH p AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS text FROM documents),
+    s AS (SELECT CASE WHEN octet_length(encode(text)) > 65536 OR text IS NULL OR doc_id % 10 = 0 THEN 'skipped' ELSE 'imported' END AS status FROM p)
     SELECT count(*) FILTER (WHERE status = 'imported') AS imported, count(*) FILTER (WHERE status = 'skipped') AS skipped, CAST(0 AS BIGINT) AS errors FROM s"""
 )
 def import_batch(spark, sf_dir):
-    """A request of at most 1000 items; every tenth holds a secret."""
+    """All documents as one request; every tenth holds a secret."""
     own = V.table(spark, sf_dir, "documents")
     plain = F.regexp_replace("text", "[^a-zA-Z ]", "")
     content = F.when(F.col("doc_id") % 10 == 0, F.concat(plain, F.lit(" password=hunter2hunter2"))).otherwise(plain)
-    return files.counters(files.batch_records(own.select(F.col("doc_id").alias("place"), content.alias("content"))))
+    return files.counters(files.batch_records(own.select(content.alias("content"))))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Bulk import: files of records as DataFrames (content, created_at, status).
 
-``status`` is ``imported``, ``skipped`` or ``error``; ``counters`` sums it up. Nothing is read on the driver but path names.
+``status`` is ``imported``, ``skipped`` or ``error``; ``counters`` sums it up. A file that is too large to be read is one record with status ``error``. Nothing is read on
+the driver but path names.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from tidepool.functions.dates import iso_ms
 from tidepool.functions.text import chunks, column
 from tidepool.operators.tables import secret_kind
 
-#: Larger files are not read.
-MOST_FILE_BYTES = 100 << 20
+#: Larger files are not read, nor folders more levels down.
+MOST_FILE_BYTES, MOST_LEVELS = 100 << 20, 16
 
 
 def file_format(path: str | Column) -> Column:
@@ -34,10 +35,22 @@ def path_allowed(path: str, roots: list[str]) -> bool:
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False, most_bytes: int = MOST_FILE_BYTES) -> DataFrame:
-    """(path, text) of the files of a folder: size and name are filtered before any file is read; names that begin with a dot are left out."""
+    """(path, text) of the files of a folder; ``text`` is null for files that are too large, whose content is not read.
+
+    Files and folders whose names begin with a dot are left out, and so is what lies more than ``MOST_LEVELS`` folders down.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    found = reader.load(folder).where((F.col("length") <= most_bytes) & ~F.col("path").rlike(r"/\.[^/]*$"))
-    return found.select("path", F.col("content").cast("string").alias("text"))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    base = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    below = F.when(F.startswith("path", F.lit(base + "/")), F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))).otherwise(F.element_at(F.split("path", "/"), -1))
+    found = reader.load(folder).where(~below.rlike(r"(^|/)\.") & (F.size(F.split(below, "/")) <= MOST_LEVELS + 1))
+    small = found.where(F.col("length") <= most_bytes).select("path", F.col("content").cast("string").alias("text"))
+    return small.unionByName(found.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("string").alias("text")))
+
+
+def unread(files: DataFrame, text: str = "text") -> DataFrame:
+    """A record with status ``error`` for each file that was not read."""
+    return files.where(F.col(text).isNull()).select(F.lit(None).cast("string").alias("content"), F.lit(0).cast("long").alias("created_at"), F.lit("error").alias("status"))
 
 
 def jsonl_records(lines: DataFrame, line: str = "value", preserve: bool = True) -> DataFrame:
@@ -55,7 +68,7 @@ def csv_records(files: DataFrame, text: str = "text") -> DataFrame:
     """Every line but a file's first is a record as it stands; empty lines are passed over, a file of one line is an error."""
     own = files.withColumn("lines", F.split(F.col(text), "\n", -1))
     rows = own.where(F.size("lines") > 1).select(F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("content")).where(F.length("content") > 0)
-    bad = own.where(F.size("lines") <= 1).select(F.lit(None).cast("string").alias("content"), F.lit(0).cast("long").alias("created_at"), F.lit("error").alias("status"))
+    bad = own.where(F.coalesce(F.size("lines"), F.lit(-1)) <= 1).select(F.lit(None).cast("string").alias("content"), F.lit(0).cast("long").alias("created_at"), F.lit("error").alias("status"))
     return rows.select("content", F.lit(0).cast("long").alias("created_at"), F.lit("imported").alias("status")).unionByName(bad)
 
 
@@ -68,7 +81,8 @@ def csv_mapped(spark: SparkSession, path: str, content: str) -> DataFrame:
 def text_records(files: DataFrame, text: str = "text", strategy: str = "paragraph", size: int = 4096) -> DataFrame:
     """A text's chunks; those of white space alone are skipped."""
     each = files.select(F.explode(chunks(text, strategy, size)).alias("content"))
-    return each.select("content", F.lit(0).cast("long").alias("created_at"), F.when(F.col("content").rlike(r"[^ \t\r\n\f]"), "imported").otherwise("skipped").alias("status"))
+    made = each.select("content", F.lit(0).cast("long").alias("created_at"), F.when(F.col("content").rlike(r"[^ \t\r\n\f]"), "imported").otherwise("skipped").alias("status"))
+    return made.where(F.col("content").isNotNull()).unionByName(unread(files, text))
 
 
 def mbox_records(files: DataFrame, text: str = "text", preserve: bool = True) -> DataFrame:
@@ -84,7 +98,8 @@ def mbox_records(files: DataFrame, text: str = "text", preserve: bool = True) ->
             rows = [(body, rfc2822_ms(date) if preserve else 0, "imported") for own in part["text"] for body, date in messages(own or "")]
             yield pd.DataFrame(rows, columns=["content", "created_at", "status"]).astype({"created_at": "int64"})
 
-    return files.select(F.col(text).alias("text")).mapInPandas(run, "content string, created_at long, status string")
+    read = files.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(run, "content string, created_at long, status string")
+    return read.unionByName(unread(files, text))
 
 
 def messages(text: str):
@@ -111,11 +126,11 @@ def messages(text: str):
             yield body, date
 
 
-def batch_records(items: DataFrame, most: int = 1000) -> DataFrame:
-    """Items (place, content, ...) of one request with ``status``: skipped without content, over 64 KB or with a secret. At most ``most`` are taken."""
+def batch_records(items: DataFrame) -> DataFrame:
+    """Items (content, ...) of one request with ``status``: skipped without content, over 64 KB or with a secret. A request of any length is taken whole."""
     content = F.col("content")
     skipped = content.isNull() | (F.octet_length(content) > MOST_BYTES) | secret_kind(content).isNotNull()
-    return items.orderBy("place").limit(most).withColumn("status", F.when(skipped, "skipped").otherwise("imported"))
+    return items.withColumn("status", F.when(skipped, "skipped").otherwise("imported"))
 
 
 def counters(records: DataFrame) -> DataFrame:

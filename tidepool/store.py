@@ -17,7 +17,7 @@ from tidepool.functions import constants as C
 from tidepool.functions import dates, ids
 from tidepool.functions.embedding import Embedder
 from tidepool.functions.text import turn_chunks
-from tidepool.operators import graph, hybrid, keyword, lifecycle, tables, temporal, vector
+from tidepool.operators import graph, hybrid, index, keyword, lifecycle, tables, temporal, vector
 from tidepool.operators.lineage import checkpointed
 from tidepool.sources import files
 
@@ -40,17 +40,24 @@ class NotFound(LookupError):
 
 
 class Store:
-    """Tools over the tables in ``folder``. ``now`` gives the present in milliseconds, ``embedder`` vectors; without one only keywords are searched."""
+    """Tools over the tables in ``folder``. ``now`` gives the present in milliseconds, ``embedder`` vectors; without one only keywords are searched.
 
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, now=None):
+    Keyword searches read an index with ``shards`` folders of postings, kept beside the tables: one part for each part of a table, written when a search first needs it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, now=None, shards: int = 8):
         import time
 
-        self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder
+        self.spark, self.folder, self.embedder, self.shards = spark, folder.rstrip("/"), embedder, shards
         self.now = now or (lambda: int(time.time() * 1000))
         self.jobs: dict[str, dict] = {}
 
     # ------------------------------------------------------------ tables
 
+    def _exists(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
     def _names(self, path: str) -> list[int]:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -159,16 +166,24 @@ class Store:
     def _vectors(self) -> DataFrame:
         return self.table("memories").select("id", "embedding").unionByName(self.table("chunks").select("id", "embedding"))
 
-    def _texts(self) -> DataFrame:
-        """Records (kind 0) and entities (kind 1) with all their searched columns as terms."""
-        joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ", "")
-        records = keyword.tokenised(self.table("memories").withColumn("_t", joined("tags")), ["content", "source_type", "source_author", "_t"], stemmed=True).select("id", F.lit(0).alias("kind"), "tokens")
-        things = keyword.tokenised(self.table("entities").withColumn("_o", joined("observations")), ["name", "entity_type", "_o"], stemmed=True).select("id", F.lit(1).alias("kind"), "tokens")
-        return records.unionByName(things)
+    def _index(self, again: bool = False) -> index.KeywordIndex:
+        """Records (kind 0) and entities (kind 1) with all their searched columns, in index parts; parts that are missing are written, with ``again`` all."""
+        searched = {"memories": (0, "tags", ["content", "source_type", "source_author", "_list"]), "entities": (1, "observations", ["name", "entity_type", "_list"])}
+        paths = []
+        for name, (kind, listed, columns) in searched.items():
+            for generation in self._names(f"{self.folder}/{name}")[-1:]:
+                for part in self._names(f"{self.folder}/{name}/{generation}"):
+                    path = f"{self.folder}/index/{name}-{generation}-{part}"
+                    if again or not self._exists(f"{path}/lengths/_SUCCESS"):
+                        rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{generation}/{part}")
+                        own = rows.withColumn("_list", F.array_join(F.coalesce(listed, F.array().cast("array<string>")), " ", ""))
+                        index.write(keyword.tokenised(own, columns, stemmed=True).select("id", F.lit(kind).alias("kind"), "tokens"), path, self.shards)
+                    paths.append(path)
+        return index.KeywordIndex(self.spark, paths, "string", self.shards)
 
     def search_keyword(self, query: str, k: int = C.TOP_K) -> DataFrame:
         """(id, content, tier, score); entities take places and are then shown without content."""
-        best = keyword.top(keyword.search(self._texts(), query, stemmed=True), keyword.clamp_k(k)).where("kind = 0")
+        best = keyword.top(self._index().search(query, stemmed=True), keyword.clamp_k(k)).where("kind = 0")
         found = best.join(self.table("memories").select("id", "content", "tier"), "id", "left")
         return found.select("id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tier", F.lit("unknown")).alias("tier"), "score")
 
@@ -179,7 +194,7 @@ class Store:
 
     def search_hybrid(self, query: str, k: int = C.TOP_K, tier: str | None = None, since: int = 0, until: int = 0) -> DataFrame:
         """Keyword, vector and graph ranks fused; optional filters are laid on the records."""
-        parts = {"keyword": hybrid.keyword_ranker(self._texts(), query, stemmed=True)}
+        parts = {"keyword": hybrid.keyword_ranks(self._index().search(query, stemmed=True))}
         if self.embedder:
             asked = self.embedder.vector(query)
             parts["vector"] = hybrid.vector_ranker(self._vectors(), self.table("chunks"), asked)
@@ -194,9 +209,8 @@ class Store:
 
     def search_entities(self, query: str, entity_type: str | None = None, k: int = C.TOP_K) -> DataFrame:
         k = keyword.clamp_k(k)
-        docs = self._texts()
         # scores count records too, places only entities
-        hits = keyword.search(docs, query, stemmed=True).where("kind = 1").orderBy(F.desc("score"), "id").limit(2 * k)
+        hits = self._index().search(query, stemmed=True).where("kind = 1").orderBy(F.desc("score"), "id").limit(2 * k)
         found = hits.join(self.table("entities"), "id").select("id", "name", "entity_type", "score", F.size("observations").alias("observation_count"))
         return (found.where(F.col("entity_type") == entity_type) if entity_type else found).orderBy(F.desc("score"), "id").limit(k)
 
@@ -346,7 +360,7 @@ class Store:
             self.replace("chunks", self._passages(self.table("memories")))
             out["vectors"] = self._vectors().where("embedding is not null").count()
         if target != "vector":
-            out["terms"] = keyword.postings(self._texts()).count()
+            out["terms"] = self._index(again=True).all_postings().count()
         known = self.table("entities").select("id").union(self.table("memories").select("id"))
         before = self.table("edges").count()
         self.replace("edges", graph.without_orphans(self.table("edges"), known))
@@ -382,7 +396,7 @@ class Store:
             raise InvalidInput(folder)
         own = files.read_files(self.spark, folder, pattern, recursive).withColumn("kind", files.file_format("path"))
         lines = own.where("kind = 'jsonl'").select(F.explode(F.split("text", "\n")).alias("value"))
-        parts = [files.jsonl_records(lines), files.csv_records(own.where("kind = 'csv'")), files.mbox_records(own.where("kind = 'mbox'")), files.text_records(own.where("kind in ('text', 'markdown')"))]
+        parts = [files.jsonl_records(lines), files.unread(own.where("kind = 'jsonl'")), files.csv_records(own.where("kind = 'csv'")), files.mbox_records(own.where("kind = 'mbox'")), files.text_records(own.where("kind in ('text', 'markdown')"))]
         job = ids.uuid7(self.now())
         self.jobs[job] = {"status": "running"}
         self.jobs[job] = {"status": "complete"} | self._import(reduce(DataFrame.unionByName, parts))
@@ -399,7 +413,7 @@ class Store:
         return {r.table_name: r.n for r in tables.counts({n: self.table(n) for n in ("memories", "entities", "edges")}).collect()}
 
     def get_index_stats(self) -> dict:
-        return {"vectors": self._vectors().where("embedding is not null").count(), "documents": self._texts().count()}
+        return {"vectors": self._vectors().where("embedding is not null").count(), "documents": self._index().lengths().count()}
 
     def health_check(self) -> dict:
         return {"status": "ok", "embedding": self.embedder is not None}
