@@ -109,7 +109,8 @@ def copy_links(docs: DataFrame, text: str = "text", tile: int = TILE) -> DataFra
     pools = once.select(F.col("node"), "w0").join(roots.withColumnRenamed("node", "w"), F.col("w0") == F.col("w"), "left").select("node", F.coalesce("root", "w0").alias("root"))
     pools = cut(pools, "pools")
     tiles = pools.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / tile).cast("long").alias("tiles"))
-    pools = cut(pools.join(tiles, "root"), "pools")
+    # written first: in a join of two tables read from files Spark can split a hot pool, and send a small table of pools to all tasks
+    pools = cut(pools.join(cut(tiles, "tiles"), "root"), "pools")
     sets = own.join(pools.select("node"), "node", "left_semi").mapInArrow(_shingled, "node long, shingles binary")
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
     dealt = pools.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")))
