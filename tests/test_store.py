@@ -130,3 +130,16 @@ def test_calls(store):
         with pytest.raises(error):
             store.call(bad)
     assert bookends(list("abcdef"), 4) == list("abef")
+
+
+def test_lookup_truncation_and_log(spark, store):
+    own = store.create_entity("Paris", "city", ["capital"])
+    assert store.get_entity(own)["observations"] == ["capital"]
+    with pytest.raises(NotFound):
+        store.get_entity("none")
+    for k in range(3):
+        store.store_memory(f"a walk in Paris, day {k} of the journey")
+    assert store.search_truncated("walk paris", 1) and not store.search_truncated("walk paris", 50)
+    store.audit([{"tool": "search_keyword", "outcome": "ok"}])
+    store.audit([{"tool": "import_file", "outcome": "refused", "detail": "path"}, {"tool": "x"}])
+    assert spark.read.json(f"{store.folder}/log/audit").count() == 3

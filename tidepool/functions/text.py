@@ -52,6 +52,11 @@ def normalised_name(c: str | Column) -> Column:
     return F.substring(F.lower(F.trim(column(c))), 1, 255)
 
 
+def normalised_answer(c: str | Column) -> Column:
+    """Lower-cased, with one space for each run of what is no letter, digit or underscore; nothing at the ends."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(column(c), F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+
+
 def admitted(c: str | Column) -> Column:
     """Whether a text is worth storing: long enough, also without outer spaces and final punctuation, and no small talk."""
     plain = F.substring(F.regexp_replace(F.lower(F.regexp_replace(column(c), r"^[ \t\r\n]+|[ \t\r\n]+$", "")), "[.!?]+$", ""), 1, 255)

@@ -55,6 +55,11 @@ def fuse(rankers: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     return every.groupBy("id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"), F.count(F.lit(1)).alias("rankers"), *own)
 
 
+def truncated(fused: DataFrame, k: int) -> DataFrame:
+    """(found, truncated): how many ids were found, records or not, and whether that is more than k."""
+    return fused.agg(F.count(F.lit(1)).alias("found")).select("found", (F.col("found") > k).alias("truncated"))
+
+
 def results(fused: DataFrame, memories: DataFrame, k: int, least: float = 0.0) -> DataFrame:
     """The k best that are records, with their content; ids that are none take no place."""
     known = fused.where(F.col("score") >= least).join(memories, "id")

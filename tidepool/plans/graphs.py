@@ -68,6 +68,11 @@ def edges_touching(spark, sf_dir):
     return graph.edges_touching(edges, ids).select("source_id", "edge_type", "target_id")
 
 
+@query(f"WITH {V.ENTITIES} SELECT id, name, entity_type, array_to_string(observations, '|') AS observations FROM entities WHERE id = 17")
+def entity_by_id(spark, sf_dir):
+    return V.entities(spark, sf_dir).where("id = 17").select("id", "name", "entity_type", F.array_join("observations", "|").alias("observations"))
+
+
 _AT, _KNOWN = V.START + 100 * 24 * V.HOUR, V.START + 150 * 24 * V.HOUR
 
 

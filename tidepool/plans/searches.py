@@ -308,6 +308,17 @@ def rrf_without_graph(spark, sf_dir):
     return _fused(spark, sf_dir, {"vector": _vector_part(spark, sf_dir), "keyword": _keyword_part(spark, sf_dir)})
 
 
+@query(f"{_ALL_SQL}, f AS (SELECT id FROM vp UNION SELECT id FROM kp UNION SELECT id FROM gp) SELECT count(*) AS found, count(*) > 20 AS truncated FROM f")
+def rrf_truncated(spark, sf_dir):
+    parts = {"vector": _vector_part(spark, sf_dir), "keyword": _keyword_part(spark, sf_dir), "graph": _graph_part(spark, sf_dir)}
+    return hybrid.truncated(hybrid.fuse(parts), 20)
+
+
+@query(f"WITH {V.CHUNKS} SELECT id, parent_id FROM chunks WHERE parent_id = 48")
+def passages_of(spark, sf_dir):
+    return V.chunks(spark, sf_dir).where("parent_id = 48").select("id", "parent_id")
+
+
 # ---------------------------------------------------------------- quality
 
 _RESULTS_SQL = "res AS (SELECT doc_id // 20 AS query_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY toxic, doc_id) AS rank, quality AS relevant FROM labels)"
@@ -338,6 +349,60 @@ def retrieval_by_ability(spark, sf_dir):
     return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
+# of each run of 20 labelled rows, the first 12 in rank order are what a search gave; each has scores of three rankers
+_FOUND_SQL = f"{_RESULTS_SQL}, own AS (SELECT doc_id, doc_id // 20 AS query_id, quality AS relevant, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY toxic, doc_id) AS rank FROM labels), got AS (SELECT * FROM own WHERE rank <= 12)"
+
+
+def _found(spark, sf_dir):
+    own = V.table(spark, sf_dir, "labels").withColumn("query_id", F.floor(F.col("doc_id") / 20))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("toxic", "doc_id"))
+    return own.select("query_id", F.col("doc_id").alias("id"), F.col("quality").alias("relevant"), place.alias("rank"))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT query_id, round(count(*) FILTER (WHERE rank <= 12) / count(*), 6) AS session_recall FROM own WHERE relevant = 1 GROUP BY query_id")
+def session_recall(spark, sf_dir):
+    own = _found(spark, sf_dir)
+    return metrics.session_recall(own.where("rank <= 12"), own.where("relevant = 1")).select("query_id", F.round("session_recall", 6).alias("session_recall"))
+
+
+_PLAIN_SQL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+# the answer to a run of 20 documents is the text of the benchmark item of its number
+@query(
+    f"""WITH t AS (SELECT doc_id // 20 AS query_id, string_agg(coalesce(text, ''), ' ' ORDER BY doc_id) AS t FROM documents GROUP BY 1),
+    a AS (SELECT item_id AS query_id, {_PLAIN_SQL.format("text")} AS a FROM benchmark)
+    SELECT query_id, coalesce(a <> '' AND contains({_PLAIN_SQL.format("t")}, a), false) AS answer_found FROM a LEFT JOIN t USING (query_id)"""
+)
+def answers_found(spark, sf_dir):
+    own = V.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("query_id"), F.col("doc_id").alias("rank"), F.col("text").alias("content"))
+    return metrics.answers_found(own, V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer")))
+
+
+@query(
+    f"""WITH {_FOUND_SQL}, x AS (SELECT query_id, doc_id % 7 / 7 AS v, CAST(doc_id % 3 AS DOUBLE) AS k, doc_id % 5 / 5 AS g FROM got)
+    SELECT query_id, count(*) AS results, count(*) FILTER (WHERE v > 0) AS has_vector, count(*) FILTER (WHERE k > 0) AS has_keyword, count(*) FILTER (WHERE g > 0) AS has_graph,
+        round(coalesce(avg(v) FILTER (WHERE v > 0), 0), 4) AS avg_vector, round(coalesce(avg(k) FILTER (WHERE k > 0), 0), 4) AS avg_keyword, round(coalesce(avg(g) FILTER (WHERE g > 0), 0), 4) AS avg_graph
+    FROM x GROUP BY query_id"""
+)
+def ranker_contributions(spark, sf_dir):
+    own = _found(spark, sf_dir).where("rank <= 12")
+    scores = own.select("query_id", (F.col("id") % 7 / 7).alias("vector_score"), (F.col("id") % 3).cast("double").alias("keyword_score"), (F.col("id") % 5 / 5).alias("graph_score"))
+    return metrics.ranker_contributions(scores)
+
+
+@query(
+    f"""WITH {_FOUND_SQL}, c AS (SELECT query_id, query_id % 4 AS ability, CASE WHEN rank <= 12 THEN rank END AS rank FROM own WHERE relevant = 1),
+    m AS (SELECT *, coalesce(min(rank) OVER (PARTITION BY query_id), 6) > 5 AS missed FROM c)
+    SELECT ability, count(DISTINCT query_id) AS queries, count(DISTINCT query_id) FILTER (WHERE missed) AS missed, count(*) FILTER (WHERE missed AND rank IS NULL) AS not_retrieved,
+        count(*) FILTER (WHERE missed AND rank > 5) AS ranked_low, list_sort(list(rank) FILTER (WHERE missed AND rank > 5))[count(*) FILTER (WHERE missed AND rank > 5) // 2 + 1] AS median_rank,
+        min(rank) FILTER (WHERE missed AND rank > 5) AS least_rank, max(rank) FILTER (WHERE missed AND rank > 5) AS most_rank FROM m GROUP BY ability"""
+)
+def miss_analysis(spark, sf_dir):
+    own = _found(spark, sf_dir).where("relevant = 1")
+    return metrics.misses(own.select("query_id", (F.col("query_id") % 4).alias("ability"), F.when(F.col("rank") <= 12, F.col("rank")).alias("rank")), "ability")
+
+
 @query(
     "SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, min(value) AS least, max(value) AS most FROM events GROUP BY event_type"
 )

@@ -192,13 +192,17 @@ class Store:
             raise InvalidInput("no embedder")
         return vector.semantic(self._vectors(), self.table("chunks"), self.table("memories"), self.embedder.vector(query), keyword.clamp_k(k))
 
-    def search_hybrid(self, query: str, k: int = C.TOP_K, tier: str | None = None, since: int = 0, until: int = 0) -> DataFrame:
-        """Keyword, vector and graph ranks fused; optional filters are laid on the records."""
+    def _rankers(self, query: str) -> dict[str, DataFrame]:
         parts = {"keyword": hybrid.keyword_ranks(self._index().search(query, stemmed=True))}
         if self.embedder:
             asked = self.embedder.vector(query)
             parts["vector"] = hybrid.vector_ranker(self._vectors(), self.table("chunks"), asked)
             parts["graph"] = hybrid.graph_ranker(self.table("entities"), self.table("edges"), asked)
+        return parts
+
+    def search_hybrid(self, query: str, k: int = C.TOP_K, tier: str | None = None, since: int = 0, until: int = 0) -> DataFrame:
+        """Keyword, vector and graph ranks fused; optional filters are laid on the records."""
+        parts = self._rankers(query)
         known = self.table("memories").where(temporal.within("created_at", since, until))
         known = known.where(F.col("tier") == tier) if tier else known
         return hybrid.results(hybrid.fuse(parts), known.select("id", "content", "tier"), keyword.clamp_k(k))
@@ -214,6 +218,11 @@ class Store:
         found = hits.join(self.table("entities"), "id").select("id", "name", "entity_type", "score", F.size("observations").alias("observation_count"))
         return (found.where(F.col("entity_type") == entity_type) if entity_type else found).orderBy(F.desc("score"), "id").limit(k)
 
+    def search_truncated(self, query: str, k: int = C.TOP_K) -> bool:
+        """Whether a hybrid search finds more ids than it gives; a keyword search is never told as cut."""
+        parts = self._rankers(query)
+        return hybrid.truncated(hybrid.fuse(parts), keyword.clamp_k(k)).first().truncated
+
     def _ms(self, text: str) -> int:
         return self.spark.range(1).select(dates.iso_ms(F.lit(text or ""))).first()[0]
 
@@ -236,6 +245,12 @@ class Store:
         places = temporal.bumped(old.withColumn("seq", F.lit(0)).unionByName(fresh.withColumn("seq", F.lit(1)))).where("seq = 1").drop("seq")
         self.append("versions", places)
 
+    def get_entity(self, own: str):
+        row = self.table("entities").where(F.col("id") == own).first()
+        if row is None:
+            raise NotFound(own)
+        return row.asDict()
+
     def add_observation(self, own: str, observation: str) -> None:
         """Appended, repeats allowed; the vector stays that of the name."""
         hit = F.col("id") == own
@@ -415,6 +430,13 @@ class Store:
     def get_index_stats(self) -> dict:
         return {"vectors": self._vectors().where("embedding is not null").count(), "documents": self._index().lengths().count()}
 
+    def audit(self, events: list[dict], kind: str = "audit") -> None:
+        """Append events (or, as kind ``alert``, alerts) to the store's JSON lines, each with its time."""
+        if kind not in ("audit", "alert"):
+            raise InvalidInput(kind)
+        rows = [(self.now(), str(e.get("tool", "")), str(e.get("outcome", "")), str(e.get("detail", ""))) for e in events]
+        self.spark.createDataFrame(rows, "at long, tool string, outcome string, detail string").coalesce(1).write.mode("append").json(f"{self.folder}/log/{kind}")
+
     def health_check(self) -> dict:
         return {"status": "ok", "embedding": self.embedder is not None}
 
@@ -430,7 +452,7 @@ class Store:
         return getattr(self, tool)(**arguments)
 
 
-#: The names that ``Store.call`` takes.
+# The names that ``Store.call`` takes.
 TOOLS = tuple(
     "store_memory retrieve_memory update_memory delete_memory delete_entity search_hybrid search_semantic search_keyword search_temporal create_entity add_observation create_relation get_memory_stats health_check link_entities resolve_entities search_entities import_batch import_file import_directory get_import_status rebuild_indexes get_history get_state_at_time get_changes_since prune_stale get_hardware_info get_index_stats extract_events search_events calculate_duration consolidate_memories list_memories get_entity_graph".split()
 )
