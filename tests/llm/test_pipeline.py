@@ -147,3 +147,70 @@ def test_odd_documents(spark, tmp_path):
         out = corpus_pipeline.run(spark, folder)
         assert out.columns[0] == "doc_id"
         out.collect()
+
+
+LONG = " ".join(f"word{k % 9973} and {k}" for k in range(60_000))  # about 1 MB
+PASSAGE = " ".join(f"shared{k}" for k in range(60))
+EXTRA = ["k1", "kept", "_kept", "row", "size", "c0", "a.b", "component_id"]
+
+
+def own(k):
+    return " ".join(f"own{k}x{i}" for i in range(60))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [
+        (1, None, "a"), (2, "", "a"), (3, "Some words here.", "a"), (3, "Some words here.", "a"), (None, "x y", "b"), (4, LONG, "b"), (5, LONG + " tail", None),
+        (6, f"{own(6)} {PASSAGE}", "é"), (7, f"{PASSAGE} {own(7)}", None),
+    ]
+    made = spark.createDataFrame([(*r[:2], "en", r[2], len(r[1] or ""), *["clash"] * len(EXTRA)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"e{k} string" for k in range(len(EXTRA))))
+    return made.toDF("doc_id", "text", "lang", "source", "n_chars", *EXTRA)
+
+
+def plain(frame):
+    return sorted((r.doc_id or 0, r.text or "") for r in frame.collect())
+
+
+def test_odd_documents_are_classified_alike(spark, odd, tmp_path):
+    spark.createDataFrame([(3, 1), (4, 0), (6, 1), (7, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = corpus_pipeline.reject_low_quality(spark, odd, str(tmp_path))
+    assert made.columns == odd.columns
+    got = plain(made)
+    assert set(got) <= set(plain(odd))
+    assert ((1, "") in got) == ((2, "") in got) and got.count((3, "Some words here.")) in (0, 2)
+    assert corpus_pipeline.reject_low_quality(spark, odd.limit(0), str(tmp_path)).count() == 0
+
+
+def test_odd_documents_after_near_copies(spark, odd):
+    made = corpus_pipeline.drop_near_copies(spark, odd, "")
+    assert made.columns == odd.columns
+    assert [i for i, _ in plain(made)] == [0, 1, 3, 4, 6, 7]
+    assert corpus_pipeline.drop_near_copies(spark, odd.limit(0), "").count() == 0
+
+
+def test_odd_documents_after_repeats(spark, odd):
+    made = corpus_pipeline.remove_repeats(spark, odd, "")
+    assert made.columns == odd.columns
+    rows = made.collect()
+    assert all(r.n_chars == len(r.text) and all(r[k] == "clash" for k in range(5, len(odd.columns))) for r in rows)
+    got = plain(made)
+    # the shared part of 4 and 5 is all of 4; a repeated row is too short to lose anything; the space beside the passage is no part of it
+    assert got == sorted([(1, ""), (2, ""), (3, "Some words here."), (3, "Some words here."), (0, "x y"), (4, ""), (5, " tail"), (6, f"{own(6)} "), (7, f" {own(7)}")])
+    assert corpus_pipeline.remove_repeats(spark, odd.limit(0), "").count() == 0
+
+
+def test_odd_documents_in_the_mix(spark, odd):
+    made = corpus_pipeline.mix_sources(spark, odd, "")
+    assert made.columns == odd.columns
+    got, before = plain(made), plain(odd)
+    assert not {(1, ""), (2, "")} & set(got)
+    assert all(got.count(r) <= 3 * before.count(r) for r in set(got))
+    assert corpus_pipeline.mix_sources(spark, odd.limit(0), "").count() == 0
+
+
+def test_odd_documents_encoded(spark, odd):
+    got = {(r.doc_id or 0, r.decoded_sha256): r.n_tokens for r in corpus_pipeline.encode(spark, odd, "").collect()}
+    assert set(got) == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in plain(odd)}
+    assert got[1, hashlib.sha256(b"").hexdigest()] == 0
+    assert corpus_pipeline.encode(spark, odd.limit(0), "").count() == 0
