@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from tidepool.functions import vectors
 from tidepool.operators.lineage import checkpointed
 
+#: Vectors of one block where all are compared.
+BLOCK = 2048
+
 
 def nearest(table: DataFrame, query: list[float], k: int, metric: str = "cosine", vector: str = "embedding", id_column: str = "id") -> DataFrame:
     """(id, distance): the k rows nearest to the query, ties by id; ``dot`` gives the negated inner product. Rows without a vector are left out."""
@@ -30,11 +33,12 @@ def semantic(table: DataFrame, chunks: DataFrame, memories: DataFrame, query: li
     return first.join(memories.select("id", "content", "tier"), "id").select("id", "content", "tier", (1 - F.col("distance")).alias("score"))
 
 
-def close_pairs_below(table: DataFrame, distance: float, vector: str = "embedding", blocks: int = 1) -> DataFrame:
+def close_pairs_below(table: DataFrame, distance: float, vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(id, other): pairs with other < id whose cosine distance is below the given one.
 
-    The rows are dealt into ``blocks`` blocks, and each pair of blocks is joined by itself, so no task holds more than two blocks.
+    The rows are dealt into ``blocks`` blocks (of about ``BLOCK`` rows, and four at least, unless told), and each pair of blocks is joined by itself, so no task holds more than two blocks.
     """
+    blocks = blocks or max(4, -(-table.count() // BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     unit = table.where(F.col(vector).isNotNull()).select("id", vectors.normalised(vector).alias("v"), block.alias("b"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -44,7 +48,7 @@ def close_pairs_below(table: DataFrame, distance: float, vector: str = "embeddin
     return left.join(right, ["row", "col"]).where((F.col("other") < F.col("id")) & near).select("id", "other")
 
 
-def greedy_clusters(table: DataFrame, distance: float, blocks: int = 1, rounds: int = 40) -> DataFrame:
+def greedy_clusters(table: DataFrame, distance: float, blocks: int | None = None, rounds: int = 40) -> DataFrame:
     """(id, cluster): each row joins the row of lowest id before it that is near enough, and thereby that row's cluster.
 
     A row without such a neighbour founds a cluster. Following the links takes as many rounds as their longest chain doubles.

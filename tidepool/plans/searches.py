@@ -237,7 +237,7 @@ _NEAR = 0.72
     SELECT id, cluster FROM r"""
 )
 def greedy_clusters(spark, sf_dir):
-    return vector.greedy_clusters(V.vectors(spark, sf_dir), _NEAR, blocks=4)
+    return vector.greedy_clusters(V.vectors(spark, sf_dir), _NEAR)
 
 
 # ---------------------------------------------------------------- fusion
