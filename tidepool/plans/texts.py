@@ -74,7 +74,21 @@ def chunk_fixed(spark, sf_dir):
     return docs.select("id", F.posexplode(pieces("content", C.CHUNK_BYTES)).alias("sequence", "chunk"))
 
 
-@query()
+def _turn_end(at: str) -> str:
+    """Where a passage that begins at ``at`` ends: at the text's end, before a turn within 200 characters of 800, or there."""
+    window = f"substring(t, {at} + 601, least({at} + 1000, length(t)) - {at} - 590)"
+    turn = f"length(regexp_extract({window}, '(?s)^(.*?)\\n(User:|Assistant:)', 1))"
+    near = f"regexp_matches({window}, '\\n(User:|Assistant:)') AND {turn} < least({at} + 1000, length(t)) - {at} - 600"
+    return f"CASE WHEN {at} + 800 >= length(t) THEN length(t) WHEN {near} THEN {at} + 601 + {turn} ELSE {at} + 800 END"
+
+
+@query(
+    f"""WITH RECURSIVE f AS (SELECT conv_id AS id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1),
+    c AS (SELECT id, 0 AS k, CAST(0 AS BIGINT) AS low, {_turn_end("0")} AS high FROM f WHERE length(t) >= 800
+        UNION ALL SELECT id, k + 1, high, {_turn_end("high")} FROM c JOIN f USING (id) WHERE high < length(t))
+    SELECT id, CAST(k AS INTEGER) AS sequence, CAST(low AS INTEGER) AS char_offset, CAST(high - low AS INTEGER) AS char_length, substring(t, low + 1, high - low) AS chunk
+    FROM c JOIN f USING (id) WHERE id IN (SELECT id FROM c WHERE k = 1)"""
+)
 def chunk_turns(spark, sf_dir):
     """Passages of whole conversations, cut before a speaker's turn."""
     own = V.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id"))
@@ -321,7 +335,18 @@ def import_batch(spark, sf_dir):
     return files.counters(files.batch_records(own.select(content.alias("content"))))
 
 
-@query()
+# line by line: 0 is before any message, 1 in a header, 2 at a body's first line, 3 further on in a body
+@query(
+    """WITH RECURSIVE f AS (SELECT conv_id AS id, string_agg(m, '' ORDER BY turn, m) AS t FROM (SELECT conv_id, turn, 'From ' || role || E'\\nSubject: x\\nDate: Mon, 5 Feb 24 10:00:00 +0100\\n\\n' || text || chr(10) AS m FROM conversations) GROUP BY 1),
+    l AS (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM (SELECT id, string_split(t, chr(10))[:-2] AS x FROM f)),
+    r AS (SELECT id, CAST(0 AS BIGINT) AS i, '' AS s, 0 AS mode, 0 AS message, false AS body FROM f
+        UNION ALL SELECT l.id, l.i, l.s, CASE r.mode WHEN 0 THEN CASE WHEN starts_with(l.s, 'From ') THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN l.s = '' THEN 2 ELSE 1 END WHEN 2 THEN 3 ELSE CASE WHEN starts_with(l.s, 'From ') THEN 1 ELSE 3 END END,
+            r.message + CASE WHEN r.mode IN (0, 3) AND starts_with(l.s, 'From ') THEN 1 ELSE 0 END, r.mode = 2 OR r.mode = 3 AND NOT starts_with(l.s, 'From ')
+        FROM r JOIN l ON l.id = r.id AND l.i = r.i + 1)
+    SELECT string_agg(s || chr(10), '' ORDER BY i) FILTER (WHERE body) AS content,
+        CAST(CASE WHEN arg_max(s, i) FILTER (WHERE mode = 1 AND lower(s[1:5]) = 'date:') = 'Date: Mon, 5 Feb 24 10:00:00 +0100' THEN 1707123600000 ELSE 0 END AS BIGINT) AS created_at, 'imported' AS status
+    FROM r WHERE message > 0 GROUP BY id, message HAVING count(*) FILTER (WHERE body) > 0"""
+)
 def import_mbox(spark, sf_dir):
     """Conversations written as mailboxes and read back."""
     turn = F.concat(F.lit("From "), "role", F.lit("\nSubject: x\nDate: Mon, 5 Feb 24 10:00:00 +0100\n\n"), "text", F.lit("\n"))
