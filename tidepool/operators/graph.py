@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions.text import normalised_name
-from tidepool.operators.lineage import checkpointed
+from tidepool.operators.lineage import checkpointed, written
 
 EDGE = ["source_id", "edge_type", "target_id"]
 
@@ -93,33 +93,39 @@ def delete_entities(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tu
 def mentions(entities: DataFrame, memories: DataFrame) -> DataFrame:
     """(source_id, target_id): entities whose name a record mentions, as whole words and whatever the case.
 
-    Names of at least 3 bytes count; any character but ASCII letters and digits bounds a word. A name that is one run of these is found by an equi-join with the
-    runs of each record and needs no second look. Any other is a candidate where its longest run (or, without one, its first two characters) stands, and is then looked
-    for as a whole. Joins grow with what records say, not with entities times records.
+    Names of at least 3 bytes count; any character but ASCII letters and digits bounds a word. A name without other ASCII characters stands inside one word of a record, a word
+    being a run of ASCII letters, digits and characters beyond ASCII. So such names are looked for in the different words of all records, each once, and records are
+    joined by their words. Any other name is a candidate where its longest ASCII run (or, without one, its first character) stands, and is then looked for in the record. Joins grow
+    with what records say, not with entities times records.
     """
-    run, odd = F.lit("[a-z0-9]+"), F.lit("(?=([^a-z0-9]{1,2}))")
-    named = entities.where(F.octet_length("name") >= 3).select(F.col("id").alias("source_id"), F.lower("name").alias("n"))
+    run, word = F.lit("[a-z0-9]+"), F.lit(r"[a-z0-9\x{80}-\x{10ffff}]+")
+    named = entities.where(F.octet_length("name") >= 3).select(F.col("id").alias("source_id"), F.lower("name").alias("n")).distinct()
     runs = F.regexp_extract_all("n", run, F.lit(0))
     longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("l"), r.alias("r")))), 1)["r"]
-    simple = F.col("n").rlike("^[a-z0-9]+$")
-    wanted = named.select("n").distinct().withColumn("term", F.when(simple, F.col("n")).when(F.size(runs) > 0, longest).otherwise(F.substring("n", 1, 2)))
+    kind = F.when(F.col("n").rlike("^[a-z0-9]+$"), "run").when(F.col("n").rlike(r"^[a-z0-9\x{80}-\x{10ffff}]+$"), "word").otherwise("text")
+    wanted = named.select("n").distinct().select("n", kind.alias("kind"), F.when(F.size(runs) > 0, longest).otherwise(F.substring("n", 1, 1)).alias("term"))
     lowered = memories.select(F.col("id").alias("target_id"), F.lower("content").alias("c"))
-    words = lowered.select("target_id", F.explode(F.array_distinct(F.regexp_extract_all("c", run, F.lit(0)))).alias("term"))
-    said = words.join(wanted.where(simple).select("n", "term"), "term").select("n", "target_id")
-    others = wanted.where(~simple)
-    # ids and terms only; a text is read again once, with all names that may be in it
-    candidates = words.unionByName(_odd_characters(lowered, odd)).join(others, "term").groupBy("target_id").agg(F.collect_set("n").alias("names"))
-    edge, end = F.lit("(^|[^A-Za-z0-9])"), F.lit("($|[^A-Za-z0-9])")
-    quoted = lambda n: F.concat(F.lit("\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    holds = lambda n: F.contains(F.col("c"), n) & F.regexp_like(F.col("c"), F.concat(edge, quoted(n), end))
-    checked = lowered.join(candidates, "target_id").select(F.explode(F.filter("names", holds)).alias("n"), "target_id")
-    return said.unionByName(checked).join(named, "n").select("source_id", "target_id").distinct()
-
+    words = written(lowered.select("target_id", F.explode(F.array_distinct(F.regexp_extract_all("c", word, F.lit(0)))).alias("w")), "words")
 
-def _odd_characters(lowered: DataFrame, odd: Column) -> DataFrame:
-    """(target_id, term): the pairs of neighbours, and single characters, that are no ASCII letters or digits."""
-    pairs = F.array_distinct(F.regexp_extract_all("c", odd, F.lit(1)))
-    return lowered.select("target_id", F.explode(F.array_union(pairs, F.transform(pairs, lambda p: F.substring(p, 1, 1)))).alias("term"))
+    vocabulary = words.select("w").distinct()
+    beyond = F.split(F.translate("w", "abcdefghijklmnopqrstuvwxyz0123456789", ""), "")
+    parts = F.when(F.col("w").rlike("^[a-z0-9]+$"), F.array("w")).otherwise(F.array_distinct(F.concat(F.regexp_extract_all("w", run, F.lit(0)), beyond)))
+    inside = vocabulary.select("w", F.explode(parts).alias("term")).join(wanted.where("kind <> 'text'"), "term")
+    edge, end = F.lit("(^|[^A-Za-z0-9])"), F.lit("($|[^A-Za-z0-9])")
+    quoted = F.concat(F.lit("\\Q"), F.replace("n", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    holds = lambda c: F.contains(c, "n") & F.regexp_like(c, F.concat(edge, quoted, end))
+    known = inside.where((F.col("kind") == "run") | holds(F.col("w"))).select("w", "n")
+    said = words.join(known, "w").select("n", "target_id")
+
+    loose = wanted.where("kind = 'text'").select("n", "term")
+    if not loose.isEmpty():
+        others = F.split(F.concat(F.translate("c", "abcdefghijklmnopqrstuvwxyz0123456789 ", ""), F.lit(" ")), "")
+        terms = lowered.select("target_id", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("c", run, F.lit(0)), others))).alias("term"))
+        # ids and names only move; a text is read again once, with all names that may be in it
+        candidates = terms.join(loose, "term").groupBy("target_id").agg(F.collect_set("n").alias("names"))
+        each = lowered.join(candidates, "target_id").select("target_id", "c", F.explode("names").alias("n"))
+        said = said.unionByName(each.where(holds(F.col("c"))).select("n", "target_id"))
+    return said.distinct().join(named, "n").select("source_id", "target_id")
 
 
 def link_mentions(entities: DataFrame, memories: DataFrame, edges: DataFrame, edge_type: str = "mentioned_in") -> DataFrame:

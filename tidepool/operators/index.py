@@ -7,8 +7,11 @@ spread over several files, so that those of a frequent one are written and read
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from tidepool.operators import keyword
 
 #: Folders by hash of the term, and files of each that one term may fill.
 SHARDS, FILES = 32, 4
+#: Tokens that are put in order together.
+TOKENS = 1 << 19
 
 
 def shard(term: Column, shards: int = SHARDS) -> Column:
@@ -28,10 +33,33 @@ def _moved(places: Column, back: int) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, kind, len, term, tf, places) of a table (id, kind, tokens): where each term stands in each document, counted from 0."""
-    each = docs.select("id", "kind", F.size("tokens").alias("len"), F.posexplode("tokens").alias("place", "term"))
-    found = each.groupBy("id", "kind", "len", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return found.withColumn("tf", F.size("places"))
+    """(id, kind, len, term, tf, places) of a table (id, kind, tokens): where each term stands in each document, counted from 0.
+
+    A document's terms are all in its row, so nothing is shuffled: the tokens of many documents are put in order together, one Arrow batch at a time.
+    """
+    names = ["id", "kind", "len", "term", "tf", "places"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < len(batch):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOKENS, "right")))
+                part, low = batch.slice(low, high - low), high
+                sizes = part.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = part.column(2).flatten().dictionary_encode()
+                code, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(part)), sizes)
+                place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                order = np.argsort(row * (len(coded.dictionary) + 1) + code, kind="stable")
+                code, row, place = code[order], row[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else order
+                cuts = np.append(first, len(code)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32)))
+                columns = [part.column(0).take(pa.array(row[first])), part.column(1).take(pa.array(row[first])), pa.array(sizes[row[first]].astype(np.int32)), coded.dictionary.take(pa.array(code[first])), pa.array(np.diff(cuts)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "kind", "tokens").mapInArrow(run, f"id {kind}, kind int, len int, term string, tf int, places array<int>")
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS) -> None:

@@ -32,3 +32,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the same folder."""
     _folder(spark.sparkContext)
     return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """``frame`` written as Parquet below the same folder and read again: computed once, its size known to what follows."""
+    path = scratch(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
