@@ -229,10 +229,13 @@ def test_streams(spark, tmp_path, small):
 def test_ingest_is_repeatable(spark, tmp_path):
     spark.createDataFrame([(1, "one two"), (2, "two")], "id long, content string").coalesce(1).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
-        stream = spark.readStream.schema("id long, content string").parquet(str(tmp_path / "in"))
+        stream = detectors.bounded_stream(spark, str(tmp_path / "in"), "id long, content string", 1)
         detectors.ingest_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/memories")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "out/postings")).count() == 3
+    kept = detectors.ingested_index(spark, str(tmp_path / "out"))
+    assert kept.all_postings().count() == 3
+    assert sorted(r.id for r in kept.search("two").collect()) == [1, 2]
+    assert detectors.ingested_index(spark, str(tmp_path / "none")).search("two").count() == 0
 
 
 def test_imports(spark, tmp_path):

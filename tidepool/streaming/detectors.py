@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -126,12 +126,28 @@ def anchored_stream(stream: DataFrame, key: str = "user_id", size_ms: int = WIND
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, ms long, n long", "start long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def bounded_stream(spark: SparkSession, folder: str, schema: str, files: int = 64) -> DataFrame:
+    """A stream of the Parquet files of a folder, at most ``files`` of them in one batch: what comes faster waits in the folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def ingest_batches(stream: DataFrame, folder: str, checkpoint: str):
-    """Records of a stream appended to Parquet with their postings, batch by batch; a batch that is run again replaces itself."""
-    from tidepool.operators.keyword import postings, tokenised
+    """Records (id, content, ...) of a stream appended to Parquet with a part of a keyword index, batch by batch; a batch that is run again replaces itself."""
+    from tidepool.operators import index
+    from tidepool.operators.keyword import tokenised
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/memories/batch={number}")
-        postings(tokenised(batch)).write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
+        index.write(tokenised(batch).select("id", F.lit(0).alias("kind"), "tokens"), f"{folder}/index/{number}")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def ingested_index(spark: SparkSession, folder: str, id_type: str = "long"):
+    """The keyword index of all that ``ingest_batches`` has appended."""
+    from tidepool.operators.index import KeywordIndex
+
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/index")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [x.getPath().toString() for x in system.listStatus(target)] if system.exists(target) else []
+    return KeywordIndex(spark, sorted(parts), id_type)
