@@ -6,7 +6,7 @@ at the same depth; candidates met are scored in full. No candidate that has not
 dimensions, of the query's component times the list's value at that depth; the search stops when this bound cannot
 beat the k-th score. Vectors are quantised to integers, so scores and bounds are exact.
 
-A first round searches one block for each query. Its k-th score there is a floor in the second round: a block whose bound is below it is left at once,
+A first round scores one block for each query. Its k-th score there is a floor in the second round: a block whose bound is below it is left at once,
 and gives on only what reaches it. So each candidate moves twice, whatever the number of queries, and each query once for each block of candidates.
 """
 
@@ -96,6 +96,16 @@ class SortedLists:
         return [(int(s), int(self.ids[r])) for s, r in zip(best_scores, best_rows, strict=True)]
 
 
+def plain_best(ids: np.ndarray, vectors: np.ndarray, own_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(score, id) of k of the best rows with other ids, in no order, by scoring all of them: for one query of many blocks this is less than sorting lists."""
+    if not exactly(vectors, query):
+        vectors, query = as_integers(vectors), as_integers(query)
+    others = np.flatnonzero(ids != own_id)
+    scores = (vectors @ query)[others]
+    best = np.argsort(-scores, kind="stable")[:k] if len(scores) <= k or scores.dtype == object else np.argpartition(-scores, k - 1)[:k]
+    return [(int(scores[i]), int(ids[others[i]])) for i in best]
+
+
 def quantised(vectors: DataFrame, vector: str = "embedding", id_column: str = "vec_id", scale: int = 1024) -> DataFrame:
     """(vec_id, v array<double>): each component as floor(scale * x), a whole number. Vectors that are null, or hold a null or non-finite component, and rows without an id, are left out.
 
@@ -114,8 +124,8 @@ def whole_below(x: Column) -> Column:
     return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
 
 
-def _search(k: int, with_floor: bool):
-    """For rows (c, dims, query, vec_id, floor, v) sorted by the first three: each query of a block against its candidates."""
+def _search(k: int, with_floor: bool, plain: bool):
+    """For rows (c, dims, query, vec_id, floor, v) sorted by the first three: each query of a block against its candidates, by sorted lists unless ``plain``."""
     names = ["query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +144,14 @@ def _search(k: int, with_floor: bool):
                     held.append((ids[i:j], vectors))
                     continue
                 if held:
-                    lists, held = SortedLists(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                    block, held = tuple(np.concatenate(x) for x in zip(*held, strict=True)), []
+                    lists = block if plain else SortedLists(*block)
                 if lists is None:
                     continue
+                if plain:
+                    for own_id, vector in zip(ids[i:j].tolist(), vectors, strict=True):
+                        rows += [(own_id, found, max(-_LONG - 1, min(_LONG, score))) for score, found in plain_best(*lists, own_id, vector, k)]
+                    continue
                 for own_id, floor, vector in zip(ids[i:j].tolist(), floors[i:j], vectors, strict=True):
                     rows += [(own_id, found, max(-_LONG - 1, min(_LONG, score))) for score, found in lists.search(own_id, vector, k, floor)]
             yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], pa.int64()) for x in range(3)], names=names)
@@ -158,11 +173,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = B
     own = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(many)).alias("c"), size, F.lit(0).alias("query"), "vec_id", F.lit(None).cast("long").alias("floor"), "v")
     asked = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
 
-    def searched(blocks: Column, floors: DataFrame | None) -> DataFrame:
+    def searched(blocks: Column, floors: DataFrame | None, plain: bool = False) -> DataFrame:
         each = asked.join(floors, "vec_id", "left") if floors is not None else asked.withColumn("floor", F.lit(None).cast("long"))
         each = each.select(F.explode(blocks).alias("c"), size, F.lit(1).alias("query"), "vec_id", "floor", "v")
         spread = own.unionByName(each).repartition("c").sortWithinPartitions("c", "dims", "query")
-        return spread.mapInArrow(_search(k, floors is not None), "query_id long, vec_id long, score long")
+        return spread.mapInArrow(_search(k, floors is not None, plain), "query_id long, vec_id long, score long")
 
     def best(rows: DataFrame) -> DataFrame:
         place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -170,6 +185,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = B
 
     floors = None
     if many > 1:
-        first = searched(F.array(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(many))), None)
+        first = searched(F.array(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(many))), None, plain=True)
         floors = cut(first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "floor"), "floors")
     return best(searched(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")), floors)).select("query_id", "rank", "vec_id", "score")
