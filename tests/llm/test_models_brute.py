@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tidepool.llm import quality, toxicity
-from tidepool.llm.linear import calibrate, dual_coordinate_descent, log_count_ratio, logistic, rows_of
+from tidepool.llm.linear import calibrate, dual_coordinate_descent, logistic, rows_of
 
 
 def sig(x):

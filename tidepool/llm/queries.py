@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidepool.llm import html, mixing, mpeg, quality, repeats, simhash, tokens, topk, toxicity, wordpiece
 from tidepool.llm.columns import taken
