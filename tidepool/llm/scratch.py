@@ -70,11 +70,11 @@ def _drop(spark: SparkSession, name: str) -> None:
         pass
 
 
-def cut_bucketed(frame: DataFrame, label: str, keys: list[str]) -> DataFrame:
+def cut_bucketed(frame: DataFrame, label: str, keys: list[str], buckets: int | None = None) -> DataFrame:
     """As ``cut``, hash-bucketed by ``keys`` so that joins on them need no shuffle of this side. The table goes when the driver's Python ends."""
     spark = frame.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    writer = frame.write.bucketBy(bucket_count(frame), *keys).option("path", scratch_path(spark, label))
+    writer = frame.write.bucketBy(buckets or bucket_count(frame), *keys).option("path", scratch_path(spark, label))
     writer.format("parquet").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
