@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidepool.operators.scans import AT, anchored, carried, ordered, previous
 
 WINDOW_MS = 60_000
 FAILURES, SEARCHES, MANY_SEARCHES, RUN = 10, 30, 100, 5
@@ -31,25 +32,9 @@ def anchored_state(times, size_ms: int = WINDOW_MS, start: int | None = None, n:
 
 
 def anchored_counts(events: DataFrame, key: str = "user_id", size_ms: int = WINDOW_MS) -> DataFrame:
-    """(key, event_id, ms, n): a running count in windows that begin with a key's first event.
-
-    Where a window begins depends on the one before, so each key is read in order; its events are sorted by Spark and streamed, not gathered.
-    """
-    kind = events.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, start, n = None, None, 0
-        for part in parts:
-            counts = []
-            for own, t in zip(part[key], part["ms"]):
-                if own != last:
-                    last, start, n = own, None, 0
-                (count,), start, n = anchored_state([t], size_ms, start, n)
-                counts.append(count)
-            yield part.assign(n=pd.Series(counts, index=part.index, dtype="int64"))
-
-    own = events.select(key, "event_id", "ms").repartition(F.col(key)).sortWithinPartitions(key, "ms", "event_id")
-    return own.mapInPandas(run, f"{key} {kind}, event_id long, ms long, n long")
+    """(key, event_id, ms, n): a running count in windows that begin with a key's first event, and then with the first one after the last window."""
+    rows = ordered(events.select(key, "event_id", "ms"), key, ["ms", "event_id"])
+    return anchored(rows, key, "ms", size_ms).select(key, "event_id", "ms", (F.col(AT) - F.col("_start") + 1).alias("n"))
 
 
 def suspicious_searches(counts: DataFrame) -> DataFrame:
@@ -60,41 +45,30 @@ def suspicious_searches(counts: DataFrame) -> DataFrame:
 def failure_runs(attempts: DataFrame, key: str = "ip") -> DataFrame:
     """(key, seq, limited): whether an attempt is the 10th failure or a later one in its 60 s window; a success starts anew.
 
-    ``attempts`` is (key, seq, ms, ok).
+    ``attempts`` is (key, seq, ms, ok). The failures between two successes of a key are a run; windows begin anew in each run.
     """
-
-    def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ms", "seq"])
-        start, n, out = None, 0, []
-        for t, ok in zip(part["ms"], part["ok"]):
-            if ok:
-                start, n = None, 0
-            else:
-                _, start, n = anchored_state([t], WINDOW_MS, start, n)
-            out.append(n >= FAILURES)
-        return part.assign(limited=out)[[key, "seq", "limited"]]
-
-    kind = attempts.schema[key].dataType.simpleString()
-    # a success resets the state, so a key is parted at its successes: a group is no longer than a run of failures
-    resets = Window.partitionBy(key).orderBy("ms", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parted = attempts.withColumn("_run", F.sum(F.col("ok").cast("long")).over(resets))
-    return parted.groupBy(key, "_run").applyInPandas(run, f"{key} {kind}, seq long, limited boolean")
+    rows = ordered(attempts.select(key, "seq", "ms", "ok"), key, ["ms", "seq"])
+    rows = carried(rows, key, F.when(F.col("ok"), F.col(AT)), "_success")
+    failures = rows.where(~F.col("ok")).select(F.struct(F.col(key).alias("key"), F.col("_success").alias("success")).alias("_run"), key, "seq", "ms")
+    counted = ordered(failures, "_run", ["ms", "seq"])
+    counted = anchored(counted, "_run", "ms", WINDOW_MS).select(key, "seq", (F.col(AT) - F.col("_start") + 1 >= FAILURES).alias("limited"))
+    return counted.unionByName(rows.where("ok").select(key, "seq", F.lit(False).alias("limited")))
 
 
 def increasing_runs(pages: DataFrame, key: str = "session_id", place: str = "seq", offset: str = "offset") -> DataFrame:
     """Rows with ``run``: how many offsets in a row, up to this one, each exceeded the one before; ``flagged`` from 5 on."""
-    order = Window.partitionBy(key).orderBy(place)
-    starts = F.when(F.col(offset) > F.lag(offset).over(order), 0).otherwise(1)
-    island = pages.withColumn("_s", starts).withColumn("_g", F.sum("_s").over(order))
-    run = F.row_number().over(Window.partitionBy(key, "_g").orderBy(place))
-    return island.withColumn("run", run).withColumn("flagged", F.col("run") >= RUN).drop("_s", "_g")
+    told = previous(ordered(pages, key, [place]), key, [offset])
+    begins = F.when(F.col(offset) > F.col(f"_previous.{offset}"), None).otherwise(F.col(AT))
+    run = (F.col(AT) - F.col("_start") + 1).cast("int")
+    told = carried(told, key, begins, "_start").withColumn("run", run).withColumn("flagged", F.col("run") >= RUN)
+    return told.select(*pages.columns, "run", "flagged")
 
 
 def sessions(events: DataFrame, key: str = "user_id", gap_ms: int = 1_800_000) -> DataFrame:
-    """(key, start_ms, end_ms, n): runs of events with less than the gap between neighbours."""
-    order = Window.partitionBy(key).orderBy("ms", "event_id")
-    new = F.when(F.col("ms") - F.lag("ms").over(order) < gap_ms, 0).otherwise(1)
-    numbered = events.withColumn("_n", new).withColumn("_s", F.sum("_n").over(order))
+    """(key, start_ms, end_ms, n): runs of events with less than the gap between neighbours. Sessions are counted where their events are; only counts move."""
+    told = previous(ordered(events.select(key, "ms", "event_id"), key, ["ms", "event_id"]), key, ["ms"])
+    begins = F.when(F.col("ms") - F.col("_previous.ms") < gap_ms, None).otherwise(F.col(AT))
+    numbered = carried(told, key, begins, "_s")
     return numbered.groupBy(key, "_s").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n")).drop("_s")
 
 
