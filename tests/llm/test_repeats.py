@@ -9,19 +9,24 @@ from tidepool.llm import repeats
 SCHEMA = "doc_id long, text string, k1 string"
 
 
-def brute(texts, length):
-    """Per text (n_bytes, n_removed, n_spans, kept sha-256), window by window."""
-    raws = [(t or "").encode() for t in texts]
+def gone_bytes(raws, length):
+    """Per text which of its bytes go, window by window."""
     seen = {}
     for raw in raws:
         for i in range(len(raw) - length + 1):
             seen[raw[i : i + length]] = seen.get(raw[i : i + length], 0) + 1
-    out = []
     for raw in raws:
         gone = np.zeros(len(raw), bool)
         for i in range(len(raw) - length + 1):
             if seen[raw[i : i + length]] > 1:
                 gone[i : i + length] = True
+        yield raw, gone
+
+
+def brute(texts, length):
+    """Per text (n_bytes, n_removed, n_spans, kept sha-256)."""
+    out = []
+    for raw, gone in gone_bytes([(t or "").encode() for t in texts], length):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         spans = int(np.sum(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
         out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
