@@ -3,7 +3,7 @@
 import pytest
 
 from tests.llm.test_edges import OPERATORS
-from tidepool.llm import closecopies, html, mixing, quality, repeats, simhash
+from tidepool.llm import closecopies, html, mixing, quality, repeats
 
 NAMES = ["doc_id", "text", "source", "DOC_ID", "Text", "id", "node", "row", "k1", "k2", "kept", "own0", "c0", "c1", "_kept", "_k1", "_s", "_e", "key", "draw", "quality", "low", "rest", "a.b", "n_chars", "bits", "component_id", "label"]
 LONG = " ".join(f"w{k}" for k in range(200))
@@ -22,7 +22,7 @@ def test_operators_take_their_own_columns(docs, name):
     assert sorted(r[0] or 0 for r in got) == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("made", ["mix", "score", "repeats", "copies", "simhash", "good"])
+@pytest.mark.parametrize("made", ["mix", "score", "repeats", "copies", "good"])
 def test_columns_stay(spark, docs, made):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, DOC_ID int")
     frame, ids = {
@@ -30,7 +30,6 @@ def test_columns_stay(spark, docs, made):
         "score": lambda: (quality.score(docs, quality.fit(docs, labels)), 5),
         "repeats": lambda: (repeats.deduplicated(docs), 5),
         "copies": lambda: (closecopies.first_of_each(docs), 4),
-        "simhash": lambda: (simhash.first_of_each(docs), 4),
         "good": lambda: (quality.keep_good(docs, labels, threshold=0.0), 5),
     }[made]()
     assert frame.columns[: len(NAMES)] == NAMES

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_simhash import slow_fingerprint
-from tidepool.llm import closecopies
+from tidepool.llm import closecopies, simhash
 
 
 def shingles(text, words=5):
@@ -62,3 +63,27 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == [(0, "x y z"), (2, ""), (3, "one two"), (3, "quite another text")]
+
+
+def test_unrelated_texts_make_no_pool(spark):
+    """Not at a hundred billion texts by calculation, where 128 bits would join most of 15 million; and not of thousands that are drawn."""
+    assert simhash.unrelated_within(256, closecopies.RADIUS) * 1e11 < 1e-4
+    assert simhash.unrelated_within(128, 36) * 15e6 > 1
+    rng = np.random.default_rng(7)
+    prints = rng.integers(-(1 << 63), 1 << 63, (20_000, closecopies.PRINT_WORDS), dtype=np.int64)
+    frame = spark.createDataFrame(prints.tolist(), ", ".join(f"{c} long" for c in closecopies.PRINT))
+    assert simhash.wide_links(frame, closecopies.RADIUS, closecopies.AGREE).count() == 0
+
+
+def test_recall_by_calculation_and_at_hand(spark):
+    """All pairs at 0.8 or more among the different texts of a table are candidates, with as many keys as 15 million texts get."""
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").distinct().collect()]
+    sets = [closecopies.shingle_set(t.encode()) for t in docs]
+    pairs = closecopies.spanning_links(sets, np.zeros(len(sets), int), False)
+    prints = np.array([simhash.wide_fingerprint(s, closecopies.PRINT_WORDS) for s in sets], np.uint64)
+    width, count = simhash.keys_for(15_000_000, closecopies.AGREE, 1e-3)
+    keys = simhash.sampled_keys(prints, width, count)
+    for a, b in pairs:
+        assert (keys[a] == keys[b]).any()
+        assert sum((int(x) ^ int(y)).bit_count() for x, y in zip(prints[a], prints[b])) <= closecopies.RADIUS
+    assert len(pairs) > 2

@@ -31,3 +31,32 @@ def test_shapes_of_content_stay(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.main_texts(pages, names=False).collect()}
     assert got == {k: f"Text number {k} of the site, with some more words about {k * k}." for k in range(9)}
+
+
+def test_counts_equal_brute_force(spark):
+    """Different pages of a host for each subtree, page by page in plain Python."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    marked = html.page_marks(pages)
+    got = {(r.host, r.mark): (r.pages, r.chars, r.total) for r in html.subtree_counts(marked).collect()}
+    seen = {}
+    for r in pages.select(html.host_key("url").alias("host"), "html").collect():
+        root = html.parse(r.html)
+        found, shapes = html.mark_subtrees(root)
+        own = {html.COUNTED: 0} | {html.signed(m): 0 for m, free in found.items() if free} | {html.signed(m): n for m, n in shapes.items()}
+        for mark, chars in own.items():
+            kept = seen.setdefault((r.host, mark), {})
+            text = html.article_text(root)
+            kept[text] = tuple(max(a, b) for a, b in zip(kept.get(text, (0, 0)), (chars, root.chars)))
+    assert got == {k: (len(v), sum(c for c, _ in v.values()), sum(t for _, t in v.values())) for k, v in seen.items()}
+
+
+def test_counts_decide_on_hosts_with_pages_enough(spark):
+    """With the template off the pages of a large host change; names decide only on the small host, where a side note stays out by its name."""
+    rows = [(k, f"https://big.example/{k}", f"<div class=sidebar>Links {k}</div><p>Text number {k} and more of it, as long as texts are.</p>") for k in range(9)]
+    rows += [(100, "https://small.example/", "<div class=sidebar>Links</div><p>Text of the small site.</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_texts(pages).collect()}
+    off = {r.page_id: r.text for r in html.main_texts(pages, least=10**9, names=False).collect()}
+    assert got[100] == "Text of the small site." and off[100] == "Links\n\nText of the small site."
+    assert all(got[k] == f"Text number {k} and more of it, as long as texts are." for k in range(9))
+    assert all(off[k] != got[k] for k in range(9))

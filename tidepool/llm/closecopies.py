@@ -1,9 +1,10 @@
 """Near copies by SimHash, verified: texts that have at least four fifths of their word shingles in common (Jaccard).
 
-Fingerprints are those of ``simhash``, 128 bits wide, of the different five-word shingles. Two texts of similarity 0.8 differ in a
-bit with probability acos(2 * 0.8 / 1.8) / pi, 0.152, so some 19 of 128; fingerprints are linked up to ``RADIUS`` bits, compared bit-sliced where they
-share one of a number of sampled keys that lets fewer than one pair in a thousand at 0.8 share none. Texts that links lead to from one another are one pool;
-within a pool the shingle sets of all texts are compared, so nothing below the similarity is linked. A pool
+Fingerprints are those of ``simhash``, 256 bits wide, of the different five-word shingles. Two texts of similarity 0.8 differ in a
+bit with probability acos(2 * 0.8 / 1.8) / pi, 0.152, so some 39 of 256; fingerprints are linked up to ``RADIUS`` bits, compared bit-sliced where they
+share one of a number of sampled keys that lets fewer than one pair in a thousand at 0.8 share none. Unrelated texts differ in some 128 bits and are
+within the radius with probability 1e-16, so that even of 100 billion texts hardly any has a neighbour by chance, and chains of such neighbours don't join pools.
+Texts that links lead to from one another are one pool; within a pool the shingle sets of all texts are compared, so nothing below the similarity is linked. A pool
 with many texts is dealt over several tasks; each task gives on a spanning forest of its links.
 """
 
@@ -24,8 +25,9 @@ from tidepool.llm.simhash import Forest, shingle_hashes, wide_fingerprint, wide_
 
 #: Words of a shingle, and the similarity from which on two texts are copies: 4 / 5.
 WORDS, SHARED, OF = 5, 4, 5
-#: Of 128 bits: 4 deviations above what two texts at the similarity differ in.
-RADIUS = 36
+#: 64-bit words of a fingerprint, and the radius: 4 deviations above what two texts at the similarity differ in.
+PRINT_WORDS, RADIUS = 4, 62
+PRINT = [f"w{k}" for k in range(PRINT_WORDS)]
 #: How likely two texts at the similarity have an equal bit; less than by the formula above, for texts of few shingles.
 AGREE = 0.845
 #: Texts of one pool whose shingles one task holds on each side.
@@ -44,8 +46,8 @@ def text_key(text: str | Column) -> Column:
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
-        words = np.array([wide_fingerprint(shingle_set(x.as_py())) for x in batch.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in (0, 1))], names=["node", "w0", "w1"])
+        words = np.array([wide_fingerprint(shingle_set(x.as_py()), PRINT_WORDS) for x in batch.column(1)], np.uint64).reshape(-1, PRINT_WORDS).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(PRINT_WORDS))], names=["node", *PRINT])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +104,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def copy_links(docs: DataFrame, text: str = "text", tile: int = TILE) -> DataFrame:
     """(a, b): links that span every class of different texts, by their keys."""
     own = small_batches(taken(docs, text=text)).select(text_key("text").alias("node"), utf8("text").alias("text"))
-    printed = cut(own.mapInArrow(_printed, "node long, w0 long, w1 long"), "prints")
+    printed = cut(own.mapInArrow(_printed, ", ".join(f"{c} long" for c in ["node", *PRINT])), "prints")
     once = cut(printed.distinct(), "prints")
-    roots = connected_components(wide_links(once.select("w0", "w1").distinct(), RADIUS, AGREE))
+    roots = connected_components(wide_links(once.select(*PRINT).distinct(), RADIUS, AGREE))
     # texts of one fingerprint are one pool with or without links
     pools = once.select(F.col("node"), "w0").join(roots.withColumnRenamed("node", "w"), F.col("w0") == F.col("w"), "left").select("node", F.coalesce("root", "w0").alias("root"))
     pools = cut(pools, "pools")

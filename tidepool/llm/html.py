@@ -6,8 +6,8 @@ the same main content count once, so that copies of an article do not make a tem
 many pages of their host are deleted: by content wherever they stand, by shape (a menu, an advert or a footer whose words change from
 page to page) only beside the part that holds the article, and only if the shape has the lesser part of the text of the pages that show it.
 
-What no count can tell, on hosts with few pages, is left to the markup: an article or main element is taken alone, and elements
-that their names call menus, headers, footers, sidebars, notices, adverts, forms or reader comments go. Plain paragraphs, headings, lists and the like
+On hosts with fewer different pages than it takes to recur no count can tell. Only there the markup decides: an article or main element is taken alone, and
+elements that their names call menus, headers, footers, sidebars, notices, adverts, forms or reader comments go. Plain paragraphs, headings, lists and the like
 inside an article element are the text itself: a sentence that many articles of a site share is still theirs, so these
 stay even where they recur.
 """
@@ -32,6 +32,8 @@ from tidepool.llm.scratch import cut
 PAGES = 5
 #: A shape is a template part only if it has less than one part in so many of the text of the pages that show it.
 LESSER = 4
+#: The mark that every page has once: where it recurs on a host, the host has pages enough for counts to decide.
+COUNTED = 1
 
 # Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -275,6 +277,18 @@ def _main(root: Node, template: frozenset[int]) -> Node:
     return mains[0] if mains else root
 
 
+def article_text(root: Node) -> str:
+    """What tells pages apart: the text of the outermost article and main elements, or of the whole page without any. No word of a class or id is looked at."""
+    found, todo = [], [root]
+    while todo:
+        at = todo.pop()
+        if at.is_main():
+            found += blocks(at, names=False)
+        else:
+            todo += reversed(at.elements())
+    return "\n".join(found or blocks(root, names=False))
+
+
 def host_key(url: str) -> Column:
     """A hash of an address's host, lower-cased, without user and port; all addresses without one share a key."""
     host = F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -284,7 +298,7 @@ def host_key(url: str) -> Column:
 def page_marks(pages: DataFrame) -> DataFrame:
     """(host, page, content, total, marks, shapes, chars) of a table (url, html): the deletable subtrees of each page, by content and by shape with its characters.
 
-    ``content`` is a hash of the main content, ``total`` the page's characters; equal pages of a host have one ``page``.
+    ``content`` is a hash of the article's text, ``total`` the page's characters; equal pages of a host have one ``page``.
     """
     names = ["host", "page", "content", "total", "marks", "shapes", "chars"]
     lists = pa.list_(pa.int64())
@@ -295,8 +309,8 @@ def page_marks(pages: DataFrame) -> DataFrame:
             for raw in batch.column(2):
                 root = parse(raw.as_py().decode("utf-8", "replace"))
                 found, shapes = mark_subtrees(root)
-                content = signed(xxhash.xxh64_intdigest("\n".join(blocks(root))))
-                rows.append((content, root.chars, [signed(m) for m, free in found.items() if free], [signed(m) for m in shapes], list(shapes.values())))
+                content = signed(xxhash.xxh64_intdigest(article_text(root)))
+                rows.append((content, root.chars, [COUNTED, *(signed(m) for m, free in found.items() if free)], [signed(m) for m in shapes], list(shapes.values())))
             made = [pa.array([r[k] for r in rows], pa.int64() if k < 2 else lists) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
@@ -333,12 +347,12 @@ def template_marks(marked: DataFrame, least: int = PAGES) -> DataFrame:
     return each.groupBy("page").agg(F.collect_set("mark").alias("marks"))
 
 
-def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", least: int = PAGES, names: bool = True) -> DataFrame:
+def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", least: int = PAGES, names: bool | None = None) -> DataFrame:
     """One row per page: its id, url, text (blocks joined by two line ends; empty if none) and n_chars.
 
     Null html counts as empty; pages without a host in their url are one site. Pages of any length are parsed whole, an empty table gives an empty
-    table. Repeated rows stay; other columns are neither read nor returned, whatever their names. Without ``names`` only recurring subtrees are deleted:
-    what markup calls no article stays, and no article element is chosen.
+    table. Repeated rows stay; other columns are neither read nor returned, whatever their names. On hosts with ``least`` different pages only recurring subtrees are deleted, on
+    others the names in the markup decide; with ``names`` true or false they do so everywhere, beside the counts, or nowhere.
     """
     asked = taken(pages, id=id_column, url=url, html=html)
     template = cut(template_marks(cut(page_marks(asked), "marks"), least), "template")
@@ -353,7 +367,7 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
                 known = frozenset(m & 0xFFFFFFFFFFFFFFFF for m in marks.as_py() or ())
                 if known:
                     mark_subtrees(root)
-                texts.append("\n\n".join(blocks(root, known, names)))
+                texts.append("\n\n".join(blocks(root, known, COUNTED not in known if names is None else names)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     schema = StructType([asked.schema["id"], asked.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())])

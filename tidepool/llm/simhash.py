@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.bytestext import mix as remixed
 from tidepool.llm.bytestext import slices, small_batches, utf8
-from tidepool.llm.columns import at, kept, numbered, taken
+from tidepool.llm.columns import taken
 from tidepool.llm.components import connected_components
 from tidepool.llm.scratch import cut
 
@@ -286,24 +286,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     return own.join(named, "bits").select(F.col("id").alias(id_column), shown.alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents with one row left of each class: the one with the smallest id (of rows with equal ids, one).
-
-    All columns of ``docs`` stay, whatever their names. Rows without an id are kept, since nothing tells them apart.
-    """
-    own, named = numbered(docs), at(docs, id_column)
-    classes = near_duplicates(taken(docs, id=id_column, text=text), "text", "id", **options)
-    left = classes.where(F.col("id") == F.col("component_id")).select("id").distinct()
-    chosen = own.where(named.isNotNull()).withColumn("id", named).dropDuplicates(["id"]).join(left, "id", "left_semi")
-    return chosen.select(*kept(docs)).unionByName(own.where(named.isNull())).toDF(*docs.columns)
+# ---------------------------------------------------------------- wide fingerprints, for similarities that 64 bits can't tell
 
 
-# ---------------------------------------------------------------- wide fingerprints, for similarities that 64 bits can't tell
+def wide_fingerprint(hashes: np.ndarray, words: int) -> tuple[int, ...]:
+    """``words`` times 64 bits from the same hashes: the fingerprint itself, and those of the hashes mixed anew."""
+    return tuple(fingerprint(hashes if not k else remixed(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(words))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits from the same hashes: the fingerprint itself, and that of the hashes mixed anew."""
-    return fingerprint(hashes), fingerprint(remixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)))
+def unrelated_within(bits: int, radius: int) -> float:
+    """How likely two unrelated fingerprints are within the radius: that of a fair coin's ``bits`` throws. Times the number of texts it must stay far
+    below 1, or chains of chance neighbours join most of the corpus."""
+    return sum(math.comb(bits, k) for k in range(radius + 1)) / (1 << bits)
 
 
 def keys_for(n: int, agree: float, miss: float, crowd: int = 16) -> tuple[int, int]:
@@ -317,7 +311,7 @@ def keys_for(n: int, agree: float, miss: float, crowd: int = 16) -> tuple[int, i
 
 
 def sampled_keys(prints: np.ndarray, width: int, count: int) -> np.ndarray:
-    """For rows of two words: ``count`` keys each, every key a number and ``width`` of the 128 bits, chosen by the number."""
+    """For rows of words: ``count`` keys each, every key a number and ``width`` of the bits, chosen by the number."""
     bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
     places = np.int64(1) << np.arange(width, dtype=np.int64)
     out = np.empty((len(prints), count), np.int64)
@@ -328,15 +322,16 @@ def sampled_keys(prints: np.ndarray, width: int, count: int) -> np.ndarray:
 
 
 def wide_links(prints: DataFrame, radius: int, agree: float, miss: float = 1e-3, tile: int = TILE) -> DataFrame:
-    """(a, b): links, by the first word, of the distinct fingerprints (w0, w1) that share a sampled key and differ in at most ``radius`` of 128 bits."""
+    """(a, b): links, by the first word, of the distinct fingerprints (w0, w1, ...) that share a sampled key and differ in at most ``radius`` bits."""
     width, count = keys_for(prints.count(), agree, miss)
+    names = prints.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+            words = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             keys = sampled_keys(np.column_stack(words).view(np.uint64), width, count)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, count, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["w0", "w1", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "keys"])
 
-    keyed = small_batches(prints).select("w0", "w1").mapInArrow(run, "w0 long, w1 long, keys array<long>")
-    return compared(keyed.select(F.explode("keys").alias("key"), "w0", "w1"), radius, ["w0", "w1"], tile)
+    keyed = small_batches(prints).mapInArrow(run, ", ".join([*(f"{n} long" for n in names), "keys array<long>"]))
+    return compared(keyed.select(F.explode("keys").alias("key"), *names), radius, names, tile)
