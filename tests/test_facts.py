@@ -181,15 +181,21 @@ def test_graph_facts(spark):
     assert graph.link_mentions(bobs, memories, new).count() == 0
 
 
-def test_greedy_clusters_equal_a_loop(spark):
+def test_greedy_clusters_equal_a_loop(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)]
     cluster = {}
     for i, v in rows:
         near = [j for j, w in rows[:i] if 1 - sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5 < 0.1]
         cluster[i] = cluster[near[0]] if near else i
-    got = vector.greedy_clusters(spark.createDataFrame(rows, "id long, embedding array<double>"), 0.1, blocks=3)
-    assert {r.id: r.cluster for r in got.collect()} == cluster
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for cells in (1, 3, 12):
+        assert {r.id: r.cluster for r in vector.greedy_clusters(frame, 0.1, cells).collect()} == cluster
+    compared, pairs = vector.share_compared(frame, 0.1, cells=12).first()
+    assert compared < 0.6 * pairs == 0.6 * 60 * 59 / 2
+    monkeypatch.setattr(vector.lowest_neighbours, "__defaults__", ("embedding", None, 7))
+    assert {r.id: r.cluster for r in vector.greedy_clusters(frame, 0.1, 3).collect()} == cluster
+    assert vector.greedy_clusters(frame.where("id < 0"), 0.1).count() == 0
 
 
 def test_detectors(spark):

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions import vectors
-from tidepool.operators.lineage import checkpointed
+from tidepool.operators.lineage import checkpointed, written
+from tidepool.operators.vindex import SAMPLE, centroids_of, nearest_cells
 
-#: Vectors of one block where all are compared.
-BLOCK = 2048
+#: Vectors of one block where they are compared, and pivots at most.
+BLOCK, PIVOTS = 2048, 1024
 
 
 def nearest(table: DataFrame, query: list[float], k: int, metric: str = "cosine", vector: str = "embedding", id_column: str = "id") -> DataFrame:
@@ -33,27 +39,117 @@ def semantic(table: DataFrame, chunks: DataFrame, memories: DataFrame, query: li
     return first.join(memories.select("id", "content", "tier"), "id").select("id", "content", "tier", (1 - F.col("distance")).alias("score"))
 
 
-def close_pairs_below(table: DataFrame, distance: float, vector: str = "embedding", blocks: int | None = None) -> DataFrame:
-    """(id, other): pairs with other < id whose cosine distance is below the given one.
+def _homes(table: DataFrame, vector: str, cells: int | None) -> tuple[DataFrame, np.ndarray]:
+    """(id, v, home, cosine) with the nearest pivot of each vector as its home, and the pivots: fitted on a sample, at most ``PIVOTS``."""
+    own = written(table.where(F.col(vector).isNotNull()).select("id", vectors.normalised(vector).alias("v")), "units")
+    n = own.count()
+    sample = np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], float)
+    count = min(cells or max(1, math.isqrt(n) // 4), PIVOTS, len(sample))
+    pivots = centroids_of(sample, count) if count else np.zeros((0, 0))
 
-    The rows are dealt into ``blocks`` blocks (of about ``BLOCK`` rows, and four at least, unless told), and each pair of blocks is joined by itself, so no task holds more than two blocks.
-    """
-    blocks = blocks or max(4, -(-table.count() // BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    unit = table.where(F.col(vector).isNotNull()).select("id", vectors.normalised(vector).alias("v"), block.alias("b"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = unit.select("id", "v", F.col("b").alias("row"), F.explode(every).alias("col"))
-    right = unit.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("b").alias("col"), F.explode(every).alias("row"))
-    near = 1 - vectors.dot("v", "w") < distance
-    return left.join(right, ["row", "col"]).where((F.col("other") < F.col("id")) & near).select("id", "other")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            home = nearest_cells(points, pivots, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array((points * pivots[home]).sum(1))], names=["id", "v", "home", "cosine"])
+
+    kind = own.schema["id"].dataType.simpleString()
+    homes = own.mapInArrow(run, f"id {kind}, v array<double>, home int, cosine double") if count else own.selectExpr("*", "0 AS home", "0D AS cosine")
+    return written(homes, "homes"), pivots
 
 
-def greedy_clusters(table: DataFrame, distance: float, blocks: int | None = None, rounds: int = 40) -> DataFrame:
+def visits(table: DataFrame, distance: float, vector: str = "embedding", cells: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, v, home) of a table, and (id, v, cell): the cells, the own one and later ones, in which a row can have a neighbour below the cosine distance.
+
+    Angles keep the triangle inequality: a row can be near a row of a cell only if its angle to the cell's pivot is at most the angle of the distance more than the
+    widest angle in that cell. So each pair that can be near meets once, in the later of its two cells. From a distance of 1 on nothing is ruled out.
+    """
+    homes, pivots = _homes(table, vector, cells)
+    least = {r.home: r.c for r in homes.groupBy("home").agg(F.min("cosine").alias("c")).collect()}  # one row for each pivot
+    limit = np.arccos(max(-1.0, 1 - distance)) if distance < 1 else 2 * np.pi
+    widest = np.array([np.arccos(np.clip(least.get(c, 1.0), -1, 1)) for c in range(len(pivots))])
+    known = np.array([c in least for c in range(len(pivots))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            home = batch.column(2).to_numpy(zero_copy_only=False)
+            can = (np.arccos(np.clip(points @ pivots.T, -1, 1)) <= limit + widest + 1e-9) & known & (np.arange(len(pivots)) >= home[:, None])
+            can[np.arange(len(home)), home] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.flatnonzero(row).tolist() for row in can], pa.list_(pa.int32()))], names=["id", "v", "cells"])
+
+    kind = homes.schema["id"].dataType.simpleString()
+    visiting = homes.select("id", "v", "home").mapInArrow(run, f"id {kind}, v array<double>, cells array<int>") if len(pivots) else homes.selectExpr("id", "v", "array(0) AS cells")
+    return homes, visiting.select("id", "v", F.explode("cells").alias("cell"))
+
+
+def share_compared(table: DataFrame, distance: float, vector: str = "embedding", cells: int | None = None) -> DataFrame:
+    """(compared, pairs): how many pairs ``lowest_neighbours`` compares, and how many there are."""
+    homes, visiting = visits(table, distance, vector, cells)
+    here = homes.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    come = visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    # in its own cell a pair meets twice, and each row itself
+    compared = here.join(come, "cell").agg(F.sum(F.expr("n * (m - n) + n * (n - 1) DIV 2")).cast("long").alias("compared"))
+    return compared.crossJoin(homes.agg(F.expr("count(1) * (count(1) - 1) DIV 2").cast("long").alias("pairs")))
+
+
+def lowest_neighbours(table: DataFrame, distance: float, vector: str = "embedding", cells: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, parent): for each row the row of lowest id before it whose cosine distance is below the given one, if there is any.
+
+    Rows meet only in cells of pivots that the triangle inequality leaves (``visits``). A crowded cell is dealt over several blocks, by a hash, and what visits it over several
+    packs; for each block and pack only the lowest neighbour of each row goes on, so no group becomes all its pairs.
+    """
+    homes, visiting = visits(table, distance, vector, cells)
+    visiting = written(visiting, "visits")
+    sizes = homes.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    packs = visiting.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("packs"))
+    parted = written(sizes.join(packs, "cell"), "parted")  # one row for each pivot
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = homes.select(F.col("home").alias("cell"), "id", "v").join(F.broadcast(parted), "cell").select("cell", part("blocks").alias("block"), every("packs").alias("pack"), F.lit(0).alias("side"), "id", "v")
+    right = visiting.join(F.broadcast(parted), "cell").select("cell", every("blocks").alias("block"), part("packs").alias("pack"), F.lit(1).alias("side"), "id", "v")
+    kind = homes.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, ([], [])
+
+        def lowest() -> list[tuple]:
+            if not held[0] or not held[1]:
+                return []
+            ids, others = [r[0] for r in held[0]], [r[0] for r in held[1]]
+            near = 1 - np.array([r[1] for r in held[0]], float) @ np.array([r[1] for r in held[1]], float).T < distance
+            out = {}
+            for row, column in zip(*np.nonzero(near), strict=True):
+                low, high = sorted((ids[row], others[column]))
+                if low != high and not (high in out and out[high] <= low):
+                    out[high] = low
+            return list(out.items())
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types) for k in (0, 1)], names=["id", "parent"])
+
+        types = None
+        for batch in batches:
+            types = batch.column(4).type
+            for *key, side, own, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    if rows := lowest():
+                        yield batch_of(rows)
+                    last, held = key, ([], [])
+                held[side].append((own, v))
+        if rows := lowest():
+            yield batch_of(rows)
+
+    spread = left.unionByName(right).repartition("cell", "block", "pack").sortWithinPartitions("cell", "block", "pack")
+    return spread.mapInArrow(run, f"id {kind}, parent {kind}").groupBy("id").agg(F.min("parent").alias("parent"))
+
+
+def greedy_clusters(table: DataFrame, distance: float, cells: int | None = None, rounds: int = 40) -> DataFrame:
     """(id, cluster): each row joins the row of lowest id before it that is near enough, and thereby that row's cluster.
 
     A row without such a neighbour founds a cluster. Following the links takes as many rounds as their longest chain doubles.
     """
-    parent = close_pairs_below(table, distance, blocks=blocks).groupBy("id").agg(F.min("other").alias("parent"))
+    parent = lowest_neighbours(table, distance, cells=cells)
     state = table.select("id").join(parent, "id", "left").select("id", F.coalesce("parent", "id").alias("cluster"))
     for _ in range(rounds):
         state = checkpointed(state)

@@ -9,7 +9,7 @@ from tidepool.functions import constants as C
 from tidepool.functions.stemming import normal
 from tidepool.functions.text import query_phrases
 from tidepool.functions.vectors import norm, normalised
-from tidepool.operators import hybrid, index, keyword, metrics, vector
+from tidepool.operators import hybrid, index, keyword, metrics, vector, vindex
 from tidepool.operators.lineage import scratch
 from tidepool.plans import views as V
 from tidepool.plans.porter import stems_sql
@@ -208,6 +208,29 @@ def knn_dot(spark, sf_dir):
     return _nearest(spark, sf_dir, "dot")
 
 
+def _vector_index(spark, sf_dir):
+    """An index of all vectors, and as queries those with an id divisible by 50."""
+    own = V.vectors(spark, sf_dir)
+    return vindex.build(own, scratch(spark, "vectors")), own.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("v"))
+
+
+@query(
+    f"""WITH {_VEC.format(0)}, d AS (SELECT a.id AS query_id, b.id, round({_distance_sql("a.e", "b.e")}, 6) AS distance FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM r WHERE rank <= 10"""
+)
+def knn_index_exact(spark, sf_dir):
+    """Every cell that can hold one of the nearest is probed."""
+    index, asked = _vector_index(spark, sf_dir)
+    return index.search(asked, exact=True)
+
+
+@query()
+def knn_index_recall(spark, sf_dir):
+    """What the default number of probes finds of the nearest, for each query."""
+    index, asked = _vector_index(spark, sf_dir)
+    return vindex.recall(index.search(asked), index.search(asked, exact=True))
+
+
 @query(f"WITH {_VEC.format(0)}, m AS (SELECT id, list_transform(e, lambda x: x * 3) AS e FROM v) SELECT id, round(sqrt({_DOT.format('e', 'e')}), 6) AS norm, round(e[1] / sqrt({_DOT.format('e', 'e')}), 6) AS first FROM m")
 def vectors_normalised(spark, sf_dir):
     own = V.vectors(spark, sf_dir).select("id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("e"))
