@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidepool.operators import index, keyword
 
@@ -17,11 +18,18 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def kept(spark, docs, tmp_path_factory):
-    """Two parts, as a table that was appended to has."""
-    paths = [str(tmp_path_factory.mktemp("index") / name) for name in ("one", "two")]
-    index.write(docs.where("id < 200"), paths[0], 4)
-    index.write(docs.where("id >= 200"), paths[1], 4)
-    return index.KeywordIndex(spark, paths, shards=4)
+    """Appended in seven pieces, some of which merged, with documents removed, removed and appended again, and changed."""
+    made = index.KeywordIndex(spark, str(tmp_path_factory.mktemp("index")))
+    stale = docs.selectExpr("id", "kind", "array('apple', 'stale') AS tokens")
+    made.append(stale.where("id < 20"))
+    for low in range(0, 250, 50):
+        if low == 0:
+            assert made.remove(stale.where("id < 20")) == 20
+        made.append(docs.where(f"id >= {low} AND id < {low + 50}"))
+    made.append(stale.where("id IN (5000, 250, 251)").unionByName(docs.where("id >= 250")))
+    made.remove(docs.where("id IN (250, 251, 7)"))
+    made.append(docs.where("id IN (250, 251, 7)"))
+    return index.KeywordIndex(spark, made.folder)
 
 
 @pytest.mark.parametrize("tier", ["and", "or", "tiered"])
@@ -32,11 +40,85 @@ def test_equals_search_of_texts(docs, kept, query, tier):
     assert got == pytest.approx(want, rel=1e-12)
 
 
-def test_reads_only_the_shards_of_its_terms(kept):
-    plan = kept.postings(["apple"])._jdf.queryExecution().executedPlan().toString()
+def test_reads_only_the_folders_of_its_terms(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "_files", lambda frame: 8)
+    many = index.KeywordIndex(spark, str(tmp_path / "many"))
+    many.append(docs)
+    assert many.segments[0]["shards"] == 8
+    plan = many.postings(["apple"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(shard" in plan and "PushedFilters" in plan
-    assert len({f.rsplit("/", 2)[1] for f in kept.all_postings().inputFiles()}) > 1
-    assert kept.postings(["apple"]).select("term", "shard").distinct().count() == 1
+    folders = lambda frame: {r.f.split("shard=")[1].split("/")[0] for r in frame.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(folders(many._blocks_of(["apple"]))) == 1 < len(folders(many._blocks_of(None)))
+    want = sorted((r.term, r.id, r.tf) for r in index.postings(docs).collect())
+    assert sorted((r.term, r.id, r.tf) for r in many.all_postings().collect()) == want
+
+
+def test_totals_are_told_without_reading(docs, kept):
+    assert kept.stats()[0] == docs.count() == kept.documents().count()
+    assert kept.stats()[1] == pytest.approx(docs.selectExpr("avg(size(tokens)) AS a").first().a)
+    assert len(kept.segments) <= 5
+
+
+def test_segments_of_a_thousand_appends():
+    levels = []
+    for _ in range(1000):
+        levels.append(0)
+        while chosen := index.merges(levels):
+            level = levels[chosen[0]]
+            levels = [x for k, x in enumerate(levels) if k not in chosen] + [level + 1]
+        assert len(levels) <= 12
+
+
+def test_a_removal_writes_no_segment(spark, docs, tmp_path):
+    made = index.KeywordIndex(spark, str(tmp_path / "index"))
+    made.append(docs)
+    before = sorted(p.name for p in (tmp_path / "index" / "segments").iterdir())
+    assert made.remove(docs.where("id < 150").unionByName(docs.selectExpr("id + 100000 AS id", "kind", "tokens"))) == 150
+    assert sorted(p.name for p in (tmp_path / "index" / "segments").iterdir()) == before
+    assert made.stats()[0] == docs.count() - 150
+    want = {r.id: r.score for r in keyword.search(docs.where("id >= 150"), "apple pear", "or").collect()}
+    assert {r.id: r.score for r in made.search("apple pear", "or").collect()} == pytest.approx(want, rel=1e-12)
+    made.append(docs.where("id < 3"), batch=4)
+    made.append(docs.where("id < 3"), batch=4)
+    assert made.stats()[0] == docs.count() - 147
+
+
+def test_sync_writes_what_changed(spark, docs, tmp_path, monkeypatch):
+    made = index.KeywordIndex(spark, str(tmp_path / "index"))
+    monkeypatch.setattr(index.merges, "__defaults__", (9,))
+    made.append(docs.where("kind = 1"))
+    other = docs.where("kind = 0").selectExpr("id", "kind", "IF(id = 4, array('new'), tokens) AS tokens")
+    made.sync(docs.where("kind = 0"), 0, "a")
+    made.sync(other.where("id <> 6"), 0, "b")
+    assert made.covers == "b" and min(s["n"] for s in made.segments) == 1
+    got = index.KeywordIndex(spark, made.folder)
+    assert [r.id for r in got.search("new").collect()] == [4]
+    assert got.stats()[0] == docs.count() - 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_batches_with_pruning(spark, tmp_path_factory, seed, monkeypatch):
+    """Skewed words: frequent ones are read for a small part, and the result is that of all postings."""
+    monkeypatch.setattr(index, "SEED", 64)
+    monkeypatch.setattr(index, "BLOCK", 16)
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    draw = lambda n: [words[min(299, int(rng.paretovariate(0.8)) - 1)] for _ in range(n)]
+    rows = [(k, k % 2, draw(rng.choice([3, 10, 60]))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "id long, kind int, tokens array<string>").cache()
+    made = index.KeywordIndex(spark, str(tmp_path_factory.mktemp("pruned")))
+    for k in range(4):
+        made.append(docs.where(f"id % 4 = {k}"))
+    gone = docs.where("id % 10 = 3")
+    made.remove(gone)
+    asked = spark.createDataFrame([(q, t) for q in range(12) for t in sorted({words[q], words[rng.randrange(5, 100)], words[rng.randrange(100, 300)]})], "query_id long, term string")
+    left = docs.where("id % 10 <> 3")
+    want = keyword.search_batch(keyword.postings(left), keyword.doc_stats(left), asked, 5).collect()
+    batch = index.Batch(made, asked, 5, 9)
+    key = lambda r: (r.query_id, r["rank"], r.id, round(r.score, 9))
+    assert sorted(map(key, batch.best.collect())) == sorted(map(key, want))
+    told = batch.read.where("n > 300").selectExpr("sum(read) AS read", "sum(n) AS n").first()
+    assert told.read < told.n / 3
 
 
 def test_batches(docs, kept):
@@ -48,6 +130,9 @@ def test_batches(docs, kept):
 
 
 def test_empty(spark, docs, tmp_path):
-    assert index.KeywordIndex(spark, []).search("apple").count() == 0
-    index.write(docs.where("id < 0"), str(tmp_path / "none"), 4)
-    assert index.KeywordIndex(spark, [str(tmp_path / "none")], shards=4).search("apple").count() == 0
+    made = index.KeywordIndex(spark, str(tmp_path / "none"))
+    made.append(docs.where("id < 0"))
+    asked = spark.createDataFrame([(1, "apple")], "query_id long, term string")
+    assert made.search("apple").count() == 0 and made.search_batch(asked).count() == 0 and made.stats() == (0, None)
+    made.append(docs.where("id = 1001"))
+    assert made.search("apple").count() == 0 and made.search_batch(asked).count() == 0 and made.stats() == (1, 0.0)

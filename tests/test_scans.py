@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,13 +28,15 @@ def frame(spark):
     return lambda rows: spark.createDataFrame(rows, "user_id long, event_id long, ms long")
 
 
-@pytest.fixture(params=[1, 16])
+@pytest.fixture(params=["plain", "some crowded", "16 slices"])
 def slices(request, monkeypatch):
-    monkeypatch.setattr(scans, "slice_count", lambda rows: request.param)
-    return request.param
+    """No key crowded, the hot key crowded, and all of them, each in many slices."""
+    monkeypatch.setattr(scans, "slice_count", lambda rows: 16)
+    monkeypatch.setattr(scans, "CROWD", {"plain": 1 << 20, "some crowded": 100, "16 slices": 0}[request.param])
 
 
-def test_positions_and_last_values(frame, slices):
+def test_positions_and_last_values(frame, monkeypatch):
+    monkeypatch.setattr(scans, "slice_count", lambda rows: 16)
     rows = events(1)
     seq = scans.ordered(frame(rows), "user_id", ["ms", "event_id"])
     got = scans.carried(seq, "user_id", F.when(F.col("event_id") % 7 == 0, F.col("event_id")), "last")
@@ -124,3 +127,21 @@ def test_a_hot_key_is_spread(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     windows = [line for line in text.splitlines() if "hashpartitioning(" in line]
     assert windows and all("_slice" in line for line in windows)
+
+
+@pytest.mark.parametrize("size", [0, 7, 1000])
+def test_counts_go_on_over_batches(size):
+    """Any cut of the rows into batches gives the counts of a loop."""
+    rng = random.Random(size)
+    rows = sorted((rng.choice("ab"), rng.randrange(300), k, rng.random() < 0.05) for k in range(200))
+    table = pa.table({"key": [r[0] for r in rows], "id": [r[2] for r in rows], "ms": [r[1] for r in rows], "reset": [r[3] for r in rows]})
+    want, held = [], {}
+    for key, ms, _, reset in rows:
+        (n,), start, count = ([0], None, 0) if reset else detectors.anchored_state([ms], size, *held.get(key, (None, 0)))
+        held[key] = (start, count)
+        want.append(n)
+    for _ in range(20):
+        cuts = sorted(rng.sample(range(200), rng.randrange(6)))
+        batches = [b for low, high in zip([0, *cuts], [*cuts, 200]) for b in table.slice(low, high - low).combine_chunks().to_batches()]
+        got = [n for b in scans.counting(size, True)(iter(batches)) for n in b.column(3).to_pylist()]
+        assert got == want

@@ -1,12 +1,20 @@
-"""A kept keyword index: postings in Parquet, dealt by a hash of the term, so that a search reads the terms it asks for and no texts.
+"""A kept keyword index: postings in blocks with the most that they can weigh, in segments that merge.
 
-An index is made of parts, one for each part of the table it covers; parts are written once and never changed. A part is two tables: ``postings`` (term, id, kind, tf, len,
-places), in folders by shard and sorted by term within files, and ``lengths`` (id, kind, len), one row for each document. A term's postings are
-spread over several files, so that those of a frequent one are written and read by several tasks.
+Documents are appended as segments and never changed there. A segment has two tables. ``blocks`` are the postings of a term in runs of up to ``BLOCK``: first by how
+much a posting can weigh (its band, from document length over term count), then by a hash of the id; each block knows its number of
+postings, the largest count, the least ratio of length to count, and the range of hashes. ``documents`` has the distinct terms of each document. Blocks are dealt by ranges over as many files as
+their size asks for, in folders by a hash of the term, so a search opens the folders of its terms and a frequent term fills many files.
+
+A level holds fewer than ``FAN`` segments: as many as that are merged into one of the next level, so n appends leave at most ``FAN - 1`` segments for each digit of n in base ``FAN``. A
+document is removed by a tombstone, a row with its segment and terms; nothing is rewritten, and a merge leaves it out. A manifest of one small row for each segment
+tells which segments count, and how many documents and tokens are left in each, so a search reads no table of lengths. The last manifest written holds;
+there may be one writer at a time.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,24 +22,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidepool.functions.constants import TOP_K
+from tidepool.functions.constants import BM25_B, BM25_K1, TOP_K
 from tidepool.operators import keyword
+from tidepool.operators.lineage import written
 
-#: Folders by hash of the term, and files of each that one term may fill.
-SHARDS, FILES = 32, 4
+#: Postings of a block, bytes of tokens that one file of blocks is made of, and folders by hash of the term at most.
+BLOCK, FILE_BYTES, MOST_SHARDS = 128, 32 << 20, 4096
+#: Segments of a level that are merged into one.
+FAN = 3
 #: Tokens that are put in order together.
 TOKENS = 1 << 19
+#: Postings that a query reads before it knows what its k-th score is at least; terms that are named in a filter rather than joined.
+SEED, NAMED = 2048, 1000
+#: Slack for sums in another order.
+SLACK = 1e-7
+MANIFEST = "name string, level int, n long, tokens long, shards int, removed array<string>, batch long, covers string"
 
 
-def shard(term: Column, shards: int = SHARDS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+def shard(term: Column, shards: Column | int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(shards) if isinstance(shards, int) else shards).cast("int")
 
 
 def _moved(places: Column, back: int) -> Column:
     return F.transform(places, lambda x: x - back)
 
 
+def merges(levels: list[int], fan: int = FAN) -> list[int] | None:
+    """Which segments, by their levels, are to be merged into one: the first ``fan`` of the lowest level that has so many; None if there is none."""
+    for level in sorted(set(levels)):
+        held = [k for k, x in enumerate(levels) if x == level]
+        if len(held) >= fan:
+            return held[:fan]
+    return None
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(id, kind, len, term, tf, places) of a table (id, kind, tokens): where each term stands in each document, counted from 0.
 
@@ -62,55 +88,202 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("id", "kind", "tokens").mapInArrow(run, f"id {kind}, kind int, len int, term string, tf int, places array<int>")
 
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Index a table (id, kind, tokens) as one part; a part that is there is written anew."""
-    found = postings(docs).withColumn("shard", shard(F.col("term"), shards))
-    spread = found.repartition("shard", F.pmod(F.xxhash64("id"), F.lit(FILES))).sortWithinPartitions("shard", "term")
-    spread.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    docs.select("id", "kind", F.size("tokens").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, term, band, hash, id, kind, len, tf, places) in that order as blocks; a block ends with its term, its band, a batch, or ``BLOCK`` postings."""
+    names = ["shard", "term", "band", "n", "most_tf", "least_ratio", "low", "high", "ids", "kinds", "lens", "tfs", "places"]
+    for batch in batches:
+        if not len(batch):
+            continue
+        coded = batch.column(1).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        band, hashes, lens, tfs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 6, 7))
+        new = np.concatenate([[True], (coded[1:] != coded[:-1]) | (band[1:] != band[:-1])])
+        begins = np.flatnonzero(new)
+        since = np.arange(len(batch)) - np.repeat(begins, np.diff(np.append(begins, len(batch))))
+        first = np.flatnonzero(new | (since % BLOCK == 0))
+        cuts, take = np.append(first, len(batch)), pa.array(first)
+        listed = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), batch.column(k)) for k in (4, 5, 6, 7, 8)]
+        columns = [batch.column(k).take(take) for k in (0, 1, 2)]
+        columns += [pa.array(np.diff(cuts).astype(np.int32)), pa.array(np.maximum.reduceat(tfs, first)), pa.array(np.minimum.reduceat(lens / tfs, first)), pa.array(hashes[first]), pa.array(hashes[cuts[1:] - 1])]
+        yield pa.RecordBatch.from_arrays([*columns, *listed], names=names)
+
+
+def _files(frame: DataFrame) -> int:
+    """How many files, by what Spark knows of the size; one where it knows none."""
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, math.ceil(size / FILE_BYTES)) if size < 1 << 60 else 1
 
 
 class KeywordIndex:
-    """The index parts in ``paths``, read as one; all of them have as many ``shards``."""
+    """The index in ``folder``, of documents (id, kind, tokens). An index that was never written is empty."""
+
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "long"):
+        self.spark, self.folder, self.id_type = spark, folder.rstrip("/"), id_type
+        self.segments: list[dict] = []
+        if (version := self._version()) is not None:
+            rows = spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest/{version}").collect()
+            self.segments = sorted((r.asDict() for r in rows), key=lambda r: (-r["level"], r["name"]))
+
+    # ------------------------------------------------------------ segments
+
+    def _version(self) -> int | None:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        system = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in system.listStatus(target)] if system.exists(target) else []
+        done = lambda n: system.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest/{n}/_SUCCESS"))
+        return next((n for n in sorted((int(n) for n in names if n.isdigit()), reverse=True) if done(n)), None)
+
+    def _commit(self, segments: list[dict], covers: str | None = None) -> None:
+        held, covers = self._version(), self.covers if covers is None else covers
+        segments = [s | {"covers": covers} for s in segments]
+        names = [c.split()[0] for c in MANIFEST.split(", ")]
+        rows = self.spark.createDataFrame([tuple(s[n] for n in names) for s in segments], MANIFEST)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{0 if held is None else held + 1}")
+        self.segments = sorted(segments, key=lambda r: (-r["level"], r["name"]))
+
+    def _write(self, found: DataFrame, documents: DataFrame, files: int, **more) -> dict | None:
+        """A segment of postings and documents; None if there are no documents."""
+        name, shards = uuid.uuid4().hex, min(MOST_SHARDS, 1 << (files - 1).bit_length())
+        path = f"{self.folder}/segments/{name}"
+        documents.write.parquet(f"{path}/documents")
+        totals = self.spark.read.schema(documents.schema).parquet(f"{path}/documents").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).first()
+        if not totals.n:
+            return None
+        order = ["shard", "term", "band", "hash"]
+        band = F.floor(F.log2(F.col("len") / F.col("tf")) / 2).cast("int")
+        spread = found.select(shard(F.col("term"), shards).alias("shard"), "term", band.alias("band"), F.xxhash64("id").alias("hash"), "id", "kind", "len", "tf", "places")
+        spread = spread.repartitionByRange(files, *order) if files > 1 else spread.coalesce(1)
+        schema = f"shard int, term string, band int, n int, most_tf int, least_ratio double, low long, high long, ids array<{self.id_type}>, kinds array<int>, lens array<int>, tfs array<int>, places array<array<int>>"
+        spread.sortWithinPartitions(*order).mapInArrow(_blocks, schema).write.partitionBy("shard").parquet(f"{path}/blocks")
+        return {"name": name, "n": totals.n, "tokens": totals.tokens or 0, "shards": shards, "removed": [], "batch": -1} | more
+
+    def append(self, docs: DataFrame, batch: int = -1, covers: str | None = None) -> None:
+        """Index a table (id, kind, tokens) as a new segment, and merge segments while a level has too many.
+
+        A ``batch`` number from 0 on that isn't above all that were appended is left out: what a stream runs again is there already. ``covers`` is kept for the caller, if there are
+        documents. Ids that the index has already are there twice until they are removed.
+        """
+        if batch >= 0 and batch <= max([s["batch"] for s in self.segments], default=-1):
+            return
+        own = docs.select("id", F.col("kind").cast("int").alias("kind"), "tokens")
+        documents = own.select("id", "kind", F.greatest(F.size("tokens"), F.lit(0)).alias("len"), F.xxhash64("tokens").alias("mark"), F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("terms"))
+        made = self._write(postings(own), documents, _files(own), level=0, batch=batch)
+        if made or covers is not None:
+            self._commit([*self.segments, *([made] if made else [])], covers)
+        while chosen := merges([s["level"] for s in self.segments]):
+            self._merge([self.segments[k] for k in chosen])
+
+    def _merge(self, chosen: list[dict]) -> None:
+        """One segment of the next level in place of those, without what was removed from them."""
+        found = self._opened(self._read(chosen, "blocks", self._block_schema()), chosen)
+        documents = self._without(self._read(chosen, "documents", self._document_schema()), chosen)
+        files = max(1, math.ceil(sum(s["tokens"] for s in chosen) * 8 / FILE_BYTES))
+        rest = [s for s in self.segments if s not in chosen]
+        made = self._write(found.drop("segment"), documents.drop("segment"), files, level=chosen[0]["level"] + 1, batch=max(s["batch"] for s in chosen))
+        self._commit([*rest, made] if made else rest)
+
+    def remove(self, ids: DataFrame) -> int:
+        """Remove the documents of a table (id, kind): tombstones are written, no segment is. Gives how many were there."""
+        if not self.segments:
+            return 0
+        name = uuid.uuid4().hex
+        path = f"{self.folder}/tombstones/{name}"
+        there = self.documents().join(ids.select("id", "kind").distinct(), ["id", "kind"], "left_semi")
+        there.select("segment", "id", "kind", "len", "terms").write.parquet(path)
+        gone = {r.segment: r for r in self.spark.read.parquet(path).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).collect()}
+        if not gone:
+            return 0
+        minus = lambda s: s | {"n": s["n"] - gone[s["name"]].n, "tokens": s["tokens"] - gone[s["name"]].tokens, "removed": [*s["removed"], name]}
+        self._commit([minus(s) if s["name"] in gone else s for s in self.segments])
+        return sum(r.n for r in gone.values())
+
+    def sync(self, docs: DataFrame, kind: int, covers: str | None = None) -> None:
+        """Make the index hold just these documents (id, tokens) of a kind: only those that are new or whose tokens changed are written, those gone are removed."""
+        want = docs.select("id", F.lit(kind).alias("kind"), "tokens").withColumn("mark", F.xxhash64("tokens"))
+        have = written(self.documents().where(F.col("kind") == kind).select("id", "kind", "mark"), "known")
+        self.remove(have.join(want.select("id", "kind", "mark"), ["id", "kind", "mark"], "left_anti"))
+        self.append(written(want.join(have, ["id", "kind", "mark"], "left_anti").drop("mark"), "fresh"), covers=covers)
+
+    @property
+    def covers(self) -> str:
+        """What the last append gave that gave any."""
+        return self.segments[0]["covers"] if self.segments else ""
+
+    # ------------------------------------------------------------ reading
+
+    def _document_schema(self) -> str:
+        return f"id {self.id_type}, kind int, len int, mark long, terms array<string>"
+
+    def _block_schema(self) -> str:
+        return f"term string, band int, n int, most_tf int, least_ratio double, low long, high long, ids array<{self.id_type}>, kinds array<int>, lens array<int>, tfs array<int>, places array<array<int>>, shard int"
 
-    def __init__(self, spark: SparkSession, paths: list[str], id_type: str = "long", shards: int = SHARDS):
-        self.spark, self.paths, self.shards = spark, paths, shards
-        self.id_type = id_type
+    def _read(self, segments: list[dict], table: str, schema: str) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], f"{schema}, segment string")
+        reader = self.spark.read.schema(schema)
+        return reduce(DataFrame.unionByName, [reader.parquet(f"{self.folder}/segments/{s['name']}/{table}").withColumn("segment", F.lit(s["name"])) for s in segments])
 
-    def lengths(self) -> DataFrame:
-        """(id, kind, len): every document."""
-        schema = f"id {self.id_type}, kind int, len int"
-        if not self.paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{p}/lengths" for p in self.paths])
+    def _tombstones(self, segments: list[dict]) -> DataFrame | None:
+        names = sorted({n for s in segments for n in s["removed"]})
+        if not names:
+            return None
+        held = self.spark.read.schema(f"segment string, id {self.id_type}, kind int, len int, terms array<string>").parquet(*[f"{self.folder}/tombstones/{n}" for n in names])
+        return held.where(F.col("segment").isin([s["name"] for s in segments]))
+
+    def _without(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
+        gone = self._tombstones(segments)
+        return rows if gone is None else rows.join(gone.select("segment", "id", "kind"), ["segment", "id", "kind"], "left_anti")
+
+    def _opened(self, blocks: DataFrame, segments: list[dict], places: bool = True) -> DataFrame:
+        """Blocks as postings, without those removed; columns of the blocks other than lists stay."""
+        lists = ["ids", "kinds", "lens", "tfs", *(["places"] if places else [])]
+        kept = [c for c in blocks.columns if c not in ("ids", "kinds", "lens", "tfs", "places", "n", "most_tf", "least_ratio", "low", "high", "shard")]
+        each = blocks.select(*kept, F.explode(F.arrays_zip(*lists)).alias("p"))
+        names = {"ids": "id", "kinds": "kind", "lens": "len", "tfs": "tf", "places": "places"}
+        return self._without(each.select(*kept, *[F.col(f"p.{c}").alias(names[c]) for c in lists]), segments)
+
+    def documents(self) -> DataFrame:
+        """(segment, id, kind, len, mark, terms): every document."""
+        return self._without(self._read(self.segments, "documents", self._document_schema()), self.segments)
+
+    def _blocks_of(self, terms: list[str] | None) -> DataFrame:
+        """The blocks of these terms, or of all; only their folders are opened."""
+        if terms is None:
+            return self._read(self.segments, "blocks", self._block_schema())
+        if not terms or not self.segments:
+            return self._read([], "blocks", self._block_schema())
+        sizes = sorted({s["shards"] for s in self.segments})
+        asked = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        folders = {n: [r.s for r in asked.select(shard(F.col("term"), n).alias("s")).distinct().collect()] for n in sizes}
+        of = lambda s: self._read([s], "blocks", self._block_schema()).where(F.col("shard").isin(folders[s["shards"]]) & F.col("term").isin(terms))
+        return reduce(DataFrame.unionByName, [of(s) for s in self.segments])
 
     def all_postings(self) -> DataFrame:
-        schema = f"id {self.id_type}, kind int, len int, term string, places array<int>, tf int, shard int"
-        if not self.paths:
-            return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema)  # one root each: Spark takes shard folders below one root only
-        return reduce(DataFrame.unionByName, [reader.parquet(f"{p}/postings") for p in self.paths])
+        """(segment, term, band, id, kind, len, tf, places)."""
+        return self._opened(self._blocks_of(None), self.segments)
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """The postings of these terms; only their shards are opened."""
-        wanted = sorted(set(terms))
-        if not wanted:
-            return self.all_postings().where(F.lit(False))
-        places = self.spark.createDataFrame([(t,) for t in wanted], "term string").select(shard(F.col("term"), self.shards).alias("s")).distinct().collect()
-        return self.all_postings().where(F.col("shard").isin(*[r.s for r in places]) & F.col("term").isin(*wanted))
+        """The postings of these terms; only their folders are opened."""
+        return self._opened(self._blocks_of(sorted(set(terms))), self.segments)
+
+    def stats(self) -> tuple[int, float | None]:
+        """How many documents there are, and their average length; the manifest tells."""
+        n = sum(s["n"] for s in self.segments)
+        return n, sum(s["tokens"] for s in self.segments) / n if n else None
 
-    def stats(self) -> DataFrame:
-        """(n, average): one row."""
-        return self.lengths().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"))
+    def _corpus(self, n: str = "n", average: str = "average") -> DataFrame:
+        return self.spark.createDataFrame([self.stats()], f"{n} long, {average} double")
+
+    # ------------------------------------------------------------ searches
 
     def search(self, query: str, tier: str = "tiered", stemmed: bool = False) -> DataFrame:
         """(id, kind, score) of the matching documents, as ``keyword.search`` finds and scores them."""
         phrases, strict = keyword.asked(query, stemmed)
         terms = sorted({t for p in phrases for t in p})
         if not phrases:
-            return self.lengths().select("id", "kind", F.lit(0.0).alias("score")).where(F.lit(False))
+            return self.documents().select("id", "kind", F.lit(0.0).alias("score")).where(F.lit(False))
         column = {t: f"_p{k}" for k, t in enumerate(terms)}
-        held = self.postings(terms).groupBy("id", "kind", "len").agg(*[F.max(F.when(F.col("term") == t, F.col("places"))).alias(c) for t, c in column.items()])
+        held = self.postings(terms).groupBy("segment", "id", "kind", "len").agg(*[F.max(F.when(F.col("term") == t, F.col("places"))).alias(c) for t, c in column.items()])
 
         def count(phrase: list[str]) -> Column:
             begins = F.col(column[phrase[0]])
@@ -119,9 +292,116 @@ class KeywordIndex:
             return F.coalesce(F.greatest(F.size(begins), F.lit(0)), F.lit(0))
 
         counted = held.select("id", "kind", F.col("len").alias("_len"), *[count(p).alias(f"_f{k}") for k, p in enumerate(phrases)])
-        corpus = self.stats().select(F.col("n").alias("_n"), F.col("average").alias("_avg"))
-        return keyword.chosen(counted, corpus, strict, tier)
+        return keyword.chosen(counted, self._corpus("_n", "_avg"), strict, tier)
 
     def search_batch(self, queries: DataFrame, k: int = TOP_K, digits: int = 9) -> DataFrame:
-        """(query_id, rank, id, score): the k best of each query of a table (query_id, term), by any of its terms."""
-        return keyword.search_batch(self.all_postings().drop("places"), self.stats(), queries, k, digits)
+        """(query_id, rank, id, score): the k best of each query of a table (query_id, term), by any of its terms. See ``Batch``."""
+        return Batch(self, queries, k, digits).best
+
+
+class Batch:
+    """A batch of queries by any of their terms, with the k best of each.
+
+    A term's postings of one band of one segment are a layer. What a layer's postings can weigh at most is known from its blocks. A few postings of the layers that can weigh most give a score that
+    the k-th reaches at least. Layers by rising weight don't count as long as a document that is only in them can't reach that; all others are read whole. Documents found there
+    that can still be among the best are looked up in the blocks of other layers that hold their hash; no other block is read. ``best`` is what scoring all postings gives.
+
+    ``read`` is (query_id, term, read, n): how many postings of a term a query read, and how many there are.
+    """
+
+    def __init__(self, index: KeywordIndex, queries: DataFrame, k: int, digits: int):
+        self.index = index
+        asked = written(queries.select("query_id", "term").dropDuplicates(), "asked")
+        terms = [r.term for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+        blocks = index._blocks_of(terms if len(terms) <= NAMED else None)
+        if len(terms) > NAMED:
+            blocks = blocks.join(asked.select("term").distinct(), "term", "left_semi")
+        self.blocks, corpus = blocks, F.broadcast(index._corpus())
+        average = F.col("average")
+        layers = blocks.groupBy("segment", "term", "band").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("blocks"), F.max("most_tf").alias("most_tf"), F.min("least_ratio").alias("least_ratio"))
+        layers = written(layers, "layers")
+        frequency = layers.groupBy("term").agg(F.sum("n").alias("m"))
+        gone = index._tombstones(index.segments)
+        if gone is not None:
+            less = gone.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("less"))
+            frequency = frequency.join(less, "term", "left").select("term", (F.col("m") - F.coalesce("less", F.lit(0))).alias("m"))
+        most = (BM25_K1 + 1) / (1 + BM25_K1 * ((1 - BM25_B) / F.col("most_tf") + BM25_B * F.col("least_ratio") / average))
+        weights = frequency.crossJoin(corpus).select("term", keyword.idf(F.col("n"), F.col("m")).alias("idf"), "average")
+        wide = asked.join(weights, "term").join(layers, "term").withColumn("most", F.col("idf") * most).select("query_id", "term", "segment", "band", "n", "blocks", "idf", "average", "most")
+        # by rising weight: the most that a document can score that is in no layer but these, one of each term
+        own = Window.partitionBy("query_id", "term").orderBy("most", "segment", "band")
+        rise = F.col("most") - F.lag("most", 1, 0.0).over(own)
+        whole = Window.partitionBy("query_id")
+        rising = whole.orderBy("most", "term", "segment", "band").rowsBetween(Window.unboundedPreceding, 0)
+        falling = whole.orderBy(F.desc("most"), "term", "segment", "band").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("n").over(falling), F.lit(0))
+        wide = wide.withColumn("rise", rise).withColumn("up_to", F.sum("rise").over(rising)).withColumn("seed", before < SEED).drop("rise")
+        self.wide = written(wide, "wide")
+        # what the k-th scores at least
+        score = F.col("idf") * keyword.term_weight(F.col("tf"), F.col("len"), F.col("average"))
+        seeds = self._postings(self.wide.where("seed")).groupBy("query_id", "segment", "id").agg(F.sum(score).alias("score"))
+        floors = written(self._nth(seeds, k), "floors")
+        # layers without which one of the best can be missed
+        judged = self.wide.join(floors, "query_id", "left").withColumn("counts", F.col("up_to") >= F.coalesce("floor", F.lit(-1.0)) - SLACK)
+        self.judged = written(judged.drop("floor", "seed"), "judged")
+        found = self._postings(self.judged.where("counts"))
+        found = found.groupBy("query_id", "segment", "id").agg(F.sum(score).alias("score"), F.collect_set("term").alias("terms"))
+        found = written(found, "found")
+        floors = written(self._nth(found, k), "floors")
+        # what the rest can add, for terms that weren't found
+        left = self.judged.where("NOT counts").groupBy("query_id", "segment", "term").agg(F.max("most").alias("most"))
+        rest = left.groupBy("query_id", "segment").agg(F.collect_list(F.struct("term", "most")).alias("rest"))
+        open_docs = found.join(rest, ["query_id", "segment"], "left").join(floors, "query_id", "left")
+        missing = F.filter(F.coalesce("rest", F.array().cast("array<struct<term:string,most:double>>")), lambda x: ~F.array_contains("terms", x["term"]))
+        open_docs = open_docs.withColumn("missing", missing)
+        can = F.col("score") + F.aggregate("missing", F.lit(0.0), lambda total, x: total + x["most"]) >= F.coalesce("floor", F.lit(-1.0)) - SLACK
+        open_docs = written(open_docs.where(can).select("query_id", "segment", "id", "score", F.transform("missing", lambda x: x["term"]).alias("missing")), "open")
+        self.looked = written(self._lookups(open_docs), "looked")
+        more = self._postings_at(self.looked).groupBy("query_id", "segment", "id").agg(F.sum(score).alias("more"))
+        total = open_docs.join(more, ["query_id", "segment", "id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+        place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id")
+        self.best = total.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    @staticmethod
+    def _nth(scores: DataFrame, k: int) -> DataFrame:
+        place = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        return scores.withColumn("place", F.row_number().over(place)).where(F.col("place") == k).select("query_id", F.col("score").alias("floor"))
+
+    def _postings(self, layers: DataFrame) -> DataFrame:
+        """The postings of chosen layers, for each query that chose them."""
+        keys = ["segment", "term", "band"]
+        chosen = layers.select("query_id", *keys, "idf", "average")
+        held = self.blocks.join(chosen.select(*keys).distinct(), keys, "left_semi")
+        return self.index._opened(held, self.index.segments, places=False).join(chosen, keys)
+
+    def _lookups(self, docs: DataFrame) -> DataFrame:
+        """(query_id, segment, term, band, low, id, hash): the blocks in whose range of hashes a document's hash is, of terms that it may have.
+
+        Hashes are parted into as many ranges as a layer has blocks, or fewer by up to a half; each block is filed under those that it touches, so that the join has a key with few rows.
+        """
+        keys = ["segment", "term", "band"]
+        layers = self.judged.where("NOT counts").select("query_id", *keys, F.floor(F.log2(F.col("blocks").cast("double"))).cast("int").alias("bits"))
+        part = lambda h: F.when(F.col("bits") > 0, F.expr(f"shiftrightunsigned({h} ^ {-(1 << 63)}, 64 - bits)")).otherwise(0)
+        asked = docs.select("query_id", "segment", "id", F.xxhash64("id").alias("hash"), F.explode("missing").alias("term")).join(layers, ["query_id", "segment", "term"])
+        asked = asked.withColumn("part", part("hash"))
+        held = self.blocks.select(*keys, "low", "high").join(layers.select(*keys, "bits").distinct(), keys)
+        held = held.withColumn("part", F.explode(F.sequence(part("low"), part("high")))).drop("bits")
+        both = asked.join(held, [*keys, "part"]).where((F.col("low") <= F.col("hash")) & (F.col("hash") <= F.col("high")))
+        return both.select("query_id", *keys, "low", "high", "id", "hash")
+
+    def _postings_at(self, looked: DataFrame) -> DataFrame:
+        """The postings of documents in the blocks where they were looked up."""
+        keys = ["segment", "term", "band", "low", "high"]
+        held = self.blocks.join(looked.select(*keys).distinct(), keys, "left_semi")
+        weights = self.judged.select("query_id", "segment", "term", "band", "idf", "average")
+        opened = self.index._opened(held, self.index.segments, places=False)
+        wanted = looked.select("query_id", "segment", "term", "band", "id").distinct().join(weights, ["query_id", "segment", "term", "band"])
+        return opened.join(wanted, ["segment", "term", "band", "id"])
+
+    @property
+    def read(self) -> DataFrame:
+        layers = self.judged.groupBy("query_id", "term").agg(F.sum(F.when(F.col("counts"), F.col("n")).otherwise(0)).alias("read"), F.sum("n").alias("n"))
+        sizes = self.blocks.select("segment", "term", "band", "low", "high", F.col("n").alias("more"))
+        probed = self.looked.select("query_id", "segment", "term", "band", "low", "high").distinct().join(sizes, ["segment", "term", "band", "low", "high"])
+        probed = probed.groupBy("query_id", "term").agg(F.sum("more").alias("more"))
+        return layers.join(probed, ["query_id", "term"], "left").select("query_id", "term", (F.col("read") + F.coalesce("more", F.lit(0))).alias("read"), "n")

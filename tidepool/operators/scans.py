@@ -4,12 +4,17 @@ Rows are parted by ranges of key and order into slices, so a key with many rows
 is carried forward by a window over slice and key. Each slice is reduced to the last value of each of its keys; the last values
 of earlier slices are carried into later ones, and joined to the rows of the one key that a slice takes over from the slices before it.
 So the table that is carried has no more rows than there are slices.
+
+Slices cost passes over the rows, so only keys with more than ``CROWD`` rows are scanned by them (``where_crowded``); others are one task's, in order.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +24,8 @@ from tidepool.operators.lineage import written
 #: Bytes of a slice, about, by what Spark knows of the input's size; sizes from here on mean that Spark knows none.
 SLICE_BYTES, MOST_SLICES, UNKNOWN = 64 << 20, 50_000, 1 << 60
 SLICE, AT = "_slice", "_at"
+#: Rows of a key from which on it is scanned in slices.
+CROWD = 1 << 20
 
 
 def slice_count(rows: DataFrame) -> int:
@@ -40,6 +47,16 @@ def ordered(rows: DataFrame, key: str, order: list[str], slices: int | None = No
     return numbered.withColumn(AT, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_before")
 
 
+def where_crowded(rows: DataFrame, key: str, plain: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of keys with more than ``CROWD`` rows by ``sliced``, all others by ``plain``; both give the same columns."""
+    crowded = rows.groupBy(F.col(key).alias("_crowded")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select("_crowded")
+    if crowded.isEmpty():
+        return plain(rows)
+    crowded = written(crowded, "crowded")
+    same = F.col(key).eqNullSafe(F.col("_crowded"))
+    return plain(rows.join(crowded, same, "left_anti")).unionByName(sliced(rows.join(crowded, same, "left_semi")))
+
+
 def carried(rows: DataFrame, key: str, value: Column, name: str, earlier: bool = False) -> DataFrame:
     """``rows`` of ``ordered`` with the last value of the same key that isn't null, up to each row; with ``earlier``, before it."""
     own = Window.partitionBy(SLICE, key).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1 if earlier else 0)
@@ -89,3 +106,49 @@ def anchored(rows: DataFrame, key: str, time: str, size: int, name: str = "_star
     starts = told.join(found.withColumnRenamed("_a", "_begun"), F.col(AT) == F.col("_begun"), "left")
     begins = F.when(F.col("_sure") | F.col("_begun").isNotNull(), F.col(AT))
     return carried(starts.drop("_last", "_first"), key, begins, name).drop("_sure", "_begun")
+
+
+def window_counts(groups: np.ndarray, times: np.ndarray, size: int, start: int | None = None, n: int = 0) -> tuple[np.ndarray, int, int]:
+    """Running counts of rows in order of group and time, in windows that begin as in ``anchored``; then the beginning and count of the last window.
+
+    ``groups`` are numbers that rise. ``start`` and ``n`` are the open window that the first group's rows find. Which rows begin windows is found for all groups together, over pointers that are doubled.
+    """
+    many = len(times)
+    span = int(times.max()) - int(times.min()) + size + 2
+    place = (groups - groups[0]) * span + (times - times.min())
+    pointer = np.append(np.searchsorted(place, place + size, "right"), many)
+    begins = np.zeros(many + 1, bool)
+    begins[np.flatnonzero(groups[1:] != groups[:-1]) + 1] = True
+    begins[0 if start is None else int(np.searchsorted(place, start + size - int(times.min()), "right"))] = True
+    while pointer[:many].min() < many:
+        begins[pointer[begins]] = True
+        pointer = pointer[pointer]
+    rows = np.arange(many)
+    first = np.maximum.accumulate(np.where(begins[:many], rows, -1))
+    counts = np.where(first < 0, rows + 1 + n, rows - first + 1)
+    return counts, start if first[-1] < 0 else int(times[first[-1]]), int(counts[-1])
+
+
+def counting(size: int, resets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows (key, id, time) in order of key and time: (key, id, time, n) by ``window_counts``, batch by batch.
+
+    With ``resets`` rows are (key, id, time, reset): where reset is true the count is 0 and the next row begins a window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = None, None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            times = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            reset = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) if resets else np.zeros(len(batch), bool)
+            new = np.zeros(len(batch), np.int64)
+            new[1:] = (keys[1:] != keys[:-1]) | reset[1:] | reset[:-1]
+            goes_on = last is not None and last[0] == batch.column(0)[0].as_py() and start is not None and not reset[0]
+            counts, start, n = window_counts(np.cumsum(new), times, size, start if goes_on else None, n if goes_on else 0)
+            start = None if reset[-1] else start
+            last = (batch.column(0)[-1].as_py(),)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(reset, 0, counts))], names=[*batch.schema.names[:3], "n"])
+
+    return run

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidepool.functions.constants import DAY_MS, END_OF_DAY_MS
 from tidepool.functions.text import column
-from tidepool.operators.scans import carried, ordered
+from tidepool.operators.scans import carried, ordered, where_crowded
 
 
 def within(c: str | Column, since: int = 0, until: int = 0) -> Column:
@@ -67,14 +67,17 @@ def as_of(probes: DataFrame, versions: DataFrame, key: str = "id", at: str = "at
     """Each probe with the last version of its key up to its time; probes without one have nulls.
 
     Probes and versions are ordered together and the last version is carried forward, so the join costs one sort, not
-    probes times versions; a key with many of them spans several slices. A version at the probe's own time counts.
+    probes times versions; a key with very many of them spans several slices. A version at the probe's own time counts.
     """
     values = [c for c in versions.columns if c != key]
     left = probes.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.struct(*probes.columns).alias("_p"), F.lit(None).cast(versions.select(F.struct(*values)).schema[0].dataType).alias("_v"))
     right = versions.select(F.col(key), F.col(valid_from).alias("_t"), F.lit(0).alias("_probe"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), F.struct(*values).alias("_v"))
     # times without a value stand first, so a probe without a time finds none; what has no unique order is parted by a hash
     both = left.unionByName(right).where((F.col("_probe") == 1) | F.col("_t").isNotNull()).withColumn("_tie", F.xxhash64(*[F.col(f"_p.{c}") for c in probes.columns]))
-    told = carried(ordered(both, key, ["_t", "_probe", "_tie"]), key, F.col("_v"), "_found").where("_probe = 1")
+    order = Window.partitionBy(key).orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = lambda rows: rows.withColumn("_found", F.last("_v", ignorenulls=True).over(order)).select("_probe", "_p", "_found")
+    sliced = lambda rows: carried(ordered(rows, key, ["_t", "_probe", "_tie"]), key, F.col("_v"), "_found").select("_probe", "_p", "_found")
+    told = where_crowded(both, key, plain, sliced).where("_probe = 1")
     return told.select("_p.*", *[F.col(f"_found.{c}").alias(c if c not in probes.columns else f"version_{c}") for c in values])
 
 

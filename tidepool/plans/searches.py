@@ -146,10 +146,9 @@ _BATCH_SQL = f"""WITH {V.MEMORIES}, {_docs_sql("memories", "content")},
 
 def _indexed(spark, sf_dir):
     """An index of all documents, written and read again."""
-    path = scratch(spark, "index")
-    docs = keyword.tokenised(V.memories(spark, sf_dir).select("id", "content")).select("id", F.lit(0).alias("kind"), "tokens")
-    index.write(docs, path)
-    return index.KeywordIndex(spark, [path])
+    made = index.KeywordIndex(spark, scratch(spark, "index"))
+    made.append(keyword.tokenised(V.memories(spark, sf_dir).select("id", "content")).select("id", F.lit(0).alias("kind"), "tokens"))
+    return made
 
 
 @query(_BATCH_SQL)

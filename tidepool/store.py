@@ -7,6 +7,8 @@ names of folders are looked up on the driver, through Spark's own file systems.
 
 from __future__ import annotations
 
+import json
+
 import platform
 from functools import reduce
 
@@ -42,22 +44,18 @@ class NotFound(LookupError):
 class Store:
     """Tools over the tables in ``folder``. ``now`` gives the present in milliseconds, ``embedder`` vectors; without one only keywords are searched.
 
-    Keyword searches read an index with ``shards`` folders of postings, kept beside the tables: one part for each part of a table, written when a search first needs it.
+    Keyword searches read indexes kept beside the tables; they follow the tables when a search next needs them.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, now=None, shards: int = 8):
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, now=None):
         import time
 
-        self.spark, self.folder, self.embedder, self.shards = spark, folder.rstrip("/"), embedder, shards
+        self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder
         self.now = now or (lambda: int(time.time() * 1000))
         self.jobs: dict[str, dict] = {}
 
     # ------------------------------------------------------------ tables
 
-    def _exists(self, path: str) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
     def _names(self, path: str) -> list[int]:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -167,19 +165,30 @@ class Store:
         return self.table("memories").select("id", "embedding").unionByName(self.table("chunks").select("id", "embedding"))
 
     def _index(self, again: bool = False) -> index.KeywordIndex:
-        """Records (kind 0) and entities (kind 1) with all their searched columns, in index parts; parts that are missing are written, with ``again`` all."""
+        """Records (kind 0) and entities (kind 1) with all their searched columns, as they are now.
+
+        What was appended to a table since the index was last searched is appended to the index; a table that was rewritten is compared with it, and
+        only documents that changed are written or removed. With ``again`` both tables are compared whole.
+        """
         searched = {"memories": (0, "tags", ["content", "source_type", "source_author", "_list"]), "entities": (1, "observations", ["name", "entity_type", "_list"])}
-        paths = []
+        kept = index.KeywordIndex(self.spark, f"{self.folder}/index", "string")
+        covered = json.loads(kept.covers or "{}")
         for name, (kind, listed, columns) in searched.items():
-            for generation in self._names(f"{self.folder}/{name}")[-1:]:
-                for part in self._names(f"{self.folder}/{name}/{generation}"):
-                    path = f"{self.folder}/index/{name}-{generation}-{part}"
-                    if again or not self._exists(f"{path}/lengths/_SUCCESS"):
-                        rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{generation}/{part}")
-                        own = rows.withColumn("_list", F.array_join(F.coalesce(listed, F.array().cast("array<string>")), " ", ""))
-                        index.write(keyword.tokenised(own, columns, stemmed=True).select("id", F.lit(kind).alias("kind"), "tokens"), path, self.shards)
-                    paths.append(path)
-        return index.KeywordIndex(self.spark, paths, "string", self.shards)
+            generation = (self._names(f"{self.folder}/{name}") or [0])[-1]
+            parts = self._names(f"{self.folder}/{name}/{generation}")
+            had, many = covered.get(name, [0, 0])
+            if [generation, len(parts)] == [had, many] and not again or not parts:
+                continue
+            appended = had == generation and 0 < many and not again
+            rows = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.folder}/{name}/{generation}/{p}" for p in parts[many if appended else 0 :]])
+            own = rows.withColumn("_list", F.array_join(F.coalesce(listed, F.array().cast("array<string>")), " ", ""))
+            docs = keyword.tokenised(own, columns, stemmed=True).select("id", F.lit(kind).alias("kind"), "tokens")
+            covered[name] = [generation, len(parts)]
+            if appended:
+                kept.append(docs, covers=json.dumps(covered))
+            else:
+                kept.sync(docs, kind, json.dumps(covered))
+        return kept
 
     def search_keyword(self, query: str, k: int = C.TOP_K) -> DataFrame:
         """(id, content, tier, score); entities take places and are then shown without content."""
@@ -428,7 +437,7 @@ class Store:
         return {r.table_name: r.n for r in tables.counts({n: self.table(n) for n in ("memories", "entities", "edges")}).collect()}
 
     def get_index_stats(self) -> dict:
-        return {"vectors": self._vectors().where("embedding is not null").count(), "documents": self._index().lengths().count()}
+        return {"vectors": self._vectors().where("embedding is not null").count(), "documents": self._index().stats()[0]}
 
     def audit(self, events: list[dict], kind: str = "audit") -> None:
         """Append events (or, as kind ``alert``, alerts) to the store's JSON lines, each with its time."""
