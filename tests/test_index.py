@@ -59,6 +59,12 @@ def test_totals_are_told_without_reading(docs, kept):
     assert len(kept.segments) <= 5
 
 
+def test_files_are_dealt_by_size():
+    assert [index.dealt(n) for n in (1, 2, 8, 64)] == [(1, 0), (2, 0), (8, 0), (64, 0)]
+    shards, bits = index.dealt(1_000_000)
+    assert shards == 4096 and 1_000_000 // 2 <= shards << bits <= 1_000_000
+
+
 def test_segments_of_a_thousand_appends():
     levels = []
     for _ in range(1000):
@@ -100,7 +106,7 @@ def test_sync_writes_what_changed(spark, docs, tmp_path, monkeypatch):
 def test_batches_with_pruning(spark, tmp_path_factory, seed, monkeypatch):
     """Skewed words: frequent ones are read for a small part, and the result is that of all postings."""
     monkeypatch.setattr(index, "SEED", 64)
-    monkeypatch.setattr(index, "BLOCK", 16)
+    monkeypatch.setattr(index, "CHEAP", 0)
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(300)]
     draw = lambda n: [words[min(299, int(rng.paretovariate(0.8)) - 1)] for _ in range(n)]
@@ -117,8 +123,26 @@ def test_batches_with_pruning(spark, tmp_path_factory, seed, monkeypatch):
     batch = index.Batch(made, asked, 5, 9)
     key = lambda r: (r.query_id, r["rank"], r.id, round(r.score, 9))
     assert sorted(map(key, batch.best.collect())) == sorted(map(key, want))
-    told = batch.read.where("n > 300").selectExpr("sum(read) AS read", "sum(n) AS n").first()
-    assert told.read < told.n / 3
+    # what is read as a whole; with so few documents the blocks that are looked up are most of a term
+    told = batch.judged.groupBy("counts").agg(F.sum("n").alias("n")).collect()
+    kept = {r.counts: r.n for r in told}
+    assert kept[True] < kept[False] / 2
+    monkeypatch.setattr(index, "CHEAP", 1 << 15)
+    assert sorted(map(key, made.search_batch(asked, 5).collect())) == sorted(map(key, want))
+
+
+def test_lookups_read_a_small_part_of_a_frequent_term(spark, tmp_path, monkeypatch):
+    """Two rare words and one that is in every document: its few blocks that hold the hashes of candidates are read."""
+    monkeypatch.setattr(index, "CHEAP", 1000)
+    rows = spark.range(60_000).selectExpr("id", "0 AS kind", "IF(id % 3000 = 7, array('the', 'rare', 'the'), IF(id % 2900 = 5, array('the', 'other'), array('the', 'x', 'y'))) AS tokens")
+    made = index.KeywordIndex(spark, str(tmp_path / "index"))
+    made.append(rows)
+    asked = spark.createDataFrame([(1, "the"), (1, "rare"), (1, "other")], "query_id long, term string")
+    batch = index.Batch(made, asked, 5, 9)
+    want = keyword.search_batch(keyword.postings(rows), keyword.doc_stats(rows), asked, 5).collect()
+    assert sorted((r["rank"], r.id, round(r.score, 9)) for r in batch.best.collect()) == sorted((r["rank"], r.id, round(r.score, 9)) for r in want)
+    read, n = batch.read.where("term = 'the'").select("read", "n").first()
+    assert n == 60_000 and read < n / 3
 
 
 def test_batches(docs, kept):

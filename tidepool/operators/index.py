@@ -2,8 +2,8 @@
 
 Documents are appended as segments and never changed there. A segment has two tables. ``blocks`` are the postings of a term in runs of up to ``BLOCK``: first by how
 much a posting can weigh (its band, from document length over term count), then by a hash of the id; each block knows its number of
-postings, the largest count, the least ratio of length to count, and the range of hashes. ``documents`` has the distinct terms of each document. Blocks are dealt by ranges over as many files as
-their size asks for, in folders by a hash of the term, so a search opens the folders of its terms and a frequent term fills many files.
+postings, the largest count, the least ratio of length to count, and the range of hashes. ``documents`` has the tokens of each document. Blocks are dealt over as many files as
+their size asks for, in folders by a hash of the term and there by ranges of hashes of ids, so a search opens the folders of its terms and a frequent term fills many files.
 
 A level holds fewer than ``FAN`` segments: as many as that are merged into one of the next level, so n appends leave at most ``FAN - 1`` segments for each digit of n in base ``FAN``. A
 document is removed by a tombstone, a row with its segment and terms; nothing is rewritten, and a merge leaves it out. A manifest of one small row for each segment
@@ -30,12 +30,18 @@ from tidepool.operators.lineage import written
 
 #: Postings of a block, bytes of tokens that one file of blocks is made of, and folders by hash of the term at most.
 BLOCK, FILE_BYTES, MOST_SHARDS = 128, 32 << 20, 4096
+#: Bytes that are worth a task of their own where tasks are free.
+LEAST_BYTES = 1 << 18
+#: Files up to which each is a folder: a term has one posting of a document at most, so one of some hundreds of all.
+FEW = 64
 #: Segments of a level that are merged into one.
 FAN = 3
 #: Tokens that are put in order together.
 TOKENS = 1 << 19
 #: Postings that a query reads before it knows what its k-th score is at least; terms that are named in a filter rather than joined.
 SEED, NAMED = 2048, 1000
+#: Postings of a term that are read rather than looked up: of 200 blocks or so, a few lookups touch most.
+CHEAP = 1 << 15
 #: Slack for sums in another order.
 SLACK = 1e-7
 MANIFEST = "name string, level int, n long, tokens long, shards int, removed array<string>, batch long, covers string"
@@ -45,6 +51,13 @@ def shard(term: Column, shards: Column | int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards) if isinstance(shards, int) else shards).cast("int")
 
 
+def dealt(files: int) -> tuple[int, int]:
+    """How many folders, and by how many bits of an id's hash each is dealt over files, so that a frequent term fills several."""
+    shards = files if files <= FEW else min(MOST_SHARDS, 8 * math.isqrt(files))
+    shards = 1 << shards.bit_length() - 1
+    return shards, (files // shards).bit_length() - 1
+
+
 def _moved(places: Column, back: int) -> Column:
     return F.transform(places, lambda x: x - back)
 
@@ -89,28 +102,37 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, term, band, hash, id, kind, len, tf, places) in that order as blocks; a block ends with its term, its band, a batch, or ``BLOCK`` postings."""
+    """Rows (shard, term, band, hash, id, kind, len, tf, places) in that order as blocks.
+
+    A block ends with its term, a batch, ``BLOCK`` postings, or where a band begins that has a fourth of that. It counts to the band of its first posting.
+    """
     names = ["shard", "term", "band", "n", "most_tf", "least_ratio", "low", "high", "ids", "kinds", "lens", "tfs", "places"]
     for batch in batches:
         if not len(batch):
             continue
         coded = batch.column(1).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         band, hashes, lens, tfs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 6, 7))
-        new = np.concatenate([[True], (coded[1:] != coded[:-1]) | (band[1:] != band[:-1])])
-        begins = np.flatnonzero(new)
-        since = np.arange(len(batch)) - np.repeat(begins, np.diff(np.append(begins, len(batch))))
-        first = np.flatnonzero(new | (since % BLOCK == 0))
+        place = np.arange(len(batch))
+        term_begins = np.concatenate([[True], coded[1:] != coded[:-1]])
+        band_begins = np.concatenate([[True], band[1:] != band[:-1]]) | term_begins
+        in_term = place - np.maximum.accumulate(np.where(term_begins, place, 0))
+        left = np.diff(np.append(np.flatnonzero(band_begins), len(batch)))
+        worth = np.zeros(len(batch), bool)  # bands that are long enough to begin a block
+        worth[np.flatnonzero(band_begins)] = left >= BLOCK // 4
+        begins = term_begins | worth
+        since = place - np.maximum.accumulate(np.where(begins, place, 0))
+        first = np.flatnonzero(begins | (since % BLOCK == 0) & (in_term > 0))
         cuts, take = np.append(first, len(batch)), pa.array(first)
         listed = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), batch.column(k)) for k in (4, 5, 6, 7, 8)]
         columns = [batch.column(k).take(take) for k in (0, 1, 2)]
-        columns += [pa.array(np.diff(cuts).astype(np.int32)), pa.array(np.maximum.reduceat(tfs, first)), pa.array(np.minimum.reduceat(lens / tfs, first)), pa.array(hashes[first]), pa.array(hashes[cuts[1:] - 1])]
+        columns += [pa.array(np.diff(cuts).astype(np.int32)), pa.array(np.maximum.reduceat(tfs, first)), pa.array(np.minimum.reduceat(lens / tfs, first)), pa.array(np.minimum.reduceat(hashes, first)), pa.array(np.maximum.reduceat(hashes, first))]
         yield pa.RecordBatch.from_arrays([*columns, *listed], names=names)
 
 
 def _files(frame: DataFrame) -> int:
-    """How many files, by what Spark knows of the size; one where it knows none."""
+    """How many files, by what Spark knows of the size: none far above ``FILE_BYTES``, and as many as there are free tasks, unless they are tiny."""
     size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, math.ceil(size / FILE_BYTES)) if size < 1 << 60 else 1
+    return max(1, math.ceil(size / FILE_BYTES), min(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
 
 
 class KeywordIndex:
@@ -141,18 +163,23 @@ class KeywordIndex:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{0 if held is None else held + 1}")
         self.segments = sorted(segments, key=lambda r: (-r["level"], r["name"]))
 
-    def _write(self, found: DataFrame, documents: DataFrame, files: int, **more) -> dict | None:
-        """A segment of postings and documents; None if there are no documents."""
-        name, shards = uuid.uuid4().hex, min(MOST_SHARDS, 1 << (files - 1).bit_length())
+    def _write(self, documents: DataFrame, found: DataFrame | None = None, **more) -> dict | None:
+        """A segment of documents and of their postings, if those aren't at hand; None if there are no documents."""
+        name = uuid.uuid4().hex
         path = f"{self.folder}/segments/{name}"
-        documents.write.parquet(f"{path}/documents")
-        totals = self.spark.read.schema(documents.schema).parquet(f"{path}/documents").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).first()
+        documents.select("id", "kind", "len", "mark", "tokens").write.parquet(f"{path}/documents")
+        kept = self.spark.read.schema(self._document_schema()).parquet(f"{path}/documents")
+        totals = kept.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).first()
         if not totals.n:
             return None
+        files = _files(kept)
+        shards, ranges = dealt(files)
+        found = postings(kept) if found is None else found
         order = ["shard", "term", "band", "hash"]
         band = F.floor(F.log2(F.col("len") / F.col("tf")) / 2).cast("int")
         spread = found.select(shard(F.col("term"), shards).alias("shard"), "term", band.alias("band"), F.xxhash64("id").alias("hash"), "id", "kind", "len", "tf", "places")
-        spread = spread.repartitionByRange(files, *order) if files > 1 else spread.coalesce(1)
+        part = F.expr(f"shiftrightunsigned(hash, {64 - ranges})") if ranges else F.lit(0)
+        spread = spread.repartition(shards << ranges, "shard", part) if files > 1 else spread.coalesce(1)
         schema = f"shard int, term string, band int, n int, most_tf int, least_ratio double, low long, high long, ids array<{self.id_type}>, kinds array<int>, lens array<int>, tfs array<int>, places array<array<int>>"
         spread.sortWithinPartitions(*order).mapInArrow(_blocks, schema).write.partitionBy("shard").parquet(f"{path}/blocks")
         return {"name": name, "n": totals.n, "tokens": totals.tokens or 0, "shards": shards, "removed": [], "batch": -1} | more
@@ -166,8 +193,8 @@ class KeywordIndex:
         if batch >= 0 and batch <= max([s["batch"] for s in self.segments], default=-1):
             return
         own = docs.select("id", F.col("kind").cast("int").alias("kind"), "tokens")
-        documents = own.select("id", "kind", F.greatest(F.size("tokens"), F.lit(0)).alias("len"), F.xxhash64("tokens").alias("mark"), F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("terms"))
-        made = self._write(postings(own), documents, _files(own), level=0, batch=batch)
+        documents = own.withColumns({"tokens": F.coalesce("tokens", F.array().cast("array<string>")), "mark": F.xxhash64("tokens")})
+        made = self._write(documents.withColumn("len", F.size("tokens")), level=0, batch=batch)
         if made or covers is not None:
             self._commit([*self.segments, *([made] if made else [])], covers)
         while chosen := merges([s["level"] for s in self.segments]):
@@ -177,9 +204,8 @@ class KeywordIndex:
         """One segment of the next level in place of those, without what was removed from them."""
         found = self._opened(self._read(chosen, "blocks", self._block_schema()), chosen)
         documents = self._without(self._read(chosen, "documents", self._document_schema()), chosen)
-        files = max(1, math.ceil(sum(s["tokens"] for s in chosen) * 8 / FILE_BYTES))
         rest = [s for s in self.segments if s not in chosen]
-        made = self._write(found.drop("segment"), documents.drop("segment"), files, level=chosen[0]["level"] + 1, batch=max(s["batch"] for s in chosen))
+        made = self._write(documents, found, level=chosen[0]["level"] + 1, batch=max(s["batch"] for s in chosen))
         self._commit([*rest, made] if made else rest)
 
     def remove(self, ids: DataFrame) -> int:
@@ -189,7 +215,7 @@ class KeywordIndex:
         name = uuid.uuid4().hex
         path = f"{self.folder}/tombstones/{name}"
         there = self.documents().join(ids.select("id", "kind").distinct(), ["id", "kind"], "left_semi")
-        there.select("segment", "id", "kind", "len", "terms").write.parquet(path)
+        there.select("segment", "id", "kind", "len", F.array_distinct("tokens").alias("terms")).write.parquet(path)
         gone = {r.segment: r for r in self.spark.read.parquet(path).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).collect()}
         if not gone:
             return 0
@@ -212,7 +238,7 @@ class KeywordIndex:
     # ------------------------------------------------------------ reading
 
     def _document_schema(self) -> str:
-        return f"id {self.id_type}, kind int, len int, mark long, terms array<string>"
+        return f"id {self.id_type}, kind int, len int, mark long, tokens array<string>"
 
     def _block_schema(self) -> str:
         return f"term string, band int, n int, most_tf int, least_ratio double, low long, high long, ids array<{self.id_type}>, kinds array<int>, lens array<int>, tfs array<int>, places array<array<int>>, shard int"
@@ -243,7 +269,7 @@ class KeywordIndex:
         return self._without(each.select(*kept, *[F.col(f"p.{c}").alias(names[c]) for c in lists]), segments)
 
     def documents(self) -> DataFrame:
-        """(segment, id, kind, len, mark, terms): every document."""
+        """(segment, id, kind, len, mark, tokens): every document."""
         return self._without(self._read(self.segments, "documents", self._document_schema()), self.segments)
 
     def _blocks_of(self, terms: list[str] | None) -> DataFrame:
@@ -304,7 +330,8 @@ class Batch:
 
     A term's postings of one band of one segment are a layer. What a layer's postings can weigh at most is known from its blocks. A few postings of the layers that can weigh most give a score that
     the k-th reaches at least. Layers by rising weight don't count as long as a document that is only in them can't reach that; all others are read whole. Documents found there
-    that can still be among the best are looked up in the blocks of other layers that hold their hash; no other block is read. ``best`` is what scoring all postings gives.
+    that can still be among the best are looked up in the blocks of other layers that hold their hash; no other block is read. Terms of up to ``CHEAP`` postings are read whole, and
+    where there are no others nothing is judged. ``best`` is what scoring all postings gives.
 
     ``read`` is (query_id, term, read, n): how many postings of a term a query read, and how many there are.
     """
@@ -336,13 +363,24 @@ class Batch:
         falling = whole.orderBy(F.desc("most"), "term", "segment", "band").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("n").over(falling), F.lit(0))
         wide = wide.withColumn("rise", rise).withColumn("up_to", F.sum("rise").over(rising)).withColumn("seed", before < SEED).drop("rise")
+        wide = wide.withColumn("cheap", F.sum("n").over(Window.partitionBy("query_id", "term")) <= CHEAP)
         self.wide = written(wide, "wide")
-        # what the k-th scores at least
         score = F.col("idf") * keyword.term_weight(F.col("tf"), F.col("len"), F.col("average"))
+        place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id")
+        if self.wide.where("NOT cheap").isEmpty():
+            self.judged, self.looked = self.wide.withColumn("counts", F.lit(True)), None
+            total = self._postings(self.wide).groupBy("query_id", "segment", "id").agg(F.sum(score).alias("score"))
+        else:
+            total = self._pruned(score, k)
+        self.best = total.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    def _pruned(self, score: Column, k: int) -> DataFrame:
+        """(query_id, segment, id, score) of every document that can be among the best."""
+        # what the k-th scores at least
         seeds = self._postings(self.wide.where("seed")).groupBy("query_id", "segment", "id").agg(F.sum(score).alias("score"))
         floors = written(self._nth(seeds, k), "floors")
         # layers without which one of the best can be missed
-        judged = self.wide.join(floors, "query_id", "left").withColumn("counts", F.col("up_to") >= F.coalesce("floor", F.lit(-1.0)) - SLACK)
+        judged = self.wide.join(floors, "query_id", "left").withColumn("counts", F.col("cheap") | (F.col("up_to") >= F.coalesce("floor", F.lit(-1.0)) - SLACK))
         self.judged = written(judged.drop("floor", "seed"), "judged")
         found = self._postings(self.judged.where("counts"))
         found = found.groupBy("query_id", "segment", "id").agg(F.sum(score).alias("score"), F.collect_set("term").alias("terms"))
@@ -358,9 +396,7 @@ class Batch:
         open_docs = written(open_docs.where(can).select("query_id", "segment", "id", "score", F.transform("missing", lambda x: x["term"]).alias("missing")), "open")
         self.looked = written(self._lookups(open_docs), "looked")
         more = self._postings_at(self.looked).groupBy("query_id", "segment", "id").agg(F.sum(score).alias("more"))
-        total = open_docs.join(more, ["query_id", "segment", "id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
-        place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id")
-        self.best = total.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        return open_docs.join(more, ["query_id", "segment", "id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
 
     @staticmethod
     def _nth(scores: DataFrame, k: int) -> DataFrame:
@@ -401,6 +437,8 @@ class Batch:
     @property
     def read(self) -> DataFrame:
         layers = self.judged.groupBy("query_id", "term").agg(F.sum(F.when(F.col("counts"), F.col("n")).otherwise(0)).alias("read"), F.sum("n").alias("n"))
+        if self.looked is None:
+            return layers
         sizes = self.blocks.select("segment", "term", "band", "low", "high", F.col("n").alias("more"))
         probed = self.looked.select("query_id", "segment", "term", "band", "low", "high").distinct().join(sizes, ["segment", "term", "band", "low", "high"])
         probed = probed.groupBy("query_id", "term").agg(F.sum("more").alias("more"))
