@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import vindex
+from tidepool.operators import vector, vindex
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,10 @@ def test_refusals_and_empty_tables(spark, index, tmp_path):
         index.search(spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, v array<double>")).collect()
     with pytest.raises(ValueError, match="components"):
         vindex.build(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, embedding array<double>"), str(tmp_path / "odd"))
+    mixed = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="a vector of 1 components"):
+        vector.nearest(mixed, [1.0, 0.0], 2).collect()
+    assert [r.id for r in vector.nearest(mixed.where("id <> 2"), [1.0, 0.0], 2).collect()] == [1]
     none = vindex.build(spark.createDataFrame([(1, None)], "id long, embedding array<double>"), str(tmp_path / "none"))
     assert none.search(spark.createDataFrame([(1, [1.0])], "query_id long, v array<double>")).count() == 0
     one = vindex.build(spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, embedding array<float>"), str(tmp_path / "one"))

@@ -53,16 +53,17 @@ def misses(correct: DataFrame, by: str, k: int = 5) -> DataFrame:
 
     ``correct`` has a row (query_id, by, rank) for each correct id, with null rank where it is not among the results. The median is the upper one.
     """
-    own = correct.withColumn("_first", F.min("rank").over(Window.partitionBy("query_id")))
+    firsts = correct.groupBy("query_id").agg(F.min("rank").alias("_first"))
+    own = correct.join(firsts, "query_id")
     missed = F.coalesce(F.col("_first"), F.lit(k + 1)) > k
     low = F.when(missed & (F.col("rank") > k), F.col("rank"))
-    order = F.array_sort(F.collect_list(low))
     return own.groupBy(by).agg(
         F.countDistinct("query_id").alias("queries"),
         F.countDistinct(F.when(missed, F.col("query_id"))).alias("missed"),
         F.count(F.when(missed & F.col("rank").isNull(), 1)).alias("not_retrieved"),
         F.count(low).alias("ranked_low"),
-        F.get(order, F.floor(F.size(order) / 2).cast("int")).alias("median_rank"),
+        # counted by rank, not gathered: the value at place n / 2 + 1 in order of value, for an even and an odd n
+        F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -CASE WHEN coalesce(_first, {k + 1}) > {k} AND rank > {k} THEN rank END)").cast(correct.schema["rank"].dataType).alias("median_rank"),
         F.min(low).alias("least_rank"),
         F.max(low).alias("most_rank"),
     )

@@ -20,11 +20,15 @@ BLOCK, PIVOTS = 2048, 1024
 
 
 def nearest(table: DataFrame, query: list[float], k: int, metric: str = "cosine", vector: str = "embedding", id_column: str = "id") -> DataFrame:
-    """(id, distance): the k rows nearest to the query, ties by id; ``dot`` gives the negated inner product. Rows without a vector are left out."""
+    """(id, distance): the k rows nearest to the query, ties by id; ``dot`` gives the negated inner product.
+
+    Rows without a vector are left out; a vector of another length is refused.
+    """
     own, asked = F.col(vector), vectors.literal(query)
     distance = {"cosine": vectors.cosine_distance, "l2": vectors.l2_distance, "dot": lambda a, b: -vectors.dot(a, b)}[metric](own, asked)
-    usable = table.where(own.isNotNull() & (F.size(own) == len(query)))
-    return usable.select(F.col(id_column), distance.alias("distance")).orderBy("distance", id_column).limit(k)
+    refused = F.raise_error(F.concat(F.lit("a vector of "), F.size(own).cast("string"), F.lit(f" components, asked for {len(query)}"))).cast("double")
+    distance = F.when(F.size(own) == len(query), distance).otherwise(refused)
+    return table.where(own.isNotNull()).select(F.col(id_column), distance.alias("distance")).orderBy("distance", id_column).limit(k)
 
 
 def semantic(table: DataFrame, chunks: DataFrame, memories: DataFrame, query: list[float], k: int) -> DataFrame:

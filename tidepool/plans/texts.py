@@ -21,7 +21,10 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _values(values: list[str]) -> str:
+def _values(values: list[str], more: str | None = None) -> str:
+    """A view ``lit`` of literal rows, and of those that the SQL ``more`` (id, content) selects from a table."""
+    if more:
+        return _values(values).replace("lit(id, content) AS (", "lit(id, content) AS (SELECT * FROM (", 1)[:-1] + f") UNION ALL {more})"
     return "lit(id, content) AS (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {_literal(v)})" for k, v in enumerate(values)) + ")"
 
 
@@ -180,9 +183,11 @@ for _pattern in C.SECRETS.values():
     _REDACT_SQL = f"regexp_replace({_REDACT_SQL}, {_literal(_pattern)}, '[secret]', 'g')"
 
 
-@query(f"WITH {_values(_SECRET)} SELECT id, {_REDACT_SQL} AS content FROM lit")
+@query(f"WITH {_values(_SECRET, 'SELECT 1000 + conv_id * 1000 + turn, text FROM conversations')} SELECT id, {_REDACT_SQL} AS content FROM lit")
 def redact_secrets(spark, sf_dir):
-    return _rows(spark, _SECRET).select("id", tables.redacted("content").alias("content"))
+    """Over every whole text of conversations, and some texts with secrets of each kind."""
+    turns = V.table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    return _rows(spark, _SECRET).union(turns).select("id", tables.redacted("content").alias("content"))
 
 
 @query(f"WITH {_values(_SECRET)}, a AS (SELECT id, content FROM lit UNION ALL SELECT doc_id + 100, text FROM documents) SELECT id, {_REDACT_SQL} AS content FROM a")
@@ -214,15 +219,17 @@ _NUMBER_SQL = "list_reduce(list_transform(string_split({0}, '.'), lambda x: CAST
 
 
 @query(
-    f"""WITH ips AS (SELECT unnest([{", ".join(map(_literal, _IPS))}]) AS ip), nets AS (SELECT unnest([{", ".join(map(_literal, _NETS))}]) AS cidr),
+    f"""WITH ips AS (SELECT unnest([{", ".join(map(_literal, _IPS))}]) AS ip UNION SELECT (user_id % 256) || '.' || (user_id * 7 % 256) || '.' || (event_id % 3) || '.' || (event_id % 256) FROM events), nets AS (SELECT unnest([{", ".join(map(_literal, _NETS))}]) AS cidr),
     n AS (SELECT cidr, {_NUMBER_SQL.format("split_part(cidr, '/', 1)")} AS base,
           CASE WHEN coalesce(TRY_CAST(nullif(split_part(cidr, '/', 2), '') AS INTEGER), 32) <= 32 THEN coalesce(TRY_CAST(nullif(split_part(cidr, '/', 2), '') AS INTEGER), 32) ELSE 32 END AS bits FROM nets),
     p AS (SELECT ip, CASE WHEN regexp_full_match(ip, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') AND list_max(list_transform(string_split(ip, '.'), lambda x: CAST(x AS BIGINT))) <= 255 THEN {_NUMBER_SQL.format("ip")} END AS v FROM ips)
     SELECT ip, cidr, coalesce(v // CAST(pow(2, 32 - bits) AS BIGINT) = base // CAST(pow(2, 32 - bits) AS BIGINT), false) AS inside FROM p, n"""
 )
 def cidr_allowed(spark, sf_dir):
+    """Addresses made of each event's numbers, and some odd ones, against a list of networks."""
     ips, nets = (spark.createDataFrame([(x,) for x in v], f"{c} string") for v, c in ((_IPS, "ip"), (_NETS, "cidr")))
-    return ips.crossJoin(nets).select("ip", "cidr", tables.in_network("ip", "cidr").alias("inside"))
+    made = V.table(spark, sf_dir, "events").select(F.concat_ws(".", F.expr("user_id % 256"), F.expr("user_id * 7 % 256"), F.expr("event_id % 3"), F.expr("event_id % 256")).alias("ip"))
+    return ips.union(made).distinct().crossJoin(F.broadcast(nets)).select("ip", "cidr", tables.in_network("ip", "cidr").alias("inside"))
 
 
 # ---------------------------------------------------------------- dates
@@ -230,28 +237,41 @@ def cidr_allowed(spark, sf_dir):
 _ISO = ["2026-01-15T10:30:00Z", "2026-01-15 10:30", "2026-01-15", "2026-1-5T7", "not a date", "", "1999-12-31T23:59:59.999+02:00", "0001-01-01", "2024-02-29"]
 
 
+#: Dates in the forms that the parser takes, and some that it doesn't, by the event's number.
+_ISO_FORMS = ["%Y-%m-%d", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S+02:00", "%d.%m.%Y"]
+_ISO_MORE = "SELECT 1000 + event_id, CASE event_id % 5 " + " ".join(f"WHEN {k} THEN strftime(ts, '{f}')" for k, f in enumerate(_ISO_FORMS)) + " END FROM events"
+
+
 @query(
-    f"""WITH {_values(_ISO)}, p AS (SELECT id, content, regexp_extract(content, '^\\s*(\\d{{1,4}})-(\\d{{1,2}})-(\\d{{1,2}})', ['y', 'm', 'd']) AS x,
+    f"""WITH {_values(_ISO, _ISO_MORE)}, p AS (SELECT id, content, regexp_extract(content, '^\\s*(\\d{{1,4}})-(\\d{{1,2}})-(\\d{{1,2}})', ['y', 'm', 'd']) AS x,
         regexp_extract(content, '^\\s*\\d{{1,4}}-\\d{{1,2}}-\\d{{1,2}}[T ](\\d{{1,2}})(?::(\\d{{1,2}})(?::(\\d{{1,2}}))?)?', ['h', 'n', 's']) AS t FROM lit)
     SELECT id, CASE WHEN x.y = '' THEN 0 ELSE epoch_ms(make_timestamp(TRY_CAST(x.y AS BIGINT), TRY_CAST(x.m AS BIGINT), TRY_CAST(x.d AS BIGINT), 0, 0, 0)) + coalesce(TRY_CAST(t.h AS BIGINT), 0) * 3600000
         + coalesce(TRY_CAST(t.n AS BIGINT), 0) * 60000 + coalesce(TRY_CAST(t.s AS BIGINT), 0) * 1000 END AS ms FROM p"""
 )
 def iso_dates(spark, sf_dir):
-    return _rows(spark, _ISO).select("id", dates.iso_ms("content").alias("ms"))
+    forms = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss+02:00", "dd.MM.yyyy"]
+    shown = F.element_at(F.array(*[F.date_format("ts", f) for f in forms]), (F.col("event_id") % 5 + 1).cast("int"))
+    made = V.table(spark, sf_dir, "events").select((F.col("event_id") + 1000).alias("id"), shown.alias("content"))
+    return _rows(spark, _ISO).union(made).select("id", dates.iso_ms("content").alias("ms"))
 
 
 _SPOKEN = ["January 15, 2026", "mar 3rd", "May 5 1850", "december 31st, 2023", "Sept 4", "June 40", "jul", "Aug 9 12", "2025-03-04", "nonsense", "Feb 29 2024"]
 _SPOKEN_SQL = "^\\s*(january|jan|february|feb|march|mar|april|apr|may|june|jun|july|jul|august|aug|september|sep|october|oct|november|nov|december|dec)(?:[\\s,]+|$)(\\d{1,9})(?:st|nd|rd|th)?[\\s,]*(\\d{1,9})?"
 
 
+_SPOKEN_MORE = "SELECT 1000 + o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%b %-d') || 'th' ELSE strftime(o_orderdate, '%Y-%m-%d') END FROM orders"
+
+
 @query(
-    f"""WITH {_values(_SPOKEN)}, p AS (SELECT id, content, regexp_extract(lower(content), {_literal(_SPOKEN_SQL)}, ['m', 'd', 'y']) AS x FROM lit),
+    f"""WITH {_values(_SPOKEN, _SPOKEN_MORE)}, p AS (SELECT id, content, regexp_extract(lower(content), {_literal(_SPOKEN_SQL)}, ['m', 'd', 'y']) AS x FROM lit),
     n AS (SELECT id, content, list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], substring(x.m, 1, 3)) AS m, TRY_CAST(x.d AS BIGINT) AS d, TRY_CAST(x.y AS BIGINT) AS y FROM p)
     SELECT id, CAST(CASE WHEN regexp_matches(content, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN epoch_ms(CAST(content AS TIMESTAMP)) WHEN m > 0 AND d BETWEEN 1 AND 31 THEN
         epoch_ms(make_timestamp(CASE WHEN y BETWEEN 1900 AND 2100 THEN y ELSE 2025 END, m, 1, 12, 0, 0)) + (d - 1) * 86400000 ELSE 0 END AS BIGINT) AS ms FROM n"""
 )
 def natural_dates(spark, sf_dir):
-    return _rows(spark, _SPOKEN).select("id", dates.natural_ms("content", 2025).alias("ms"))
+    shown = F.element_at(F.array(F.date_format("o_orderdate", "MMMM d, yyyy"), F.date_format("o_orderdate", "MMM d'th'"), F.date_format("o_orderdate", "yyyy-MM-dd")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    made = V.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1000).alias("id"), shown.alias("content"))
+    return _rows(spark, _SPOKEN).union(made).select("id", dates.natural_ms("content", 2025).alias("ms"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M') || ':00' AS iso FROM events")
@@ -312,14 +332,18 @@ def import_text(spark, sf_dir):
 
 
 _PATHS = ["a/notes.md", "b.JSONL", "b.jsonl", "c.tar.csv", "mail.mbox", "mail.mbx", "README", "x.markdown", "dir.csv/file", "y.txt"]
+_PATHS_MORE = "SELECT 1000 + page_id, url || CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.csv' WHEN 2 THEN '.mbx' ELSE '' END FROM pages"
 
 
 @query(
-    f"""WITH {_values(_PATHS)}, e AS (SELECT id, content, regexp_extract(content, '(\\.[^./]*)$', 1) AS x FROM lit)
+    f"""WITH {_values(_PATHS, _PATHS_MORE)}, e AS (SELECT id, content, regexp_extract(content, '(\\.[^./]*)$', 1) AS x FROM lit)
     SELECT id, content AS path, CASE WHEN x = '.jsonl' THEN 'jsonl' WHEN x = '.csv' THEN 'csv' WHEN x IN ('.mbox', '.mbx') THEN 'mbox' WHEN x IN ('.md', '.markdown') THEN 'markdown' ELSE 'text' END AS format FROM e"""
 )
 def detect_format(spark, sf_dir):
-    return _rows(spark, _PATHS).select("id", F.col("content").alias("path"), files.file_format("content").alias("format"))
+    """Of each page's address with an ending, and some odd paths."""
+    ending = F.element_at(F.array(F.lit(".md"), F.lit(".csv"), F.lit(".mbx"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    made = V.table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), F.concat("url", ending).alias("content"))
+    return _rows(spark, _PATHS).union(made).select("id", F.col("content").alias("path"), files.file_format("content").alias("format"))
 
 
 @query(
