@@ -49,14 +49,14 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["extract_events"])
+@pytest.mark.parametrize("name", ["extract_events", "knn_index_recall"])
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SMALL).count() > 0
 
 
 def test_every_query_has_sql_or_is_known():
     core = {n for n in entry.registry.QUERIES if n not in SQL}
-    assert core == {"extract_events"}
+    assert core == {"extract_events", "knn_index_recall"}
 
 
 def test_flagship(spark):
