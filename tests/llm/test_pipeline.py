@@ -102,16 +102,24 @@ def slow_mix(docs):
     for s, p in parts.items():
         assert len(p) <= mixing.BUCKET  # then all of a source is one bucket
         epochs = math.floor(target[s] / sizes[s])
-        left, open_rows = target[s] - epochs * sizes[s], []
-        for _, _, size, i in sorted(p):
-            taken[i] = epochs + (0 < size <= left)
-            left -= size * (taken[i] - epochs)
-            if size and taken[i] == epochs:
-                open_rows.append((abs(size - left), size, i))
-        if open_rows and left > 0:
-            least = min(x[1] for x in open_rows)
-            if abs(least - left) < left:
-                taken[min(((abs(x[1] - left), x[2]) for x in open_rows))[1]] += 1
+        left, order = target[s] - epochs * sizes[s], [(size, i) for _, _, size, i in sorted(p) if size]
+        chosen, total = [], 0
+        for size, i in order:
+            if total + size <= left:
+                total += size
+                chosen.append(i)
+        for _ in range(mixing.SWAPS):
+            gap = left - sum(size for size, i in order if i in chosen)
+            options = [
+                (round(abs(gap - add + drop), 6), a, b, out, into)
+                for a, (drop, out) in enumerate([(0, None), *((n, i) for n, i in order if i in chosen)])
+                for b, (add, into) in enumerate([(0, None), *((n, i) for n, i in order if i not in chosen)])
+            ]
+            best = min(options, key=lambda x: x[:3])
+            if best[0] >= options[0][0]:
+                break
+            chosen = [i for i in chosen if i != best[3]] + [best[4]] * (best[4] is not None)
+        taken |= {i: epochs + (i in chosen) for _, _, _, i in p}
     return taken
 
 

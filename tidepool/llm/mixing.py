@@ -27,6 +27,8 @@ from tidepool.llm.scratch import cut
 
 #: Documents that are put in order together, at most; and parts of a range of keys.
 BUCKET, PARTS = 1024, 1024
+#: Exchanges of documents for a total that is nearer to the budget, at most.
+SWAPS = 8
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -103,19 +105,36 @@ def ending_ranges(own: DataFrame, plan: DataFrame, most: int = BUCKET, parts: in
     return out
 
 
+def filled_to(sizes: np.ndarray, left: float, rounds: int = SWAPS) -> np.ndarray:
+    """Which documents of a range are taken, from their sizes in key order: those whose prefix sum is within the budget, later ones that still fit, then exchanges for a nearer total.
+
+    An exchange adds a document, drops one, or does both; in each of a few rounds the one that comes nearest to the budget is made, first documents by key winning ties, as long as it comes nearer.
+    """
+    taken = np.cumsum(sizes) <= left
+    rest = left - int(sizes[taken].sum())
+    for k in np.flatnonzero(~taken).tolist():
+        if sizes[k] <= rest:
+            taken[k] = True
+            rest -= int(sizes[k])
+    for _ in range(rounds):
+        gap = left - int(sizes[taken].sum())
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
+        change = np.concatenate([[0], sizes[outside]])[None, :] - np.concatenate([[0], sizes[inside]])[:, None]
+        off = np.round(np.abs(gap - change), 6)
+        k = int(off.argmin())
+        if off.flat[k] >= off[0, 0]:
+            break
+        drop, add = divmod(k, len(outside) + 1)
+        taken[inside[drop - 1 : drop]] = False
+        taken[outside[add - 1 : add]] = True
+    return taken
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """In the range where the budget ends: documents in key order while they fit, and one more if that comes nearer."""
+    """The documents taken in the range where a budget ends."""
     rows = rows.sort_values(["key", "draw"], kind="stable")
-    left, taken = float(rows["left"].iloc[0]), []
-    for size in rows["size"]:
-        taken.append(size <= left)
-        left -= size * taken[-1]
-    rows["taken"] = taken
-    open_rows = rows[~rows["taken"]]
-    if len(open_rows) and abs(open_rows["size"].min() - left) < left:
-        best = (open_rows["size"] - left).abs().idxmin()
-        rows.loc[best, "taken"] = True
-    return rows.loc[rows["taken"], ["draw", "size"]].assign(taken=True)[["draw", "taken"]]
+    taken = filled_to(rows["size"].to_numpy(np.int64), float(rows["left"].iloc[0]))
+    return rows.loc[taken, ["draw"]].assign(taken=True)[["draw", "taken"]]
 
 
 def mix(docs: DataFrame, text: str = "text", id_column: str = "doc_id", source: str = "source", limit: float = 3.0, cycle: int = 3, narrow: bool = False) -> DataFrame:
