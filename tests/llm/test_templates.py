@@ -37,14 +37,14 @@ def test_counts_equal_brute_force(spark):
     """Different pages of a host for each subtree, page by page in plain Python."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     marked = html.page_marks(pages)
-    got = {(r.host, r.mark): (r.pages, r.chars, r.total) for r in html.subtree_counts(marked).collect()}
+    got = {r.mark: (r.pages, r.chars, r.total) for r in html.subtree_counts(marked).collect()}
     seen = {}
     for r in pages.select(html.host_key("url").alias("host"), "html").collect():
         root = html.parse(r.html)
         found, shapes = html.mark_subtrees(root)
-        own = {html.COUNTED: 0} | {html.signed(m): 0 for m, free in found.items() if free} | {html.signed(m): n for m, n in shapes.items()}
+        own = {html.COUNTED: 0} | {m: 0 for m, free in found.items() if free} | shapes
         for mark, chars in own.items():
-            kept = seen.setdefault((r.host, mark), {})
+            kept = seen.setdefault(html.of_host(mark, r.host), {})
             text = html.article_text(root)
             kept[text] = tuple(max(a, b) for a, b in zip(kept.get(text, (0, 0)), (chars, root.chars)))
     assert got == {k: (len(v), sum(c for c, _ in v.values()), sum(t for _, t in v.values())) for k, v in seen.items()}

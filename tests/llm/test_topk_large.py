@@ -47,3 +47,15 @@ def test_a_floor_ends_a_search_early():
     assert lists.reads <= reads
     lists.reads = 0
     assert lists.search(-1, query, 10, 10**9) == [] and lists.reads == 0
+
+
+def test_odd_tables(spark):
+    """Null, empty and odd vectors, repeated rows, ties, clashing columns, and an empty table."""
+    names = ["vec_id", "embedding", "VEC_ID", "v", "c", "score", "a.b"]
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 0.0]), (None, [1.0, 1.0]), (5, []), (6, [1.0]), (7, [0.5, 9.0]), (200, [])]
+    plain = spark.createDataFrame([(i, v, "x", "y", 1, 2, 3) for i, v in rows], "c0 long, c1 array<double>, c2 string, c3 string, c4 int, c5 int, c6 int")
+    whole = topk.quantised(plain.toDF(*names))
+    got = sorted(tuple(r) for r in topk.top_k(whole, whole.where("vec_id % 100 = 0"), 10).collect())
+    assert got == [(100, 1, 1, 1 << 20), (100, 2, 1, 1 << 20), (100, 3, 7, 1 << 19), (200, 1, 5, 0)]
+    none = whole.where("vec_id < 0")
+    assert topk.top_k(none, none).count() == 0 and topk.top_k(whole, none).count() == 0

@@ -296,26 +296,27 @@ def host_key(url: str) -> Column:
 
 
 def page_marks(pages: DataFrame) -> DataFrame:
-    """(host, page, content, total, marks, shapes, chars) of a table (url, html): the deletable subtrees of each page, by content and by shape with its characters.
+    """(page, content, total, marks, shapes, chars) of a table (url, html): the deletable subtrees of each page, by content and by shape with its characters.
 
-    ``content`` is a hash of the article's text, ``total`` the page's characters; equal pages of a host have one ``page``.
+    Marks and shapes are mixed with the host's hash (``of_host``), so that those of different hosts differ. ``content`` is a hash of the article's text, ``total`` the page's characters; equal pages of a host have one ``page``.
     """
-    names = ["host", "page", "content", "total", "marks", "shapes", "chars"]
+    names = ["page", "content", "total", "marks", "shapes", "chars"]
     lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             rows = []
-            for raw in batch.column(2):
+            for host, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 root = parse(raw.as_py().decode("utf-8", "replace"))
                 found, shapes = mark_subtrees(root)
                 content = signed(xxhash.xxh64_intdigest(article_text(root)))
-                rows.append((content, root.chars, [COUNTED, *(signed(m) for m, free in found.items() if free)], [signed(m) for m in shapes], list(shapes.values())))
+                marks = [COUNTED, *(m for m, free in found.items() if free)]
+                rows.append((content, root.chars, [of_host(m, host) for m in marks], [of_host(m, host) for m in shapes], list(shapes.values())))
             made = [pa.array([r[k] for r in rows], pa.int64() if k < 2 else lists) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *made], names=names)
 
     own = small_batches(pages).select(host_key("url").alias("host"), page_key().alias("page"), utf8("html").alias("html"))
-    return own.mapInArrow(run, "host long, page long, content long, total long, marks array<long>, shapes array<long>, chars array<long>")
+    return own.mapInArrow(run, "page long, content long, total long, marks array<long>, shapes array<long>, chars array<long>")
 
 
 def page_key() -> Column:
@@ -323,27 +324,32 @@ def page_key() -> Column:
 
 
 def subtree_counts(marked: DataFrame) -> DataFrame:
-    """(host, mark, pages, chars, total): on how many pages with different main content of a host each deletable subtree or shape occurs, and what part of their text it has.
+    """(mark, pages, chars, total): on how many pages with different main content of its host each deletable subtree or shape occurs, and what part of their text it has.
 
     A page gives each of its subtrees once, so the rows are in proportion to the markup; they are summed before they move. Every
     content of a host is counted by its hash, once, whatever the number of its copies. For subtrees counted by content ``chars`` is 0.
     """
     by_content = F.transform("marks", lambda m: F.struct(m.alias("mark"), F.lit(0).cast("long").alias("chars")))
     by_shape = F.transform(F.arrays_zip("shapes", "chars"), lambda x: F.struct(x["shapes"].alias("mark"), x["chars"].alias("chars")))
-    seen = marked.select("host", "content", "total", F.explode(F.concat(by_content, by_shape)).alias("m"))
-    once = seen.groupBy("host", "m.mark", "content").agg(F.max("m.chars").alias("chars"), F.max("total").alias("total"))
-    return once.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
+    seen = marked.select("content", "total", F.explode(F.concat(by_content, by_shape)).alias("m"))
+    once = seen.groupBy("m.mark", "content").agg(F.max("m.chars").alias("chars"), F.max("total").alias("total"))
+    return once.groupBy("mark").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def of_host(mark: int, host: int) -> int:
+    """A mark mixed with a host's hash, as a signed number; mixing it again gives the mark back."""
+    return signed((mark ^ host) & 0xFFFFFFFFFFFFFFFF)
+
+
 def template_marks(marked: DataFrame, least: int = PAGES) -> DataFrame:
     """(page, marks array<long>): what each page has of its host's template; no array is longer than its page."""
     # written first, so that its size is known: a small one is sent to all tasks, and a large one is joined with hot hosts split up
-    recurring = cut(subtree_counts(marked).where((F.col("pages") >= least) & (LESSER * F.col("chars") < F.col("total") + 1)).select("host", "mark"), "recurring")
-    each = marked.select("host", "page", F.explode(F.concat("marks", "shapes")).alias("mark")).join(recurring, ["host", "mark"])
+    recurring = cut(subtree_counts(marked).where((F.col("pages") >= least) & (LESSER * F.col("chars") < F.col("total") + 1)).select("mark"), "recurring")
+    each = marked.select("page", F.explode(F.concat("marks", "shapes")).alias("mark")).join(recurring, "mark")
     return each.groupBy("page").agg(F.collect_set("mark").alias("marks"))
 
 
@@ -356,16 +362,16 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
     """
     asked = taken(pages, id=id_column, url=url, html=html)
     template = cut(template_marks(cut(page_marks(asked), "marks"), least), "template")
-    own = small_batches(asked).select("id", "url", utf8("html").alias("raw"), page_key().alias("own"))
+    own = small_batches(asked).select("id", "url", utf8("html").alias("raw"), host_key("url").alias("host"), page_key().alias("own"))
     joined = own.join(template, F.col("own") == F.col("page"), "left").drop("own", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             texts = []
-            for raw, marks in zip(batch.column(2), batch.column(3), strict=True):
+            for raw, host, marks in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 root = parse(raw.as_py().decode("utf-8", "replace"))
-                known = frozenset(m & 0xFFFFFFFFFFFFFFFF for m in marks.as_py() or ())
-                if known:
+                known = frozenset(of_host(m, host) & 0xFFFFFFFFFFFFFFFF for m in marks.as_py() or ())
+                if known - {COUNTED}:
                     mark_subtrees(root)
                 texts.append("\n\n".join(blocks(root, known, COUNTED not in known if names is None else names)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])

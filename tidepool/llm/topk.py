@@ -109,7 +109,8 @@ def plain_best(ids: np.ndarray, vectors: np.ndarray, own_id: int, query: np.ndar
 def quantised(vectors: DataFrame, vector: str = "embedding", id_column: str = "vec_id", scale: int = 1024) -> DataFrame:
     """(vec_id, v array<double>): each component as floor(scale * x), a whole number. Vectors that are null, or hold a null or non-finite component, and rows without an id, are left out.
 
-    A component so large that its product with ``scale`` is no longer finite is taken as the largest finite number.
+    A component so large that its product with ``scale`` is no longer finite is taken as the largest finite number. Columns are taken by place, so others may have
+    any names; they are not returned. Repeated rows stay, an empty table stays empty.
     """
     whole = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(F.col("w"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -165,7 +166,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = B
     Both are tables as ``quantised`` makes them. Higher inner products first, ties to the smaller id; all rows if fewer than k. Vectors are
     compared with those of the same length only. Rows repeated in ``candidates`` are found as often as they stand there; a query id
     that repeats in ``queries`` is searched once, by the least of its vectors. Empty tables give an empty table. Sums are exact whatever
-    the components; a score beyond 64 bits is given as the largest or smallest that 64 bits hold, and ties with others there.
+    the components; a score beyond 64 bits is given as the largest or smallest that 64 bits hold, and ties with others there. Other columns than ``vec_id`` and ``v`` are not read.
     """
     found = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
     many = max(1, math.ceil(found.n / max(1, min(block, COMPONENTS // max(found.dims or 1, 1)))))
