@@ -81,12 +81,18 @@ class Store:
         path = f"{self.folder}/{name}"
         generation = (self._names(path) or [0])[-1]
         part = (self._names(f"{path}/{generation}") or [-1])[-1] + 1
-        self._shaped(name, rows).write.mode("overwrite").parquet(f"{path}/{generation}/{part}")
+        self._written(name, rows, f"{path}/{generation}/{part}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
         path = f"{self.folder}/{name}"
         generation = (self._names(path) or [-1])[-1] + 1
-        self._shaped(name, rows).write.mode("overwrite").parquet(f"{path}/{generation}/0")
+        self._written(name, rows, f"{path}/{generation}/0")
+
+    def _written(self, name: str, rows: DataFrame, path: str) -> None:
+        """Sorted by id within files, with a Bloom filter of the ids, so that a lookup opens only row groups that can hold its id."""
+        shaped = self._shaped(name, rows)
+        writer = shaped.sortWithinPartitions("id").write if "id" in shaped.columns else shaped.write
+        writer.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(path)
 
     def _rows(self, values: list[dict], schema: str) -> DataFrame:
         names = [f.split()[0] for f in schema.split(", ")]
@@ -194,12 +200,13 @@ class Store:
         """(id, content, tier, score); entities take places and are then shown without content."""
         best = keyword.top(self._index().search(query, stemmed=True), keyword.clamp_k(k)).where("kind = 0")
         found = best.join(self.table("memories").select("id", "content", "tier"), "id", "left")
-        return found.select("id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tier", F.lit("unknown")).alias("tier"), "score")
+        return found.select("id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tier", F.lit("unknown")).alias("tier"), "score").orderBy(F.desc("score"), "id")
 
     def search_semantic(self, query: str, k: int = C.TOP_K) -> DataFrame:
         if not self.embedder:
             raise InvalidInput("no embedder")
-        return vector.semantic(self._vectors(), self.table("chunks"), self.table("memories"), self.embedder.vector(query), keyword.clamp_k(k))
+        found = vector.semantic(self._vectors(), self.table("chunks"), self.table("memories"), self.embedder.vector(query), keyword.clamp_k(k))
+        return found.orderBy(F.desc("score"), "id")
 
     def _rankers(self, query: str) -> dict[str, DataFrame]:
         parts = {"keyword": hybrid.keyword_ranks(self._index().search(query, stemmed=True))}
