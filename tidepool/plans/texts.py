@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepool.functions import constants as C
-from tidepool.functions import dates
-from tidepool.functions.text import admitted, chunks, pieces, turn_chunks
+from tidepool.functions import dates, scanners
+from tidepool.functions.text import admitted, chunks, pieces
 from tidepool.operators import tables
 from tidepool.plans import views as V
 from tidepool.plans.registry import query
@@ -97,15 +97,7 @@ def chunk_turns(spark, sf_dir):
     own = V.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id"))
     said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(F.initcap(t["role"]), F.lit(": "), t["text"]))
     talks = own.agg(F.array_join(said, "\n").alias("content"))
-
-    def run(parts):
-        import pandas as pd
-
-        for part in parts:
-            rows = [(i, k, low, n, text[low : low + n]) for i, text in zip(part["id"], part["content"]) for k, (low, n) in enumerate(turn_chunks(text))]
-            yield pd.DataFrame(rows, columns=["id", "sequence", "char_offset", "char_length", "chunk"]).astype({"id": "int64", "sequence": "int32", "char_offset": "int32", "char_length": "int32"})
-
-    return talks.mapInPandas(run, "id long, sequence int, char_offset int, char_length int, chunk string")
+    return talks.lateralJoin(scanners.Turns(F.col("content").outer())).drop("content")
 
 
 # ---------------------------------------------------------------- admission and scanners
@@ -287,15 +279,7 @@ _STORIES = ["Launch on 2026-06-10. Beta on January 15, 2026.", "2026-06-10 2026-
 def extract_events(spark, sf_dir):
     """Dates mentioned in texts, with the sentence around them."""
     own = _rows(spark, _STORIES).union(_documents(spark, sf_dir).select(F.col("id") + 100, "content"))
-
-    def run(parts):
-        import pandas as pd
-
-        for part in parts:
-            rows = [(i, k, said, ms) for i, text in zip(part["id"], part["content"]) for k, (said, ms) in enumerate(dates.extract_events(text, 2025))]
-            yield pd.DataFrame(rows, columns=["id", "n", "description", "event_date"]).astype({"id": "int64", "n": "int32", "event_date": "int64"})
-
-    return own.mapInPandas(run, "id long, n int, description string, event_date long")
+    return own.lateralJoin(scanners.Events(F.col("content").outer(), F.lit(2025))).drop("content")
 
 
 # ---------------------------------------------------------------- imports
