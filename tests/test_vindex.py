@@ -93,3 +93,36 @@ def test_refusals_and_empty_tables(spark, index, tmp_path):
     one = vindex.build(spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, embedding array<float>"), str(tmp_path / "one"))
     got = one.search(spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<double>"), exact=True).collect()
     assert [(r.id, r.distance) for r in got] == [(2, 0.0)]
+
+
+def test_fit_holds_few_cosines():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    points = vindex.unit(rng.normal(size=(20_000, 8)))
+    centroids = points[::100]
+    tracemalloc.start()
+    probes = vindex.probes_for(points, centroids)
+    assert len(vindex.nearest_cells(points, centroids, 1)) == len(points) and 1 <= probes <= len(centroids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6  # 240 MB where all cosines are held
+
+
+def test_sample_leaves_the_driver_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(vindex, "SAMPLE", 300)
+    frame = spark.range(6000).repartition(12).select("id", F.array(F.col("id").cast("float"), F.lit(1).cast("float")).alias("v"))
+    want = [float(r.id) for r in frame.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
+    assert vindex.sampled(frame, 6000)[:, 0].tolist() == want
+    same = frame.select(F.lit(5).cast("long").alias("id"), "v")
+    assert vindex.sampled(same, 6000).shape == (300, 2)
+    assert vindex.sampled(frame.where("id < 0"), 0).shape == (0, 0)
+    with pytest.raises(ValueError):
+        vindex.sampled(frame.withColumn("v", F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0))).otherwise(F.col("v").cast("array<double>"))), 6000)
+
+
+def test_twice_is_both(index, queries):
+    frame, key = queries[1], lambda r: (r.query_id, r["rank"])
+    loose, exact = index.search_twice(frame)
+    assert sorted(loose.collect(), key=key) == sorted(index.search(frame).collect(), key=key)
+    assert sorted(exact.collect(), key=key) == sorted(index.search(frame, exact=True).collect(), key=key)

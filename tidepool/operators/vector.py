@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidepool.functions import vectors
 from tidepool.operators.lineage import checkpointed, written
-from tidepool.operators.vindex import SAMPLE, centroids_of, nearest_cells
+from tidepool.operators.vindex import centroids_of, nearest_cells, sampled
 
 #: Vectors of one block where they are compared, and pivots at most.
 BLOCK, PIVOTS = 2048, 1024
@@ -47,7 +47,7 @@ def _homes(table: DataFrame, vector: str, cells: int | None) -> tuple[DataFrame,
     """(id, v, home, cosine) with the nearest pivot of each vector as its home, and the pivots: fitted on a sample, at most ``PIVOTS``."""
     own = written(table.where(F.col(vector).isNotNull()).select("id", vectors.normalised(vector).alias("v")), "units")
     n = own.count()
-    sample = np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], float)
+    sample = sampled(own, n)
     count = min(cells or max(1, math.isqrt(n) // 4), PIVOTS, len(sample))
     pivots = centroids_of(sample, count) if count else np.zeros((0, 0))
 

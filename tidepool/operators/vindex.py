@@ -10,11 +10,13 @@ Queries come as a table. Those that probe a cell are packed and meet the blocks
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,8 @@ SAMPLE, MEASURED, RECALL, ROUNDS = 20_000, 500, 0.97, 12
 MOST_CELLS, BLOCK, FILE_BYTES, PACKED = 16_384, 1024, 64 << 20, 128
 #: Neighbours for which recall is measured.
 NEIGHBOURS = 10
+#: Cosines that are held at a time, and bytes of vectors that are worth a task of their own where tasks are free.
+HELD, LEAST_BYTES = 1 << 21, 1 << 20
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -48,19 +52,24 @@ def centroids_of(points: np.ndarray, count: int, rounds: int = ROUNDS) -> np.nda
     return centroids
 
 
+def parts_of(points: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Points, as many at a time as have ``HELD`` cosines with so many others; one empty part if there are none."""
+    rows = max(1, HELD // max(1, width))
+    for low in range(0, max(1, len(points)), rows):
+        yield points[low : low + rows]
+
+
 def nearest_cells(points: np.ndarray, centroids: np.ndarray, many: int) -> np.ndarray:
     """For each point the cells with the nearest centroids, the nearest first."""
-    cosines = points @ centroids.T
     if many == 1:
-        return cosines.argmax(1)[:, None]
-    return np.argsort(-cosines, axis=1, kind="stable")[:, :many]
+        return np.concatenate([(part @ centroids.T).argmax(1)[:, None] for part in parts_of(points, len(centroids))])
+    return np.concatenate([np.argsort(-(part @ centroids.T), axis=1, kind="stable")[:, :many] for part in parts_of(points, len(centroids))])
 
 
 def probes_for(points: np.ndarray, centroids: np.ndarray, recall: float = RECALL) -> int:
     """The fewest cells in which that share of the true nearest points of some points is found, by comparing them with all."""
     asked = points[:: max(1, len(points) // MEASURED)]
-    cosines = asked @ points.T
-    near = np.argsort(-cosines, axis=1, kind="stable")[:, 1 : NEIGHBOURS + 1]
+    near = nearest_cells(asked, points, NEIGHBOURS + 1)[:, 1:]
     home = nearest_cells(points, centroids, 1)[:, 0]
     place = np.argsort(nearest_cells(asked, centroids, len(centroids)), axis=1)  # of each cell, in the order that a query probes
     depth = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
@@ -116,6 +125,23 @@ def _blocking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(held)
 
 
+def sampled(own: DataFrame, n: int) -> np.ndarray:
+    """The vectors of the first ``SAMPLE`` rows of a table (id, v) of n rows, by a hash of their id; vectors of different lengths are refused.
+
+    Rows whose hash is too high to be among the first are left out where they are read, so that neither the driver nor a task gets a sample of each partition.
+    """
+    code = F.xxhash64("id")
+    first = lambda rows: rows.orderBy(code, "id").limit(SAMPLE).select("v").toArrow().column(0)
+    highest = int((1 << 64) * min(1.0, 1.25 * SAMPLE / max(1, n))) - (1 << 63)
+    got = first(own.where(code < highest) if highest < 1 << 62 else own)
+    if len(got) < min(n, SAMPLE):  # ids that repeat
+        got = first(own)
+    sizes = np.unique(pc.list_value_length(got).to_numpy())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sizes.tolist()} components")
+    return pc.list_flatten(got).to_numpy().astype(float).reshape(len(got), sizes[0]) if len(sizes) else np.zeros((0, 0))
+
+
 def build(vectors: DataFrame, path: str, id_column: str = "id", vector: str = "embedding", cells: int | None = None) -> VectorIndex:
     """Index the rows that have a vector under ``path``. Vectors of different lengths are refused.
 
@@ -124,10 +150,7 @@ def build(vectors: DataFrame, path: str, id_column: str = "id", vector: str = "e
     spark = vectors.sparkSession
     own = vectors.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).alias("v"))
     n = own.count()
-    first = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if n else []
-    if len({len(r.v) for r in first}) > 1:
-        raise ValueError(f"vectors of {sorted({len(r.v) for r in first})} components")
-    points = unit(np.array([r.v for r in first], float)) if first else np.zeros((0, 0))
+    points = unit(sampled(own, n))
     points = points[(points != 0).any(1)] if len(points) and (points != 0).any() else points
     count = min(cells or max(1, round(math.sqrt(n))), MOST_CELLS, len(points))
     centroids = centroids_of(points, count) if count else np.zeros((0, 0))
@@ -138,7 +161,8 @@ def build(vectors: DataFrame, path: str, id_column: str = "id", vector: str = "e
         filed = own.mapInArrow(_filing(centroids, kind), f"id {id_type}, cell int, cosine double, raw binary")
         size = n * (points.shape[1] * int(kind[-1]) + 16)
         # ranges, not hashes, so that a crowded cell fills several files
-        dealt = filed.repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), "cell", F.xxhash64("id")).sortWithinPartitions("cell")
+        files = max(1, math.ceil(size / FILE_BYTES), min(spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
+        dealt = filed.repartitionByRange(files, "cell", F.xxhash64("id")).sortWithinPartitions("cell")
         made = dealt.select("cell", "id", "cosine", "raw").mapInArrow(_blocking, f"cell int, n int, least double, ids array<{id_type}>, vectors binary")
         made.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
         known = spark.read.parquet(f"{path}/blocks").groupBy("cell").agg(F.sum("n").cast("long").alias("n"), F.min("least").alias("least"))
@@ -162,10 +186,14 @@ class VectorIndex:
         self.sizes = np.array([r.n for r in held], np.int64)
         self.probes, self.kind, self.id_type = (held[0].probes, held[0].kind, held[0].id_type) if held else (0, "<f8", "long")
 
+    @functools.cached_property
+    def _all(self) -> DataFrame:
+        """Every block; the folders are listed once."""
+        return self.spark.read.parquet(f"{self.path}/blocks")
+
     def blocks(self, cells: list[int] | None = None) -> DataFrame:
         """The blocks of these cells; folders of others aren't opened."""
-        all_blocks = self.spark.read.parquet(f"{self.path}/blocks")
-        return all_blocks if cells is None else all_blocks.where(F.col("cell").isin(cells))
+        return self._all if cells is None or len(cells) == len(self.cells) else self._all.where(F.col("cell").isin(cells))
 
     def _probing(self, queries: DataFrame, probes: int, floors: DataFrame | None) -> DataFrame:
         """(query_id, v, cell): the cells that each query probes: the nearest, or with ``floors`` (query_id, floor) all that can reach the floor but the nearest."""
@@ -219,21 +247,33 @@ class VectorIndex:
 
         With ``exact`` a second round probes every cell that can hold a nearer one than the k-th of the first. Queries of another length than the vectors are refused.
         """
+        return self._searched(queries, k, probes, [exact], digits)[0]
+
+    def search_twice(self, queries: DataFrame, k: int = NEIGHBOURS, probes: int | None = None, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+        """What ``search`` gives without and with ``exact``; the first round is one for both."""
+        return tuple(self._searched(queries, k, probes, [False, True], digits))
+
+    def _searched(self, queries: DataFrame, k: int, probes: int | None, exact: list[bool], digits: int) -> list[DataFrame]:
         queries = written(queries.select("query_id", "v"), "queries")
         many, kind = queries.count(), queries.schema["query_id"].dataType.simpleString()
         if not len(self.cells) or not many:
-            return self.spark.createDataFrame([], f"query_id {kind}, rank int, id {self.id_type}, distance double")
+            return [self.spark.createDataFrame([], f"query_id {kind}, rank int, id {self.id_type}, distance double")] * len(exact)
         probes = min(probes or self.probes, len(self.cells))
         found = self._scored(self._probing(queries, probes, None), k, many, 10.0**-digits)
         distance = F.round(F.greatest(F.lit(0.0), 1 - F.col("cosine")), digits)
         place = Window.partitionBy("query_id").orderBy("distance", "id")
-        if exact:
+        more = None
+        if any(exact):
             found = written(found, "found")
             nth = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine")))).where(F.col("place") == k)
             floors = nth.select("query_id", (F.col("cosine") - 10.0**-digits).alias("floor"))
-            found = found.unionByName(self._scored(self._probing(queries, probes, floors), k, many, 10.0**-digits))
-        ranked = found.withColumn("distance", distance).withColumn("rank", F.row_number().over(place))
-        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+            more = self._scored(self._probing(queries, probes, floors), k, many, 10.0**-digits)
+
+        def best(rows: DataFrame) -> DataFrame:
+            ranked = rows.withColumn("distance", distance).withColumn("rank", F.row_number().over(place))
+            return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+        return [best(found.unionByName(more)) if whole else best(found) for whole in exact]
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

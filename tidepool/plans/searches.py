@@ -227,7 +227,7 @@ def knn_index_exact(spark, sf_dir):
 def knn_index_recall(spark, sf_dir):
     """What the default number of probes finds of the nearest, for each query."""
     index, asked = _vector_index(spark, sf_dir)
-    return vindex.recall(index.search(asked), index.search(asked, exact=True))
+    return vindex.recall(*index.search_twice(asked))
 
 
 @query(f"WITH {_VEC.format(0)}, m AS (SELECT id, list_transform(e, lambda x: x * 3) AS e FROM v) SELECT id, round(sqrt({_DOT.format('e', 'e')}), 6) AS norm, round(e[1] / sqrt({_DOT.format('e', 'e')}), 6) AS first FROM m")
