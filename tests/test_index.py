@@ -160,3 +160,14 @@ def test_empty(spark, docs, tmp_path):
     assert made.search("apple").count() == 0 and made.search_batch(asked).count() == 0 and made.stats() == (0, None)
     made.append(docs.where("id = 1001"))
     assert made.search("apple").count() == 0 and made.search_batch(asked).count() == 0 and made.stats() == (1, 0.0)
+
+
+def test_postings_move_packed(spark, docs):
+    """A term of many documents moves in few rows, and what is unpacked and packed again is the same."""
+    rows = docs.coalesce(1)
+    made = index.packed(rows, 1).collect()
+    one = {(r.term, r.part) for r in made}
+    assert len(made) == len(one) < index.postings(rows).count() / 10 and {p for _, p in one} == {0, 1}
+    again = index.repacked(index.postings(rows).coalesce(1), 1).collect()
+    key = lambda r: (r.term, r.part)
+    assert sorted(again, key=key) == sorted(made, key=key)

@@ -101,38 +101,130 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("id", "kind", "tokens").mapInArrow(run, f"id {kind}, kind int, len int, term string, tf int, places array<int>")
 
 
+def _raw(values: np.ndarray, cuts: np.ndarray, kind: type) -> pa.Array:
+    """Runs of numbers as binary values."""
+    kept = np.ascontiguousarray(values, kind)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * kept.itemsize).astype(np.int32)), pa.py_buffer(kept)])
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of all values of ``_raw``."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", kind, (ends[-1] - ends[0]) // np.dtype(kind).itemsize, ends[0])
+
+
+def _moved_lists(places: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Lists that lie one after the other, in another order."""
+    begins, fresh = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    return places[np.repeat(begins - (np.cumsum(fresh) - fresh), fresh) + np.arange(fresh.sum())]
+
+
+CHUNK = ["term", "part", "ids", "hashes", "kinds", "lens", "tfs", "spots"]
+
+
+def _chunk_schema(id_type: str) -> str:
+    return f"term string, part long, ids array<{id_type}>, hashes binary, kinds binary, lens binary, tfs binary, spots binary"
+
+
+def _chunks(terms: pa.Array, code: np.ndarray, part: np.ndarray, ids: pa.Array, hashes: np.ndarray, kinds: np.ndarray, lens: np.ndarray, tfs: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
+    """Postings sorted by the code of their term and their part, as one row for each of both."""
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])])) if len(code) else code
+    cuts = np.append(first, len(code))
+    ends = np.append(0, np.cumsum(tfs))[cuts]
+    lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), ids)
+    columns = [terms.take(pa.array(code[first])), pa.array(part[first]), lists, _raw(hashes, cuts, np.int64), *(_raw(x, cuts, np.int32) for x in (kinds, lens, tfs)), _raw(spots, ends, np.int32)]
+    return pa.RecordBatch.from_arrays(columns, names=CHUNK)
+
+
+def _part(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - ranges)).astype(np.int64) if ranges else np.zeros(len(hashes), np.int64)
+
+
+def packed(docs: DataFrame, ranges: int) -> DataFrame:
+    """What ``postings`` gives, the postings of a term in many documents in one row, for each of 2 ** ``ranges`` ranges of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < len(batch):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOKENS, "right")))
+                own, low = batch.slice(low, high - low), high
+                sizes = own.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = own.column(3).flatten().dictionary_encode()
+                code, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(own)), sizes)
+                place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                hashes, kinds = own.column(2).to_numpy(zero_copy_only=False), own.column(1).to_numpy(zero_copy_only=False)
+                part = _part(hashes, ranges)
+                order = np.argsort((code << ranges) | part[row], kind="stable")
+                code, row, place = code[order], row[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else order
+                at = row[first]
+                yield _chunks(coded.dictionary, code[first], part[at], own.column(0).take(pa.array(at)), hashes[at], kinds[at], sizes[at], np.diff(np.append(first, len(code))), place)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "kind", F.xxhash64("id").alias("hash"), "tokens").mapInArrow(run, _chunk_schema(kind))
+
+
+def repacked(found: DataFrame, ranges: int) -> DataFrame:
+    """Postings (id, kind, len, term, tf, places) in the form of ``packed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(4).dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes, kinds, lens, tfs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5))
+            part = _part(hashes, ranges)
+            order = np.lexsort((part, code))
+            spots = _moved_lists(batch.column(6).flatten().to_numpy(zero_copy_only=False), tfs, order)
+            yield _chunks(coded.dictionary, code[order], part[order], batch.column(0).take(pa.array(order)), hashes[order], kinds[order], lens[order], tfs[order], spots)
+
+    kind = found.schema["id"].dataType.simpleString()
+    return found.select("id", F.xxhash64("id").alias("hash"), "kind", "len", "term", "tf", "places").mapInArrow(run, _chunk_schema(kind))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, term, band, hash, id, kind, len, tf, places) in that order as blocks.
+    """Rows (shard, and those of ``packed``) in order of shard and term as blocks, up to ``TOKENS`` postings put in order together.
 
-    A block ends with its term, a batch, ``BLOCK`` postings, or where a band begins that has a fourth of that. It counts to the band of its first posting.
+    A block ends with its term, with what is put in order together, ``BLOCK`` postings, or where a band begins that has a fourth of that. It counts to the band of its first posting.
     """
     names = ["shard", "term", "band", "n", "most_tf", "least_ratio", "low", "high", "ids", "kinds", "lens", "tfs", "places"]
     for batch in batches:
-        if not len(batch):
-            continue
-        coded = batch.column(1).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        band, hashes, lens, tfs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 6, 7))
-        place = np.arange(len(batch))
-        term_begins = np.concatenate([[True], coded[1:] != coded[:-1]])
-        band_begins = np.concatenate([[True], band[1:] != band[:-1]]) | term_begins
-        in_term = place - np.maximum.accumulate(np.where(term_begins, place, 0))
-        left = np.diff(np.append(np.flatnonzero(band_begins), len(batch)))
-        worth = np.zeros(len(batch), bool)  # bands that are long enough to begin a block
-        worth[np.flatnonzero(band_begins)] = left >= BLOCK // 4
-        begins = term_begins | worth
-        since = place - np.maximum.accumulate(np.where(begins, place, 0))
-        first = np.flatnonzero(begins | (since % BLOCK == 0) & (in_term > 0))
-        cuts, take = np.append(first, len(batch)), pa.array(first)
-        listed = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), batch.column(k)) for k in (4, 5, 6, 7, 8)]
-        columns = [batch.column(k).take(take) for k in (0, 1, 2)]
-        columns += [pa.array(np.diff(cuts).astype(np.int32)), pa.array(np.maximum.reduceat(tfs, first)), pa.array(np.minimum.reduceat(lens / tfs, first)), pa.array(np.minimum.reduceat(hashes, first)), pa.array(np.maximum.reduceat(hashes, first))]
-        yield pa.RecordBatch.from_arrays([*columns, *listed], names=names)
+        ends = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOKENS, "right")))
+            own, start = batch.slice(start, stop - start), stop
+            sizes = own.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(own)), sizes)
+            coded = own.column(1).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            hashes, kinds, lens, tfs, spots = (_numbers(own.column(k), kind) for k, kind in ((4, np.int64), (5, np.int32), (6, np.int32), (7, np.int32), (8, np.int32)))
+            band = np.floor(np.log2(lens / tfs) / 2).astype(np.int32)
+            order = np.lexsort((hashes, band, coded))
+            spots = _moved_lists(spots, tfs, order)
+            coded, band, hashes, kinds, lens, tfs, row = (x[order] for x in (coded, band, hashes, kinds, lens, tfs, row))
+            place = np.arange(len(order))
+            term_begins = np.concatenate([[True], coded[1:] != coded[:-1]])
+            band_begins = np.concatenate([[True], band[1:] != band[:-1]]) | term_begins
+            in_term = place - np.maximum.accumulate(np.where(term_begins, place, 0))
+            left = np.diff(np.append(np.flatnonzero(band_begins), len(place)))
+            worth = np.zeros(len(place), bool)  # bands that are long enough to begin a block
+            worth[np.flatnonzero(band_begins)] = left >= BLOCK // 4
+            begins = term_begins | worth
+            since = place - np.maximum.accumulate(np.where(begins, place, 0))
+            first = np.flatnonzero(begins | (since % BLOCK == 0) & (in_term > 0))
+            cuts, take = pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(row[first])
+            held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tfs)).astype(np.int32)), pa.array(spots))
+            listed = [pa.ListArray.from_arrays(cuts, x) for x in (own.column(3).flatten().take(pa.array(order)), *map(pa.array, (kinds, lens, tfs)), held)]
+            columns = [own.column(0).take(take), own.column(1).take(take), pa.array(band[first]), pa.array(np.diff(np.append(first, len(place))).astype(np.int32))]
+            columns += [pa.array(np.maximum.reduceat(tfs, first)), pa.array(np.minimum.reduceat(lens / tfs, first)), pa.array(np.minimum.reduceat(hashes, first)), pa.array(np.maximum.reduceat(hashes, first))]
+            yield pa.RecordBatch.from_arrays([*columns, *listed], names=names)
 
 
 def _files(frame: DataFrame) -> int:
-    """How many files, by what Spark knows of the size: none far above ``FILE_BYTES``, and as many as there are free tasks, unless they are tiny."""
+    """How many files, by what Spark knows of the size: none far above ``FILE_BYTES``, and two for each free task, unless they are tiny."""
     size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, math.ceil(size / FILE_BYTES), min(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
+    return max(1, math.ceil(size / FILE_BYTES), min(2 * frame.sparkSession.sparkContext.defaultParallelism, math.ceil(size / LEAST_BYTES)))
 
 
 class KeywordIndex:
@@ -174,14 +266,11 @@ class KeywordIndex:
             return None
         files = _files(kept)
         shards, ranges = dealt(files)
-        found = postings(kept) if found is None else found
-        order = ["shard", "term", "band", "hash"]
-        band = F.floor(F.log2(F.col("len") / F.col("tf")) / 2).cast("int")
-        spread = found.select(shard(F.col("term"), shards).alias("shard"), "term", band.alias("band"), F.xxhash64("id").alias("hash"), "id", "kind", "len", "tf", "places")
-        part = F.expr(f"shiftrightunsigned(hash, {64 - ranges})") if ranges else F.lit(0)
-        spread = spread.repartition(shards << ranges, "shard", part) if files > 1 else spread.coalesce(1)
+        found = packed(kept, ranges) if found is None else repacked(found, ranges)
+        spread = found.select(shard(F.col("term"), shards).alias("shard"), *CHUNK)
+        spread = spread.repartitionById(shards << ranges, (F.col("shard") * (1 << ranges) + F.col("part")).cast("int")) if files > 1 else spread.coalesce(1)
         schema = f"shard int, term string, band int, n int, most_tf int, least_ratio double, low long, high long, ids array<{self.id_type}>, kinds array<int>, lens array<int>, tfs array<int>, places array<array<int>>"
-        spread.sortWithinPartitions(*order).mapInArrow(_blocks, schema).write.partitionBy("shard").parquet(f"{path}/blocks")
+        spread.sortWithinPartitions("shard", "term").mapInArrow(_blocks, schema).write.partitionBy("shard").parquet(f"{path}/blocks")
         return {"name": name, "n": totals.n, "tokens": totals.tokens or 0, "shards": shards, "removed": [], "batch": -1} | more
 
     def append(self, docs: DataFrame, batch: int = -1, covers: str | None = None) -> None:
