@@ -171,3 +171,19 @@ def test_postings_move_packed(spark, docs):
     again = index.repacked(index.postings(rows).coalesce(1), 1).collect()
     key = lambda r: (r.term, r.part)
     assert sorted(again, key=key) == sorted(made, key=key)
+
+
+def test_many_queries_by_ranges(spark, docs, kept):
+    """Queries of equal terms are scored once, a posting moves once; removed documents, several segments and ties included."""
+    words = ["apple", "pear", "of", "the", "plum", "fig", "kiwi", "fruit", "nut", "zzz"]
+    asked = spark.createDataFrame([(q, words[(q * k + k) % 10]) for q in range(40) for k in (1, 2, 5)], "query_id long, term string").distinct()
+    want = keyword.search_batch(keyword.postings(docs), keyword.doc_stats(docs), asked, 5).collect()
+    found = index.by_ranges(kept, asked, 5, 9, tokens=1000)
+    key = lambda r: (r.query_id, r["rank"], r.id, round(r.score, 9))
+    assert sorted(map(key, found.collect())) == sorted(map(key, want)) and len(want) == 200
+    assert sorted(map(key, kept.search_batch(asked, 5).collect())) == sorted(map(key, want))
+    copies = docs.where("id < 3").selectExpr("explode(sequence(0, 199)) AS id", "0 AS kind", "array('same', 'text') AS tokens").distinct()
+    kept_copies = index.KeywordIndex(spark, kept.folder + "-copies")
+    kept_copies.append(copies)
+    got = index.by_ranges(kept_copies, spark.createDataFrame([(1, "same"), (2, "same")], "query_id long, term string"), 3, 9, tokens=50).collect()
+    assert sorted((r.query_id, r["rank"], r.id) for r in got) == [(q, k + 1, k) for q in (1, 2) for k in range(3)]

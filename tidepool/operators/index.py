@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +43,8 @@ TOKENS = 1 << 19
 SEED, NAMED = 2048, 1000
 #: Postings of a term that are read rather than looked up: of 200 blocks or so, a few lookups touch most.
 CHEAP = 1 << 15
+#: Pairs of query and term from which on queries are scored by ranges of documents, and tokens of a range.
+MANY, RANGE_TOKENS = 32, 1 << 22
 #: Slack for sums in another order.
 SLACK = 1e-7
 MANIFEST = "name string, level int, n long, tokens long, shards int, removed array<string>, batch long, covers string"
@@ -373,6 +376,25 @@ class KeywordIndex:
         of = lambda s: self._read([s], "blocks", self._block_schema()).where(F.col("shard").isin(folders[s["shards"]]) & F.col("term").isin(terms))
         return reduce(DataFrame.unionByName, [of(s) for s in self.segments])
 
+    def _asked(self, asked: DataFrame) -> DataFrame:
+        """The blocks of the terms of a table; only their folders are opened if they are few."""
+        terms = [r.term for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+        if len(terms) <= NAMED:
+            return self._blocks_of(terms)
+        return self._blocks_of(None).join(asked.select("term").distinct(), "term", "left_semi")
+
+    def _less_removed(self, frequency: DataFrame) -> DataFrame:
+        """(term, m) without the documents that were removed."""
+        gone = self._tombstones(self.segments)
+        if gone is None:
+            return frequency
+        less = gone.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("less"))
+        return frequency.join(less, "term", "left").select("term", (F.col("m") - F.coalesce("less", F.lit(0))).alias("m"))
+
+    def _frequency(self, asked: DataFrame) -> DataFrame:
+        """(term, m): how many documents have each term of a table."""
+        return self._less_removed(self._asked(asked).groupBy("term").agg(F.sum("n").alias("m")))
+
     def all_postings(self) -> DataFrame:
         """(segment, term, band, id, kind, len, tf, places)."""
         return self._opened(self._blocks_of(None), self.segments)
@@ -410,8 +432,11 @@ class KeywordIndex:
         return keyword.chosen(counted, self._corpus("_n", "_avg"), strict, tier)
 
     def search_batch(self, queries: DataFrame, k: int = TOP_K, digits: int = 9) -> DataFrame:
-        """(query_id, rank, id, score): the k best of each query of a table (query_id, term), by any of its terms. See ``Batch``."""
-        return Batch(self, queries, k, digits).best
+        """(query_id, rank, id, score): the k best of each query of a table (query_id, term), by any of its terms. See ``Batch``, and ``by_ranges`` for many queries."""
+        asked = written(queries.select("query_id", "term").dropDuplicates(), "asked")
+        if asked.limit(MANY).count() < MANY:
+            return Batch(self, asked, k, digits).best
+        return by_ranges(self, asked, k, digits)
 
 
 class Batch:
@@ -428,19 +453,12 @@ class Batch:
     def __init__(self, index: KeywordIndex, queries: DataFrame, k: int, digits: int):
         self.index = index
         asked = written(queries.select("query_id", "term").dropDuplicates(), "asked")
-        terms = [r.term for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
-        blocks = index._blocks_of(terms if len(terms) <= NAMED else None)
-        if len(terms) > NAMED:
-            blocks = blocks.join(asked.select("term").distinct(), "term", "left_semi")
+        blocks = index._asked(asked)
         self.blocks, corpus = blocks, F.broadcast(index._corpus())
         average = F.col("average")
         layers = blocks.groupBy("segment", "term", "band").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("blocks"), F.max("most_tf").alias("most_tf"), F.min("least_ratio").alias("least_ratio"))
         layers = written(layers, "layers")
-        frequency = layers.groupBy("term").agg(F.sum("n").alias("m"))
-        gone = index._tombstones(index.segments)
-        if gone is not None:
-            less = gone.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("less"))
-            frequency = frequency.join(less, "term", "left").select("term", (F.col("m") - F.coalesce("less", F.lit(0))).alias("m"))
+        frequency = index._less_removed(layers.groupBy("term").agg(F.sum("n").alias("m")))
         most = (BM25_K1 + 1) / (1 + BM25_K1 * ((1 - BM25_B) / F.col("most_tf") + BM25_B * F.col("least_ratio") / average))
         weights = frequency.crossJoin(corpus).select("term", keyword.idf(F.col("n"), F.col("m")).alias("idf"), "average")
         wide = asked.join(weights, "term").join(layers, "term").withColumn("most", F.col("idf") * most).select("query_id", "term", "segment", "band", "n", "blocks", "idf", "average", "most")
@@ -532,3 +550,156 @@ class Batch:
         probed = self.looked.select("query_id", "segment", "term", "band", "low", "high").distinct().join(sizes, ["segment", "term", "band", "low", "high"])
         probed = probed.groupBy("query_id", "term").agg(F.sum("more").alias("more"))
         return layers.join(probed, ["query_id", "term"], "left").select("query_id", "term", (F.col("read") + F.coalesce("more", F.lit(0))).alias("read"), "n")
+
+
+# ---------------------------------------------------------------- many queries
+
+
+def _cut_by_range(ranges: int):
+    """Rows (segment, term, hashes, ids, kinds, lens, tfs) of blocks as rows for each term and range of documents, of up to ``TOKENS`` postings that are put in order together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(batch):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOKENS, "right")))
+                own, start = batch.slice(start, stop - start), stop
+                row = np.repeat(np.arange(len(own)), own.column(3).value_lengths().to_numpy(zero_copy_only=False))
+                segment, term = (own.column(k).dictionary_encode() for k in (0, 1))
+                both = (segment.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(term.dictionary) + term.indices.to_numpy(zero_copy_only=False))[row]
+                part = np.mod(own.column(2).flatten().to_numpy(zero_copy_only=False), ranges)
+                code = both * ranges + part
+                order = np.argsort(code, kind="stable")
+                code = code[order]
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                cuts = np.append(first, len(code))
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), own.column(3).flatten().take(pa.array(order)))
+                numbers = (_raw(own.column(k).flatten().to_numpy(zero_copy_only=False)[order], cuts, np.int32) for k in (4, 5, 6))
+                take = pa.array(row[order[first]])
+                yield pa.RecordBatch.from_arrays([pa.array((code[first] % ranges).astype(np.int32)), own.column(0).take(take), own.column(1).take(take), lists, *numbers], names=["part", "segment", "term", "ids", "kinds", "lens", "tfs"])
+
+    return run
+
+
+class _Range:
+    """The postings of one range of documents, and the best documents of sets of terms in it."""
+
+    def __init__(self, chunks: list[pa.RecordBatch], gone: set[tuple], average: float, k: int, digits: int):
+        self.k, self.unit = k, 10.0**digits
+        column = lambda name: pa.concat_arrays([c.column(name) for c in chunks])
+        sizes = np.concatenate([c.column("ids").value_lengths().to_numpy(zero_copy_only=False) for c in chunks])
+        kinds, lens, tfs = (np.concatenate([_numbers(c.column(name), np.int32) for c in chunks]) for name in ("kinds", "lens", "tfs"))
+        terms, segments, ids = column("term").dictionary_encode(), column("segment").dictionary_encode(), column("ids").flatten().dictionary_encode()
+        code, at = (np.repeat(x.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes) for x in (terms, segments))
+        ordered = pc.sort_indices(ids.dictionary)
+        self.ids, place = ids.dictionary.take(ordered), np.empty(len(ordered), np.int64)
+        place[ordered.to_numpy(zero_copy_only=False)] = np.arange(len(ordered))
+        doc = place[ids.indices.to_numpy(zero_copy_only=False)]
+        if gone:
+            names, known = segments.dictionary.to_pylist(), self.ids.to_pylist()
+            live = np.array([(names[s], known[d], x) not in gone for s, d, x in zip(at.tolist(), doc.tolist(), kinds.tolist(), strict=True)], bool)
+            code, at, doc, lens, tfs = (x[live] for x in (code, at, doc, lens, tfs))
+        # documents by id, then by segment
+        held, doc = np.unique(doc * len(segments.dictionary) + at, return_inverse=True)
+        self.owner = held // max(1, len(segments.dictionary))
+        width = -(-max(1, len(held)) // 64) * 64
+        both = code * width + doc
+        order = np.argsort(both, kind="stable")
+        # an id that was appended twice, or is of two kinds, has several postings of a term
+        self.single = not (np.diff(both[order]) == 0).any()
+        self.doc, self.weight = doc[order].astype(np.int32), keyword.term_weight(tfs[order].astype(float), lens[order].astype(float), average)
+        cuts = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1)).tolist()
+        self.cuts = dict(zip(terms.dictionary.to_pylist(), zip(cuts[:-1], cuts[1:], strict=True), strict=True))
+        self.score, self.whole = np.zeros(width), {}
+
+    def _add(self, term: str, idf: float) -> None:
+        low, high = self.cuts.get(term, (0, 0))
+        doc, weight = self.doc[low:high], self.weight[low:high]
+        if self.single and high - low <= len(self.score) // 2:
+            self.score[doc] += idf * weight
+        elif high > low:
+            if term not in self.whole:
+                self.whole[term] = np.bincount(doc, weight, len(self.score))
+            self.score += idf * self.whole[term]
+
+    def best(self, terms: list[str], idfs: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of ids, scores, and scores in units of the last digit that counts: the k best, ties by id."""
+        self.score[:] = 0
+        for term, idf in zip(terms, idfs, strict=True):
+            self._add(term, idf)
+        # the k-th of the best of every 64 is at most the k-th best
+        tops = self.score.reshape(-1, 64).max(1)
+        least = np.partition(tops, -self.k)[-self.k] - 2 / self.unit if len(tops) >= self.k else 0.0
+        found = np.flatnonzero(self.score >= least) if least > 0 else np.flatnonzero(self.score)
+        told = np.floor(self.score[found] * self.unit + 0.5)
+        if len(found) > self.k:
+            kth = np.partition(told, -self.k)[-self.k]
+            above = np.flatnonzero(told > kth)
+            kept = np.concatenate([above, np.flatnonzero(told == kth)[: self.k - len(above)]])
+            found, told = found[kept], told[kept]
+        return self.owner[found], self.score[found], told
+
+
+def _best_of_ranges(average: float, k: int, digits: int):
+    """Rows in order of part and side: documents that are gone, postings, sets of terms. Sets are streamed past the postings of their range."""
+    names = ["set_id", "id", "score", "told"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, gone, chunks, own = None, set(), [], None
+        for batch in batches:
+            parts, sides = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("part", "side"))
+            cuts = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (sides[1:] != sides[:-1]), [True]])) if len(batch) else []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = batch.slice(low, high - low)
+                if parts[low] != part:
+                    part, gone, chunks, own = parts[low], set(), [], None
+                if sides[low] == 0:
+                    gone.update(zip(rows.column("segment").to_pylist(), (i[0] for i in rows.column("ids").to_pylist()), rows.column("set_id").to_pylist(), strict=True))
+                elif sides[low] == 1:
+                    chunks.append(rows)
+                elif chunks or own:
+                    if own is None:
+                        own, chunks = _Range(chunks, gone, average, k, digits), []
+                    sets = rows.column("set_id").to_pylist()
+                    found = [own.best(t, w) for t, w in zip(rows.column("terms").to_pylist(), rows.column("idfs").to_pylist(), strict=True)]
+                    places, scores, told = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sets, [len(f[0]) for f in found])), own.ids.take(pa.array(places)), pa.array(scores), pa.array(told)], names=names)
+
+    return run
+
+
+def by_ranges(index: KeywordIndex, asked: DataFrame, k: int, digits: int, tokens: int = RANGE_TOKENS) -> DataFrame:
+    """What ``Batch`` finds for a table (query_id, term), where there are many queries: equal sets of terms are one, and the postings of a range of documents, by hash of their id, are scored for one set after the other.
+
+    A posting moves once, to its range; a set of terms moves to every range. No pair of query and document leaves a task but the k best of a range. The work grows with sets times postings.
+    """
+    n, average = index.stats()
+    if not average:
+        return Batch(index, asked, k, digits).best
+    ranges = max(math.ceil(n * average / tokens), min(2 * index.spark.sparkContext.defaultParallelism, math.ceil(n / 1024)))
+    members = written(asked.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "members")
+    sets = written(members.select("terms").distinct().select(F.monotonically_increasing_id().alias("set_id"), "terms"), "sets")
+    blocks, frequency = index._asked(asked), index._frequency(asked)
+    weights = frequency.select("term", keyword.idf(F.lit(n), F.col("m")).alias("idf"))
+    each = sets.select("set_id", F.explode("terms").alias("term")).join(weights, "term")
+    told = written(each.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")), "weights")
+
+    id_type = index.id_type
+    columns = f"segment string, term string, ids array<{id_type}>, kinds binary, lens binary, tfs binary"
+    opened = blocks.select("segment", "term", F.transform("ids", lambda i: F.xxhash64(i)).alias("hashes"), "ids", "kinds", "lens", "tfs")
+    chunks = opened.mapInArrow(_cut_by_range(ranges), f"part int, {columns}")
+    nothing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in f"{columns}, set_id long, terms array<string>, idfs array<double>".split(", ")}
+    row = lambda frame, side, **more: frame.select("part", F.lit(side).alias("side"), *[more.get(c, e).alias(c) for c, e in nothing.items()])
+    own = {c: F.col(c) for c in ("segment", "term", "ids", "kinds", "lens", "tfs")}
+    everywhere = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    both = row(chunks, 1, **own).unionByName(row(everywhere, 2, set_id=F.col("set_id"), terms=F.col("t.term"), idfs=F.col("t.idf")))
+    gone = index._tombstones(index.segments)
+    if gone is not None:
+        dead = gone.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
+        both = both.unionByName(row(dead, 0, segment=F.col("segment"), ids=F.array("id"), set_id=F.col("kind").cast("long")))
+    spread = both.repartitionById(ranges, "part").sortWithinPartitions("part", "side")
+    found = spread.mapInArrow(_best_of_ranges(average, k, digits), f"set_id long, id {id_type}, score double, told double")
+    place = Window.partitionBy("set_id").orderBy(F.desc("told"), "id")
+    best = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return members.join(sets, "terms").select("query_id", "set_id").join(best, "set_id").select("query_id", "rank", "id", "score")
