@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +15,9 @@ from pyspark.sql.window import Window
 from tidepool.functions.text import normalised_name
 from tidepool.operators.lineage import checkpointed, written
 
+#: Characters of texts whose words are told together.
+TEXT = 1 << 22
+RUN, WORD = re.compile("[a-z0-9]+"), re.compile("[a-z0-9\x80-\U0010ffff]+")
 EDGE = ["source_id", "edge_type", "target_id"]
 
 
@@ -90,48 +97,81 @@ def delete_entities(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tu
     return entities.join(gone, "id", "left_anti"), rest.join(gone, rest.target_id == gone.id, "left_anti")
 
 
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, lower-case text) as (w, ids): the different ASCII runs of each text, and its words with other characters, one row for each word of up to ``TEXT`` characters of texts."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ends, low = np.cumsum([len(t or "") for t in texts]), 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TEXT, "right")))
+            words, sizes = [], []
+            for text in texts[low:high]:
+                own = set(RUN.findall(text)) if text else set()
+                if text and not text.isascii():
+                    own.update(w for w in WORD.findall(text) if not w.isascii())
+                words.extend(own)
+                sizes.append(len(own))
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), ids.take(pa.array(np.repeat(np.arange(low, high), sizes)[order])))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, lists], names=["w", "ids"])
+            low = high
+
+
 def mentions(entities: DataFrame, memories: DataFrame) -> DataFrame:
     """(source_id, target_id): entities whose name a record mentions, as whole words and whatever the case.
 
-    Names of at least 3 bytes count; any character but ASCII letters and digits bounds a word. A name without other ASCII characters stands inside one word of a record, a word
-    being a run of ASCII letters, digits and characters beyond ASCII. So such names are looked for in the different words of all records, each once, and records are
-    joined by their words. Any other name is a candidate where its longest ASCII run (or, without one, its first character) stands, and is then looked for in the record. Joins grow
-    with what records say, not with entities times records.
+    Names of at least 3 bytes count; any character but ASCII letters and digits bounds a word. So a name of ASCII letters and digits is mentioned where it is a whole ASCII run of a record: runs
+    move with the records that hold them, one row for each run of many records, and meet the entities of that name. A name with characters beyond ASCII but without other ASCII characters stands
+    inside one word of a record, a word being a run of ASCII letters, digits and characters beyond ASCII; it is looked for in the different such words of all records, each once. Any other
+    name is a candidate where its longest ASCII run (or, without one, its first character) stands, and is then looked for in the record. Joins grow with what records say, not with
+    entities times records.
     """
-    run, word = F.lit("[a-z0-9]+"), F.lit(r"[a-z0-9\x{80}-\x{10ffff}]+")
+    run = F.lit("[a-z0-9]+")
+    kind = F.when(F.col("n").rlike("^[a-z0-9]+$"), "run").when(F.col("n").rlike(r"^[a-z0-9\x{80}-\x{10ffff}]+$"), "word").otherwise("text")
     named = entities.where(F.octet_length("name") >= 3).select(F.col("id").alias("source_id"), F.lower("name").alias("n")).distinct()
+    named = written(named.withColumn("kind", kind), "named")
     runs = F.regexp_extract_all("n", run, F.lit(0))
     longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("l"), r.alias("r")))), 1)["r"]
-    kind = F.when(F.col("n").rlike("^[a-z0-9]+$"), "run").when(F.col("n").rlike(r"^[a-z0-9\x{80}-\x{10ffff}]+$"), "word").otherwise("text")
-    wanted = named.select("n").distinct().select("n", kind.alias("kind"), F.when(F.size(runs) > 0, longest).otherwise(F.substring("n", 1, 1)).alias("term"))
+    wanted = named.where("kind <> 'run'").select("n", "kind").distinct().withColumn("term", F.when(F.size(runs) > 0, longest).otherwise(F.substring("n", 1, 1)))
     lowered = memories.select(F.col("id").alias("target_id"), F.lower("content").alias("c"))
-    words = written(lowered.select("target_id", F.explode(F.array_distinct(F.regexp_extract_all("c", word, F.lit(0)))).alias("w")), "words")
+    id_type = memories.schema["id"].dataType.simpleString()
+    words = written(lowered.mapInArrow(_said, f"w string, ids array<{id_type}>"), "words")
+    # a name of one kind is not of another, and a record has a run once: pairs repeat only where noted
+    found = words.join(named.where("kind = 'run'"), words.w == named.n).select("source_id", F.explode("ids").alias("target_id"))
 
-    vocabulary = words.select("w").distinct()
-    beyond = F.split(F.translate("w", "abcdefghijklmnopqrstuvwxyz0123456789", ""), "")
-    parts = F.when(F.col("w").rlike("^[a-z0-9]+$"), F.array("w")).otherwise(F.array_distinct(F.concat(F.regexp_extract_all("w", run, F.lit(0)), beyond)))
-    inside = vocabulary.select("w", F.explode(parts).alias("term")).join(wanted.where("kind <> 'text'"), "term")
     edge, end = F.lit("(^|[^A-Za-z0-9])"), F.lit("($|[^A-Za-z0-9])")
     quoted = F.concat(F.lit("\\Q"), F.replace("n", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     holds = lambda c: F.contains(c, "n") & F.regexp_like(c, F.concat(edge, quoted, end))
-    known = inside.where((F.col("kind") == "run") | holds(F.col("w"))).select("w", "n")
-    said = words.join(known, "w").select("n", "target_id")
-
-    loose = wanted.where("kind = 'text'").select("n", "term")
-    if not loose.isEmpty():
+    kinds = {r.kind for r in wanted.select("kind").distinct().collect()}  # two at most
+    if "word" in kinds:
+        vocabulary = words.where(F.octet_length("w") > F.length("w")).select("w").distinct()
+        beyond = F.split(F.translate("w", "abcdefghijklmnopqrstuvwxyz0123456789", ""), "")
+        parts = F.array_distinct(F.concat(F.regexp_extract_all("w", run, F.lit(0)), beyond))
+        inside = vocabulary.select("w", F.explode(parts).alias("term")).join(wanted.where("kind = 'word'"), "term")
+        known = inside.where(holds(F.col("w"))).select("w", "n").join(named, "n").select("w", "source_id").distinct()
+        # several words of a record may hold one name
+        found = found.unionByName(words.join(known, "w").select("source_id", F.explode("ids").alias("target_id")).distinct())
+    if "text" in kinds:
+        loose = wanted.where("kind = 'text'").select("n", "term")
         others = F.split(F.concat(F.translate("c", "abcdefghijklmnopqrstuvwxyz0123456789 ", ""), F.lit(" ")), "")
         terms = lowered.select("target_id", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("c", run, F.lit(0)), others))).alias("term"))
         # ids and names only move; a text is read again once, with all names that may be in it
         candidates = terms.join(loose, "term").groupBy("target_id").agg(F.collect_set("n").alias("names"))
         each = lowered.join(candidates, "target_id").select("target_id", "c", F.explode("names").alias("n"))
-        said = said.unionByName(each.where(holds(F.col("c"))).select("n", "target_id"))
-    return said.distinct().join(named, "n").select("source_id", "target_id")
+        found = found.unionByName(each.where(holds(F.col("c"))).join(named, "n").select("source_id", "target_id"))
+    # ids of several names, or of several records, have pairs more than once
+    once = named.groupBy("source_id").count().where("count > 1").isEmpty() and memories.groupBy("id").count().where("count > 1").isEmpty()
+    return found if once else found.distinct()
 
 
 def link_mentions(entities: DataFrame, memories: DataFrame, edges: DataFrame, edge_type: str = "mentioned_in") -> DataFrame:
     """New edges for mentions that no edge has yet: running it again adds none."""
-    new = mentions(entities, memories).withColumn("edge_type", F.lit(edge_type))
-    return new.join(edges.select(*EDGE).distinct(), EDGE, "left_anti").select(*EDGE)
+    held = edges.where(F.col("edge_type") == edge_type).select("source_id", "target_id")
+    new = mentions(entities, memories).join(held, ["source_id", "target_id"], "left_anti")
+    return new.withColumn("edge_type", F.lit(edge_type)).select(*EDGE)
 
 
 def resolution(entities: DataFrame) -> DataFrame:

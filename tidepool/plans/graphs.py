@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepool.operators import graph
+from tidepool.operators.lineage import written
 from tidepool.plans import views as V
 from tidepool.plans.registry import query
 
@@ -157,9 +158,9 @@ _NAMES_SQL = f"{V.MEMORIES}, named AS (SELECT min(id) + 1000000 AS id, name FROM
 
 
 def _named(spark, sf_dir):
-    word = F.get(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lit(1))
+    word = F.regexp_extract("content", r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+[^\p{L}\p{N}]+([\p{L}\p{N}]+)", 1)
     own = V.memories(spark, sf_dir).select("id", word.alias("name"))
-    return own.where(F.col("name").isNotNull()).groupBy("name").agg((F.min("id") + 1_000_000).alias("id"))
+    return own.where(F.col("name") != "").groupBy("name").agg((F.min("id") + 1_000_000).alias("id"))
 
 
 @query(
@@ -170,7 +171,7 @@ def _named(spark, sf_dir):
     SELECT source_id, 'mentioned_in' AS edge_type, target_id FROM pairs WHERE target_id % 5 <> 0"""
 )
 def link_entities(spark, sf_dir):
-    named, memories = _named(spark, sf_dir), V.memories(spark, sf_dir)
+    named, memories = written(_named(spark, sf_dir), "names"), V.memories(spark, sf_dir)
     known = graph.mentions(named, memories.where("id % 5 = 0")).withColumn("edge_type", F.lit("mentioned_in"))
     return graph.link_mentions(named, memories, known)
 
