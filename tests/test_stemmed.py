@@ -2,8 +2,10 @@
 
 import sqlite3
 
+import pyarrow as pa
 import pytest
 
+from tidepool.functions import stemming
 from tidepool.operators import keyword
 from tidepool.store import Store
 
@@ -27,3 +29,13 @@ def test_store_finds_inflected_and_accented_words(spark, tmp_path):
     own = store.store_memory("They were running towards the Café yesterday")
     for query in ("run", "cafe", "cafés", "runs"):
         assert [r.id for r in store.search_keyword(query).collect()] == [own]
+
+
+def test_a_different_word_is_stemmed_once(monkeypatch):
+    """Lists stay Arrow's, parted or sliced; only different words become Python's."""
+    monkeypatch.setattr(stemming, "WORDS", 5)
+    rows = [["runs", "cafés"], None, [], ["runs"] * 12, ["cafés", None]]
+    asked = []
+    got = stemming._each_word(pa.array([["gone"], *rows], pa.list_(pa.string()))[1:], lambda w: asked.append(w) or stemming.normal(w))
+    assert got.to_pylist() == [["run", "cafe"], None, [], ["run"] * 12, ["cafe", None]]
+    assert len(asked) <= 6 and stemming.normal.cache_info().maxsize <= 1 << 15

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tidepool.functions.constants import BM25_B, BM25_K1, LEAST_IDF, MOST_K, TOP_K
 from tidepool.functions.stemming import normal, normal_terms
 from tidepool.functions.text import phrase_count, query_phrases, query_words, terms
+from tidepool.operators.lineage import written
 
 
 def clamp_k(k: int) -> int:
@@ -55,17 +56,18 @@ def search(docs: DataFrame, query: str, tier: str = "tiered", stemmed: bool = Fa
 
     ``and``: all words but stopwords. ``or``: any word. ``tiered``: the first, unless nothing matches; then the second.
     """
-    return _found(docs, *asked(query, stemmed), tier)
+    return _found(docs, *asked(query, stemmed), tier, stemmed)
 
 
-def _found(docs: DataFrame, phrases: list[list[str]], strict: list[bool], tier: str) -> DataFrame:
+def _found(docs: DataFrame, phrases: list[list[str]], strict: list[bool], tier: str, kept: bool = False) -> DataFrame:
     """Two passes: one aggregate of one row has the number and average length of all documents, the documents of each phrase, and
-    whether any document has all strict phrases; then documents are scored and chosen by it. Both tiers are one plan.
+    whether any document has all strict phrases; then documents are scored and chosen by it. Both tiers are one plan. ``kept``: terms are dear, so counts are written between the passes.
     """
     if not phrases:
         return docs.drop("tokens").withColumn("score", F.lit(0.0)).where(F.lit(False))
     counts = [phrase_count(F.col("tokens"), p).alias(f"_f{k}") for k, p in enumerate(phrases)]
-    return chosen(docs.select("*", F.size("tokens").alias("_len"), *counts).drop("tokens"), None, strict, tier)
+    counted = docs.select("*", F.size("tokens").alias("_len"), *counts).drop("tokens")
+    return chosen(written(counted, "counts") if kept else counted, None, strict, tier)
 
 
 def chosen(counted: DataFrame, corpus: DataFrame | None, strict: list[bool], tier: str) -> DataFrame:
