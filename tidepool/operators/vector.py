@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +16,8 @@ from tidepool.functions import vectors
 from tidepool.operators.lineage import checkpointed, written
 from tidepool.operators.vindex import centroids_of, nearest_cells, sampled
 
-#: Vectors of one block where they are compared, and pivots at most.
-BLOCK, PIVOTS = 2048, 1024
+#: Vectors of one block where they are compared, at most, and at least where they are dealt over free tasks; blocks of vectors that are streamed past one; pivots at most; cosines that are held.
+BLOCK, LEAST, STREAMED, PIVOTS, HELD = 16_384, 1024, 8, 1024, 1 << 22
 
 
 def nearest(table: DataFrame, query: list[float], k: int, metric: str = "cosine", vector: str = "embedding", id_column: str = "id") -> DataFrame:
@@ -62,8 +63,8 @@ def _homes(table: DataFrame, vector: str, cells: int | None) -> tuple[DataFrame,
     return written(homes, "homes"), pivots
 
 
-def visits(table: DataFrame, distance: float, vector: str = "embedding", cells: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, v, home) of a table, and (id, v, cell): the cells, the own one and later ones, in which a row can have a neighbour below the cosine distance.
+def _visiting(table: DataFrame, distance: float, vector: str, cells: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, v, home) of a table, and (id, v, cells): the cells, the own one and later ones, in which a row can have a neighbour below the cosine distance.
 
     Angles keep the triangle inequality: a row can be near a row of a cell only if its angle to the cell's pivot is at most the angle of the distance more than the
     widest angle in that cell. So each pair that can be near meets once, in the later of its two cells. From a distance of 1 on nothing is ruled out.
@@ -84,9 +85,25 @@ def visits(table: DataFrame, distance: float, vector: str = "embedding", cells:
 
     kind = homes.schema["id"].dataType.simpleString()
     visiting = homes.select("id", "v", "home").mapInArrow(run, f"id {kind}, v array<double>, cells array<int>") if len(pivots) else homes.selectExpr("id", "v", "array(0) AS cells")
+    return homes, visiting
+
+
+def visits(table: DataFrame, distance: float, vector: str = "embedding", cells: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``_visiting``, the second with a row (id, v, cell) for each cell."""
+    homes, visiting = _visiting(table, distance, vector, cells)
     return homes, visiting.select("id", "v", F.explode("cells").alias("cell"))
 
 
+def tiles_of(sizes: dict[int, int], block: int) -> dict[int, int]:
+    """A tile for each cell, by cells in order: as many as have ``block`` rows together, a larger cell by itself."""
+    out, tile, held = {}, 0, 0
+    for cell in sorted(sizes):
+        if held and held + sizes[cell] > block:
+            tile, held = tile + 1, 0
+        out[cell], held = tile, held + sizes[cell]
+    return out
+
+
 def share_compared(table: DataFrame, distance: float, vector: str = "embedding", cells: int | None = None) -> DataFrame:
     """(compared, pairs): how many pairs ``lowest_neighbours`` compares, and how many there are."""
     homes, visiting = visits(table, distance, vector, cells)
@@ -100,54 +117,111 @@ def share_compared(table: DataFrame, distance: float, vector: str = "embedding",
 def lowest_neighbours(table: DataFrame, distance: float, vector: str = "embedding", cells: int | None = None, block: int = BLOCK) -> DataFrame:
     """(id, parent): for each row the row of lowest id before it whose cosine distance is below the given one, if there is any.
 
-    Rows meet only in cells of pivots that the triangle inequality leaves (``visits``). A crowded cell is dealt over several blocks, by a hash, and what visits it over several
-    packs; for each block and pack only the lowest neighbour of each row goes on, so no group becomes all its pairs.
+    Rows meet only in cells of pivots that the triangle inequality leaves (``visits``). Cells share tiles of up to ``block`` rows, and a row moves once to each tile that has cells it visits. A crowded
+    cell is dealt over several blocks, by a hash. What visits a tile is streamed past it, in several packs if it is much; of each only the lowest neighbour of each row goes on, so no group becomes all its pairs.
     """
-    homes, visiting = visits(table, distance, vector, cells)
+    homes, visiting = _visiting(table, distance, vector, cells)
     visiting = written(visiting, "visits")
-    sizes = homes.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    packs = visiting.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("packs"))
-    parted = written(sizes.join(packs, "cell"), "parted")  # one row for each pivot
+    sizes = {r.home: r["count"] for r in homes.groupBy("home").count().collect()}  # one row for each pivot
+    block = min(block, max(LEAST, math.ceil(sum(sizes.values()) / (2 * table.sparkSession.sparkContext.defaultParallelism))))
+    tile_of = tiles_of(sizes, block)
+    told = np.array([tile_of.get(c, -1) for c in range(max(tile_of, default=0) + 1)], np.int32)
+    kind = homes.schema["id"].dataType.simpleString()
+
+    def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            row, cell = np.repeat(np.arange(len(batch)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten()
+            tile = told[cell.to_numpy(zero_copy_only=False)]
+            # cells are in order, and so are tiles
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (tile[1:] != tile[:-1])])) if len(row) else row
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), cell)
+            for low in range(0, len(first), 4096):
+                part = slice(low, low + 4096)
+                take = pa.array(row[first[part]])
+                yield pa.RecordBatch.from_arrays([pa.array(tile[first[part]]), batch.column(0).take(take), batch.column(1).take(take), lists[part]], names=["tile", "id", "v", "cells"])
+
+    counts = {}
+    for cell, tile in tile_of.items():
+        counts[tile] = counts.get(tile, 0) + sizes[cell]
+    come = visiting.select("cells").mapInArrow(lambda batches: _tiles_visited(batches, told), "tile int, n long").groupBy("tile").agg(F.sum("n").alias("n"))
+    come = {r.tile: r.n for r in come.collect()}  # one row for each tile
+    parted = [(c, t, math.ceil(counts[t] / block), math.ceil(come.get(t, 0) / (block * STREAMED))) for c, t in tile_of.items()]
+    parted = table.sparkSession.createDataFrame(parted, "home int, tile int, blocks int, packs int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = homes.select(F.col("home").alias("cell"), "id", "v").join(F.broadcast(parted), "cell").select("cell", part("blocks").alias("block"), every("packs").alias("pack"), F.lit(0).alias("side"), "id", "v")
-    right = visiting.join(F.broadcast(parted), "cell").select("cell", every("blocks").alias("block"), part("packs").alias("pack"), F.lit(1).alias("side"), "id", "v")
-    kind = homes.schema["id"].dataType.simpleString()
+    left = homes.join(F.broadcast(parted), "home").select("tile", part("blocks").alias("block"), every("packs").alias("pack"), F.lit(0).alias("side"), "id", "v", F.array("home").alias("cells"))
+    right = visiting.mapInArrow(by_tile, f"tile int, id {kind}, v array<double>, cells array<int>").join(F.broadcast(parted.select("tile", "blocks", "packs").distinct()), "tile")
+    right = right.select("tile", every("blocks").alias("block"), part("packs").alias("pack"), F.lit(1).alias("side"), "id", "v", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, ([], [])
-
-        def lowest() -> list[tuple]:
-            if not held[0] or not held[1]:
-                return []
-            ids, others = [r[0] for r in held[0]], [r[0] for r in held[1]]
-            near = 1 - np.array([r[1] for r in held[0]], float) @ np.array([r[1] for r in held[1]], float).T < distance
-            out = {}
-            for row, column in zip(*np.nonzero(near), strict=True):
-                low, high = sorted((ids[row], others[column]))
-                if low != high and not (high in out and out[high] <= low):
-                    out[high] = low
-            return list(out.items())
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types) for k in (0, 1)], names=["id", "parent"])
-
-        types = None
+        last, held, own = None, [], None
         for batch in batches:
-            types = batch.column(4).type
-            for *key, side, own, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]])) if len(batch) else []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                *key, side = keys[:, low].tolist()
                 if key != last:
-                    if rows := lowest():
-                        yield batch_of(rows)
-                    last, held = key, ([], [])
-                held[side].append((own, v))
-        if rows := lowest():
-            yield batch_of(rows)
-
-    spread = left.unionByName(right).repartition("cell", "block", "pack").sortWithinPartitions("cell", "block", "pack")
+                    last, held, own = key, [], None
+                rows = batch.slice(low, high - low)
+                if side == 0:
+                    held.append(rows)
+                elif held:
+                    own = own or _by_home(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    for ids, parents in _lowest(own, rows, distance):
+                        yield pa.RecordBatch.from_arrays([ids, parents], names=["id", "parent"])
+
+    spread = left.unionByName(right).repartition("tile", "block", "pack").sortWithinPartitions("tile", "block", "pack", "side")
     return spread.mapInArrow(run, f"id {kind}, parent {kind}").groupBy("id").agg(F.min("parent").alias("parent"))
 
 
+def _tiles_visited(batches: Iterator[pa.RecordBatch], told: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(tile, n): how many rows (cells) visit a tile."""
+    for batch in batches:
+        column = batch.column(0)
+        row, tile = np.repeat(np.arange(len(batch)), column.value_lengths().to_numpy(zero_copy_only=False)), told[column.flatten().to_numpy(zero_copy_only=False)]
+        each = tile[np.concatenate([[True], (row[1:] != row[:-1]) | (tile[1:] != tile[:-1])])] if len(row) else tile
+        found, n = np.unique(each, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["tile", "n"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _by_home(rows: pa.RecordBatch) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """The ids and vectors of each cell, in order of id."""
+    home = rows.column("cells").flatten().to_numpy(zero_copy_only=False)
+    out = {}
+    for cell in np.unique(home).tolist():
+        own = rows.take(pa.array(np.flatnonzero(home == cell)))
+        own = own.take(pc.sort_indices(own.column("id")))
+        out[cell] = own.column("id"), _matrix(own.column("v"))
+    return out
+
+
+def _lowest(own: dict[int, tuple[pa.Array, np.ndarray]], rows: pa.RecordBatch, distance: float) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, parents): the lowest neighbour before each row, of rows of cells and rows that visit them; a row for each side."""
+    rows = rows.take(pc.sort_indices(rows.column("id")))
+    sizes = rows.column("cells").value_lengths().to_numpy(zero_copy_only=False)
+    row, cell, ids, vectors = np.repeat(np.arange(len(rows)), sizes), rows.column("cells").flatten().to_numpy(zero_copy_only=False), rows.column("id"), _matrix(rows.column("v"))
+    for home, (names, points) in own.items():
+        at = row[cell == home]
+        if not len(at):
+            continue
+        others, come = vectors[at], ids.take(pa.array(at))
+        step = max(1, HELD // len(at))
+        for low in range(0, len(names), step):
+            near = 1 - points[low : low + step] @ others.T < distance
+            here = names.slice(low, step)
+            # both sides are in order of id, so the first that is near is the lowest
+            for found, high, lower in ((near, here, come), (near.T, come, here)):
+                hit = np.flatnonzero(found.any(1))
+                first, second = high.take(pa.array(hit)), lower.take(pa.array(found[hit].argmax(1)))
+                before = pc.less(second, first)
+                yield first.filter(before), second.filter(before)
+
+
 def greedy_clusters(table: DataFrame, distance: float, cells: int | None = None, rounds: int = 40) -> DataFrame:
     """(id, cluster): each row joins the row of lowest id before it that is near enough, and thereby that row's cluster.
 
