@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,3 +115,54 @@ def test_maximal_repeats_have_all_occurrences():
     contexts, offsets = [b"aaXYZbb", b"caXYZbd", b"eaXYZff", b"ggXYgg"], [2, 2, 2, 2]
     found = {(c[o - left : o + right], tuple(sorted(m))) for left, right, m in repeats.maximal_repeats(contexts, offsets, 3) for c, o in [(contexts[m[0]], offsets[m[0]])]}
     assert found == {(b"aXYZ", (0, 1, 2)), (b"aXYZb", (0, 1))}
+
+
+def repeated_words(texts, passage):
+    """Per text how many of its words stand in a run of so many that also starts elsewhere."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = Counter(tuple(w[i : i + passage]) for w in split for i in range(len(w) - passage + 1))
+    for words in split:
+        gone = set()
+        for i in range(len(words) - passage + 1):
+            if seen[tuple(words[i : i + passage])] > 1:
+                gone.update(range(i, i + passage))
+        yield len(gone)
+
+
+@pytest.mark.parametrize(("seed", "crowd", "piece"), [(1, 256, repeats.PIECE), (2, 2, repeats.PIECE), (3, 2, 303)])
+def test_passages_of_over_50_words_are_told_whatever_their_bytes(spark, monkeypatch, seed, crowd, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (repeats.LENGTH, repeats.GRAM, crowd))
+    rng = random.Random(seed)
+    words = lambda n: ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6))) for _ in range(n)]
+    prose = lambda n: "".join(w + rng.choice([" ", "\n", "\t ", "  "]) for w in words(n))
+    passage = words(90)
+    texts = [prose(rng.randrange(0, 120)) for _ in range(10)]
+    for _ in range(30):
+        n, at = rng.choice([49, 50, 51, 52, 60, 90]), rng.randrange(30)
+        texts.append(prose(rng.randrange(40)) + rng.choice([" ", "\n"]).join(passage[at : at + n]) + " " + prose(rng.randrange(40)))
+    whole = prose(60)
+    texts += ["a " * 51, "a " * 52, "a b " * 60, whole, whole, whole.replace("\n", " "), "kurz", "kurz", " ", "", None, prose(70) * 2]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r for r in repeats.removals(docs).collect()}
+    wanted = list(repeated_words(texts, 51))
+    assert [rows[i].n_repeated_words for i in range(len(texts))] == wanted
+    assert any(rows[i].n_repeated_words and not rows[i].n_removed for i in range(len(texts)))
+    for i, want in enumerate(brute(texts, 400)):
+        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == want
+
+
+def test_codes_of_words_in_pieces(monkeypatch):
+    texts = [b"", b"one two", b" three\n" + b"x" * 90 + b" one", b"", b"two " * 20]
+    buffer, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole, places = repeats.word_codes(buffer, offsets)
+    assert (np.diff(places) // repeats.CODE).tolist() == [len(t.split()) for t in texts]
+    monkeypatch.setattr(repeats, "PIECE", 30)
+    again, same = repeats.word_codes(buffer, offsets)
+    assert same.tolist() == places.tolist()
+    words = b" ".join(texts).split()
+    for codes in (whole, again):
+        rows = codes.reshape(-1, repeats.CODE)
+        assert len({w: rows[k].tobytes() for k, w in enumerate(words)}) == len({r.tobytes() for r in rows}) == len(set(words))
+    short = [k for k, w in enumerate(words) if len(w) <= 30]
+    assert np.array_equal(whole.reshape(-1, repeats.CODE)[short], again.reshape(-1, repeats.CODE)[short])

@@ -9,6 +9,8 @@ it is left-diverse. That gives the maximal repeats with all their occurrences, a
 
 Windows never span documents. A text that stands in several documents is handled once, with its number of copies. A k-gram with more than
 ``CROWD`` different surroundings is not gathered: its windows are counted by hash, block by block, which is exact as well.
+
+Repeated passages of so many words are found in the same way, on texts in which each word is ``CODE`` bytes of its hash.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidepool.llm.bytestext import flat, mix, prefix_sums, slices, small_batches, span_hashes, spans_of, utf8
+from tidepool.llm.bytestext import SPACE, flat, mix, prefix_sums, runs, slices, small_batches, span_hashes, spans_of, utf8
 from tidepool.llm.columns import at, kept, numbered, place, taken
 from tidepool.llm.scratch import cut, cut_bucketed
 
 LENGTH, GRAM = 400, 64
+#: Words of a passage (over 50), words of its k-grams, and bytes that stand for a word there.
+PASSAGE, WORD_GRAM, CODE = 51, 8, 5
 #: Different surroundings of one k-gram that one task puts in order.
 CROWD = 256
 #: Windows that are counted together where a k-gram has more.
@@ -36,6 +40,26 @@ PIECE = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 
 
+# ---------------------------------------------------------------- texts as codes of words
+
+
+def word_codes(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts, each as ``CODE`` bytes of its hash, and where the codes of each text begin."""
+    starts, ends = runs(~SPACE[buffer], offsets)
+    hashes = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, "right")))
+        high = int(ends[j - 1])
+        if high - low > PIECE:  # one long word
+            hashes[i] = int.from_bytes(hashlib.blake2b(buffer[low:high], digest_size=8).digest(), "little")
+        else:
+            hashes[i:j] = span_hashes(prefix_sums(buffer[low:high]), starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :CODE].ravel(), np.searchsorted(starts, offsets) * CODE
+
+
 # ---------------------------------------------------------------- anchors of windows
 
 
@@ -52,24 +76,25 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchored(buffer: np.ndarray, firsts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchored(buffer: np.ndarray, firsts: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = 1) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: (gram hash, context hash, anchor, first window, last window), all places in ``buffer``.
 
     ``firsts`` are where texts begin, and the end. A run whose windows all stand ``q`` bytes before too, where ``q`` is how far its
     anchor is from the one before of equal hash, is left out: its windows are returned apart, as (first, last) of windows that occur
-    at two places of one text, and the earlier place stands for both.
+    at two places of one text, and the earlier place stands for both. Windows and k-grams begin at each ``step``-th byte, as texts do.
     """
     empty = np.zeros(0, np.int64)
-    n = len(buffer) - length + 1
+    n = (len(buffer) - length) // step + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty, empty, empty, empty, empty
     sums = prefix_sums(buffer)
-    at = np.arange(len(buffer) - gram + 1)
+    at = np.arange(0, len(buffer) - gram + 1, step)
     grams = span_hashes(sums, at, at + gram)
-    least = sliding_least((grams & ~_PLACE) | at.astype(np.uint64), length - gram + 1)
+    least = sliding_least((grams & ~_PLACE) | at.astype(np.uint64), (length - gram) // step + 1)
     anchor = (least[:n] & _PLACE).astype(np.int64)
-    text = np.searchsorted(firsts, np.arange(n), "right") - 1
-    inside = np.arange(n) + length <= firsts[text + 1]
+    first = np.arange(n) * step
+    text = np.searchsorted(firsts, first, "right") - 1
+    inside = first + length <= firsts[text + 1]
     change = np.ones(n, bool)
     change[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
     low = np.flatnonzero(change & inside)
@@ -79,13 +104,15 @@ def anchored(buffer: np.ndarray, firsts: np.ndarray, length: int = LENGTH, gram:
     stop[:-1] = change[1:] | ~inside[1:]
     high = np.flatnonzero(stop & inside)
     place = anchor[low]
-    key = grams[place]
+    key = grams[place // step]
+    owner = text[low]
+    low, high = low * step, high * step
     # windows that stand a period earlier as well
     again = np.zeros(len(low), bool)
     shift = np.zeros(len(low), np.int64)
     shift[1:] = place[1:] - place[:-1]
-    again[1:] = (key[1:] == key[:-1]) & (text[low[1:]] == text[low[:-1]])
-    again &= (shift > 0) & (low - shift >= firsts[text[low]])
+    again[1:] = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
+    again &= (shift > 0) & (low - shift >= firsts[owner])
     some = np.flatnonzero(again)
     same = span_hashes(sums, low[some], high[some] + length) == span_hashes(sums, low[some] - shift[some], high[some] + length - shift[some])
     again[some[~same]] = False
@@ -111,19 +138,21 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], reach[last]
 
 
-def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """For a table (k1, k2, copies, text): the runs of ``anchored``, and with null ``gram`` the windows that a text repeats itself."""
+def anchor_rows(texts: DataFrame, length: int, gram: int, coded: bool = False) -> DataFrame:
+    """For a table (k1, k2, copies, text): the runs of ``anchored``, and with null ``gram`` the windows that a text repeats itself. ``coded`` is for ``word_codes`` in place of bytes."""
     names = ["k1", "k2", "copies", "gram", "context", "off", "low", "high"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    step = CODE if coded else 1
+    piece = PIECE // step * step
 
     def one(k1: np.ndarray, k2: np.ndarray, copies: np.ndarray, buffer: np.ndarray, firsts: np.ndarray, base: int) -> pa.RecordBatch:
-        key, context, place, low, high, own_low, own_high = anchored(buffer, firsts, length, gram)
+        key, context, place, low, high, own_low, own_high = anchored(buffer, firsts, length, gram, step)
         text = np.searchsorted(firsts, low, "right") - 1
         start = firsts[text] - base
         own_text = np.searchsorted(firsts, own_low, "right") - 1
-        parts = [merged(own_low[own_text == t], own_high[own_text == t]) for t in np.unique(own_text)]
-        lows = np.concatenate([p[0] for p in parts]) if parts else own_low[:0]
-        highs = np.concatenate([p[1] for p in parts]) if parts else own_low[:0]
+        parts = [merged(own_low[own_text == t] // step, own_high[own_text == t] // step) for t in np.unique(own_text)]
+        lows = np.concatenate([p[0] for p in parts]) * step if parts else own_low[:0]
+        highs = np.concatenate([p[1] for p in parts]) * step if parts else own_low[:0]
         own = np.searchsorted(firsts, lows, "right") - 1
         owner = np.concatenate([text, own])
         none = [None] * len(own)
@@ -143,13 +172,15 @@ def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             k1, k2, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             buffer, offsets = flat(batch.column(3))
+            if coded:
+                buffer, offsets = word_codes(buffer, offsets)
             for i, j in spans_of(offsets, PIECE):
                 low, high = int(offsets[i]), int(offsets[j])
                 if high - low <= 2 * PIECE:
                     yield one(k1[i:j], k2[i:j], copies[i:j], buffer[low:high], offsets[i : j + 1] - low, 0)
                     continue
-                for base in range(low, high - length + 1, PIECE):
-                    end = min(high, base + PIECE + length - 1)
+                for base in range(low, high - length + 1, piece):
+                    end = min(high, base + piece + length - step)
                     yield one(k1[i:j], k2[i:j], copies[i:j], buffer[base:end], np.array([0, end - base]), base - low)
 
     return texts.select("k1", "k2", "copies", "text").mapInArrow(run, "k1 long, k2 long, copies long, gram long, context long, off int, low long, high long")
@@ -283,12 +314,14 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut_bucketed(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts", ["k1", "k2"])
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, *, coded: bool = False) -> DataFrame:
     """(k1, k2, low, high): windows of ``distinct_texts`` that occur elsewhere, as ranges of their first bytes. Ranges may overlap.
 
+    With ``coded`` all lengths and places are those of the texts' ``word_codes``.
+
     Texts with copies are repeated as a whole and are not among the rows, but make others' windows repeated.
     """
-    rows = cut(anchor_rows(texts, length, gram), "anchors")
+    rows = cut(anchor_rows(texts, length, gram, coded), "anchors")
     alone = rows.where("gram is null and copies = 1").select("k1", "k2", "low", "high")
     filed = rows.where("gram is not null")
     crowds = filed.groupBy("gram").agg(F.sum("copies").alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("n > 1")
@@ -304,31 +337,34 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     sizes = cut(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "sizes")
     wanted = kinds.join(sizes, "gram").select("gram", "context", "copies", "off", "place.*", "kinds")
     spots = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "context", "copies", "off", "low", "high", "kinds")).alias("spots"))
-    contexts = cut(texts.join(spots, ["k1", "k2"]).select("text", "spots").mapInArrow(_surroundings(length), "gram long, context long, copies long, off long, bytes binary, kinds long"), "contexts")
+    contexts = cut(texts.join(spots, ["k1", "k2"]).select("text", "spots").mapInArrow(_surroundings(length, coded), "gram long, context long, copies long, off long, bytes binary, kinds long"), "contexts")
 
     few = contexts.where(F.col("kinds") <= crowd).drop("kinds").repartition("gram").sortWithinPartitions("gram", "context")
     found = few.mapInArrow(_in_groups(length), "gram long, context long, from long, to long")
-    many = _crowded_windows(contexts.where(F.col("kinds") > crowd), length)
+    many = _crowded_windows(contexts.where(F.col("kinds") > crowd), length, CODE if coded else 1)
     told = found.unionByName(many)
     places = mixed.where("copies = 1").drop("copies").join(told, ["gram", "context"]).select("k1", "k2", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
     return alone.union(whole).union(places)
 
 
-def _surroundings(length: int):
+def _surroundings(length: int, coded: bool):
     names = ["gram", "context", "copies", "off", "bytes", "kinds"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, spots in zip(batch.column(0), batch.column(1), strict=True):
-                text = memoryview(raw.as_buffer())
+            buffer, offsets = flat(batch.column(0))
+            if coded:
+                buffer, offsets = word_codes(buffer, offsets)
+            for first, last, spots in zip(offsets.tolist(), offsets[1:].tolist(), batch.column(1), strict=False):
+                text = memoryview(buffer[first:last])
                 rows = [(s["gram"], s["context"], s["copies"], s["off"], bytes(text[s["low"] : s["high"] + length]), s["kinds"]) for s in spots.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
-def _crowded_windows(contexts: DataFrame, length: int) -> DataFrame:
+def _crowded_windows(contexts: DataFrame, length: int, step: int) -> DataFrame:
     """As the suffix arrays tell, for k-grams with many surroundings, by counting hashes.
 
     Windows are taken in blocks of ``BLOCK`` by their distance from the anchor. If all bytes of a block's windows occur at
@@ -336,7 +372,7 @@ def _crowded_windows(contexts: DataFrame, length: int) -> DataFrame:
     the blocks in between are counted one by one, together with those of one example of each block that is repeated as a whole.
     """
     rows = contexts.select("gram", "context", "copies", "off", "bytes").mapInArrow(
-        _blocks(length), "gram long, context long, copies long, from long, to long, whole long, shared long"
+        _blocks(length, step), "gram long, context long, copies long, from long, to long, whole long, shared long"
     )
     rows = cut(rows, "windows")  # read three times
     shared = rows.groupBy("gram", "shared").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "shared")
@@ -346,16 +382,18 @@ def _crowded_windows(contexts: DataFrame, length: int) -> DataFrame:
     partly = hit.where("example is null or example = context").withColumn("copies", F.when(F.col("example").isNull(), F.col("copies")).otherwise(2))
     spots = partly.groupBy("gram", "context").agg(F.collect_list(F.struct("from", "to", "copies")).alias("spots"))
     single = contexts.select("gram", "context", "off", "bytes").join(spots, ["gram", "context"])
-    single = single.select("gram", "context", "off", "bytes", "spots").mapInArrow(_windows(length), "gram long, context long, copies long, at long, hash long")
+    single = single.select("gram", "context", "off", "bytes", "spots").mapInArrow(_windows(length, step), "gram long, context long, copies long, at long, hash long")
+    single = cut(single, "singles")  # read twice
     again = single.groupBy("gram", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "hash")
     found = single.join(again, ["gram", "hash"])
     place = Window.partitionBy("gram", "context").orderBy("at")
-    islands = found.withColumn("island", F.col("at") - F.row_number().over(place)).groupBy("gram", "context", "island")
+    islands = found.withColumn("island", F.col("at") - step * F.row_number().over(place)).groupBy("gram", "context", "island")
     return wholly.unionByName(islands.agg(F.min("at").alias("from"), F.max("at").alias("to")).drop("island"))
 
 
-def _blocks(length: int):
+def _blocks(length: int, step: int):
     """Of each block of windows the hash of all its bytes, and of what its windows have in common."""
+    block = BLOCK // step * step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,12 +402,12 @@ def _blocks(length: int):
             for i in range(len(batch)):
                 sums = prefix_sums(buffer[offsets[i] : offsets[i + 1]])
                 last = int(offsets[i + 1] - offsets[i]) - length
-                number = np.arange((off[i] - last) // BLOCK, off[i] // BLOCK + 1)  # by the distance from the anchor
-                low, high = np.maximum(off[i] - number * BLOCK - BLOCK + 1, 0), np.minimum(off[i] - number * BLOCK, last)
+                number = np.arange((off[i] - last) // block, off[i] // block + 1)  # by the distance from the anchor
+                low, high = np.maximum(off[i] - number * block - block + step, 0), np.minimum(off[i] - number * block, last)
                 shape = mix((off[i] - low).astype(np.uint64) * np.uint64(1 << 32) + (off[i] - high).astype(np.uint64))
                 # the common bytes are those of the whole block even where a context begins or ends within it
-                first = off[i] - number * BLOCK
-                shared = span_hashes(sums, first, first - BLOCK + 1 + length)
+                first = off[i] - number * block
+                shared = span_hashes(sums, first, first - block + step + length)
                 hashes = mix(span_hashes(sums, low, high + length) ^ shape), mix(shared ^ mix(number.astype(np.uint64)))
                 n = len(number)
                 arrays = np.full(n, gram[i]), np.full(n, context[i]), np.full(n, copies[i]), low, high, *(h.view(np.int64) for h in hashes)
@@ -378,14 +416,14 @@ def _blocks(length: int):
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gram, context, off, raw, spots in zip(*batch.columns, strict=True):
                 sums = prefix_sums(np.frombuffer(raw.as_buffer(), np.uint8))
                 parts = spots.as_py()
-                at = np.concatenate([np.arange(s["from"], s["to"] + 1) for s in parts])
-                copies = np.repeat([s["copies"] for s in parts], [s["to"] - s["from"] + 1 for s in parts])
+                at = np.concatenate([np.arange(s["from"], s["to"] + 1, step) for s in parts])
+                copies = np.repeat([s["copies"] for s in parts], [(s["to"] - s["from"]) // step + 1 for s in parts])
                 hashes = mix(span_hashes(sums, at, at + length) ^ mix((off.as_py() - at).astype(np.uint64)))
                 n = len(at)
                 columns = [pa.array(np.full(n, gram.as_py())), pa.array(np.full(n, context.as_py())), pa.array(copies.astype(np.int64)), pa.array(at), pa.array(hashes.view(np.int64))]
@@ -394,8 +432,28 @@ def _windows(length: int):
     return run
 
 
-def _without(length: int, kept_as: str):
-    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * bool(kept_as)]
+def _words_within(lows: np.ndarray, highs: np.ndarray, passage: int) -> int:
+    """Words that windows of ``word_codes`` cover, given as ranges of their first bytes; only windows that begin with a word count."""
+    first, last = -(-lows // CODE), highs // CODE
+    real = first <= last
+    starts, ends = merged(first[real], last[real] + passage - 1)
+    return int((ends - starts + 1).sum())
+
+
+def _without(length: int, kept_as: str, passage: int):
+    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_repeated_words"] * bool(passage), *["kept"] * bool(kept_as)]
+
+    def repeated_words(batch: pa.RecordBatch) -> list[int]:
+        buffer, offsets = flat(batch.column(3))
+        out = []
+        for k, (copies, lows, highs) in enumerate(zip(*(batch.column(c) for c in (2, 6, 7)), strict=True)):
+            lows, highs = lows.values, highs.values
+            if copies.as_py() > 1:
+                n = len(runs(~SPACE[buffer[offsets[k] : offsets[k + 1]]], np.zeros(1, np.int64))[0])
+                out.append(n if n >= passage else 0)
+            else:
+                out.append(_words_within(lows.to_numpy(), highs.to_numpy(), passage) if lows is not None and len(lows) else 0)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3):
@@ -415,6 +473,8 @@ def _without(length: int, kept_as: str):
                     kept = b"".join(raw[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
                 rows.append((len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string()])]
+            if passage:
+                columns.append(pa.array(repeated_words(batch), pa.int64()))
             if kept_as == "string":
                 columns.append(pa.array([r[4].decode("utf-8", "ignore") for r in rows], pa.string()))
             elif kept_as:
@@ -424,28 +484,40 @@ def _without(length: int, kept_as: str):
     return run
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, kept_as: str = "") -> DataFrame:
-    """(k1, k2, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each different text of ``docs``; ``text_keys`` give the keys.
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, kept_as: str = "", passage: int = 0) -> DataFrame:
+    """(k1, k2, n_bytes, n_removed, n_spans, kept_sha256[, n_repeated_words][, kept]) for each different text of ``docs``; ``text_keys`` give the keys.
 
     Removed is each byte that a string of ``length`` bytes covers which also starts anywhere else in ``docs``, in the same or another
     document; copies of a text are other places. ``kept_as`` is ``binary`` for the bytes that are left, ``string`` for its whole characters. Null texts count as empty; texts shorter than ``length`` lose nothing.
+    With ``passage``, ``n_repeated_words`` are the words that a run of so many words covers which also starts anywhere else, whatever its length in bytes and the white space in it; they are told and not removed.
     """
     texts = distinct_texts(docs, text)
-    spans = repeated_spans(texts, length, gram).distinct()
-    ranges = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("r")).select("k1", "k2", F.col("r.low").alias("lows"), F.col("r.high").alias("highs"))
-    joined = texts.join(ranges, ["k1", "k2"], "left").select("k1", "k2", "copies", "text", "lows", "highs")
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept {kept_as}" if kept_as else "")
-    return joined.mapInArrow(_without(length, kept_as), schema)
-
-
-def removals(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """One row per document: its id, n_bytes, n_removed, n_spans and kept_sha256.
+    spans = repeated_spans(texts, length, gram)
+    if passage:
+        words = repeated_spans(texts, passage * CODE, min(WORD_GRAM, passage) * CODE, coded=True)
+        spans = spans.withColumn("coded", F.lit(False)).union(words.withColumn("coded", F.lit(True)))
+        window, told = F.struct("low", "high"), ["lows", "highs", "word_lows", "word_highs"]
+        lists = [F.collect_list(F.when(~F.col("coded"), window)).alias("r"), F.collect_list(F.when(F.col("coded"), window)).alias("w")]
+        columns = [F.col(c).alias(name) for c, name in zip(("r.low", "r.high", "w.low", "w.high"), told, strict=True)]
+    else:
+        told = ["lows", "highs"]
+        lists = [F.collect_list(F.struct("low", "high")).alias("r")]
+        columns = [F.col("r.low").alias("lows"), F.col("r.high").alias("highs")]
+    ranges = spans.distinct().groupBy("k1", "k2").agg(*lists).select("k1", "k2", *columns)
+    joined = texts.join(ranges, ["k1", "k2"], "left").select("k1", "k2", "copies", "text", *told)
+    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_repeated_words long" if passage else "") + (f", kept {kept_as}" if kept_as else "")
+    return joined.mapInArrow(_without(length, kept_as, passage), schema)
+
+
+def removals(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """One row per document: its id, n_bytes, n_removed, n_spans, kept_sha256 and n_repeated_words.
 
     Repeated rows stay and count as places of their own. Null texts count as empty; texts shorter than ``length`` lose nothing, longer ones of any
-    size are taken whole. An empty table gives an empty table. Other columns are neither read nor returned, whatever their names.
+    size are taken whole. ``n_repeated_words`` are the words in runs of ``passage`` words that also start anywhere else, of any length in bytes; they are not removed unless
+    strings of ``length`` bytes cover them. An empty table gives an empty table. Other columns are neither read nor returned, whatever their names.
     """
     own = taken(docs, id=id_column, text=text)
-    found = without_repeats(own, "text", length)
+    found = without_repeats(own, "text", length, passage=passage)
     keyed = own.select("id", *text_keys("text"))
     return keyed.join(found, ["k1", "k2"]).drop("k1", "k2").withColumnRenamed("id", id_column)
 
