@@ -126,3 +126,14 @@ def test_twice_is_both(index, queries):
     loose, exact = index.search_twice(frame)
     assert sorted(loose.collect(), key=key) == sorted(index.search(frame).collect(), key=key)
     assert sorted(exact.collect(), key=key) == sorted(index.search(frame, exact=True).collect(), key=key)
+
+
+def test_no_queries_or_blocks_are_broadcast(index, queries):
+    """Packs of queries are small in files, which hold repeated vectors once, and large in the driver."""
+    frame = queries[1]
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    floors = frame.select("query_id", F.lit(0.5).alias("floor"))
+    first, second = index._probing(frame, 3, None), index._probing(frame, 3, floors)
+    assert "BroadcastExchange" not in plan(second)
+    assert "BroadcastExchange" not in plan(index._scored(first, 10, len(queries[0]), 1e-6))
+    assert "BroadcastExchange" not in plan(index.search(frame, exact=True))

@@ -209,11 +209,11 @@ class VectorIndex:
                     chosen = [cells[row].tolist() for row in can]
                 else:
                     chosen = cells[near].tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points.tolist(), pa.list_(pa.float64())), pa.array(chosen, pa.list_(pa.int32()))], names=["query_id", "v", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], names=["query_id", "v", "cells"])
 
-        asked = queries if not bounded else queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-        kind = queries.schema["query_id"].dataType.simpleString()
-        return asked.mapInArrow(run, f"query_id {kind}, v array<double>, cells array<int>").select("query_id", "v", F.explode("cells").alias("cell"))
+        asked = queries if not bounded else queries.join(floors.hint("merge"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        kind, own = (queries.schema[c].dataType.simpleString() for c in ("query_id", "v"))
+        return asked.mapInArrow(run, f"query_id {kind}, v {own}, cells array<int>").select("query_id", "v", F.explode("cells").alias("cell"))
 
     def _scored(self, probing: DataFrame, k: int, many: int, slack: float) -> DataFrame:
         """(query_id, id, cosine): for each query and block of its cells the k nearest of other ids, and those that are nearly as near as the last of them."""
@@ -229,7 +229,7 @@ class VectorIndex:
                 for n, ids, raw, queries, matrix in zip(*(batch.column(c) for c in range(5)), strict=True):
                     ids, queries = np.array(ids.as_py(), object), queries.as_py()
                     points = unit(np.frombuffer(raw.as_py(), kind).reshape(n.as_py(), dims))
-                    cosines = np.array(matrix.values).reshape(len(queries), dims) @ points.T
+                    cosines = unit(np.array(matrix.values).reshape(len(queries), dims)) @ points.T
                     out = []
                     for query, row in zip(queries, cosines, strict=True):
                         row[ids == query] = -3.0
@@ -239,7 +239,8 @@ class VectorIndex:
                     columns = zip(*out, strict=True) if out else ([], [], [])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.column(3).type.value_type, batch.column(1).type.value_type, pa.float64()), strict=True)], names=["query_id", "id", "cosine"])
 
-        both = self.blocks(wanted).join(packed, "cell").select("n", "ids", "vectors", "queries", "matrix")
+        # a query repeats for each of its cells, which files compress well: by their size packs would be broadcast through the driver
+        both = self.blocks(wanted).join(packed.hint("merge"), "cell").select("n", "ids", "vectors", "queries", "matrix")
         return both.mapInArrow(run, f"query_id {query_type}, id {self.id_type}, cosine double")
 
     def search(self, queries: DataFrame, k: int = NEIGHBOURS, probes: int | None = None, exact: bool = False, digits: int = 6) -> DataFrame:
