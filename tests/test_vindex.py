@@ -137,3 +137,15 @@ def test_no_queries_or_blocks_are_broadcast(index, queries):
     assert "BroadcastExchange" not in plan(second)
     assert "BroadcastExchange" not in plan(index._scored(first, 10, len(queries[0]), 1e-6))
     assert "BroadcastExchange" not in plan(index.search(frame, exact=True))
+
+
+def test_found_rows_are_not_broadcast(index, queries):
+    found, exact = index.search_twice(queries[1])
+    told = vindex.recall(found, exact)
+    assert "BroadcastExchange" not in told._jdf.queryExecution().executedPlan().toString()
+    pairs = {(r.query_id, r.id) for r in found.collect()}
+    want = {}
+    for r in exact.collect():
+        hits, of = want.get(r.query_id, (0, 0))
+        want[r.query_id] = hits + ((r.query_id, r.id) in pairs), of + 1
+    assert {r.query_id: (r.hits, r.of) for r in told.collect()} == want

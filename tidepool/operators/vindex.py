@@ -279,5 +279,5 @@ class VectorIndex:
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, hits, of): how many of the rows (query_id, id) of the exact result were found."""
-    hits = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    hits = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")).hint("merge"), ["query_id", "id"], "left")
     return hits.groupBy("query_id").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("of"))
